@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from quietsignal.llm.chat import OP8_SQL, op8_prefix_target
+from quietsignal.llm.language import op7_compression_language
 from quietsignal.llm.packing import op2_harmonic_packing
+from quietsignal.llm.quality import op1_bradley_terry
 
 QUERIES = {
+    "op1_bradley_terry": op1_bradley_terry,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op7_compression_language": op7_compression_language,
     "op8_prefix_target": op8_prefix_target,
 }
 ORACLES = {"op8_prefix_target": OP8_SQL}
