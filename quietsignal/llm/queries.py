@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quietsignal.llm.chat import OP8_SQL, op8_prefix_target
+from quietsignal.llm.decontaminate import OP4_SQL, op4_fm_index
 from quietsignal.llm.language import op7_compression_language
 from quietsignal.llm.packing import op2_harmonic_packing
 from quietsignal.llm.quality import op1_bradley_terry
@@ -10,7 +11,8 @@ from quietsignal.llm.quality import op1_bradley_terry
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op4_fm_index": op4_fm_index,
     "op7_compression_language": op7_compression_language,
     "op8_prefix_target": op8_prefix_target,
 }
-ORACLES = {"op8_prefix_target": OP8_SQL}
+ORACLES = {"op4_fm_index": OP4_SQL, "op8_prefix_target": OP8_SQL}
