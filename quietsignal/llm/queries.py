@@ -7,11 +7,13 @@ from quietsignal.llm.decontaminate import OP4_SQL, op4_fm_index
 from quietsignal.llm.language import op7_compression_language
 from quietsignal.llm.packing import op2_harmonic_packing
 from quietsignal.llm.quality import op1_bradley_terry
+from quietsignal.llm.winnow import op6_winnowing
 
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op4_fm_index": op4_fm_index,
+    "op6_winnowing": op6_winnowing,
     "op7_compression_language": op7_compression_language,
     "op8_prefix_target": op8_prefix_target,
 }
