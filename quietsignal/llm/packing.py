@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from quietsignal.llm.common import slices
 
+#: Never part of a word of letters or digits.
+SYMBOLS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -83,27 +85,70 @@ class Packer:
 class Encoder:
     """Token ids of whole texts, through a dictionary of the ids of chunks between plain spaces and line feeds.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in order.
+    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids in order.  Of
+    Latin-1 texts, which its normalizer leaves as they are but for case, chunks are lower-cased first; symbols
+    after letters are encoded for themselves; and unknown words of letters are encoded many at a time and told
+    apart by their word ends.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
 
+    def _plain(self, chunks: list[str]) -> None:
+        """Learn chunks of lower-cased Latin-1 text: letters with a run of symbols behind them are two tokens' worth."""
+        known = self.known
+        bases = [w.rstrip(SYMBOLS) for w in chunks]
+        words = [w for w in set(bases).difference(known) if w.isalpha()]
+        for i, e in enumerate(self.tokenizer.encode_batch_fast([" ".join(words[i : i + 250]) for i in range(0, len(words), 250)], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            own = words[250 * i : 250 * i + 250]
+            if len(ends) == len(own) + 1:
+                raw = ids.tobytes()
+                known.update(zip(own, [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], strict=True))
+        tails = {w[len(base) :] for w, base in zip(chunks, bases, strict=True)}
+        self._any(list(tails.difference(known)))
+        rest = []
+        for w, base in zip(chunks, bases, strict=True):
+            if len(w) > len(base):
+                if base in known and base.isalpha():
+                    known[w] = known[base] + known[w[len(base) :]]
+                else:
+                    rest.append(w)
+            elif w not in known:
+                rest.append(w)
+        self._any(list(set(rest).difference(known)))
+
+    def _any(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 10_000):
+            for w, e in zip(chunks[i : i + 10_000], self.tokenizer.encode_batch_fast(chunks[i : i + 10_000], add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
     def __call__(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
         if len(self.known) > self.limit:
             self.known = {"": b""}
         known, last = self.known, np.array([end], "<u4").tobytes()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for i in range(0, len(new), 10_000):
-            for w, e in zip(new[i : i + 10_000], self.tokenizer.encode_batch_fast(new[i : i + 10_000], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        split: list[list[str]] = []
+        new: tuple[set, set] = (set(), set())
+        for text in texts:
+            text = text or ""
+            try:
+                plain = text.encode("latin-1") is not None
+            except UnicodeEncodeError:
+                plain = False
+            split.append((text.lower() if plain else text).replace("\n", " ").split(" "))
+            new[plain].update(split[-1])
+        self._plain(list(new[True].difference(known)))
+        self._any(list(new[False].difference(known)))
         for words in split:
             yield np.frombuffer(b"".join(map(known.__getitem__, words)) + last, "<u4")
 
