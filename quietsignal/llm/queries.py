@@ -6,12 +6,14 @@ from quietsignal.llm.chat import OP8_SQL, op8_prefix_target
 from quietsignal.llm.decontaminate import OP4_SQL, op4_fm_index
 from quietsignal.llm.language import op7_compression_language
 from quietsignal.llm.packing import op2_harmonic_packing
+from quietsignal.llm.pii import op3_bootstrapped_pii
 from quietsignal.llm.quality import op1_bradley_terry
 from quietsignal.llm.winnow import op6_winnowing
 
 QUERIES = {
     "op1_bradley_terry": op1_bradley_terry,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op3_bootstrapped_pii": op3_bootstrapped_pii,
     "op4_fm_index": op4_fm_index,
     "op6_winnowing": op6_winnowing,
     "op7_compression_language": op7_compression_language,
