@@ -5,6 +5,7 @@ from __future__ import annotations
 from quietsignal.llm.chat import OP8_SQL, op8_prefix_target
 from quietsignal.llm.decontaminate import OP4_SQL, op4_fm_index
 from quietsignal.llm.language import op7_compression_language
+from quietsignal.llm.licenses import op10_license_scan
 from quietsignal.llm.packing import op2_harmonic_packing
 from quietsignal.llm.pii import op3_bootstrapped_pii
 from quietsignal.llm.quality import op1_bradley_terry
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_winnowing": op6_winnowing,
     "op7_compression_language": op7_compression_language,
     "op8_prefix_target": op8_prefix_target,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES = {"op4_fm_index": OP4_SQL, "op8_prefix_target": OP8_SQL}
