@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quietsignal.llm.chat import OP8_SQL, op8_prefix_target
 from quietsignal.llm.decontaminate import OP4_SQL, op4_fm_index
+from quietsignal.llm.jaccard import OP9_SQL, op9_divide_skip
 from quietsignal.llm.language import op7_compression_language
 from quietsignal.llm.licenses import op10_license_scan
 from quietsignal.llm.packing import op2_harmonic_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_winnowing": op6_winnowing,
     "op7_compression_language": op7_compression_language,
     "op8_prefix_target": op8_prefix_target,
+    "op9_divide_skip": op9_divide_skip,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES = {"op4_fm_index": OP4_SQL, "op8_prefix_target": OP8_SQL}
+ORACLES = {"op4_fm_index": OP4_SQL, "op8_prefix_target": OP8_SQL, "op9_divide_skip": OP9_SQL}
