@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietsignal.llm.common import WordHash, mixed, partitions, shared_checkpoints, space_words, table
@@ -273,6 +273,24 @@ def groups(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the document of the smallest doc_id of each linked group, all columns kept.
+
+    Rows with a null doc_id and documents with an empty set stay.  Of rows that share a doc_id the one with the
+    smallest text stays.
+    """
+    found = groups(docs)
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).checkpoint()
+    gone = ids.where("doc_id <> c").select(F.col("doc_id").alias("__gone"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    rest = docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    if not ids.where("n > 1").isEmpty():
+        order = Window.partitionBy("doc_id").orderBy("text")
+        again = rest.where("doc_id IS NOT NULL").withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
+        rest = again.unionByName(rest.where("doc_id IS NULL"))
+    return rest
+
+
 def op9_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 

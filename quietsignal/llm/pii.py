@@ -36,6 +36,8 @@ LOOSE = {
 GATES = {"email": ("@", r"at[\])]"), "ip": (".", r"[0-9A-Fa-f]:[0-9A-Fa-f]"), "card": (None, r"[0-9]{2}"), "phone": ("+", r"[0-9]{2}")}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CONTEXT_CHARS = 80
+#: Spans up to which they are broadcast to the texts they mask, about 30 MB; above, they are joined.
+BROADCAST_SPANS = 1_000_000
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string,left:string>>"
 
 
@@ -150,7 +152,9 @@ def mask(docs: DataFrame, **limits: float) -> DataFrame:
     """
     tag = "__row"
     rows = docs.withColumn(tag, F.monotonically_increasing_id())
-    spans = extract(docs, **limits).where(F.size("spans") > 0).select(F.col("row").alias(tag), F.col("spans").alias("__spans"))
+    spans = extract(docs, **limits).where(F.size("spans") > 0).select(F.col("row").alias(tag), F.col("spans").alias("__spans")).checkpoint()
+    if (spans.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
 
     def step(a: Column, s: Column) -> Column:

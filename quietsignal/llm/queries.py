@@ -5,6 +5,7 @@ from __future__ import annotations
 from quietsignal.llm.chat import OP8_SQL, op8_prefix_target
 from quietsignal.llm.decontaminate import OP4_SQL, op4_fm_index
 from quietsignal.llm.jaccard import OP9_SQL, op9_divide_skip
+from quietsignal.llm.katz import op5_katz_backoff
 from quietsignal.llm.language import op7_compression_language
 from quietsignal.llm.licenses import op10_license_scan
 from quietsignal.llm.packing import op2_harmonic_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_bootstrapped_pii": op3_bootstrapped_pii,
     "op4_fm_index": op4_fm_index,
+    "op5_katz_backoff": op5_katz_backoff,
     "op6_winnowing": op6_winnowing,
     "op7_compression_language": op7_compression_language,
     "op8_prefix_target": op8_prefix_target,
