@@ -48,7 +48,7 @@ def random_choice(seed: int) -> Callable[[int, int], tuple[int, float]]:
 
 def grow(x: np.ndarray, tree: int, depth: int, choose: Callable[[int, int], tuple[int, float]], old: pd.DataFrame | None = None) -> list[tuple]:
     """Nodes of a tree over the rows of ``x``; splits of ``old`` are kept, and its leaves grow on."""
-    splits = {} if old is None else {r.node: (r.attr, r.split) for r in old.itertuples() if not r.leaf}
+    splits = {} if old is None else {int(r.node): (int(r.attr), float(r.split)) for r in old.itertuples() if not r.leaf}
     out, level = [], [(1, np.arange(len(x)))]
     for d in range(depth + 1):
         below = []
@@ -149,7 +149,7 @@ def fit_by_key(df: DataFrame, keys: list[str], attrs: list[str], trees: int = 10
     take = F.when(F.col("__n") > subsample, F.lit(subsample)).otherwise(F.greatest(F.floor(F.col("__n") * 0.75), F.lit(1))).cast("int")
     wide = models.attach(df.select(*own, *[F.col(a).cast("double").alias(a) for a in attrs]), counts, own).withColumn("__take", take).withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
     h = F.pmod(F.xxhash64(F.lit(seed), "tree", *attrs), F.lit(1 << 30))
-    thinned = wide.withColumn("__h", h).where(F.col("__h") * F.col("__n") <= F.lit(1 << 30) * F.greatest(F.col("__take") * 4, F.lit(64)))
+    thinned = wide.withColumn("__h", h).where(F.col("__h").cast("double") * F.col("__n") <= F.lit(float(1 << 30)) * F.greatest(F.col("__take") * 4, F.lit(64)))
     ranked = thinned.withColumn("__k", F.row_number().over(Window.partitionBy(*own, "tree").orderBy("__h", *attrs))).where("__k <= __take")
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in own)
     choose = random_choice(seed)
