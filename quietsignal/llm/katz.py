@@ -323,6 +323,14 @@ def backoff(d: np.ndarray, stats: list[np.ndarray], mass: np.ndarray) -> np.ndar
     return np.log10(np.maximum(total - kept, 1e-300)) - np.log10(np.maximum(1 - mass, 1e-12))
 
 
+def by_document(names: np.ndarray, doc: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of ``part`` by slice and document."""
+    order = np.lexsort((doc, names))
+    names, doc, part = names[order], doc[order], part[order]
+    at = runs(names, doc)
+    return names[at], doc[at], np.add.reduceat(part, at) if len(at) else part
+
+
 def by_context(d: np.ndarray, known: Unigrams, hot: np.ndarray):
     """Step 3: for each slice, sums of log10(alpha(h) c(h)) over the pairs that were not seen."""
 
@@ -335,7 +343,7 @@ def by_context(d: np.ndarray, known: Unigrams, hot: np.ndarray):
         if len(y):
             sums = [np.add.reduceat(np.concatenate([g[k] for g in got])[order].astype(float if k == 1 else np.int64), at) for k in range(1, K + 3)]
             value, y = backoff(d, sums[1:], sums[0]), y[order][at]
-        out = []
+        each = []
         for blob in frame.loc[frame["kind"] == "unseen", "blob"]:
             h, names, doc, times = unpack(blob)
             part = np.zeros(len(h))  # a context never seen: alpha is 1
@@ -345,11 +353,11 @@ def by_context(d: np.ndarray, known: Unigrams, hot: np.ndarray):
             place = hot_context(known, h)
             if (place >= 0).any():
                 part = np.where(place >= 0, hot[place], part)
-            order = np.lexsort((doc, names))
-            part, names, doc = (part * times)[order], names[order], doc[order]
-            e = runs(names, doc)
-            part, names, doc = np.add.reduceat(part, e), names[e], doc[e]
-            out += [(s, pack(doc[a:b], np.rint(part[a:b] * FIXED).astype(np.int64))) for s, a, b in pieces(names)]
+            each.append(by_document(names, doc, part * times))
+        out = []
+        if each:  # one row for each slice, whatever number of blobs its documents were in
+            names, doc, part = by_document(*(np.concatenate(x) for x in zip(*each, strict=True)))
+            out = [(s, pack(doc[a:b], np.rint(part[a:b] * FIXED).astype(np.int64))) for s, a, b in pieces(names)]
         return pd.DataFrame({"kind": ["more"] * len(out), "key": [o[0] for o in out], "blob": [o[1] for o in out]}).astype({"key": "int64"})
 
     return work
