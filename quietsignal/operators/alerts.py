@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quietsignal.functions.score import exp_scale, sequence, spread_back
+from quietsignal.functions.score import sequence, spread_back
 from quietsignal.operators import models
 
 
@@ -115,20 +117,19 @@ def tail_fit(df: DataFrame, keys: list[str], share: float, target: float) -> Dat
 def cluster_alerts(df: DataFrame, keys: list[str], seq: str, tie: str, max_gap: float | None = None, average_gap: float | None = None, least: int = 1, prototype: str = "center", ignore_small: bool = False) -> DataFrame:
     """One O for each cluster of outliers close in ``seq`` (a number); the others of it become N; I stays.
 
-    A gap above ``max_gap`` begins a new cluster; with ``average_gap`` so does one after which a running average
-    gap of the key would exceed it.  The prototype is the lower median in time, or ``max`` by score.  Clusters
+    A gap above ``max_gap`` begins a new cluster; with ``average_gap`` so does one with which the mean gap of the
+    cluster so far would exceed it (a recursion, so a key's outliers then go through one loop in an Arrow batch).  The prototype is the lower median in time, or ``max`` by score.  Clusters
     under ``least`` rows keep their outliers, or with ``ignore_small`` lose them.
     """
     if max_gap is None and average_gap is None:
         raise ValueError("a maximum or an average gap is needed")
     w = sequence(keys, [seq, tie])
-    bad = df.where(F.col("tag") == "O").withColumn("__gap", F.col(seq).cast("double") - F.lag(F.col(seq).cast("double")).over(w))
-    new = F.col("__gap").isNull()
-    if max_gap is not None:
-        new = new | (F.col("__gap") > float(max_gap))
-    if average_gap is not None:
-        new = new | (F.avg("__gap").over(w.rowsBetween(-2, 0)) > float(average_gap))
-    bad = bad.withColumn("__c", F.sum(new.cast("int")).over(w))
+    bad = df.where(F.col("tag") == "O")
+    if average_gap is None:
+        gap = F.col(seq).cast("double") - F.lag(F.col(seq).cast("double")).over(w)
+        bad = bad.withColumn("__gap", gap).withColumn("__c", F.sum((F.col("__gap").isNull() | (F.col("__gap") > float(max_gap))).cast("int")).over(w))
+    else:
+        bad = _by_average_gap(bad, keys, seq, tie, float(average_gap), float("inf") if max_gap is None else float(max_gap))
     own = Window.partitionBy(*([F.col(k) for k in keys] or [F.lit("all")]), F.col("__c"))
     inside = own.orderBy(F.col("score").desc(), tie) if prototype == "max" else own.orderBy(seq, tie)
     bad = bad.withColumn("__k", F.row_number().over(inside)).withColumn("__n", F.count("*").over(own))
@@ -139,6 +140,22 @@ def cluster_alerts(df: DataFrame, keys: list[str], seq: str, tie: str, max_gap:
     return marked.unionByName(rest).withColumn("tag", F.col("__t")).withColumnRenamed("__c", "alert_cluster").drop("__t")
 
 
+def _by_average_gap(df: DataFrame, keys: list[str], seq: str, tie: str, average: float, most: float) -> DataFrame:
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([seq, tie])
+        c, start, inside, last, out = 0, 0.0, 0, None, []
+        for x in part[seq].astype(float):
+            if last is None or x - last > most or (x - start) / inside > average:
+                c, start, inside = c + 1, x, 0
+            inside, last = inside + 1, x
+            out.append(c)
+        return part.assign(__c=out)
+
+    df, own = models.keyed(df, keys)
+    out = df.groupBy(*own).applyInPandas(work, StructType([*df.schema.fields, StructField("__c", LongType())]))
+    return out if keys else out.drop(models.ALL)
+
+
 def score_level_shift(df: DataFrame, keys: list[str], seq: str, tie: str, long: int, short: int, least_z: float) -> DataFrame:
     """Tag O where the mean score of the last ``short`` rows is over ``least_z`` deviations above that of the last ``long``.
 
@@ -179,5 +196,3 @@ def calibration(df: DataFrame, probability: Column, label: Column, bins: int, ke
     b = F.least(F.floor(probability * bins), F.lit(bins - 1)).cast("int")
     return df.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.avg(probability).alias("predicted"), F.avg(label.cast("double")).alias("observed"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "exp_scale")]

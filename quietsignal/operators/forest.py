@@ -81,15 +81,21 @@ def samples(df: DataFrame, id_: str, attrs: list[str], trees: int, one_in: int)
 def fit(sampled: DataFrame, attrs: list[str], depth: int, choose: Callable[[int, int], tuple[int, float]] = hash_choice, old: DataFrame | None = None) -> DataFrame:
     """The forest of ``samples``; with ``old`` nodes these keep their splits and go on growing (incremental mode)."""
 
-    def one(part: pd.DataFrame, before: pd.DataFrame | None = None) -> pd.DataFrame:
-        if not len(part):
-            return before if before is not None else pd.DataFrame(columns=[c.split()[0] for c in NODES.split(", ")])
+    names, goes_on = [c.split()[0] for c in NODES.split(", ")], old is not None
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        before = None
+        if goes_on:
+            part, before = part[~part["__old"]], part[part["__old"]]
+            if not len(part):
+                return before[names]
         rows = grow(part.sort_values("id")[attrs].to_numpy(float), int(part["tree"].iloc[0]), depth, choose, before if before is not None and len(before) else None)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"attr": "Int32"})
+        return pd.DataFrame(rows, columns=names).astype({"attr": "Int32"})
 
     if old is None:
-        return sampled.groupBy("tree").applyInPandas(lambda p: one(p), NODES)
-    return sampled.groupBy("tree").cogroup(old.groupBy("tree")).applyInPandas(lambda p, o: one(p, o), NODES)
+        return sampled.groupBy("tree").applyInPandas(one, NODES)
+    both = sampled.withColumn("__old", F.lit(False)).unionByName(old.withColumn("__old", F.lit(True)), allowMissingColumns=True)
+    return both.groupBy("tree").applyInPandas(one, NODES)
 
 
 def merge(old_sample: DataFrame, new_sample: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietsignal.functions.score import combine, exp_scale, tag
+from quietsignal.functions.score import combine, exp_scale, logistic_scale, tag
 from quietsignal.operators import models
 
 
@@ -166,12 +168,8 @@ def entropy_increase(df: DataFrame, model: DataFrame, keys: list[str], bins: dic
 
 def inverse_covariance(model: DataFrame) -> DataFrame:
     """A covariance model with ``inv``, the (pseudo-)inverse; one small matrix for each key, inverted in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def invert(cells: pd.Series) -> pd.Series:
-        import numpy as np
-
         def one(x):
             k = round(len(x) ** 0.5)
             m = np.array(x, float).reshape(k, k)
@@ -223,8 +221,6 @@ def out_of_range(df: DataFrame, ranges: DataFrame, s: Settings, steepness: float
 
     def one(a: str) -> Column:
         v, lo, hi = _num(a), F.col(f"{a}_lo"), F.col(f"{a}_hi")
-        from quietsignal.functions.score import logistic_scale
-
         return logistic_scale(steepness, F.when(v > (lo + hi) / 2, v - hi).otherwise(lo - v))
 
     return _scored(df, ranges, s, one)
@@ -232,8 +228,6 @@ def out_of_range(df: DataFrame, ranges: DataFrame, s: Settings, steepness: float
 
 def in_range(df: DataFrame, ranges: list[dict[str, tuple[float, float]]], s: Settings, steepness: float) -> DataFrame:
     """High inside a range; of several global ranges the best counts.  ``ranges`` is a short literal list."""
-    from quietsignal.functions.score import logistic_scale
-
     def inside(box: dict[str, tuple[float, float]]) -> Column:
         each = []
         for a in s.attrs:

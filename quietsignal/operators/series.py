@@ -190,7 +190,8 @@ def discord(df: DataFrame, keys: list[str], attr: str, seq: str, tie: str, windo
         out = df.groupBy(*own).applyInPandas(lambda p: work(p), schema)
     else:
         ref, _ = models.keyed(reference, keys)
-        out = df.groupBy(*own).cogroup(ref.groupBy(*own)).applyInPandas(lambda p, r: work(p, r), schema)
+        both = df.withColumn("__src", F.lit(0)).unionByName(ref.select(*own, attr, seq, *([tie] if tie != seq else [])).withColumn("__src", F.lit(1)), allowMissingColumns=True)
+        out = both.groupBy(*own).applyInPandas(lambda p: work(p[p["__src"] == 0].drop(columns="__src"), p[p["__src"] == 1]), schema)
     return out if keys else out.drop(models.ALL)
 
 
