@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quietsignal.plans import alert_queries, density_queries, drift_queries, record_queries, series_queries, stream_queries
+from quietsignal.plans import alert_queries, density_queries, drift_queries, record_queries, reshape_queries, series_queries, stream_queries
 from quietsignal.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "alert_queries", "density_queries", "drift_queries", "record_queries", "series_queries", "stream_queries"]
+__all__ = ["ORACLES", "QUERIES", "alert_queries", "density_queries", "drift_queries", "record_queries", "reshape_queries", "series_queries", "stream_queries"]
