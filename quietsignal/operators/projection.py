@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietsignal.functions.score import exp_scale, tag
+from quietsignal.functions.score import exp_scale, sequence, tag
 from quietsignal.operators import models
 
 
@@ -97,27 +97,31 @@ def spectral_residue(df: DataFrame, keys: list[str], attr: str, seq: str, tie: s
     The log amplitude less its moving average goes back with the old phase; the score is the amplitude less its
     local moving average.  Blocks, not keys, are the groups, so no task holds a whole series.
     """
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    from quietsignal.functions.score import sequence
-
     def average(x: np.ndarray, w: int) -> np.ndarray:
-        return np.convolve(np.pad(x, (w // 2, w - 1 - w // 2), mode="edge"), np.ones(w) / w, mode="valid")
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([seq, tie])
-        x = part[attr].to_numpy(float)
-        if len(x) < block:
-            return part.assign(score=0.0)
-        f = np.fft.fft(x)
-        log = np.log(np.maximum(np.abs(f), 1e-12))
-        saliency = np.abs(np.fft.ifft(np.exp(log - average(log, smooth) + 1j * np.angle(f))))
-        score = np.abs(saliency - average(saliency, local))
-        return part.assign(score=1 - np.exp(-exp_const * score) if exp_const > 0 else score)
-
-    rows = df.withColumn("block", F.floor((F.row_number().over(sequence(keys, [seq, tie])) - 1) / block).cast("long"))
-    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
-    return rows.groupBy(*keys, "block").applyInPandas(work, schema).drop("block")
+        wide = np.pad(x, ((0, 0), (w // 2, w - 1 - w // 2)), mode="edge")
+        return np.lib.stride_tricks.sliding_window_view(wide, w, axis=1).mean(2)
+
+    @F.pandas_udf("array<double>")
+    def saliency(blocks: pd.Series) -> pd.Series:
+        full = [i for i, b in enumerate(blocks) if len(b) == block]
+        out = [[0.0] * len(b) for b in blocks]
+        if full:
+            f = np.fft.fft(np.stack([blocks.iloc[i] for i in full]).astype(float), axis=1)
+            log = np.log(np.maximum(np.abs(f), 1e-12))
+            s = np.abs(np.fft.ifft(np.exp(log - average(log, smooth) + 1j * np.angle(f)), axis=1))
+            score = np.abs(s - average(s, local))
+            for i, row in zip(full, 1 - np.exp(-exp_const * score) if exp_const > 0 else score, strict=True):
+                out[i] = row.tolist()
+        return pd.Series(out)
+
+    fields = df.columns
+    at = F.floor((F.row_number().over(sequence(keys, [seq, tie])) - 1) / block).cast("long")
+    first = [seq] if tie == seq else [seq, tie]
+    rows = F.array_sort(F.collect_list(F.struct(*first, F.struct(*fields).alias("__row"))))
+    grouped = df.withColumn("__block", at).groupBy(*keys, "__block").agg(rows.alias("__rows"))
+    scored = grouped.withColumn("__scores", saliency(F.transform("__rows", lambda r: r["__row"][attr].cast("double"))))
+    each = scored.select(F.explode(F.arrays_zip("__rows", "__scores")).alias("z"))
+    return each.select(*[F.col(f"z.__rows.__row.{c}").alias(c) for c in fields], F.col("z.__scores").alias("score"))
 
 
 __all__ = ["Autoencoder", "fit_autoencoder", "fit_components", "reconstruction_error", "regeneration_error", "spectral_residue"]

@@ -236,6 +236,11 @@ def test_spectral_residue_finds_the_spike(spark):
     values[40] += 8
     out = projection.spectral_residue(table(spark, [("a", i, v) for i, v in enumerate(values)]), ["k"], "v", "i", "i", 64)
     assert abs(out.orderBy(F.col("score").desc()).first()["i"] - 40) <= 1
+    x, wide = np.array(values), lambda v, w: np.convolve(np.pad(v, (w // 2, w - 1 - w // 2), mode="edge"), np.ones(w) / w, mode="valid")
+    f = np.fft.fft(x)
+    log = np.log(np.abs(f))
+    s = np.abs(np.fft.ifft(np.exp(log - wide(log, 5) + 1j * np.angle(f))))
+    assert np.allclose([r["score"] for r in out.orderBy("i").collect()], np.abs(s - wide(s, 3)))
     assert projection.spectral_residue(table(spark, [("a", 0, 1.0)]), ["k"], "v", "i", "i", 8).first()["score"] == 0.0
 
 
