@@ -104,3 +104,12 @@ class WordHash:
                         v = known[w] = one(w)
                     out[i] = v
         return np.array(out, np.uint64)
+
+
+def release() -> None:
+    """Give freed memory back to the system where the C library can; idle workers then hold little."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -33,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsignal.llm.common import WordHash, crc_of_id, mixed, partitions, shared_checkpoints, space_words, table
+from quietsignal.llm.common import WordHash, crc_of_id, mixed, partitions, release, shared_checkpoints, space_words, table
 
 K, EPSILON = 5, 1e-4
 #: Tokens that a map task holds before it sends their pairs.
-SLICE_TOKENS = 1_500_000
+SLICE_TOKENS = 1_000_000
 FIXED = 1e10
 END, START = np.uint64(0xE17A1465E17A1465), np.uint64(0x57A2757A2757A275)
 LOW = np.uint64(16)  # contexts are known by the upper 48 bits of their hash
@@ -129,7 +129,7 @@ class Unigrams:
 
 def token_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_TOKENS) -> Iterator[tuple[list, np.ndarray, list[np.ndarray]]]:
     """Documents until ``limit`` tokens are together: ids, whether they train, hashes of the tokens of each."""
-    hashed = WordHash()
+    hashed = WordHash(200_000)
     ids, train, tokens, size = [], [], [], 0
     for batch in batches:
         for doc, use, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -148,7 +148,7 @@ def unigrams(rows: DataFrame, buckets: int) -> Unigrams:
     """Step 1, over ``rows`` (doc_id, train, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, train, tokens in token_slices(batches, 3 * SLICE_TOKENS):
+        for _, train, tokens in token_slices(batches, 2 * SLICE_TOKENS):
             own = [t for t, use in zip(tokens, train, strict=True) if use]
             if own:
                 w, c = np.unique(spread(np.concatenate(own)), return_counts=True)
@@ -163,13 +163,13 @@ def unigrams(rows: DataFrame, buckets: int) -> Unigrams:
         order = np.argsort(w, kind="stable")
         at = runs(w[order])
         c, w = np.add.reduceat(c[order], at), w[order][at]
-        many = np.argsort(-c)[: 4 * buckets]
+        many = np.flatnonzero(c * 4 * buckets > c.sum())  # none else can have that share of all tokens
         texts = int(c[w == np.uint64(end)].sum())
         return pd.DataFrame({"n": [int(c.sum())], "v": [len(c)], "texts": [texts], "counts": [np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].astype(np.int64)], "words": [w[many].view(np.int64)], "many": [c[many]]})
 
     found = rows.mapInArrow(count, "bucket long, blob binary").groupBy("bucket").applyInPandas(total, "n long, v long, texts long, counts array<bigint>, words array<bigint>, many array<bigint>").checkpoint()
     sums = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0)), *[F.coalesce(F.sum(F.get("counts", F.lit(k))), F.lit(0)) for k in range(K + 1)]).first()
-    each = found.select(F.explode(F.arrays_zip("words", "many")).alias("x")).where(F.col("x.many") * 4 * buckets > sums[0])
+    each = found.select(F.explode(F.filter(F.arrays_zip("words", "many"), lambda x: x["many"] * 4 * buckets > sums[0])).alias("x"))
     hot = [(r[0], r[1]) for r in each.select("x.words", "x.many").collect()]  # under 4 * buckets words have so large a share
     return Unigrams(sums[0], sums[1], np.array(sums[3:], np.int64), sums[2], hot)
 
@@ -212,10 +212,18 @@ def sent(rows: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
                     out.append((bucket, "pairs", blob))
             kinds = [pa.array([o[0] for o in out], pa.int64()), pa.array([base + number] * len(out), pa.int64()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out], pa.binary())]
             yield pa.record_batch(kinds, ["bucket", "slice", "kind", "blob"])
+        release()
 
     return rows.mapInArrow(work, "bucket long, slice long, kind string, blob binary")
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts in one, which are let go."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 def by_token(known: Unigrams, buckets: int):
     """Reduce side of step 2."""
     end = int(spread(np.array([END]))[0])
@@ -239,7 +247,8 @@ def by_token(known: Unigrams, buckets: int):
             entries.append(each)
             doc.append(z.astype(np.int64) + place[s])
             times.append(n)
-        w, h, entries, doc, times, train = (np.concatenate(x) for x in (w, h, entries, doc, times, train))
+        del frame, pairs, words, many, high, low, each, z, n, use
+        w, h, entries, doc, times, train = joined(w), joined(h), joined(entries), joined(doc), joined(times), joined(train)
         times = times.astype(np.int64)
         entries = entries.astype(np.int64)
         start = np.cumsum(entries) - entries
@@ -251,7 +260,8 @@ def by_token(known: Unigrams, buckets: int):
         fresh[at] = 1
         group[order] = np.cumsum(fresh) - 1
         r = np.add.reduceat(own[order], at)
-        pair_w, pair_h = w[order][at], h[order][at]
+        pair_w, pair_h = w[order[at]], h[order[at]]
+        del w, h, own, order, fresh
         per_word = runs(pair_w)
         cw = np.add.reduceat(r, per_word)
         hot = known.of_hot(pair_w[per_word])
@@ -300,6 +310,7 @@ def by_token(known: Unigrams, buckets: int):
         for bucket, a, b in pieces(at):
             out.append(("unseen", bucket, pack(y[a:b], names[which[a:b]], (doc[lost[a:b]] - np.array(first)[which[a:b]]).astype(np.uint32), times[lost[a:b]].astype(np.uint32)), None, None))
         out.append(("totals", 0, None, np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].tolist(), None))
+        release()
         return pd.DataFrame(out, columns=["kind", "key", "blob", "numbers", "mass"])
 
     return work
@@ -395,7 +406,7 @@ def score(docs: DataFrame, held_out: Column, buckets: int | None = None) -> Data
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
-    buckets = buckets or partitions(spark)
+    buckets = buckets or 3 * partitions(spark) // 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out).alias("train"), "text")
     known = unigrams(rows, buckets)
     parts = sent(rows, known, buckets).groupBy("bucket").applyInPandas(by_token(known, buckets), PARTS).checkpoint()
