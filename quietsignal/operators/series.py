@@ -120,12 +120,13 @@ def student_95(n: Column) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(t) for t in T95]), (n - 2).cast("int")), F.lit(1.96))
 
 
-def one_step_ahead(df: DataFrame, keys: list[str], attr: str, seq: str, tie: str, window: int, least: int = 5, exp_const: float = 1.0, weights: list[float] | None = None) -> DataFrame:
+def one_step_ahead(df: DataFrame, keys: list[str], attr: str, seq: str, tie: str, window: int, least: int = 5, exp_const: float = 1.0, weights: list[float] | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Predict each value from the ``window`` rows before it and score the miss in prediction intervals.
 
     The deviation is that of the key's earlier residuals, of which there must be ``least``; then the score is
     |prediction - value| / (t sd sqrt(1 + 1 / n)), scaled.  ``weights`` (newest first) weight the average.
     Observed values stay in the window; ``forecast.replacing`` puts predictions in the place of outliers.
+    ``initial`` (keys, n, sum, sumsq: ``residual_stats`` of an earlier run) counts as residuals seen before.
     """
     w = sequence(keys, [seq, tie])
     x = F.col(attr).cast("double")
@@ -136,7 +137,17 @@ def one_step_ahead(df: DataFrame, keys: list[str], attr: str, seq: str, tie: str
         prediction = F.avg(x).over(w.rowsBetween(-window, -1))
     out = df.withColumn("prediction", F.when(F.row_number().over(w) > window, prediction)).withColumn("__r", F.col("prediction") - x)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("__n", F.count("__r").over(before)).withColumn("__sd", F.stddev_pop("__r").over(before))
+    if initial is None:
+        out = out.withColumn("__n", F.count("__r").over(before)).withColumn("__sd", F.stddev_pop("__r").over(before))
+    else:
+        saved = initial.select(*keys, F.col("n").alias("__n0"), F.col("sum").alias("__s0"), F.col("sumsq").alias("__q0"))
+        out = models.attach(out, saved, keys)
+        # The saved residuals are value less prediction, these are the other way round.
+        n = F.coalesce("__n0", F.lit(0)) + F.count("__r").over(before)
+        total = F.coalesce(F.sum("__r").over(before), F.lit(0.0)) - F.coalesce("__s0", F.lit(0.0))
+        squares = F.coalesce(F.sum(F.col("__r") * F.col("__r")).over(before), F.lit(0.0)) + F.coalesce("__q0", F.lit(0.0))
+        mean = F.try_divide(total, n)
+        out = out.withColumn("__n", n).withColumn("__sd", F.sqrt(F.greatest(F.try_divide(squares, n) - mean * mean, F.lit(0.0)))).drop("__n0", "__s0", "__q0")
     width = student_95(F.col("__n")) * F.col("__sd") * F.sqrt(1 + F.try_divide(F.lit(1.0), F.col("__n")))
     score = F.when(F.col("__n") >= least, F.coalesce(exp_scale(exp_const, F.try_divide(F.abs("__r"), width)), F.lit(0.0))).otherwise(0.0)
     return out.withColumn("score", score).drop("__r", "__n", "__sd")

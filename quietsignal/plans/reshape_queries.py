@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from quietsignal.functions.score import round_to
 from quietsignal.operators import reshape
+from quietsignal.plans import sql
+from quietsignal.plans.record_queries import Z
 from quietsignal.plans.registry import query
+from quietsignal.plans.series_queries import NEAR
 from quietsignal.sources.files import union_tagged
 
 
@@ -47,3 +50,31 @@ def since_checkpoint(t):
     half = t("events").agg(F.floor(F.max("event_id") / 2).alias("checkpoint"))
     marks = t("events").select("user_id").distinct().where("user_id % 2 = 0").join(F.broadcast(half))  # one row
     return reshape.since(t("events"), marks, ["user_id"], "event_id").select("event_id", "user_id")
+
+
+@query("sql_scores", Z + " SELECT event_id, round(1 - exp(-z), 4) AS score, CASE WHEN 1 - exp(-z) > 0.9 THEN 'O' ELSE 'N' END AS tag FROM z")
+def sql_scores(t):
+    """The scalar functions as a SQL user calls them."""
+    events = t("events")
+    sql.register(events.sparkSession)
+    scored = "WITH m AS (SELECT user_id, avg(value) AS m, stddev_pop(value) AS s FROM {events} GROUP BY user_id), z AS (SELECT event_id, exp_scale(1D, zscore(value, m, s)) AS score FROM {events} JOIN m USING (user_id)) SELECT event_id, round(score, 4) AS score, outlier_tag(score, 0.9D) AS tag FROM z"
+    return events.sparkSession.sql(scored, events=events)
+
+
+@query("sql_neighborhood", NEAR + " SELECT event_id AS seq, round((g[1] + g[2]) / 2, 6) AS score FROM g WHERE n = 5")
+def sql_neighborhood(t):
+    """The table function over a table partitioned by user."""
+    events = t("events")
+    sql.register(events.sparkSession)
+    events.createOrReplaceTempView("quietsignal_events")
+    return events.sparkSession.sql("SELECT seq, round(score, 6) AS score FROM neighborhood_score(TABLE(SELECT user_id, event_id AS seq, value FROM quietsignal_events) PARTITION BY user_id ORDER BY seq)")
+
+
+@query("windowed_stats", "SELECT event_type, strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS start, count(value)::BIGINT AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def windowed_stats(t):
+    """Time windows with a watermark, as on a stream."""
+    from quietsignal.streaming.scorers import windowed_stats as stats
+
+    rows = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stats(rows, ["event_type"], "ts", "value", "6 hours", None, "1 hour")
+    return out.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", round_to(F.col("mean"), 6).alias("mean"))

@@ -159,6 +159,16 @@ def test_forecast_replaces_outliers(spark):
         assert 1 < forecast.predict([1.0, 2.0, 3.0], how, None, 0.5) < 3
 
 
+def test_forecast_goes_on_from_saved_residuals(spark):
+    rng = np.random.default_rng(9)
+    rows = table(spark, [("a", i, float(v)) for i, v in enumerate(rng.normal(size=60))])
+    whole = series.one_step_ahead(rows, ["k"], "v", "i", "i", 4)
+    saved = series.residual_stats(whole.where("i < 40"), ["k"], "v")
+    later = series.one_step_ahead(rows.where("i >= 36"), ["k"], "v", "i", "i", 4, initial=saved)
+    a, b = ({r["i"]: r["score"] for r in d.where("i >= 40").collect()} for d in (whole, later))
+    assert all(a[i] == pytest.approx(b[i]) for i in range(40, 60))
+
+
 def test_drift_monitors_on_a_planted_change(spark):
     rows = generators.classifier_errors(spark, streams=2, steps=1500).select("id", "ts", "err", "err2", "planted")
     at = ("ts", "ts")
