@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsignal.llm.common import slices
+from quietsignal.llm.common import release, slices
 
+#: Characters of text that are split and looked up together.
+SLICE_CHARS = 1_500_000
 #: Never part of a word of letters or digits.
 SYMBOLS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -176,12 +178,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_CHARS):
                 for doc, tokens in zip(ids[a:b], encoder(texts[a:b], end_id), strict=True):
                     packer.add(doc, tokens)
                 yield out()
         packer.finish()
         yield out()
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, SCHEMA)
 
