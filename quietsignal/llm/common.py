@@ -42,11 +42,11 @@ def crc_of_id_py(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``limit`` characters each; a longer row is a range of its own."""
+def slices(texts: list[str | int | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows (texts, or their lengths) with about ``limit`` characters each; a longer row is a range of its own."""
     start = size = 0
     for i, text in enumerate(texts):
-        n = len(text) if text else 0
+        n = text if isinstance(text, int) else len(text) if text else 0
         if size and size + n > limit:
             yield start, i
             start, size = i, 0
@@ -109,7 +109,9 @@ class WordHash:
 def release() -> None:
     """Give freed memory back to the system where the C library can; idle workers then hold little."""
     import ctypes
+    import gc
 
+    gc.collect()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsignal.llm.common import WORD_BYTES, alnum_words, slices, table
+from quietsignal.llm.common import WORD_BYTES, alnum_words, release, slices, table
 
 WIDTH = 10
 #: Characters of benchmark text that one pass searches for.
@@ -282,6 +282,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
                 if lengths:
                     columns[sizes] = pa.array(lengths, columns[sizes].type)
                 yield pa.record_batch(columns, batch.schema.names).filter(pa.array(stay, pa.bool_()))
+            release()
 
         docs = docs.mapInArrow(work, schema)
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quietsignal.llm.common import WordHash, mixed, partitions, shared_checkpoints, space_words, table
+from quietsignal.llm.common import WordHash, mixed, partitions, release, shared_checkpoints, space_words, table
 from quietsignal.llm.components import components
 
 N = 3
@@ -127,6 +127,7 @@ def sets_of(docs: DataFrame, signed: bool) -> DataFrame:
                     columns.append(pa.array([h.tobytes() for h in sets], pa.binary()))
                 columns += [batch.column(2 + k) for k in range(len(more))]
                 yield pa.record_batch(columns, ["doc_id", "n_shingles", *(("h1", "h2", "sigs") if signed else ("set",)), *more])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(work, schema)
 

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,9 +178,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts, SLICE_CHARS):
-                for doc, tokens in zip(ids[a:b], encoder(texts[a:b], end_id), strict=True):
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(pc.utf8_length(texts).to_pylist(), SLICE_CHARS):
+                for doc, tokens in zip(ids[a:b], encoder(texts[a:b].to_pylist(), end_id), strict=True):
                     packer.add(doc, tokens)
                 yield out()
         packer.finish()
