@@ -14,8 +14,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
-    return jaccard.one_of_each(docs)
+    """The first document of each group of near duplicates: five-word shingles alike by 0.8 or more."""
+    return jaccard.one_of_each(docs, jaccard.STAGE)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Jaccard join of word n-gram sets by T-occurrence search, and the groups of documents that it links.
 
-Two sets link if 100 * intersection >= 90 * union.  The join has three steps, each exact:
+Two sets link if of * intersection >= near * union, by a ``Rule`` of (words in a shingle, near, of): op9 takes three
+words and 9 / 10, stages on word shingles five words and 4 / 5.  The join has three steps, each exact:
 
 1. Documents with equal sets form a class; one of each class goes on.
-2. Candidates.  Linked sets of a and b shingles differ in at most (a + b) / 19.  Sizes are put into classes, and
-   for each pair of neighbouring classes the hash range is cut into one part more than its largest sets may
-   differ in: linked sets then agree on a whole part.  Each set sends a signature of each part; sets that share
+2. Candidates.  Linked sets of a and b shingles differ in at most (a + b) * (of - near) / (of + near).  Sizes are put into classes, and
+   for each pair of neighbouring classes the hash range is cut into more parts than its largest sets may
+   differ in: linked sets then agree on a whole part.  That
+   holds of any shingles left out on both sides too, so those frequent in a sample are left out of the parts.  Each set sends a signature of each part; sets that share
    one are hung on the smallest of them, a star and not all pairs, and connected components gather them.
 3. T-occurrence search within a gathered group.  A set's inverted lists are divided into long and short ones;
    short lists are merged and counted, what reaches T less the number of long lists is looked up in those by
@@ -16,7 +18,9 @@ Two sets link if 100 * intersection >= 90 * union.  The join has three steps, ea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,48 +31,65 @@ from pyspark.sql import functions as F
 from quietsignal.llm.common import WordHash, mixed, partitions, release, shared_checkpoints, space_words, table
 from quietsignal.llm.components import components
 
-N = 3
-#: The threshold as a fraction, NEAR / OF.
-NEAR, OF = 9, 10
+
+class Rule(NamedTuple):
+    """Words in a shingle, and the least similarity as a fraction, near / of, of 2 / 3 or more."""
+
+    n: int
+    near: int
+    of: int
+
+
+#: What op9's contract asks for, and what binds every other stage on word shingles.
+OP9, STAGE = Rule(3, 9, 10), Rule(5, 4, 5)
 BLOCK = 400
 #: Rows of (id, group) up to which they are broadcast to find the sets to verify, about 64 MB; above, they are joined.
 BROADCAST_ROWS = 2_000_000
+#: Sets in the sample (about), in how many of them a hash is frequent, and how many of the most frequent reach the driver.
+SAMPLE, OFTEN, MOST_FREQUENT = 5_000, 4, 200_000
 
 
-def least_overlap(a: np.ndarray | int, b: np.ndarray | int):
+def least_overlap(a: np.ndarray | int, b: np.ndarray | int, rule: Rule = OP9):
     """The smallest intersection with which sets of a and b elements link."""
-    return -(-NEAR * (a + b) // (NEAR + OF))
+    return -(-rule.near * (a + b) // (rule.near + rule.of))
 
 
-def classes(size: int) -> tuple[list[int], list[int]]:
+def classes(size: int, rule: Rule = OP9) -> tuple[list[int], list[int]]:
     """First and last size of each class up to the one that holds ``size``, and one more."""
-    low, high = [1], [OF // NEAR]
+    low, high = [1], [rule.of // rule.near]
     while high[-1] < size or len(high) < 2 or high[-2] < size:
         low.append(high[-1] + 1)
-        high.append(OF * low[-1] // NEAR)
+        high.append(rule.of * low[-1] // rule.near)
     return low, high
 
 
 class Sizes:
     """Number of parts by class, made longer as larger sets come."""
 
-    def __init__(self) -> None:
-        self.low, self.high = classes(1000)
+    def __init__(self, rule: Rule = OP9) -> None:
+        self.rule = rule
+        self.low, self.high = classes(1000, rule)
 
     def parts(self, size: int) -> list[tuple[int, int, int]]:
-        """(class, parts, most differences) of the two searches that a set of ``size`` takes part in."""
+        """(class, parts, most differences) of the two searches that a set of ``size`` takes part in.
+
+        Parts that are likely to be empty are made up for by further parts, so that a set seldom has no more
+        filled parts than it may differ in.
+        """
+        _, near, of = self.rule
         if len(self.high) < 2 or self.high[-2] < size:
-            self.low, self.high = classes(2 * size)
+            self.low, self.high = classes(2 * size, self.rule)
         c = int(np.searchsorted(self.high, size))
         out = []
         for g in (c, c - 1):
             if g >= 0:
-                most = (self.high[g] + self.high[g + 1]) * (OF - NEAR) // (NEAR + OF)
-                out.append((g, most + 1, most))
+                most = (self.high[g] + self.high[g + 1]) * (of - near) // (near + of)
+                more = int(3 * (most + 1) * math.exp(-self.low[g] / (most + 1)) + 0.9)
+                out.append((g, most + 1 + more, most))
         return out
 
 
-def shingle_hashes(words: np.ndarray, n: int = N) -> np.ndarray:
+def shingle_hashes(words: np.ndarray, n: int = OP9.n) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles; of fewer words, of the whole sequence."""
     if not len(words):
         return words
@@ -88,45 +109,57 @@ def digest(h: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def signatures(h: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """Signatures of the parts of a set; of empty parts only if these might be all that it shares with another."""
+def signatures(h: np.ndarray, sizes: Sizes, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of the parts of a set, of which the sorted ``frequent`` hashes are left out; of empty parts only if
+    these might be all that it shares with another."""
     found = []
-    for g, parts, most in sizes.parts(len(h)):
+    own = len(h) * (sizes.rule.of - sizes.rule.near) // sizes.rule.near  # what a set may differ in from any that it links with
+    searches = sizes.parts(len(h))
+    if frequent is not None and len(frequent):
+        h = h[frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] != h]
+    for g, parts, most in searches:
         if g == 0 or sizes.low[g] == sizes.high[g] and sizes.high[g + 1] == sizes.high[g] + 1 and most == 0:
             continue  # such small sets link only if they are equal
         part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         with np.errstate(over="ignore"):
-            starts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-            sums = np.add.reduceat(mixed(h ^ np.uint64(0x2545F4914F6CDD1D)), starts)
+            starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            sums = np.add.reduceat(mixed(h ^ np.uint64(0x2545F4914F6CDD1D)), starts) if len(h) else h
             names = part[starts] + np.uint64(g << 40)
             found.append(mixed(sums ^ mixed(names)))
-            if parts - len(starts) >= parts - most:
+            if len(starts) <= min(most, own):
                 empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[starts]) + np.uint64(g << 40)
                 found.append(mixed(np.uint64(0x6C62272E07BB0142) ^ mixed(empty)))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def sets_of(docs: DataFrame, signed: bool) -> DataFrame:
-    """doc_id, n_shingles, and either (h1, h2, sigs) or (set, bytes of the sorted hashes), with docs' further columns."""
+#: Columns that ``sets_of`` makes of a set, by what is asked for.
+FIELDS = {"name": {"h1": "long", "h2": "long"}, "hashes": {"hashes": "array<bigint>"}, "sigs": {"h1": "long", "h2": "long", "sigs": "array<bigint>"}, "set": {"set": "binary"}}
+
+
+def sets_of(docs: DataFrame, what: str, rule: Rule = OP9, frequent: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_shingles, and the set's digest, hashes, digest and signatures, or the bytes of its hashes, with docs' further columns."""
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)
-    schema = "doc_id long, n_shingles long, " + ("h1 long, h2 long, sigs array<bigint>" if signed else "set binary") + (f", {kinds}" if more else "")
+    kinds = FIELDS[what] | {c: docs.schema[c].dataType.simpleString() for c in more}
+    schema = ", ".join(["doc_id long", "n_shingles long", *(f"{c} {k}" for c, k in kinds.items())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, sizes = WordHash(), Sizes()
+        hashed, sizes = WordHash(), Sizes(rule)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole[at : at + 1000]
-                sets = [shingle_hashes(hashed(space_words(t))) for t in batch.column(1).to_pylist()]
+                sets = [shingle_hashes(hashed(space_words(t)), rule.n) for t in batch.column(1).to_pylist()]
                 columns = [batch.column(0), pa.array(map(len, sets), pa.int64())]
-                if signed:
+                if what in ("name", "sigs"):
                     names = [digest(h) for h in sets]
                     columns += [pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)]
-                    columns.append(pa.array([signatures(h, sizes).view(np.int64) for h in sets], pa.list_(pa.int64())))
-                else:
+                if what == "hashes":
+                    columns.append(pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())))
+                elif what == "sigs":
+                    columns.append(pa.array([signatures(h, sizes, frequent).view(np.int64) for h in sets], pa.list_(pa.int64())))
+                elif what == "set":
                     columns.append(pa.array([h.tobytes() for h in sets], pa.binary()))
                 columns += [batch.column(2 + k) for k in range(len(more))]
-                yield pa.record_batch(columns, ["doc_id", "n_shingles", *(("h1", "h2", "sigs") if signed else ("set",)), *more])
+                yield pa.record_batch(columns, ["doc_id", "n_shingles", *kinds])
         release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(work, schema)
@@ -160,7 +193,7 @@ class Forest:
         return others[top != self.root(i)]
 
 
-def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None, rule: Rule = OP9) -> list[tuple[int, int]]:
     """Links among ``sets`` that make up a forest with all links' components.  With ``side``, only across sides."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order])
@@ -178,13 +211,13 @@ def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None) ->
     forest = Forest(len(order))
     for q in range(1, len(order)):
         s = int(sizes[q])
-        floor = int(np.searchsorted(sizes, -(-NEAR * s // OF)))  # smaller sets cannot link with q
+        floor = int(np.searchsorted(sizes, -(-rule.near * s // rule.of)))  # smaller sets cannot link with q
         if floor >= q:
             continue
         own = codes[first[q] : first[q + 1]]
         lengths = begin[own + 1] - begin[own]
         own = own[np.argsort(lengths, kind="stable")]
-        least = -(-NEAR * s // OF)
+        least = -(-rule.near * s // rule.of)
         # With so many long lists that one short occurrence is asked for, merging costs least; probing is cut short below.
         long = max(0, least - 1)
         short, rest = own[: s - long], own[s - long :]
@@ -196,7 +229,7 @@ def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None) ->
         if sides is not None:
             across = sides[found] != sides[q]
             found, counts = found[across], counts[across]
-        keep = counts >= least_overlap(s, sizes[found]) - long
+        keep = counts >= least_overlap(s, sizes[found], rule) - long
         found, counts = found[keep], counts[keep]
         best = np.argsort(-counts, kind="stable")
         found, counts = found[best], counts[best]
@@ -206,7 +239,7 @@ def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None) ->
         while len(found := forest.apart(q, found)):
             some, found = found[:width], found[width:]
             total = known[some]
-            need = least_overlap(s, sizes[some])
+            need = least_overlap(s, sizes[some], rule)
             for k, c in enumerate(rest):
                 part = lists[begin[c] : begin[c + 1]]
                 at = np.searchsorted(part, some)
@@ -222,7 +255,7 @@ def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None) ->
     return [(order[i], order[j]) for i, j in forest.links]
 
 
-def verified(groups: DataFrame) -> DataFrame:
+def verified(groups: DataFrame, rule: Rule = OP9) -> DataFrame:
     """Links (a, b) among the rows (node, cluster, size of the cluster, set) of each cluster."""
     spark = groups.sparkSession
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -238,14 +271,23 @@ def verified(groups: DataFrame) -> DataFrame:
         for (_, i, j), part in rows.groupby(["cluster", "i", "j"]):
             nodes = part["node"].to_numpy()
             sets = [np.frombuffer(x, np.uint64) for x in part["set"]]
-            links = occurrence_search(sets, None if i == j else part["own"].to_numpy())
+            links = occurrence_search(sets, None if i == j else part["own"].to_numpy(), rule)
             out += [(nodes[a], nodes[b]) for a, b in links]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.withColumn("key", key).select("key", "cluster", "i", "j", "own", "node", "set").groupBy("key").applyInPandas(work, "a long, b long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def frequent_hashes(docs: DataFrame, one: DataFrame, n: int, rule: Rule = OP9) -> np.ndarray:
+    """Sorted hashes that are in OFTEN or more sets of a sample of the n nodes of ``one``.  A guess will do: results don't depend on it."""
+    some = one.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0).select(F.col("node").alias("doc_id")).distinct()
+    sample = sets_of(docs.select("doc_id", "text").join(F.broadcast(some) if n <= BROADCAST_ROWS else some, "doc_id", "left_semi"), "hashes", rule)
+    counts = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
+    rows = counts.orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
+
+
+def groups(docs: DataFrame, rule: Rule = OP9) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) of every row.
 
     Null and empty texts, and texts of white space, have an empty set and link with nothing, not even each
@@ -254,33 +296,40 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
-    signed = sets_of(docs.select("doc_id", "text"), signed=True).checkpoint()
-    filled = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    named = sets_of(docs.select("doc_id", "text"), "name", rule).checkpoint()
+    filled = named.where("n_shingles > 0 AND doc_id IS NOT NULL")
     name = ["h1", "h2", "n_shingles"]
-    one = filled.groupBy(name).agg(F.min("doc_id").alias("node"), F.first("sigs").alias("sigs"))
-    sent = one.select("node", F.explode("sigs").alias("sig"))
-    least = sent.groupBy("sig").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("sig", "u")
-    stars = sent.join(least, "sig").where("node > u").select(F.col("node").alias("a"), F.col("u").alias("b")).distinct()
+    one = filled.groupBy(name).agg(F.min("doc_id").alias("node")).checkpoint()
+    nodes = one.select(F.col("node").alias("doc_id"), F.col("h1").alias("own1"), F.col("h2").alias("own2"))
+    n = one.count()
+    if n <= BROADCAST_ROWS:
+        nodes = F.broadcast(nodes)
+    frequent = frequent_hashes(docs, one, n, rule)
+    # Texts are read again, so signatures, most of them of one set alone, are written once only: on their way to the sort.
+    # Of rows that share a doc_id, those send whose set the node stands for.
+    signed = sets_of(docs.select("doc_id", "text").join(nodes, "doc_id"), "sigs", rule, frequent).where("h1 = own1 AND h2 = own2")
+    sent = signed.select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"))
+    stars = sent.withColumn("u", F.min("node").over(Window.partitionBy("sig").orderBy("node"))).where("node > u").select(F.col("node").alias("a"), F.col("u").alias("b")).distinct()
     clusters = components(stars)
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", F.col("component").alias("cluster"), "size").checkpoint()
     chosen = sized.select(F.col("node").alias("doc_id"), "cluster", "size")
     if sized.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    found = sets_of(docs.select("doc_id", "text").join(chosen, "doc_id"), signed=False).where("n_shingles > 0").withColumnRenamed("doc_id", "node")
-    linked = components(verified(found))
-    label = filled.groupBy(name).agg(F.min("doc_id").alias("node")).join(linked, "node", "left").select(*name, F.coalesce("component", "node").alias("label"))
+    found = sets_of(docs.select("doc_id", "text").join(chosen, "doc_id"), "set", rule).where("n_shingles > 0").withColumnRenamed("doc_id", "node")
+    linked = components(verified(found, rule))
+    label = one.join(linked, "node", "left").select(*name, F.coalesce("component", "node").alias("label"))
     # Rows of one doc_id with different texts are one document: their labels meet in the smallest.
-    rows = signed.select("doc_id", *name).join(label, name, "left")
+    rows = named.select("doc_id", *name).join(label, name, "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("label")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = OP9) -> DataFrame:
     """``docs`` with the document of the smallest doc_id of each linked group, all columns kept.
 
     Rows with a null doc_id and documents with an empty set stay.  Of rows that share a doc_id the one with the
     smallest text stays.
     """
-    found = groups(docs)
+    found = groups(docs, rule)
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n")).checkpoint()
     gone = ids.where("doc_id <> c").select(F.col("doc_id").alias("__gone"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
@@ -293,7 +342,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def op9_divide_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents"))
+    return groups(table(spark, sf_dir, "documents"), OP9)
 
 
 #: All pairs that share a shingle, then reachability; for small tables.

@@ -428,6 +428,55 @@ def test_no_linked_pair_goes_without_a_shared_signature():
             assert len(np.intersect1d(jaccard.signatures(a, sizes), jaccard.signatures(b, sizes)))
 
 
+def plain_groups(texts, n, near, of):
+    sets = {}
+    for i, t in texts:
+        w = (t or "").lower().encode("utf-8", "surrogatepass").split()
+        sets[i] = {tuple(w[k : k + n]) for k in range(max(len(w) - n + 1, min(len(w), 1)))}
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and (o := len(sets[a] & sets[b])) and of * o >= near * len(sets[a] | sets[b])]
+    while changed := [(a, b) for a, b in links if least[a] != least[b]]:
+        for a, b in changed:
+            least[a] = least[b] = min(least[a], least[b])
+    return {i: (len(sets[i]), least[i]) for i in sets}
+
+
+@pytest.mark.parametrize("block", [400, 5])
+def test_groups_of_the_stage_against_plain_join(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    texts = near_copies(block) + [(i + 1000, t) for i, t in near_copies(1)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.groups(documents(spark, texts), jaccard.STAGE).collect()}
+    plain = plain_groups(texts, 5, 4, 5)
+    assert got == plain
+    assert any(c != i for i, (_, c) in plain.items())
+
+
+def test_the_pipeline_drops_copies_alike_by_08_on_five_words(spark):
+    import corpus_pipeline
+
+    base = [f"v{i}" for i in range(104)]
+    near = base[:50] + ["other"] + base[51:]  # 95 of 105 shingles of five words, 99 of 105 of three
+    edited = [w + "x" * (i in (30, 70)) for i, w in enumerate(base)]  # 90 of 110 (0.82), and 96 of 108 (0.89)
+    far = [w + "y" * (i in (20, 50, 80)) for i, w in enumerate(base)]  # 85 of 115 (0.74)
+    docs = documents(spark, [(i, " ".join(w)) for i, w in enumerate([base, near, edited, far], 1)])
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()} == {1, 4}
+
+
+def test_no_pair_linked_by_the_stage_goes_without_a_shared_signature():
+    rng = np.random.default_rng(2)
+    sizes, linked = jaccard.Sizes(jaccard.STAGE), 0
+    fresh = lambda n: jaccard.mixed(rng.integers(0, 1 << 60, int(n)).astype(np.uint64))
+    for _ in range(3000):
+        a = np.unique(fresh(rng.integers(1, 130)))
+        b = a[rng.permutation(len(a))[int(rng.integers(0, len(a) // 5 + 1)) :]]
+        b = np.unique(np.concatenate([b, fresh(rng.integers(0, len(a) // 5 + 1))]))
+        o = len(np.intersect1d(a, b))
+        if 5 * o >= 4 * (len(a) + len(b) - o) and not np.array_equal(a, b):
+            linked += 1
+            assert len(np.intersect1d(jaccard.signatures(a, sizes), jaccard.signatures(b, sizes)))
+    assert linked > 1000
+
+
 # 10 licenses
 
 
