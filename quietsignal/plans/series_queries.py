@@ -187,7 +187,7 @@ SELECT user_id, list_sum(h)::DOUBLE AS matches, round(1 - list_sum(h) / len(h)::
        list_sum(list_transform(string_split(array_to_string(h, ''), '0'), lambda x: length(x) * (length(x) + 1) / 2))::DOUBLE AS adjacency FROM h""")
 def sequence_match(t):
     s = series.collected(t("events").select("user_id", "event_id", "event_type"), ["user_id"], "event_type", *AT)
-    a, b = F.slice("sequence", 1, 20), F.slice("sequence", 2, 20)
+    a, b = F.slice("sequence", F.lit(1), F.size("sequence") - 1), F.slice("sequence", F.lit(2), F.size("sequence") - 1)
     return s.select("user_id", series.sequence_match(a, b).alias("matches"), round_to(series.sequence_match(a, b, distance=True)).alias("distance"), series.sequence_match(a, b, "longest").alias("longest"), series.sequence_match(a, b, "adjacency").alias("adjacency"))
 
 

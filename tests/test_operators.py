@@ -143,6 +143,27 @@ def test_sequence_matcher(spark):
     assert (r["count"], r["adjacency"], r["longest"]) == (4, 7, 3) and r["d"] == pytest.approx(0.2)
 
 
+def test_sequence_match_compares_whole_sequences(spark):
+    from quietsignal.plans.catalogue import QUERIES
+
+    sequences = {}
+    for r in sorted(spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "event_id", "event_type").collect(), key=lambda r: r["event_id"]):
+        sequences.setdefault(r["user_id"], []).append(r["event_type"])
+    assert max(map(len, sequences.values())) > 21
+    expected = {}
+    for user, s in sequences.items():
+        runs = [len(x) for x in "".join("01"[x == y] for x, y in zip(s, s[1:])).split("0")]
+        same = sum(runs)
+        expected[user] = (same, 1 - same / (len(s) - 1) if len(s) > 1 else None, max(runs), sum(n * (n + 1) / 2 for n in runs))
+    got = {r["user_id"]: r for r in QUERIES["sequence_match"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == set(expected)
+    for user, (same, distance, longest, adjacency) in expected.items():
+        r = got[user]
+        assert (r["matches"], r["longest"], r["adjacency"]) == (same, longest, adjacency)
+        assert r["distance"] == (distance if distance is None else pytest.approx(distance, abs=6e-5))
+
+
+
 def test_markov_marks_unknown_keys_and_short_series(spark):
     rows = spark.createDataFrame([("a", i, "xy"[i % 2]) for i in range(8)] + [("b", 0, "x")], "k string, i long, s string")
     model = series.transition_model(rows.where("k = 'a'"), ["k"], "s", "i", "i", ["x", "y"])
