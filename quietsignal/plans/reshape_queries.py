@@ -31,7 +31,7 @@ def filter_expression(t):
 
 @query("numeric_sorter", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 def numeric_sorter(t):
-    return reshape.sorted_by(t("orders"), "o_totalprice", "o_orderkey", descending=True, limit=100).select("o_orderkey", "o_totalprice")
+    return reshape.sorted_by(t("orders"), "o_totalprice", "o_orderkey", descending=True).select("o_orderkey", "o_totalprice")
 
 
 @query("word_count", "SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z]+'), lambda w: w <> '')) AS word FROM part) GROUP BY 1")

@@ -163,6 +163,16 @@ def test_sequence_match_compares_whole_sequences(spark):
         assert r["distance"] == (distance if distance is None else pytest.approx(distance, abs=6e-5))
 
 
+def test_numeric_sorter_keeps_all_orders(spark):
+    from quietsignal.plans.catalogue import QUERIES
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_totalprice").collect()
+    assert len(orders) > 100
+    got = [tuple(r) for r in QUERIES["numeric_sorter"](spark, "/root/testdata/sf0.001").collect()]
+    assert got == sorted(map(tuple, orders), key=lambda r: (-r[1], r[0]))
+
+
+
 
 def test_markov_marks_unknown_keys_and_short_series(spark):
     rows = spark.createDataFrame([("a", i, "xy"[i % 2]) for i in range(8)] + [("b", 0, "x")], "k string, i long, s string")
