@@ -1,13 +1,13 @@
 """Benchmark decontamination with an FM-index for each shard of the documents.
 
 Benchmark texts become windows of ``width`` consecutive words (a shorter text is one window).  A shard is a
-slice of a task's documents.  Words that no window has are replaced by a separator, and so are stretches too
-short for any window: what is left is the text that can match at all.  Over it stands an FM-index: suffix
-array by prefix doubling, Burrows-Wheeler transform in a wavelet matrix, suffix positions sampled.  All windows
-of one length are searched backward at once; occurrences are located by walking to the next sampled position,
-and the words they cover are merged into spans to remove.
+slice of a task's documents; all its words are indexed, whether a window has them or not, each document ended by
+a separator: suffix array by prefix doubling, Burrows-Wheeler transform in a wavelet matrix, suffix positions
+sampled.  All windows of one length are searched backward at once; occurrences are located by walking to the next
+sampled position, and the words they cover are merged into spans to remove.
 
-The benchmark is sent to the tasks in blocks of a bounded number of characters; each block is one pass.
+The benchmark is sent to the tasks in blocks of a bounded number of characters; each block is one pass.  What
+several blocks find in a text is brought together by a 128-bit hash of the text, on which alone it depends.
 """
 
 from __future__ import annotations
@@ -15,18 +15,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from quietsignal.llm.arrays import let, running, upto
 from quietsignal.llm.common import WORD_BYTES, alnum_words, release, slices, table
 
 WIDTH = 10
 #: Characters of benchmark text that one pass searches for.
 BLOCK_CHARS = 16_000_000
 SAMPLE_EVERY = 16
+#: Words of a shard, and words besides the benchmark's whose numbers a task keeps.
+SHARD_WORDS, MOST_WORDS = 1 << 20, 400_000
 
 
 class WaveletMatrix:
@@ -35,10 +40,12 @@ class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, levels: int):
         self.levels, self.ones, self.zeros = levels, [], []
         for level in range(levels - 1, -1, -1):
-            bit = (symbols >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int64))
-            self.zeros.append(int(len(bit) - self.ones[-1][-1]))
-            symbols = np.concatenate([symbols[bit == 0], symbols[bit == 1]])
+            bit = (symbols >> level) & 1 == 1
+            ones = np.zeros(len(bit) + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
+            self.ones.append(ones)
+            self.zeros.append(int(len(bit) - ones[-1]))
+            symbols = np.concatenate([symbols[~bit], symbols[bit]])
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each position."""
@@ -58,37 +65,55 @@ class WaveletMatrix:
         return symbol, at - first
 
 
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes of ``text`` (numbers below 2 ** 21, and so is their count) in order; each stretch ends with a 0, and
+    zeros differ from each other, so no comparison reaches beyond one.
+
+    Prefix doubling over sorted 64-bit keys: (rank, rank behind, place).  Only suffixes that still share their
+    rank are sorted again.
+    """
+    n = len(text)
+    gaps = text == 0
+    bits = np.uint64(max(1, int(n).bit_length()))
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    first = np.where(gaps, np.cumsum(gaps) - 1, np.count_nonzero(gaps) + text - 1).astype(np.uint64)
+    after = np.append(first[1:], np.uint64(0))
+    wide = np.uint64(max(1, int(first.max()).bit_length()) if n else 1)
+    keys = np.sort((((first << wide) | after) << bits) | np.arange(n, dtype=np.uint64))
+    order = (keys & low).astype(np.int64)
+    slots, step = np.arange(n), 2
+    rank = np.zeros(n, np.uint64)
+    keys >>= bits
+    while n:
+        new = np.empty(len(keys), bool)
+        new[:1] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        at = slots[np.flatnonzero(new)]  # where each run of equal keys begins
+        rank[order[slots]] = np.repeat(at, np.diff(np.append(np.flatnonzero(new), len(keys)))).astype(np.uint64)
+        single = new.copy()
+        single[:-1] &= new[1:]
+        slots = slots[~single]
+        if not len(slots):
+            return order
+        own = order[slots]
+        keys = np.sort((((rank[own] << bits) | rank[own + step]) << bits) | np.arange(len(own), dtype=np.uint64))
+        order[slots] = own[(keys & low).astype(np.int64)]
+        keys >>= bits
+        step *= 2
+    return order
+
+
 class FMIndex:
     """``text``: symbols from 1, each stretch ended by a separator 0.  Suffixes end at their separator."""
 
     def __init__(self, text: np.ndarray):
-        n = len(text)
-        gaps = text == 0
-        separators = int(gaps.sum())
-        suffixes, _ = self._sorted(np.where(gaps, np.cumsum(gaps) - 1, separators + text))
+        suffixes = suffix_array(text)
         before = text[suffixes - 1]
-        self.n = n
-        self.tree = WaveletMatrix(before, max(1, int(text.max()).bit_length()) if n else 1)
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text))])  # rows that start with a smaller symbol
+        self.n = len(text)
+        self.tree = WaveletMatrix(before, max(1, int(text.max()).bit_length()) if self.n else 1)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1))])  # rows that start with a smaller symbol
         self.sampled = (suffixes % SAMPLE_EVERY == 0) | (before == 0)
-        self.place = np.where(self.sampled, suffixes, -1)
-
-    @staticmethod
-    def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rank = np.unique(keys, return_inverse=True)[1].astype(np.int64)
-        n, k = len(keys), 1
-        while True:
-            order = np.argsort(rank, kind="stable")
-            if not n or rank[order[-1]] == n - 1:
-                return order, rank
-            after = np.zeros(n, np.int64)
-            after[: n - k] = rank[k:] + 1
-            both = rank * (n + 1) + after
-            order = np.argsort(both, kind="stable")
-            ranked = both[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-            k *= 2
+        self.place = np.where(self.sampled, suffixes, -1).astype(np.int32)
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each phrase (a row of symbols, 0: not in this text) and the place of each of its occurrences."""
@@ -123,7 +148,7 @@ class Phrases:
 
     numbers: dict[bytes, int] = field(default_factory=dict)
     windows: dict[int, tuple[np.ndarray, list[list]]] = field(default_factory=dict)
-    usable: dict[int, np.ndarray] = field(default_factory=dict)
+    vocabulary: dict[bytes, int] = field(default_factory=dict)  # numbers of these and of the documents' other words
 
     @classmethod
     def of(cls, items: list[tuple], width: int = WIDTH) -> Phrases:
@@ -137,46 +162,50 @@ class Phrases:
         out = cls(numbers)
         for m, own in found.items():
             out.windows[m] = np.array(list(own), np.int64).reshape(-1, m), [sorted(x for x in v if x is not None) for v in own.values()]
-            out.usable[m] = np.zeros(len(numbers) + 1, bool)
-            out.usable[m][out.windows[m][0].ravel()] = True
+        return out
+
+    def numbered(self, text: str | None) -> list[int]:
+        """Numbers of a text's words; words of no window get further ones."""
+        known = self.vocabulary
+        words = alnum_words(text)
+        out = list(map(known.get, words))
+        if None in out:
+            for i, v in enumerate(out):
+                if v is None:
+                    out[i] = known.setdefault(words[i], len(known) + 1)
         return out
 
     def search(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set]]:
         """For each text: its number of words, merged spans of hit words (end exclusive), items found."""
-        get = self.numbers.get
-        split = [[get(w, 0) for w in alnum_words(t)] for t in texts]
+        if not self.vocabulary or len(self.vocabulary) > len(self.numbers) + MOST_WORDS:
+            self.vocabulary = dict(self.numbers)
+        split = [np.array(self.numbered(t), np.int64) for t in texts]
         sizes = np.array([len(x) for x in split], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])
         flat = np.zeros(starts[-1], np.int64)
         for x, at in zip(split, starts, strict=False):
             flat[at : at + len(x)] = x
+        del split
         out = [(int(n), [], set()) for n in sizes]
-        keep = np.zeros(len(flat), bool)
-        for m, usable in self.usable.items():
-            edge = np.diff(np.concatenate([[0], usable[flat].view(np.int8), [0]]))
-            begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            long = end - begin >= m
-            mark = np.zeros(len(flat) + 1, np.int32)
-            mark[begin[long]] += 1
-            mark[end[long]] -= 1
-            keep |= np.cumsum(mark)[:-1] > 0
-        if not keep.any():
-            return out
-        place = np.flatnonzero(keep | np.concatenate([[False], keep[:-1]]))  # kept words, and a separator after each stretch
-        symbols = np.where(keep[place], flat[place], 0)
-        present = np.unique(symbols[symbols > 0])
-        dense = np.zeros(len(self.numbers) + 1, np.int64)
-        dense[present] = np.arange(1, len(present) + 1)
-        index = FMIndex(dense[symbols])
         cover = np.zeros(len(flat) + 1, np.int64)
-        for m, (windows, items) in self.windows.items():
-            which, at = index.search(dense[windows])
-            at = place[at]
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + m, -1)
-            docs = np.searchsorted(starts, at, side="right") - 1
-            for doc, w in np.unique(np.stack([docs, which], 1), axis=0).tolist():
-                out[doc][2].update(items[w])
+        longest = max(self.windows, default=1)
+        for begin in range(0, len(flat) if self.windows else 0, SHARD_WORDS):
+            shard = flat[begin : begin + SHARD_WORDS + longest]  # so no window is lost where a shard ends
+            if shard[-1]:
+                shard = np.append(shard, 0)
+            present = np.zeros(len(self.vocabulary) + 1, bool)
+            present[shard] = True
+            present[0] = False
+            dense = np.where(present, np.cumsum(present), 0)
+            index = FMIndex(dense[shard])
+            for m, (windows, items) in self.windows.items():
+                which, at = index.search(dense[windows])
+                at = at + begin
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + m, -1)
+                docs = np.searchsorted(starts, at, side="right") - 1
+                for doc, w in np.unique(np.stack([docs, which], 1), axis=0).tolist():
+                    out[doc][2].update(items[w])
         edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).view(np.int8)]))
         for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
             doc = int(np.searchsorted(starts, a, side="right") - 1)
@@ -193,53 +222,6 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tupl
         yield [(r[0], r[1]) for r in own.where(F.pmod(F.xxhash64("text"), F.lit(count)) == k).collect()]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, spans (array of hit words' start and end, merged), items (sorted array) of every row.
-
-    Null and empty texts have no words; items without words, or with a null text, have no window; a null item_id
-    hits words but is not listed.  Items of equal id count once.  Rows stay as they are, repeated ones too.
-    With an empty benchmark nothing is hit.  Other columns are not read.
-    """
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"row long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<{kind}>"
-
-    def one(items: list[tuple]) -> DataFrame:
-        phrases = Phrases.of(items, width)
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(2).to_pylist()
-                for a, b in slices(texts):
-                    found = phrases.search(texts[a:b])
-                    yield pa.record_batch(
-                        [
-                            batch.column(0)[a:b], batch.column(1)[a:b], pa.array([f[0] for f in found], pa.int64()),
-                            pa.array([[{"start": x, "end": y} for x, y in f[1]] for f in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                            pa.array([sorted(f[2]) for f in found], pa.list_(pa.string() if kind == "string" else pa.int64())),
-                        ],
-                        ["row", "doc_id", "n_words", "spans", "items"],
-                    )
-
-        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-        return rows.mapInArrow(work, schema)
-
-    parts = [one(items) for items in blocks(benchmark)]
-    if len(parts) == 1:
-        return parts[0].drop("row")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    own = every.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")))
-    last = lambda a: F.element_at(a, -1)
-    joined = F.aggregate(
-        "spans",
-        start,
-        lambda a, s: F.when(s["start"] <= last(a)["end"], F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(s))),
-    )
-    return own.withColumn("spans", F.filter(joined, lambda s: s["end"] > s["start"])).drop("row")
-
-
 _WORD = re.compile(rb"[^ ]+")
 
 
@@ -254,38 +236,109 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
+def found_in(docs: DataFrame, items: list[tuple], kind: str, width: int, names: tuple[str, str, str], cut: bool = False, sparse: bool = False) -> DataFrame:
+    """``docs`` with the number of words, the merged spans of hit words, and the items of one block.
+
+    With ``cut``, the spans are cut out of the text (and texts of which nothing is left go); with ``sparse``,
+    rows without a hit are left out.
+    """
+    phrases = Phrases.of(items, width)
+    more = ["bigint", "array<struct<start:bigint,end:bigint>>", f"array<{kind}>"]
+    schema = docs.schema.names
+    text, sizes = schema.index("text"), schema.index("n_chars") if "n_chars" in schema else None
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kinds = pa.int64(), span, pa.list_(pa.string() if kind == "string" else pa.int64())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            for a, b in slices(texts):
+                found = phrases.search(texts[a:b])
+                columns = [c.slice(a, b - a) for c in batch.columns]
+                stay = [bool(f[1]) for f in found] if sparse else [True] * len(found)
+                if cut:
+                    own = [without(t, f[1]) if f[1] else t for t, f in zip(texts[a:b], found, strict=True)]
+                    stay = [not f[1] or sum(y - x for x, y in f[1]) < f[0] for f in found]
+                    columns[text] = pa.array(own, columns[text].type)
+                    if sizes is not None:
+                        columns[sizes] = pa.array([len(t) if f[1] else n for t, f, n in zip(own, found, columns[sizes].to_pylist(), strict=True)], columns[sizes].type)
+                else:
+                    values = [f[0] for f in found], [[{"start": x, "end": y} for x, y in f[1]] for f in found], [sorted(f[2]) for f in found]
+                    columns += [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+                yield pa.record_batch(columns, schema if cut else [*schema, *names]).filter(pa.array(stay, pa.bool_()))
+        release()
+
+    if cut:
+        return docs.mapInArrow(work, docs.schema)
+    added = StructType.fromDDL(", ".join(f"{n} {k}" for n, k in zip(names, more, strict=True)))
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, *added.fields]))
+
+
+def merged(spans: Column) -> Column:
+    """Spans sorted by start, those that meet or overlap as one."""
+
+    def of(before: Column) -> Column:  # the greatest end of the spans before each
+        heads = F.filter(upto(F.size(spans)), lambda i: (i == 0) | (F.get(spans, i)["start"] > F.get(before, i)))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return let(heads, lambda h: F.transform(h, lambda i, k: F.struct(F.get(spans, i)["start"].alias("start"), F.coalesce(F.get(before, F.get(h, k + 1)), last).alias("end"))))
+
+    return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), of)
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, width: int, names: tuple[str, str, str]) -> DataFrame:
+    """``docs`` with three more columns: number of words, merged spans of hit words in the text as it is, sorted items."""
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    parts = list(blocks(benchmark))
+    if len(parts) == 1:
+        return found_in(docs, parts[0], kind, width, names)
+    k1, k2 = (F.xxhash64(*seed, F.coalesce("text", F.lit(""))) for seed in ((), (F.lit(7),)))
+    texts = docs.select("text", k1.alias("__k1"), k2.alias("__k2"))
+    key = ["__k1", "__k2"]
+    each = [found_in(texts, items, kind, width, ("__n", "__spans", "__items"), sparse=True).select(*key, "__spans", "__items") for items in parts[1:]]
+    rest = reduce(DataFrame.unionByName, each).groupBy(key).agg(F.array_sort(F.flatten(F.collect_set("__spans"))).alias("__spans"), F.flatten(F.collect_set("__items")).alias("__items"))
+    every = found_in(docs.withColumn("__k1", k1).withColumn("__k2", k2), parts[0], kind, width, names).join(rest, key, "left").drop(*key)
+    both = F.when(F.col("__spans").isNull(), F.col(names[1])).otherwise(let(F.array_sort(F.concat(names[1], "__spans")), merged))
+    all_items = F.when(F.col("__items").isNull(), F.col(names[2])).otherwise(F.array_sort(F.array_distinct(F.concat(names[2], "__items"))))
+    return every.withColumn(names[1], both).withColumn(names[2], all_items).drop("__spans", "__items")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_words, spans (array of hit words' start and end, merged), items (sorted array) of every row.
+
+    Null and empty texts have no words; items without words, or with a null text, have no window; a null item_id
+    hits words but is not listed.  Items of equal id count once.  Rows stay as they are, repeated ones too.
+    With an empty benchmark nothing is hit.  Other columns are not read.
+    """
+    return with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, width, ("n_words", "spans", "items")).drop("text")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without the benchmark's windows: hit words are cut out of ``text`` and ``n_chars`` follows.
 
-    A document of which no word is left goes; one without any hit stays as it is.  All columns stay.
+    All windows are searched in the texts as they are, whatever number of blocks the benchmark has.  A document
+    of which no word is left goes; one without any hit, or with a null or empty text, stays as it is.  Repeated
+    rows stay; all columns stay.
     """
+    parts = blocks(benchmark)
+    first = next(parts)
+    if next(parts, None) is None:
+        return found_in(docs, first, benchmark.schema["item_id"].dataType.simpleString(), width, ("", "", ""), cut=True)
+    found = with_hits(docs, benchmark, width, ("__n", "__hit", "__found")).drop("__found")
     schema = docs.schema
-    at = schema.names.index("text")
-    sizes = schema.names.index("n_chars") if "n_chars" in schema.names else None
-    for items in blocks(benchmark):
-        phrases = Phrases.of(items, width)
-
-        def work(batches: Iterator[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(at).to_pylist()
-                lengths = batch.column(sizes).to_pylist() if sizes is not None else []
-                stay = [True] * len(texts)
-                for a, b in slices(texts):
-                    for i, (n, spans, _) in enumerate(phrases.search(texts[a:b]), a):
-                        if spans:
-                            stay[i] = sum(y - x for x, y in spans) < n
-                            texts[i] = without(texts[i], spans)
-                            if lengths:
-                                lengths[i] = len(texts[i])
-                columns = list(batch.columns)
-                columns[at] = pa.array(texts, columns[at].type)
-                if lengths:
-                    columns[sizes] = pa.array(lengths, columns[sizes].type)
-                yield pa.record_batch(columns, batch.schema.names).filter(pa.array(stay, pa.bool_()))
-            release()
-
-        docs = docs.mapInArrow(work, schema)
-    return docs
+    text, sizes = schema.names.index("text"), schema.names.index("n_chars") if "n_chars" in schema.names else None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, words, hit = batch.columns
+            spans = [[(s["start"], s["end"]) for s in x] for x in hit.to_pylist()]
+            own = [without(t, x) if x else t for t, x in zip(columns[text].to_pylist(), spans, strict=True)]
+            columns[text] = pa.array(own, columns[text].type)
+            if sizes is not None:
+                columns[sizes] = pa.array([len(t) if x else n for t, x, n in zip(own, spans, columns[sizes].to_pylist(), strict=True)], columns[sizes].type)
+            stay = [not x or sum(b - a for a, b in x) < n for x, n in zip(spans, words.to_pylist(), strict=True)]
+            yield pa.record_batch(columns, schema.names).filter(pa.array(stay, pa.bool_()))
+
+    return found.mapInArrow(work, schema)
 
 
 def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

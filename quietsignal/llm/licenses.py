@@ -19,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietsignal.llm.arrays import let
 from quietsignal.llm.common import table
-from quietsignal.llm.winnow import let
+
 
 WORDS, SPAN, STRIDE, BANDS, CONTAINED = 5, 8, 4, 6, 0.8
 #: XOR with one of these is the permutation of a band.

@@ -1,21 +1,24 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions alone.
 
 Seeds are entities that a strict pattern and a check confirm (e-mail and IP addresses, card and phone numbers).
-The two words before an entity are its lexical pattern.  Looser candidates of each kind are collected with
-their patterns too.  Patterns and instances then score each other in turn: a pattern is worth the mean worth of
-its distinct instances (seeds are worth 1), an instance the chance that one of its patterns is right.  Candidates
-behind a pattern that enough distinct seeds support and whose worth is high are identifiers not seen before.
+Looser candidates of each kind are collected too.  The words around an entity are its lexical patterns: two words
+on its left, two on its right, one on either side, and, as back-off, the one word on its left; digits in them count
+as 0.  Patterns and instances (distinct values of a kind) form a graph.  It is scored in rounds: a pattern is
+worth the share of its instances that are known; the candidates behind a pattern of enough known instances
+and enough worth become known themselves, and so induce patterns where they stand elsewhere.  The known only grow,
+and the rounds end when one adds nothing.  Candidates behind a pattern that is trusted then are added spans.
+
+Spans depend on nothing but the text and the patterns, so rows are matched by a 128-bit hash of their text: no
+row numbers, which a second reading of a shuffled input would give to other rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quietsignal.llm.arrays import below, chunks, let, root, running, upto
 from quietsignal.llm.common import shared_checkpoints, table
-from quietsignal.llm.winnow import let
 
 KINDS = ("email", "ip", "card", "phone")
 #: Strict patterns.  Possessive quantifiers and the look-behinds change no match; they keep scans linear.
@@ -32,13 +35,16 @@ LOOSE = {
     "card": r"(?<![0-9A-Za-z+.-])[0-9](?:[\x20-]?[0-9]){11,18}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,11}(?![0-9A-Za-z])",
 }
-#: What a text must contain for the strict and the loose pattern to be worth a scan.
-GATES = {"email": ("@", r"at[\])]"), "ip": (".", r"[0-9A-Fa-f]:[0-9A-Fa-f]"), "card": (None, r"[0-9]{2}"), "phone": ("+", r"[0-9]{2}")}
+#: What any text with a match of the strict and of the loose pattern contains.
+GATES = {"email": ("@", r"at[\])]"), "ip": (".", r"[0-9A-Fa-f]:[0-9A-Fa-f]"), "card": (None, r"[0-9][\x20-]?[0-9]"), "phone": ("+", r"[0-9][\x20().-]{0,2}[0-9]")}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: Patterns by form: l2, two words on the left; r2, two on the right; lr, one on either side; l1, one on the left.
+#: With each form, the distinct known instances that it needs, and the share of known ones among all.
+FORMS = {"l2": (3, 0.8), "r2": (3, 0.8), "lr": (3, 0.8), "l1": (20, 0.9)}
 CONTEXT_CHARS = 80
-#: Spans up to which they are broadcast to the texts they mask, about 30 MB; above, they are joined.
-BROADCAST_SPANS = 1_000_000
-SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string,left:string>>"
+#: Rows up to which spans and patterns are broadcast, about 30 MB; above, they are joined.
+BROADCAST_ROWS = 1_000_000
+SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -52,74 +58,129 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), weigh) % 10 == 0
 
 
-def confirmed(kind: str, value: Column) -> Column:
-    if kind == "ip":
-        return value.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")
-    if kind == "card":
-        digits = F.translate(value, " -", "")
-        return F.length(digits).between(12, 19) & luhn(F.when(F.length(digits).between(12, 19), digits).otherwise("0"))
-    if kind == "phone":
-        return F.length(F.translate(value, "+ ().-", "")).between(9, 15)
-    return F.lit(True)
+def confirmed(kind: Column, value: Column) -> Column:
+    """Whether a match of a strict pattern passes the check of its kind (a place in KINDS)."""
+    digits = F.translate(value, " -", "")
+    card = F.length(digits).between(12, 19) & luhn(F.when(F.length(digits).between(12, 19), digits).otherwise("0"))
+    phone = F.length(F.translate(value, "+ ().-", "")).between(9, 15)
+    return F.when(kind == 1, value.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$")).when(kind == 2, card).when(kind == 3, phone).otherwise(True)
+
+
+def words(gap: Column, left: bool) -> Column:
+    """The two words of a gap that are nearest to the match on its right (``left``) or on its left."""
+    near = F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS) if left else F.substring(gap, 1, CONTEXT_CHARS)
+    every = F.array_remove(F.split(F.regexp_replace(F.lower(near), "[0-9]", "0"), r"\s+"), "")
+    return let(every, lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)) if left else F.lit(1), F.lit(2)), " "))
+
+
+def scanned(text: Column, kind: int, sure: bool, regex: str, gate: Column) -> Column:
+    """Leftmost non-overlapping matches of a pattern, and the gaps between them."""
+    return let(F.when(gate, F.regexp_extract_all(text, F.lit(regex), F.lit(0))), lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("sure"), m.alias("m"), F.when(F.size(m) > 0, F.split(text, regex, -1)).alias("g")))
+
+
+def places(scan: Column) -> Column:
+    """Code point spans, values and contexts of a scan's matches; of strict patterns only confirmed ones.
+
+    The gaps between matches give the places by a running sum of lengths; contexts are read from the gaps too.
+    """
+    lengths = F.transform(scan["m"], lambda x, i: (F.length(x) + F.length(F.get(scan["g"], i))).cast("long"))
+    chosen = F.filter(upto(F.size(scan["m"])), lambda i: ~scan["sure"] | confirmed(scan["kind"], F.get(scan["m"], i)))
+
+    def one(i: Column, at: Column) -> Column:
+        value, before, after = F.get(scan["m"], i), F.get(scan["g"], i), F.get(scan["g"], i + 1)
+        start = F.get(at, i) + F.length(before)
+        return F.struct(start.alias("start"), scan["kind"].alias("kind"), (start + F.length(value)).alias("end"), value.alias("value"), words(before, True).alias("left"), words(after, False).alias("right"))
+
+    return let(running(lengths, lambda a, x: a + x), lambda at: F.transform(chosen, lambda i: one(i, at)))
+
+
+def untouched(loose: Column, strict: Column) -> Column:
+    """Those of ``loose`` that overlap none of ``strict``, which is sorted by start."""
 
+    def against(starts: Column, ends: Column) -> Column:
+        def free(s: Column) -> Column:
+            n = below(starts, s["end"])
+            return F.coalesce(F.get(ends, n) <= s["start"], F.lit(True))
 
-def left_words(gap: Column) -> Column:
-    """The last two words of what stands between the match before and this one, lower-cased, digits as 0."""
-    tail = F.lower(F.substring(gap, -CONTEXT_CHARS, CONTEXT_CHARS))
-    words = F.array_remove(F.split(F.regexp_replace(tail, "[0-9]", "0"), r"\s+"), "")
-    return F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), " ")
+        return F.filter(loose, free)
 
+    # ends: the greatest end of the first n strict spans.
+    greatest = let(F.transform(strict, lambda s: s["end"]), lambda e: F.concat(running(e, F.greatest), F.array(F.array_max(e))))
+    checked = let(F.transform(strict, lambda s: s["start"]), lambda starts: let(greatest, lambda ends: against(starts, ends)))
+    return F.when((F.size(loose) == 0) | (F.size(strict) == 0), loose).otherwise(checked)
 
-def matches(text: Column, kind: str, regex: str, gate: Column) -> Column:
-    """Leftmost non-overlapping matches with code point spans: the pieces between them give the places."""
-    none = F.expr(f"CAST(array() AS {SPAN})")
-    hits = F.when(gate, F.regexp_extract_all(text, F.lit(regex), F.lit(0)))
 
-    def place(m: Column, g: Column) -> Column:
-        def step(a: Column, i: Column) -> Column:
-            start = a["at"] + F.length(F.get(g, i))
-            end = start + F.length(F.get(m, i))
-            one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), F.get(m, i).alias("value"), left_words(F.get(g, i)).alias("left"))
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(one)).alias("out"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with k1 and k2, 128 bits of the text; null counts as empty."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn("__k1", F.xxhash64(text)).withColumn("__k2", F.xxhash64(F.lit(7), text))
 
-        begin = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), begin, step, lambda a: a["out"])
 
-    return let(hits, lambda m: F.when(F.size(F.coalesce(m, F.array().cast("array<string>"))) == 0, none).otherwise(let(F.split(text, regex, -1), lambda g: place(m, g))))
+KEY = ["__k1", "__k2"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """row, doc_id, strict and loose spans of every document; loose ones that touch a strict one are left out."""
+    """The text's key, doc_id, strict and loose spans of every row; loose ones that touch a strict one are left out."""
     text = F.col("text")
-    gate: dict[str, tuple[Column, Column]] = {}
-    for kind, (sign, loose) in GATES.items():
-        gate[kind] = (text.contains(sign) if sign else text.rlike("[0-9]{2}|[0-9][ -][0-9]"), text.rlike(loose))
-    sure = lambda kind: F.filter(matches(text, kind, STRICT[kind], gate[kind][0]), lambda s: confirmed(kind, s["value"]))
-    strict = F.concat(*map(sure, KINDS))
-    loose = F.concat(*[matches(text, k, LOOSE[k], gate[k][1]) for k in KINDS])
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    both = let(F.struct(strict.alias("strict"), loose.alias("loose")), lambda v: F.struct(F.array_sort(v["strict"]).alias("strict"), F.filter(v["loose"], lambda s: ~F.exists(v["strict"], lambda t: (s["start"] < t["end"]) & (t["start"] < s["end"]))).alias("loose")))
-    return rows.select("row", "doc_id", both.alias("v")).select("row", "doc_id", "v.*")
-
-
-def bootstrap(found: DataFrame, least_seeds: int = 3, least_worth: float = 0.8, rounds: int = 2) -> DataFrame:
-    """row and the spans that trusted patterns add.  Edges are counted once for each pattern and distinct instance."""
-    flat = lambda c, seed: found.select("row", F.explode(c).alias("s")).select("row", "s.*", F.lit(seed).alias("seed")).where(F.col("left") != "")
-    every = flat("strict", True).unionByName(flat("loose", False))
-    pattern = ["kind", "left"]
-    edges = every.groupBy(*pattern, F.lower("value").alias("value")).agg(F.max("seed").alias("seed"))
-    worth = edges.withColumn("worth", F.col("seed").cast("double"))
-    for k in range(rounds):
-        scored = worth.groupBy(pattern).agg((F.sum("worth") / F.count("*")).alias("p"), F.count_if("seed").alias("seeds"), F.count_if(~F.col("seed")).alias("others"))
-        trusted = scored.where((F.col("seeds") >= least_seeds) & (F.col("others") > 0))
-        if k == rounds - 1:
-            chosen = trusted.where(F.col("p") >= least_worth).select(pattern)
+    scans = []
+    for k, kind in enumerate(KINDS):
+        sign, loose = GATES[kind]
+        scans.append(scanned(text, k, True, STRICT[kind], text.contains(sign) if sign else text.rlike("[0-9]{2}|[0-9][ -][0-9]")))
+        scans.append(scanned(text, k, False, LOOSE[kind], text.rlike(loose)))
+    found = F.transform(F.filter(F.array(*scans), lambda x: F.size(x["m"]) > 0), lambda x: F.struct(x["sure"].alias("sure"), places(x).alias("spans")))
+    of = lambda v, sure: F.flatten(F.transform(F.filter(v, lambda x: x["sure"] == sure), lambda x: x["spans"]))
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    both = let(let(found, lambda v: F.struct(F.array_sort(of(v, True)).alias("strict"), of(v, False).alias("loose"))), lambda v: F.struct(v["strict"].alias("strict"), untouched(v["loose"], v["strict"]).alias("loose")))
+    return rows.select(*KEY, "doc_id", both.alias("v")).select(*KEY, "doc_id", "v.*")
+
+
+def pattern_of(form: str, left: Column, right: Column) -> Column:
+    """The context of a form; null where there are too few words."""
+    last, first = F.substring_index(left, " ", -1), F.substring_index(right, " ", 1)
+    if form == "l2":
+        return F.when(left.contains(" "), left)
+    if form == "r2":
+        return F.when(right.contains(" "), right)
+    if form == "lr":
+        return F.when((left != "") & (right != ""), F.concat_ws(" _ ", last, first))
+    return F.when(left != "", last)
+
+
+def small(frame: DataFrame) -> DataFrame:
+    """``frame`` (checkpointed) for a join: broadcast only if its rows are few."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
+def bootstrap(found: DataFrame, forms: dict[str, tuple[int, float]] = FORMS) -> DataFrame:
+    """The text's key and the spans that trusted patterns add.  Edges are distinct: repeated texts are no evidence."""
+    flat = lambda c, seed: found.select(*KEY, F.explode(c).alias("s")).select(*KEY, "s.*", F.lit(seed).alias("seed"))
+    # Without a loose candidate there is nothing to discover, and no pattern to score.
+    loose = flat("loose", False)
+    pattern = ["kind", "form", "context"]
+    contexts = F.array(*[F.struct(F.lit(f).alias("form"), pattern_of(f, F.col("left"), F.col("right")).alias("context")) for f in forms])
+    by_form = lambda rows: rows.select(*KEY, "kind", "start", "end", F.lower("value").alias("value"), "seed", F.explode(contexts).alias("c")).select("*", "c.*").where(F.col("context").isNotNull())
+    every = by_form(flat("strict", True).unionByName(loose))
+    edges = every.groupBy(*pattern, "value").agg(F.max("seed").alias("seed"))
+    limits = F.create_map(*[F.lit(x) for f, (n, _) in forms.items() for x in (f, n)])[F.col("form")], F.create_map(*[F.lit(x) for f, (_, w) in forms.items() for x in (f, w)])[F.col("form")]
+    # A pattern matters only if it holds a candidate, and enough instances that could become known.
+    open_ = edges.groupBy(pattern).agg(F.count("*").alias("n"), F.count_if(~F.col("seed")).alias("others")).where((F.col("others") > 0) & (F.col("n") > limits[0])).select(pattern).checkpoint()
+    if open_.isEmpty():
+        return every.groupBy(KEY).agg(F.collect_set(F.struct("start", "kind", "end")).alias("more")).where("false")
+    edges = edges.join(small(open_), pattern, "left_semi").checkpoint()
+    known = edges.where("seed").select("kind", "value").distinct()
+    size = -1
+    while True:
+        known = known.checkpoint()
+        now = known.count()
+        marked = edges.join(small(known.withColumn("known", F.lit(True))), ["kind", "value"], "left")
+        scored = marked.groupBy(pattern).agg(F.count("known").alias("known"), F.count("*").alias("n"))
+        trusted = scored.where((F.col("known") >= limits[0]) & (F.col("known") >= limits[1] * F.col("n"))).select(pattern).checkpoint()
+        if now == size:
             break
-        # An instance is right if one of its patterns is: 1 - product of (1 - p), by sums of logarithms.
-        right = edges.where(~F.col("seed")).join(trusted.select(*pattern, "p"), pattern).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999)))))).alias("q"))
-        worth = edges.join(right, ["kind", "value"], "left").withColumn("worth", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("q", F.lit(0.0))))
-    hits = every.where(~F.col("seed")).join(chosen, pattern, "left_semi")
-    return hits.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
+        size = now
+        known = known.unionByName(edges.join(small(trusted), pattern, "left_semi").select("kind", "value")).distinct()
+    hits = by_form(loose).join(small(trusted), pattern, "left_semi")
+    return hits.groupBy(KEY).agg(F.collect_set(F.struct("start", "kind", "end")).alias("more")).checkpoint()
 
 
 def spelled(spans: Column) -> Column:
@@ -127,44 +188,57 @@ def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def extract(docs: DataFrame, **limits: float) -> DataFrame:
-    """row, doc_id, base and spans (arrays of start, kind, end by start, then kind) of every document.
-
-    Null and empty texts have no spans.  Repeated rows are kept apart and count once as evidence, because edges
-    hold distinct instances.  Other columns are not read.  An added span touches no base span; of added spans
-    that overlap, the one that starts first (then ends last) stays.
-    """
+def keyed_spans(docs: DataFrame, forms: dict[str, tuple[int, float]] = FORMS) -> DataFrame:
     shared_checkpoints(docs.sparkSession)
     found = candidates(docs).checkpoint()
-    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    added = bootstrap(found, **limits)
-    rank = F.array_sort(F.transform("added", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    none = F.expr("CAST(array() AS array<struct<start:bigint,kind:int,end:bigint>>)")
-    apart = F.aggregate(rank, none, lambda a, s: F.when((F.size(a) > 0) & (s["start"] < F.element_at(F.concat(F.array(F.struct(s["start"], s["kind"], F.lit(-1).cast("long").alias("end"))), a), -1)["end"]), a).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (-s["back"]).alias("end"))))))
-    own = found.join(added.select("row", apart.alias("more")), "row", "left")
-    return own.select("row", "doc_id", bare("strict").alias("base"), F.array_sort(F.concat(bare("strict"), F.coalesce("more", none))).alias("spans"))
+    bare = F.transform("strict", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    none = F.expr(f"CAST(array() AS {SPANS})")
+    own = found.join(small(bootstrap(found, forms)), KEY, "left")
+    return own.select(*KEY, "doc_id", bare.alias("base"), F.array_sort(F.concat(bare, F.coalesce("more", none))).alias("spans"))
 
 
-def mask(docs: DataFrame, **limits: float) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in angle brackets; ``n_chars`` follows.
+def extract(docs: DataFrame, forms: dict[str, tuple[int, float]] = FORMS) -> DataFrame:
+    """doc_id, base and spans (arrays of start, kind, end by start, then kind) of every row.
 
-    Spans of different kinds that overlap are replaced together, under the kind that starts first.
+    Null and empty texts have no spans.  Repeated rows are kept and count once as evidence, because edges hold
+    distinct instances.  Other columns are not read.  An added span touches no base span; those of different
+    kinds may overlap each other, as base spans may.
     """
-    tag = "__row"
-    rows = docs.withColumn(tag, F.monotonically_increasing_id())
-    spans = extract(docs, **limits).where(F.size("spans") > 0).select(F.col("row").alias(tag), F.col("spans").alias("__spans")).checkpoint()
-    if (spans.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0) <= BROADCAST_SPANS:
-        spans = F.broadcast(spans)
+    return keyed_spans(docs, forms).drop(*KEY)
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """``text`` with its spans, sorted by start, replaced.  Blocks of spans are cut out first, then spans of a block."""
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    piece = lambda s, a, b: F.substring(s, (a + 1).cast("int"), (b - a).cast("int"))
+
+    def of(before: Column) -> Column:  # the greatest end of the spans before each
+        cuts = F.filter(F.transform(spans, lambda s, i: F.struct(F.get(before, i).alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda c: c["start"] >= c["at"])
+        return let(cuts, lambda c: let(chunks(c, root(c)), joined))
 
-    def step(a: Column, s: Column) -> Column:
-        inside = s["start"] < a["at"]
-        piece = F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.get(names, s["kind"]))
-        return F.when(inside, F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), piece.alias("out")))
+    def joined(blocks: Column) -> Column:
+        def block(b: Column, k: Column) -> Column:
+            first, last = F.get(b, F.lit(0))["at"], F.get(F.get(blocks, k + 1), F.lit(0))["at"]
+            end = F.coalesce(last, F.element_at(b, -1)["start"])
+            return let(piece(text, first, end), lambda t: F.array_join(F.transform(b, lambda c: F.concat(piece(t, c["at"] - first, c["start"] - first), F.get(names, c["kind"]))), ""))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("__spans", begin, step, lambda a: F.concat(a["out"], F.substring("text", (a["at"] + 1).cast("int"), F.lit(2_000_000_000))))
-    out = rows.join(spans, tag, "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked))
+        return F.array_join(F.transform(blocks, block), "")
+
+    tail = F.substring(text, (F.array_max(F.transform(spans, lambda s: s["end"])) + 1).cast("int"), F.lit(2_000_000_000))
+    return F.concat(let(running(F.transform(spans, lambda s: s["end"]), F.greatest), of), tail)
+
+
+def mask(docs: DataFrame, forms: dict[str, tuple[int, float]] = FORMS) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by its kind in angle brackets; ``n_chars`` follows.
+
+    Spans of different kinds that overlap are replaced together, under the kind that starts first.  Null texts,
+    and texts without a span, stay as they are; rows are not lost or merged, whatever their ids.  Columns keep
+    their names and order.
+    """
+    spans = keyed_spans(docs.select("doc_id", "text"), forms).where(F.size("spans") > 0).groupBy(KEY).agg(F.first("spans").alias("__spans")).checkpoint()
+    many = spans.agg(F.sum(F.size("__spans") + 1)).first()[0] or 0
+    out = keyed(docs).join(F.broadcast(spans) if many <= BROADCAST_ROWS else spans, KEY, "left")
+    out = out.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("__spans"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
