@@ -19,12 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Let ``checkpoint()`` write to the shared folder that the session names; a folder of our own only if it names none."""
+    """Let ``checkpoint()`` write to the shared folder that the session names.
+
+    Where it names none, a local session (one machine, as in tests) gets a folder of its own; a cluster an error.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    context.setCheckpointDir(folder)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,44 +7,42 @@ A text whose two best totals lie within ``margin`` of each other is marked as re
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quietsignal.llm.common import crc_of_id, table
 
-#: The fit reads about this many rows of each language, and a slice of at most so many characters of each.
+#: The fit's bounded sample: so many rows of each language, and a slice of at most so many characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 600
-#: Languages that a model can hold; a table with more is refused.
-MOST_LANGUAGES = 400
 PIECE = 2_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def fit(docs: DataFrame, usable: Column) -> dict[str, bytes]:
     """A dictionary for each language, from rows with ``usable``, a language and a text with characters.
 
-    Sampled rows are those with the smallest hashed ids under a bound that follows from the language's row count;
-    of each, a slice from a place that the hash chooses.  The driver gets at most MOST_LANGUAGES samples.
+    Sampled are the SAMPLE_ROWS distinct texts of a language with the smallest hashes, and of each a slice from a
+    place that the hash chooses; so repeated rows count once, and the driver gets at most that for each language.
+    An empty table, or one without usable rows, gives no dictionary.
     """
-    own = docs.where(usable & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.abs(F.xxhash64("doc_id", "text") % 1_000_000_007).alias("h"))
-    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return {}
-    share = {r["lang"]: min(1_000_000_007, int(1_000_000_007 * SAMPLE_ROWS / r["n"]) + 1) for r in counts}
-    limit = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
+    own = docs.where(usable & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.abs(F.xxhash64("text") % 1_000_000_007).alias("h"))
     place = F.col("h") % F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1) + 1
-    rows = own.where(F.col("h") < limit).select("lang", "h", F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("s")).collect()
-    found: dict[str, list] = {x: [] for x in share}
+    cut = own.select("lang", "h", F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("s"))
+    # About SAMPLE_ROWS small hashes of each language go through; a bound from the row count keeps the shuffle small.
+    counts = own.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    bound = counts.select("lang", F.when(F.col("n") < 8 * SAMPLE_ROWS, 1_000_000_007).otherwise((F.lit(1_000_000_007.0) * 4 * SAMPLE_ROWS / F.col("n")).cast("long")).alias("most"))
+    some = cut.join(F.broadcast(bound), "lang").where(F.col("h") <= F.col("most")).groupBy("lang", "h", "s").agg(F.lit(1).alias("one"))
+    order = Window.partitionBy("lang").orderBy("h", "s")
+    rows = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS).select("lang", "h", "s").collect()
+    found: dict[str, list] = {}
     for r in rows:
-        found[r["lang"]].append((r["h"], r["s"]))
-    return {x: "\n".join(s for _, s in sorted(own)[: 2 * SAMPLE_ROWS]).lower().encode("utf-8", "surrogatepass") for x, own in found.items() if own}
+        found.setdefault(r["lang"], []).append((r["h"], r["s"]))
+    return {x: "\n".join(s for _, s in sorted(own)).lower().encode("utf-8", "surrogatepass") for x, own in found.items()}
 
 
 class Classifier:
@@ -60,8 +58,11 @@ class Classifier:
 
     def sizes(self, text: str) -> np.ndarray:
         """Compressed bytes of the whole text in each language, piece by piece."""
-        pieces = [text[i : i + PIECE].lower().encode("utf-8", "surrogatepass") for i in range(0, len(text), PIECE)]
-        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.coders], float)
+        total = np.zeros(len(self.coders))
+        for i in range(0, len(text), PIECE):
+            piece = text[i : i + PIECE].lower().encode("utf-8", "surrogatepass")
+            total += [len(c.compress(piece)) for c in self.coders]
+        return total
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the margin is too narrow.  Ties go to the first name; no letter gives ``und``."""
@@ -75,12 +76,17 @@ class Classifier:
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """doc_id, lang_pred, score, rejected of every row.  Null texts and texts without a letter are ``und``, 0, true."""
+    """doc_id, lang_pred, score, rejected of every row.
+
+    Null and empty texts, and texts without a letter (Unicode category L), are ``und``, 0, true; so is every text
+    without a dictionary.  Rows are kept, repeated ones too; other columns are not read; very long texts are
+    compressed piece by piece.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Classifier(dictionaries)
         for batch in batches:
-            found = [judge(t) for t in batch.column(1).to_pylist()]
+            found = [judge(t.as_py()) for t in batch.column(1)]  # one text at a time is a Python object
             columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.record_batch([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "rejected"])
 

@@ -1,9 +1,9 @@
 """License scans by MinHash bands over overlapping windows, with DataFrame functions alone.
 
 A text is a sequence of five-word shingles.  Windows of ``SPAN`` shingles start at every ``STRIDE``-th; each has
-``BANDS`` min-hashes (one row a band).  A template's windows start at every shingle.  A text window that shares a
-band with a template retrieves it; the template is reported if the text around that window contains at least
-0.8 of the template's shingles.
+``BANDS`` min-hashes (one row a band), each under a hash function of its own.  A template's windows start at every
+shingle.  A text window that shares a band with a template retrieves it; the template is reported if the text
+around that window contains at least 0.8 of the template's shingles.
 
 A copy of a template of SPAN shingles or more meets one of its own windows at most STRIDE / 2 shingles off, that
 is with a Jaccard similarity of 0.6 at least, and then on either side: the chance that no band of the two agrees is
@@ -11,7 +11,9 @@ under 0.4 ** 12, below 1 in 50,000.  With a word in ten changed, a longer templa
 0.4 or more every few shingles, which one window misses with a chance of 0.6 ** 6 = 0.05.  Templates
 shorter than a window use windows of one shingle, whose min-hash is the shingle: they always collide.
 
-All of it is one projection: no shuffle, no join, nothing held beyond a row.  The number of templates is limited.
+Templates are a table of any size.  Their bands are joined with those of the texts, which are made and met within
+a scan: broadcast while their counted rows are few, joined by shuffle above.  What is retrieved is verified
+for texts that have a hit only.  Texts are known by a 128-bit hash, on which alone their matches depend.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietsignal.llm.arrays import let
-from quietsignal.llm.common import table
-
+from quietsignal.llm.common import shared_checkpoints, table
 
 WORDS, SPAN, STRIDE, BANDS, CONTAINED = 5, 8, 4, 6, 0.8
-#: XOR with one of these is the permutation of a band.
-MASKS = [(0x1F83D9ABFB41BD6B * (2 * k + 1)) % (1 << 62) for k in range(BANDS)]
-MOST_TEMPLATES = 200
+#: Rows (two longs each) up to which bands, templates and matches are broadcast, about 60 MB.
+BROADCAST_ROWS = 2_000_000
+
+#: Parts that two licenses share, in the words that their publishers give.
+BSD_CONDITIONS = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 
 #: Notices in the words that their publishers give.
 TEMPLATES = [
@@ -47,87 +51,87 @@ TEMPLATES = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", f"{BSD_CONDITIONS} {BSD_DISCLAIMER}"),
+    ("BSD-3-Clause", f"{BSD_CONDITIONS} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {BSD_DISCLAIMER}"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
 
 
 def shingles(text: Column) -> Column:
     """Hash of every five successive words; words are runs of a-z and 0-9 after lower-casing.  Null counts as empty."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
-    each = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + j) for j in range(WORDS)]), 2))
+    each = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - WORDS), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(WORDS)]))
     return let(words, lambda w: F.when(F.size(w) >= WORDS, each(w)).otherwise(F.expr("CAST(array() AS array<bigint>)")))
 
 
-def bands(window: Column) -> list[Column]:
-    """The band values of a window: the shingle that a permutation puts first, with the band's number."""
-    one = lambda mask: F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(mask)))).bitwiseXOR(F.lit(mask))
-    # Two low bits are free after the shift in shingles(); six bands need three, so the value keeps 61 bits.
-    return [one(m).bitwiseAND(F.lit((1 << 60) - 1)) * 8 + k for k, m in enumerate(MASKS)]
+def bands(s: Column, stride: int) -> Column:
+    """BANDS values for each window; those at the end of the text may be shorter."""
+    under = lambda k: F.transform(s, lambda x: F.xxhash64(x, F.lit(k))).alias(f"h{k}")
+    hashed = F.struct(*map(under, range(BANDS)))
+    each = lambda h: F.flatten(F.transform(F.sequence(F.lit(1), F.size(s), F.lit(stride)), lambda i: F.array(*[F.array_min(F.slice(h[f"h{k}"], i, SPAN)) for k in range(BANDS)])))
+    return F.when(F.size(s) > 0, let(hashed, each)).otherwise(F.expr("CAST(array() AS array<bigint>)"))
 
 
-def windows(s: Column, stride: int) -> Column:
-    """(at, values) of each window; those at the end of the text may be shorter."""
-    return F.when(F.size(s) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(s), F.lit(1)), F.lit(stride)), lambda i: let(F.slice(s, i, SPAN), lambda w: F.struct(i.alias("at"), F.array(*bands(w)).alias("values")))))
+def prepared(spark: SparkSession, templates: DataFrame | list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """Templates (template, license, n, own: distinct shingles), and the values that retrieve them (value, template, n).
 
-
-def prepared(spark: SparkSession, templates: list[tuple[str, str]]) -> list[tuple]:
-    """(name, shingles, bands) of each template; bands are empty for those shorter than a window."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    rows = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "i int, name string, text string")
-    own = rows.withColumn("s", shingles(F.col("text"))).withColumn("b", F.when(F.size("s") >= SPAN, F.flatten(F.transform(F.filter(windows(F.col("s"), 1), lambda w: w["at"] <= F.size("s") - SPAN + 1), lambda w: w["values"]))))
-    return [(r["name"], r["s"], sorted(set(r["b"] or ()))) for r in own.orderBy("i").collect() if r["s"]]
+    Repeated templates count once; those of fewer than five words are left out, and so are null names and texts.
+    """
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame(templates, "license string, text string")
+    rows = templates.select("license", "text").where("license IS NOT NULL AND text IS NOT NULL").distinct()
+    known = rows.select(F.xxhash64("license", "text").alias("template"), "license", shingles(F.col("text")).alias("s")).where(F.size("s") > 0)
+    known = known.select("template", "license", F.size("s").alias("n"), "s", F.array_distinct("s").alias("own")).checkpoint()
+    # A template's short windows at its end are none of its own; short templates go by single shingles.
+    values = F.when(F.col("n") >= SPAN, F.slice(bands(F.col("s"), 1), F.lit(1), (F.col("n") - SPAN + 1) * BANDS)).otherwise(F.col("s"))
+    return known.drop("s"), known.select("template", "n", F.explode(F.array_distinct(values)).alias("value"), F.lit(1).alias("one")).drop("one").checkpoint()
 
 
-def longs(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("long") for v in values]).cast("array<bigint>")
+def small(frame: DataFrame) -> DataFrame:
+    """``frame`` (checkpointed) for a join: broadcast only if its rows are few."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = CONTAINED) -> DataFrame:
-    """``docs`` with ``matches``: an array of (license, containment, first_word), best per license, by name.
+def scan(docs: DataFrame, templates: DataFrame | list[tuple[str, str]] = TEMPLATES, least: float = CONTAINED, column: str = "matches") -> DataFrame:
+    """``docs`` with ``column``: an array of (license, containment, first_word), best per license, by name.
 
     Null, empty and short texts have none, and so has every text if no template has five words.  A license with
-    several notices counts with its best; of equal ones the first place counts.  Rows and columns stay as they are.
+    several templates counts with its best; of equal ones the first place counts.  Rows stay as they are, repeated
+    ones too; a column of ``docs`` that has the name ``column`` is replaced, the others stay.
     """
-    ready = prepared(docs.sparkSession, templates)
-    short = sorted({x for _, s, b in ready if not b for x in s})
-    long = sorted({x for _, _, b in ready for x in b})
+    spark = docs.sparkSession
+    shared_checkpoints(spark)
+    known, values = prepared(spark, templates)
+    k1, k2 = (F.xxhash64(*seed, F.coalesce("text", F.lit(""))) for seed in ((), (F.lit(7),)))
+    key = ["__k1", "__k2"]
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), k1.alias("__k1"), k2.alias("__k2"))
+    both = let(shingles(F.col("text")), lambda s: let(bands(s, STRIDE), lambda b: F.struct(F.size(b).alias("w"), F.concat(b, s).alias("values"))))
+    each = texts.select(*key, both.alias("b")).select(*key, "b.w", F.posexplode("b.values").alias("pos", "value"))
+    met = each.join(small(values), "value")
+    # Values of windows retrieve long templates, single shingles short ones.
+    at = F.when(F.col("pos") < F.col("w"), F.floor(F.col("pos") / BANDS) * STRIDE + 1).otherwise(F.col("pos") - F.col("w") + 1).cast("int")
+    met = met.where((F.col("pos") < F.col("w")) == (F.col("n") >= SPAN)).select(*key, "template", "n", at.alias("at"))
+    # A copy is longer than half of its template, so the first and last hit of each half show all that others do.
+    spots = met.groupBy(*key, "template", "n", F.floor(F.col("at") * 2 / F.col("n")).alias("half")).agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    asked = spots.groupBy(key).agg(F.flatten(F.collect_list(F.transform(F.array_distinct(F.array("a", "b")), lambda p: F.struct("template", "n", p.alias("at"))))).alias("asked")).checkpoint()
+
+    def around(s: Column) -> Column:
+        begin = lambda c: F.greatest(c["at"] - c["n"], F.lit(1))
+        return F.transform("asked", lambda c: F.struct(c["template"].alias("template"), begin(c).alias("begin"), F.slice(s, begin(c), 2 * c["n"] + SPAN).alias("around")))
+
+    once = texts.join(small(asked), key).dropDuplicates(key)
+    looked = once.select(*key, F.explode(let(shingles(F.col("text")), around)).alias("c")).select(*key, "c.*").join(small(known), "template")
+    common = let(F.array_intersect("around", "own"), lambda c: F.struct((F.size(c) / F.size("own")).alias("containment"), (-(F.col("begin") + F.array_position("around", F.get(c, F.lit(0))) - 2)).cast("int").alias("back")))
+    best = looked.select(*key, "license", common.alias("m")).where(F.col("m.containment") >= least).groupBy(*key, "license").agg(F.max("m").alias("m"))
+    listed = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("license", F.col("m.containment").alias("containment"), (-F.col("m.back")).alias("first_word")))).alias("__matches")).checkpoint()
+    out = docs.withColumn("__k1", k1).withColumn("__k2", k2).join(small(listed), key, "left")
     none = F.expr("CAST(array() AS array<struct<license:string,containment:double,first_word:int>>)")
-    known = F.array(*[F.struct(F.lit(n).alias("name"), longs(s).alias("s"), longs(b).alias("b")) for n, s, b in ready]) if ready else None
-
-    def found(s: Column, w: Column) -> Column:
-        def of(t: Column) -> Column:
-            n = F.size(t["s"])
-            spots = F.when(F.size(t["b"]) > 0, F.transform(F.filter(w, lambda x: F.arrays_overlap(x["values"], t["b"])), lambda x: x["at"])).otherwise(
-                F.filter(F.sequence(F.lit(1), F.size(s)), lambda p: F.array_contains(t["s"], F.get(s, p - 1)))
-            )
-
-            def check(p: Column) -> Column:
-                begin = F.greatest(p - n, F.lit(1))
-                around = F.slice(s, begin, 2 * n + SPAN)
-                share = F.size(F.array_intersect(t["s"], around)) / F.size(F.array_distinct(t["s"]))
-                first = F.array_min(F.transform(F.array_intersect(t["s"], around), lambda x: F.array_position(around, x))).cast("int")
-                return F.struct(share.alias("containment"), (-(begin + first - 2)).alias("back"))
-
-            return F.struct(t["name"].alias("license"), F.array_max(F.transform(spots, check)).alias("best"))
-
-        good = F.filter(F.transform(known, of), lambda r: F.coalesce(r["best"]["containment"] >= least, F.lit(False)))
-        names = F.array_sort(F.array_distinct(F.transform(good, lambda r: r["license"])))
-
-        def pick(name: Column) -> Column:
-            best = F.array_max(F.transform(F.filter(good, lambda r: r["license"] == name), lambda r: r["best"]))
-            return F.struct(name.alias("license"), best["containment"].alias("containment"), (-best["back"]).alias("first_word"))
-
-        return F.transform(names, pick)
-
-    def read(s: Column) -> Column:
-        # Short templates are looked up at once; the arrays are hashed, so this is linear in the text.
-        def both(w: Column) -> Column:
-            meets = F.arrays_overlap(s, longs(short)) | F.arrays_overlap(F.flatten(F.transform(w, lambda x: x["values"])), longs(long))
-            return F.when(F.coalesce(meets, F.lit(False)), found(s, w)).otherwise(none)
-
-        return F.when(F.size(s) > 0, let(windows(s, STRIDE), both)).otherwise(none)
-
-    return docs.withColumn("matches", let(shingles(F.col("text")), read) if ready else none)
+    return out.withColumn(column, F.coalesce("__matches", none)).drop(*key, "__matches")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

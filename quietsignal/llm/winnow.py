@@ -8,13 +8,13 @@ that share ``k + window - 1`` successive words share a fingerprint.  A text of f
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quietsignal.llm.arrays import let
 from quietsignal.llm.common import partitions, table
 
 K, WINDOW = 5, 5
@@ -23,11 +23,6 @@ WORD_BITS, PRIME, BASE = 28, (1 << 31) - 1, 1_103_515_245
 PLACES = 1 << 31
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often and deep in lambdas ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def selected(text: Column, k: int = K, window: int = WINDOW) -> Column:
     """Kept runs as longs, hash * 2 ** 31 + (2 ** 31 - 1 - position), in order of position.  Null counts as empty."""
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
@@ -69,11 +64,16 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
     return docs.withColumn("fingerprint", written(selected(F.col("text"), k, window)))
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
+def with_next(docs: DataFrame, buckets: int, made: Column | None = None) -> DataFrame:
     """doc_id, text, following (text of the next row by doc_id, then text; after the last comes the first).
 
+    With ``made``, an expression over text, also its value for both texts: made, following_made.  It is worked out
+    once for each row, after the rows are dealt and before they are sorted.
+
     Rows are dealt to ranges of ids whose limits are ids that occur.  The first rows of a range are also dealt
     to the range before it, and those of the first range to the last, so each range finds its successors alone.
+    Null ids come first; a null text counts as empty; rows that share an id are one range, in order of text; a
+    row alone is followed by itself; an empty table gives no rows.  Other columns are not read.
     """
     # Nulls come first; a null text counts as empty.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -103,23 +103,25 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     wrapped = F.when(first, F.struct(F.lit(len(limits)).alias("bucket"), F.lit(1).alias("turn"), F.lit(False).alias("own")))
     copies = dealt.select("doc_id", "text", F.explode(F.array_compact(F.array(own, earlier, wrapped))).alias("at")).select("doc_id", "text", "at.*")
     order = Window.partitionBy("bucket").orderBy("turn", "doc_id", "text")
-    placed = copies.repartition("bucket").withColumn("following", F.lead("text").over(order))
-    return placed.where("own").select("doc_id", "text", "following")
+    placed = copies.repartition("bucket")
+    if made is None:
+        return placed.withColumn("following", F.lead("text").over(order)).where("own").select("doc_id", "text", "following")
+    placed = placed.withColumn("made", made).withColumn("following", F.lead("text").over(order)).withColumn("following_made", F.lead("made").over(order))
+    return placed.where("own").select("doc_id", "text", "made", "following", "following_made")
 
 
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = with_next(table(spark, sf_dir, "documents"), 4 * partitions(spark))
+    pairs = with_next(table(spark, sf_dir, "documents"), 4 * partitions(spark), selected(F.col("text")))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("following", F.lit(1), cut))
-    # The structs keep every fingerprint computed once: one lambda binds it for all that needs it.
-    kept = F.struct(selected(F.col("text")).alias("a"), selected(F.col("edited")).alias("b"), selected(F.col("following")).alias("c"))
-    sets = lambda v: F.struct(hashes_of(v["a"]).alias("a"), hashes_of(v["b"]).alias("b"), hashes_of(v["c"]).alias("c"))
+    # One lambda binds what is needed twice, so the edited text's fingerprint and the hash sets are computed once.
+    sets = lambda b: F.struct(hashes_of(F.col("made")).alias("a"), hashes_of(b).alias("b"), hashes_of(F.col("following_made")).alias("c"))
     found = let(
-        kept,
-        lambda v: let(
-            sets(v),
-            lambda s: F.struct(written(v["a"]).alias("fingerprint"), written(v["b"]).alias("edited_fingerprint"), likeness(s["a"], s["b"]).alias("near_edited"), likeness(s["a"], s["c"]).alias("near_next")),
+        selected(F.col("edited")),
+        lambda b: let(
+            sets(b),
+            lambda s: F.struct(written(F.col("made")).alias("fingerprint"), written(b).alias("edited_fingerprint"), likeness(s["a"], s["b"]).alias("near_edited"), likeness(s["a"], s["c"]).alias("near_next")),
         ),
     )
     out = pairs.withColumn("edited", edited).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), found.alias("f"))

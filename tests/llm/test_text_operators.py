@@ -339,19 +339,19 @@ def test_chat_reads_back(spark):
     turns = [(1, 0, "user", "hi <|end|> & <|assistant|>"), (1, 1, "assistant", "yo &lt; <b>"), (1, 2, None, None), (1, 3, "assistant", None), (1, 3, "assistant", "tie"), (2, 0, "assistant", "only"), (3, 5, "a|>b", "é😀"), (None, None, "user", "x"), (4, 0, "assistant", LONG)]
     rows = [(*t, "clash", 9) for t in turns]
     formatted = chat.format_turns(spark.createDataFrame(rows, TALK))
-    got = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.expand(formatted)).collect()}
     for conv in {t[0] for t in turns}:
         own = sorted(((t[1] if t[1] is not None else -1, t[2] or "", t[3] or "") for t in turns if t[0] == conv))
         said = "".join(x for _, r, x in own if r == "assistant")
         assert got[conv]["n_turns"] == len(own) and got[conv]["loss_chars"] == len(said)
         assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
         assert got[conv]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
-    assert chat.read_back(chat.format_turns(spark.createDataFrame([], TALK))).count() == 0
+    assert chat.read_back(chat.expand(chat.format_turns(spark.createDataFrame([], TALK)))).count() == 0
 
 
 def test_expanded_examples(spark):
     rows = [(1, 0, "user", "a", "", 0), (1, 1, "assistant", "b<", "", 0), (1, 2, "user", "c", "", 0), (1, 3, "assistant", "d", "", 0)]
-    out = sorted(chat.expand(chat.format_turns(spark.createDataFrame(rows, TALK))).collect(), key=lambda r: r["position"])
+    out = sorted(chat.written_out(chat.expand(chat.format_turns(spark.createDataFrame(rows, TALK)))).collect(), key=lambda r: r["position"])
     assert [r["formatted"][r["loss_start"] : r["loss_end"]] for r in out] == ["b&lt;", "d"]
     assert out[1]["formatted"].startswith(out[0]["formatted"])
 
