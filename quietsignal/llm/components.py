@@ -8,27 +8,37 @@ from pyspark.sql import functions as F
 from quietsignal.llm.common import shared_checkpoints
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Parts into which the neighbours of a node are dealt where they meet its smallest one.
+SALT = 8
+
+
+def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node that a row (a, b) of ``links`` names.
 
     Large-star and small-star steps in turn: each node's greater (then smaller) neighbours are hung on the
     smallest; the links shrink to one star for each component in about a logarithm of its length of rounds.
-    Each round is cut from its past by a checkpoint; nothing but a count and a sum reaches the driver.  Rows with
-    nulls and links of a node to itself are left out; no links give no rows.
+    Rounds go on until the links are stars: each node hangs on one other, and that one on none.  The centre of a
+    star is a hot key, so its neighbours are dealt to SALT parts.  Each round is cut from its past by a
+    checkpoint; nothing but a count reaches the driver.  Rows with nulls and links of a node to itself are left
+    out; no links give no rows.
     """
     shared_checkpoints(links.sparkSession)
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct().checkpoint()
-    before = None
-    for _ in range(most_rounds):
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))  # u: a neighbour of v
         least = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
-        large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        dealt = both.where("u > v").withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALT)).cast("int"))
+        every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        large = dealt.join(every, ["v", "salt"]).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))  # every u is below its v here
         hung = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").unionByName(least.select("v", F.col("m").alias("u")))
         edges = hung.distinct().checkpoint()
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("v", "u").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    stars = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    hanging = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
+    return hanging.unionByName(hanging.select(F.col("component").alias("node"), "component").distinct())
+
+
+def stars(edges: DataFrame) -> bool:
+    """Whether every v hangs on one u, and no u on another."""
+    ends = edges.select(F.col("v").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("u").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    each = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not each.agg(F.count_if((F.col("hangs") > 1) | (F.col("hangs") > 0) & (F.col("holds") > 0))).first()[0]

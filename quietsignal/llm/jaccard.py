@@ -9,17 +9,23 @@ words and 9 / 10, stages on word shingles five words and 4 / 5.  The join has th
    differ in: linked sets then agree on a whole part.  That
    holds of any shingles left out on both sides too, so those frequent in a sample are left out of the parts.  Each set sends a signature of each part; sets that share
    one are hung on the smallest of them, a star and not all pairs, and connected components gather them.
-3. T-occurrence search within a gathered group.  A set's inverted lists are divided into long and short ones;
-   short lists are merged and counted, what reaches T less the number of long lists is looked up in those by
-   binary search.  Candidates that are linked to the set already, through others, are skipped: the result is a
-   forest with the same components as all links.  A group of more than ``BLOCK`` sets is cut into blocks, and
-   every pair of blocks is searched for itself, so no task holds more than two blocks of a group.
+3. T-occurrence search over the inverted lists of a gathered group (DivideSkip).  A set's lists are divided into
+   L long ones and the short rest, L = T / (MU * log2(longest list) + 1) as published.  Short lists are merged
+   by a heap that skips what cannot come T - L times; what is left is looked up in the long ones by binary
+   search.  Candidates that are linked to the set already, through others, are skipped: the result is a
+   forest with the same components as all links.
+4. A group of more than ``BLOCK`` sets is cut into blocks.  Every block is searched together with the first one,
+   which links a family of near copies in a linear number of searches.  Where a group does not become one
+   component by that, sets outside its largest component are searched against all its blocks, so that no link is
+   lost; no task holds more than two blocks of a group.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
 import numpy as np
@@ -43,6 +49,8 @@ class Rule(NamedTuple):
 #: What op9's contract asks for, and what binds every other stage on word shingles.
 OP9, STAGE = Rule(3, 9, 10), Rule(5, 4, 5)
 BLOCK = 400
+#: The published method's weight of a heap step against a look-up, and sets that share a call.
+MU, SETS = 0.0085, 2_000
 #: Rows of (id, group) up to which they are broadcast to find the sets to verify, about 64 MB; above, they are joined.
 BROADCAST_ROWS = 2_000_000
 #: Sets in the sample (about), in how many of them a hash is frequent, and how many of the most frequent reach the driver.
@@ -166,8 +174,10 @@ def sets_of(docs: DataFrame, what: str, rule: Rule = OP9, frequent: np.ndarray |
 
 
 class Forest:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+    def __init__(self, labels: np.ndarray):
+        """Items of equal ``labels`` are linked from the start."""
+        _, first, own = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[own]
         self.links: list[tuple[int, int]] = []
 
     def root(self, i: int) -> int:
@@ -193,8 +203,43 @@ class Forest:
         return others[top != self.root(i)]
 
 
-def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None, rule: Rule = OP9) -> list[tuple[int, int]]:
-    """Links among ``sets`` that make up a forest with all links' components.  With ``side``, only across sides."""
+def merge_skip(lists: list[list[int]], least: int) -> tuple[list[int], list[int]]:
+    """Numbers that are in ``least`` or more of the ascending lists, and in how many.
+
+    A heap holds the head of each list.  When the smallest head is in too few lists, the ``least`` - 1 lists with
+    the smallest heads skip to the next head of all the others: no smaller number can be in enough of them.
+    """
+    at = [0] * len(lists)
+    heap = [(x[0], i) for i, x in enumerate(lists) if x]
+    heapify(heap)
+    found, counts = [], []
+    while len(heap) >= least:
+        head = heap[0][0]
+        out = []
+        while heap and heap[0][0] == head:
+            out.append(heappop(heap)[1])
+        if len(out) >= least:
+            found.append(head)
+            counts.append(len(out))
+            for i in out:
+                at[i] += 1
+        else:
+            while heap and len(out) < least - 1:
+                out.append(heappop(heap)[1])
+            if not heap:
+                break
+            aim = heap[0][0]
+            for i in out:
+                at[i] = bisect_left(lists[i], aim, at[i])
+        for i in out:
+            if at[i] < len(lists[i]):
+                heappush(heap, (lists[i][at[i]], i))
+    return found, counts
+
+
+def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None, rule: Rule = OP9, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links among ``sets`` that make up a forest with all links' components.  With ``side``, only across sides; sets
+    of equal ``labels`` count as linked already."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order])
     tokens = np.concatenate([sets[i] for i in order])
@@ -208,24 +253,24 @@ def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None, ru
     lists = owner[by]
     sides = None if side is None else side[order]
     first = np.concatenate([[0], np.cumsum(sizes)])
-    forest = Forest(len(order))
+    forest = Forest(np.arange(len(order)) if labels is None else labels[order])
     for q in range(1, len(order)):
         s = int(sizes[q])
-        floor = int(np.searchsorted(sizes, -(-rule.near * s // rule.of)))  # smaller sets cannot link with q
+        least = -(-rule.near * s // rule.of)  # T: smaller sets than that cannot link with q, nor others with a smaller overlap
+        floor = int(np.searchsorted(sizes, least))
         if floor >= q:
             continue
+        if not len(forest.apart(q, np.arange(floor, q))):
+            continue
         own = codes[first[q] : first[q + 1]]
         lengths = begin[own + 1] - begin[own]
         own = own[np.argsort(lengths, kind="stable")]
-        least = -(-rule.near * s // rule.of)
-        # With so many long lists that one short occurrence is asked for, merging costs least; probing is cut short below.
-        long = max(0, least - 1)
+        long = min(least - 1, int(least / (MU * math.log2(max(2, lengths.max())) + 1)))
         short, rest = own[: s - long], own[s - long :]
-        merged = np.concatenate([lists[begin[c] : begin[c + 1]] for c in short])
-        merged = merged[(merged < q) & (merged >= floor)]
-        if not len(merged):
+        heads = [lists[begin[c] : begin[c + 1]] for c in short]
+        found, counts = map(np.array, merge_skip([x[np.searchsorted(x, floor) : np.searchsorted(x, q)].tolist() for x in heads], least - long))
+        if not len(found):
             continue
-        found, counts = np.unique(merged, return_counts=True)
         if sides is not None:
             across = sides[found] != sides[q]
             found, counts = found[across], counts[across]
@@ -255,27 +300,60 @@ def occurrence_search(sets: list[np.ndarray], side: np.ndarray | None = None, ru
     return [(order[i], order[j]) for i, j in forest.links]
 
 
-def verified(groups: DataFrame, rule: Rule = OP9) -> DataFrame:
-    """Links (a, b) among the rows (node, cluster, size of the cluster, set) of each cluster."""
-    spark = groups.sparkSession
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = groups.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    # Small clusters share a task's call; a pair of blocks has one for itself.
-    many = 8 * partitions(spark)
-    key = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("cluster"), F.lit(many))).otherwise(F.xxhash64("cluster", "i", "j").bitwiseOR(F.lit(1 << 40)))
+def searched(dealt: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b) of the searches (key, search, node, side, label, set): across sides where ``side`` is set."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
-        for (_, i, j), part in rows.groupby(["cluster", "i", "j"]):
+        for _, part in rows.groupby("search"):
             nodes = part["node"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in part["set"]]
-            links = occurrence_search(sets, None if i == j else part["own"].to_numpy(), rule)
+            side = None if part["side"].isna().any() else part["side"].to_numpy()
+            links = occurrence_search([np.frombuffer(x, np.uint64) for x in part["set"]], side, rule, part["label"].to_numpy())
             out += [(nodes[a], nodes[b]) for a, b in links]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.withColumn("key", key).select("key", "cluster", "i", "j", "own", "node", "set").groupBy("key").applyInPandas(work, "a long, b long")
+    return dealt.select("key", "search", "node", "side", "label", "set").groupBy("key").applyInPandas(work, "a long, b long")
+
+
+def sets_in(docs: DataFrame, chosen: DataFrame, rule: Rule) -> DataFrame:
+    """node, set and the columns of ``chosen`` (node, ...; checkpointed) for its nodes; texts are read again."""
+    some = chosen.withColumnRenamed("node", "doc_id")
+    found = sets_of(docs.select("doc_id", "text").join(F.broadcast(some) if chosen.count() <= BROADCAST_ROWS else some, "doc_id"), "set", rule)
+    return found.where("n_shingles > 0").withColumnRenamed("doc_id", "node")
+
+
+def verified(docs: DataFrame, clusters: DataFrame, rule: Rule = OP9) -> DataFrame:
+    """Links (a, b) among the sets of each cluster (node, cluster, size; checkpointed): a forest with all links' components."""
+    spark = docs.sparkSession
+    total = clusters.count()
+    # Small clusters share a task's call, about SETS of them; a large one has calls of its own.
+    many = max(8 * partitions(spark), total // SETS)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    large = F.col("size") > BLOCK
+    sets = sets_in(docs, clusters, rule).withColumn("own", own)
+    # The first block goes to the search of every other one.
+    place = F.explode(F.when(~large, F.array(F.lit(0))).when(F.col("own") == 0, F.sequence(F.lit(1), blocks - 1)).otherwise(F.array("own")))
+    dealt = sets.withColumn("j", place).withColumn("search", F.when(large, F.xxhash64("cluster", "j")).otherwise(F.col("cluster")))
+    key = F.when(large, F.col("search").bitwiseOR(F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(many)))
+    links = searched(dealt.withColumn("key", key).withColumn("side", F.lit(None).cast("int")).withColumn("label", F.col("node")), rule).checkpoint()
+    wide = clusters.where(large)
+    if wide.isEmpty():
+        return links
+    # Large clusters that are not one component yet: the rest against all.
+    labelled = wide.join(components(links), "node", "left").select("node", "cluster", "size", F.coalesce("component", "node").alias("label")).checkpoint()
+    each = labelled.groupBy("cluster", "size", "label").agg(F.count("*").alias("n"))
+    top = each.groupBy("cluster", "size").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.max("n").alias("n")).where("n < size").select("cluster", "top", (F.col("size") - F.col("n")).alias("minor")).checkpoint()
+    if top.isEmpty():
+        return links
+    open_ = labelled.join(F.broadcast(top) if top.count() <= BROADCAST_ROWS else top, "cluster").checkpoint()
+    few = F.ceil(F.col("minor") / BLOCK).cast("int")
+    sets = sets_in(docs, open_, rule).withColumn("own", own)
+    # side 0: a set outside the top component, which meets each block; side 1: any set, which meets each block of the former.
+    asks = sets.where("label <> top").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), few).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(0))
+    answers = sets.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), few - 1))).withColumn("side", F.lit(1))
+    both = asks.unionByName(answers, allowMissingColumns=True).withColumn("search", F.xxhash64("cluster", "i", "j"))
+    return links.unionByName(searched(both.withColumn("key", F.col("search")), rule).checkpoint())
 
 
 def frequent_hashes(docs: DataFrame, one: DataFrame, n: int, rule: Rule = OP9) -> np.ndarray:
@@ -312,11 +390,7 @@ def groups(docs: DataFrame, rule: Rule = OP9) -> DataFrame:
     stars = sent.withColumn("u", F.min("node").over(Window.partitionBy("sig").orderBy("node"))).where("node > u").select(F.col("node").alias("a"), F.col("u").alias("b")).distinct()
     clusters = components(stars)
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", F.col("component").alias("cluster"), "size").checkpoint()
-    chosen = sized.select(F.col("node").alias("doc_id"), "cluster", "size")
-    if sized.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    found = sets_of(docs.select("doc_id", "text").join(chosen, "doc_id"), "set", rule).where("n_shingles > 0").withColumnRenamed("doc_id", "node")
-    linked = components(verified(found, rule))
+    linked = components(verified(docs, sized, rule))
     label = one.join(linked, "node", "left").select(*name, F.coalesce("component", "node").alias("label"))
     # Rows of one doc_id with different texts are one document: their labels meet in the smallest.
     rows = named.select("doc_id", *name).join(label, name, "left")

@@ -77,8 +77,9 @@ def bands(s: Column, stride: int) -> Column:
     return F.when(F.size(s) > 0, let(hashed, each)).otherwise(F.expr("CAST(array() AS array<bigint>)"))
 
 
-def prepared(spark: SparkSession, templates: DataFrame | list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """Templates (template, license, n, own: distinct shingles), and the values that retrieve them (value, template, n).
+def prepared(spark: SparkSession, templates: DataFrame | list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Templates (template, license, n, own: distinct shingles), the values that retrieve them (value, template, n),
+    and all their shingles (value).
 
     Repeated templates count once; those of fewer than five words are left out, and so are null names and texts.
     """
@@ -89,7 +90,7 @@ def prepared(spark: SparkSession, templates: DataFrame | list[tuple[str, str]])
     known = known.select("template", "license", F.size("s").alias("n"), "s", F.array_distinct("s").alias("own")).checkpoint()
     # A template's short windows at its end are none of its own; short templates go by single shingles.
     values = F.when(F.col("n") >= SPAN, F.slice(bands(F.col("s"), 1), F.lit(1), (F.col("n") - SPAN + 1) * BANDS)).otherwise(F.col("s"))
-    return known.drop("s"), known.select("template", "n", F.explode(F.array_distinct(values)).alias("value"), F.lit(1).alias("one")).drop("one").checkpoint()
+    return known.drop("s"), known.select("template", "n", F.explode(F.array_distinct(values)).alias("value")).checkpoint(), known.select(F.explode("own").alias("value")).distinct().checkpoint()
 
 
 def small(frame: DataFrame) -> DataFrame:
@@ -106,12 +107,14 @@ def scan(docs: DataFrame, templates: DataFrame | list[tuple[str, str]] = TEMPLAT
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
-    known, values = prepared(spark, templates)
+    known, values, every = prepared(spark, templates)
     k1, k2 = (F.xxhash64(*seed, F.coalesce("text", F.lit(""))) for seed in ((), (F.lit(7),)))
     key = ["__k1", "__k2"]
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), k1.alias("__k1"), k2.alias("__k2"))
+    # A band that two windows share is the hash of a shingle that they share: texts without one need no bands.
+    shared = texts.select(*key, F.explode(shingles(F.col("text"))).alias("value")).join(small(every), "value", "left_semi").select(key).distinct().checkpoint()
     both = let(shingles(F.col("text")), lambda s: let(bands(s, STRIDE), lambda b: F.struct(F.size(b).alias("w"), F.concat(b, s).alias("values"))))
-    each = texts.select(*key, both.alias("b")).select(*key, "b.w", F.posexplode("b.values").alias("pos", "value"))
+    each = texts.join(small(shared), key, "left_semi").select(*key, both.alias("b")).select(*key, "b.w", F.posexplode("b.values").alias("pos", "value"))
     met = each.join(small(values), "value")
     # Values of windows retrieve long templates, single shingles short ones.
     at = F.when(F.col("pos") < F.col("w"), F.floor(F.col("pos") / BANDS) * STRIDE + 1).otherwise(F.col("pos") - F.col("w") + 1).cast("int")
@@ -124,8 +127,7 @@ def scan(docs: DataFrame, templates: DataFrame | list[tuple[str, str]] = TEMPLAT
         begin = lambda c: F.greatest(c["at"] - c["n"], F.lit(1))
         return F.transform("asked", lambda c: F.struct(c["template"].alias("template"), begin(c).alias("begin"), F.slice(s, begin(c), 2 * c["n"] + SPAN).alias("around")))
 
-    once = texts.join(small(asked), key).dropDuplicates(key)
-    looked = once.select(*key, F.explode(let(shingles(F.col("text")), around)).alias("c")).select(*key, "c.*").join(small(known), "template")
+    looked = texts.join(small(asked), key).select(*key, F.explode(let(shingles(F.col("text")), around)).alias("c")).select(*key, "c.*").join(small(known), "template")
     common = let(F.array_intersect("around", "own"), lambda c: F.struct((F.size(c) / F.size("own")).alias("containment"), (-(F.col("begin") + F.array_position("around", F.get(c, F.lit(0))) - 2)).cast("int").alias("back")))
     best = looked.select(*key, "license", common.alias("m")).where(F.col("m.containment") >= least).groupBy(*key, "license").agg(F.max("m").alias("m"))
     listed = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("license", F.col("m.containment").alias("containment"), (-F.col("m.back")).alias("first_word")))).alias("__matches")).checkpoint()
