@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietsignal.llm.common import shared_checkpoints
@@ -24,21 +24,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     shared_checkpoints(links.sparkSession)
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct().checkpoint()
-    while not stars(edges):
+    while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))  # u: a neighbour of v
-        least = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"))
+        least = both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("m"), F.count_if(F.expr("u < v")).alias("below"), F.count_if(F.expr("u > v")).alias("above")).checkpoint()
+        # Stars: no node has two smaller neighbours, or one besides a greater one.
+        if least.where("below > 1 OR below > 0 AND above > 0").isEmpty():
+            break
         dealt = both.where("u > v").withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(SALT)).cast("int"))
-        every = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        large = dealt.join(every, ["v", "salt"]).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))  # every u is below its v here
-        hung = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").unionByName(least.select("v", F.col("m").alias("u")))
-        edges = hung.distinct().checkpoint()
+        every = least.where("above > 0").select("v", "m", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+        large = dealt.join(every, ["v", "salt"]).select(F.col("u").alias("v"), F.col("m").alias("u"))
+        # Every u is below its v here; a node is in as many rows as stars had it.
+        small = large.withColumn("m", F.min("u").over(Window.partitionBy("v")))
+        pairs = F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
+        edges = small.select(pairs.alias("p")).select("p.*").where("v <> u").distinct().checkpoint()
     hanging = edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     return hanging.unionByName(hanging.select(F.col("component").alias("node"), "component").distinct())
-
-
-def stars(edges: DataFrame) -> bool:
-    """Whether every v hangs on one u, and no u on another."""
-    ends = edges.select(F.col("v").alias("x"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("u").alias("x"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
-    each = ends.groupBy("x").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
-    return not each.agg(F.count_if((F.col("hangs") > 1) | (F.col("hangs") > 0) & (F.col("holds") > 0))).first()[0]

@@ -356,11 +356,11 @@ def verified(docs: DataFrame, clusters: DataFrame, rule: Rule = OP9) -> DataFram
     return links.unionByName(searched(both.withColumn("key", F.col("search")), rule).checkpoint())
 
 
-def frequent_hashes(docs: DataFrame, one: DataFrame, n: int, rule: Rule = OP9) -> np.ndarray:
-    """Sorted hashes that are in OFTEN or more sets of a sample of the n nodes of ``one``.  A guess will do: results don't depend on it."""
-    some = one.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // SAMPLE))) == 0).select(F.col("node").alias("doc_id")).distinct()
-    sample = sets_of(docs.select("doc_id", "text").join(F.broadcast(some) if n <= BROADCAST_ROWS else some, "doc_id", "left_semi"), "hashes", rule)
-    counts = sample.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
+def frequent_hashes(docs: DataFrame, rule: Rule = OP9) -> np.ndarray:
+    """Sorted hashes that are in OFTEN or more sets of a sample of the texts.  A guess will do: results don't depend on it."""
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).distinct().select(F.lit(0).alias("doc_id"), "text")
+    counts = sets_of(some, "hashes", rule).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
     rows = counts.orderBy(F.desc("k"), "h").limit(MOST_FREQUENT).collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
@@ -374,18 +374,16 @@ def groups(docs: DataFrame, rule: Rule = OP9) -> DataFrame:
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
-    named = sets_of(docs.select("doc_id", "text"), "name", rule).checkpoint()
+    docs = docs.select("doc_id", "text")
+    named = sets_of(docs, "sigs", rule, frequent_hashes(docs, rule)).checkpoint()
     filled = named.where("n_shingles > 0 AND doc_id IS NOT NULL")
     name = ["h1", "h2", "n_shingles"]
     one = filled.groupBy(name).agg(F.min("doc_id").alias("node")).checkpoint()
     nodes = one.select(F.col("node").alias("doc_id"), F.col("h1").alias("own1"), F.col("h2").alias("own2"))
-    n = one.count()
-    if n <= BROADCAST_ROWS:
+    if one.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
-    frequent = frequent_hashes(docs, one, n, rule)
-    # Texts are read again, so signatures, most of them of one set alone, are written once only: on their way to the sort.
     # Of rows that share a doc_id, those send whose set the node stands for.
-    signed = sets_of(docs.select("doc_id", "text").join(nodes, "doc_id"), "sigs", rule, frequent).where("h1 = own1 AND h2 = own2")
+    signed = filled.join(nodes, "doc_id").where("h1 = own1 AND h2 = own2")
     sent = signed.select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"))
     stars = sent.withColumn("u", F.min("node").over(Window.partitionBy("sig").orderBy("node"))).where("node > u").select(F.col("node").alias("a"), F.col("u").alias("b")).distinct()
     clusters = components(stars)

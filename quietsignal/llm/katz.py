@@ -38,6 +38,8 @@ from quietsignal.llm.common import WordHash, crc_of_id, mixed, partitions, relea
 K, EPSILON = 5, 1e-4
 #: Tokens that a map task holds before it sends their pairs.
 SLICE_TOKENS = 1_000_000
+#: Characters of text for each partition of the tables, about what one task holds as arrays.
+BUCKET_CHARS = 24_000_000
 FIXED = 1e9
 END, START = np.uint64(0xE17A1465E17A1465), np.uint64(0x57A2757A2757A275)
 LOW = np.uint64(16)  # contexts are known by the upper 48 bits of their hash
@@ -406,7 +408,9 @@ def score(docs: DataFrame, held_out: Column, buckets: int | None = None) -> Data
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
-    buckets = buckets or 5 * partitions(spark) // 4
+    if not buckets:
+        chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        buckets = max(5 * partitions(spark) // 4, chars // BUCKET_CHARS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out).alias("train"), "text")
     known = unigrams(rows, buckets)
     parts = sent(rows, known, buckets).groupBy("bucket").applyInPandas(by_token(known, buckets), PARTS).checkpoint()
