@@ -29,7 +29,7 @@ def filter_expression(t):
     return reshape.selected(t("orders"), "o_totalprice > 200000 AND o_orderpriority LIKE '1%'").select("o_orderkey", "o_orderstatus")
 
 
-@query("numeric_sorter", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+@query("numeric_sorter", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey")
 def numeric_sorter(t):
     return reshape.sorted_by(t("orders"), "o_totalprice", "o_orderkey", descending=True).select("o_orderkey", "o_totalprice")
 

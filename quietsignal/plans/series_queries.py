@@ -181,7 +181,7 @@ def inter_event(t):
     return series.inter_event(t("events"), ["user_id"], "ts", "event_id").select("event_id", round_to(F.col("interval"), 6).alias("interval"))
 
 
-@query("sequence_match", """WITH s AS (SELECT user_id, list(event_type ORDER BY event_id) AS a FROM events GROUP BY 1), p AS (SELECT user_id, a[1:20] AS a, a[2:21] AS b FROM s),
+@query("sequence_match", """WITH s AS (SELECT user_id, list(event_type ORDER BY event_id) AS a FROM events GROUP BY 1), p AS (SELECT user_id, a[1:len(a) - 1] AS a, a[2:len(a)] AS b FROM s),
 h AS (SELECT user_id, list_transform(list_zip(a, b), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END) AS h FROM p)
 SELECT user_id, list_sum(h)::DOUBLE AS matches, round(1 - list_sum(h) / len(h)::DOUBLE, 4) AS distance, list_max(list_transform(string_split(array_to_string(h, ''), '0'), lambda x: length(x)))::DOUBLE AS longest,
        list_sum(list_transform(string_split(array_to_string(h, ''), '0'), lambda x: length(x) * (length(x) + 1) / 2))::DOUBLE AS adjacency FROM h""")
