@@ -32,22 +32,24 @@ def pair_distances(df: DataFrame, keys: list[str], id_: str, vector: str, scale:
     return out.withColumn("dist", F.floor(F.col("dist") * scale).cast("long")) if scale else out
 
 
-def nearest(df: DataFrame, keys: list[str], id_: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+def nearest(df: DataFrame, keys: list[str], id_: str, vector: str, k: int, block: int = BLOCK, scale: int | None = None) -> DataFrame:
     """keys, source, target, dist, rank of the ``k`` nearest rows of the same key; ties by target.
 
+    With ``scale``, distances are scaled to integers, and tie as such.
+
     A key's rows are dealt to blocks of about ``block``; every pair of blocks is one numpy product that keeps k for
     each row, so a task holds two blocks, and n * blocks * k rows are ranked at the end, never all pairs.
     """
     import numpy as np
     import pandas as pd
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
     df, own = models.keyed(df, keys)
     sized = models.attach(df.select(*own, F.col(id_).alias("source"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")), df.groupBy(*own).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), own)
     dealt = sized.withColumn("b", F.pmod(F.xxhash64("source"), "blocks").cast("int"))
     asks = dealt.withColumn("i", F.col("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", F.lit(True))
     gives = dealt.withColumn("j", F.col("b")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", F.lit(False))
-    fields = [f for f in df.schema.fields if f.name in own] + [StructField("source", df.schema[id_].dataType), StructField("target", df.schema[id_].dataType), StructField("dist", DoubleType())]
+    fields = [f for f in df.schema.fields if f.name in own] + [StructField("source", df.schema[id_].dataType), StructField("target", df.schema[id_].dataType), StructField("dist", LongType() if scale else DoubleType())]
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         q, c = part[part["ask"]], part[~part["ask"]].sort_values("source")
@@ -58,9 +60,10 @@ def nearest(df: DataFrame, keys: list[str], id_: str, vector: str, k: int, block
         out = []
         for row, a in zip(q.itertuples(), x, strict=True):
             d = np.sqrt(((y - a) ** 2).sum(1))
+            d = np.floor(d * scale) if scale else d
             d[names == row.source] = np.inf
             best = np.argsort(d, kind="stable")[:k]
-            out += [(*[getattr(row, f) if f.isidentifier() and not f.startswith("_") else "all" for f in own], row.source, names[t], d[t]) for t in best if np.isfinite(d[t])]
+            out += [(*[getattr(row, f) if f.isidentifier() and not f.startswith("_") else "all" for f in own], row.source, names[t], int(d[t]) if scale else d[t]) for t in best if np.isfinite(d[t])]
         return pd.DataFrame(out, columns=[f.name for f in fields])
 
     found = asks.unionByName(gives).groupBy(*own, "i", "j").applyInPandas(work, StructType(fields))

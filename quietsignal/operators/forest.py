@@ -73,9 +73,9 @@ def grow(x: np.ndarray, tree: int, depth: int, choose: Callable[[int, int], tupl
 
 def samples(df: DataFrame, id_: str, attrs: list[str], trees: int, one_in: int) -> DataFrame:
     """tree, id, attrs: for each tree the rows whose hashed id falls into one of ``one_in`` cells."""
-    wide = df.select(F.col(id_).alias("id"), *[F.col(a).cast("double").alias(a) for a in attrs]).withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
-    cell = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("r"), F.col("tree"), F.col("id"))), 1, 8), 16, 10).cast("long")
-    return wide.where(cell % one_in == 0)
+    cell = lambda tree: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("r"), tree, F.col("id"))), 1, 8), 16, 10).cast("long")
+    own = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), lambda tree: cell(tree) % one_in == 0)
+    return df.select(F.col(id_).alias("id"), *[F.col(a).cast("double").alias(a) for a in attrs]).withColumn("tree", F.explode(own))
 
 
 def fit(sampled: DataFrame, attrs: list[str], depth: int, choose: Callable[[int, int], tuple[int, float]] = hash_choice, old: DataFrame | None = None) -> DataFrame:
@@ -103,25 +103,21 @@ def merge(old_sample: DataFrame, new_sample: DataFrame) -> DataFrame:
     return old_sample.unionByName(new_sample)
 
 
-def score(df: DataFrame, forest: DataFrame, attrs: list[str], key_filter: str | None = None) -> DataFrame:
-    """``score`` = 2 ^ (-mean path length / path_norm(rows of a tree's sample)), by following all trees in numpy.
+class Trees:
+    """A forest as arrays."""
 
-    A path ends in a leaf of n rows and counts its depth and path_norm(n).  The forest must have at most
-    MOST_NODES nodes, which is checked, and goes to the tasks whole.  ``key_filter`` chooses rows by SQL.
-    """
-    rows = forest.limit(MOST_NODES + 1).toPandas()
-    if len(rows) > MOST_NODES:
-        raise ValueError(f"the forest has more than {MOST_NODES} nodes")
-    trees = []
-    for _, part in rows.sort_values(["tree", "node"]).groupby("tree"):
-        at = {n: i for i, n in enumerate(part["node"])}
-        left = np.array([at.get(2 * n, -1) for n in part["node"]])
-        trees.append((part["attr"].fillna(0).to_numpy(int), part["split"].fillna(0).to_numpy(float), left, np.array([at.get(2 * n + 1, -1) for n in part["node"]]), np.array([int(n).bit_length() - 1 for n in part["node"]]) + path_norm(part["n"].to_numpy()), int(part["n"].iloc[0])))
-    norm = float(path_norm(np.mean([t[5] for t in trees]))) if trees else 1.0
-
-    def paths(x: np.ndarray) -> np.ndarray:
+    def __init__(self, rows: pd.DataFrame):
+        self.trees = []
+        for _, part in rows.sort_values(["tree", "node"]).groupby("tree"):
+            at = {n: i for i, n in enumerate(part["node"])}
+            child = lambda side: np.array([at.get(2 * n + side, -1) for n in part["node"]])  # noqa: B023, E731
+            length = np.array([int(n).bit_length() - 1 for n in part["node"]]) + path_norm(part["n"].to_numpy())
+            self.trees.append((part["attr"].fillna(0).to_numpy(int), part["split"].fillna(0).to_numpy(float), child(0), child(1), length, int(part["n"].iloc[0])))
+        self.norm = float(path_norm(np.mean([t[5] for t in self.trees]))) if self.trees else 1.0
+
+    def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        for attr, split, left, right, length, _ in trees:
+        for attr, split, left, right, length, _ in self.trees:
             node = np.zeros(len(x), int)
             while True:
                 inner = left[node] >= 0
@@ -130,11 +126,31 @@ def score(df: DataFrame, forest: DataFrame, attrs: list[str], key_filter: str |
                 go = x[np.arange(len(x)), attr[node]] >= split[node]
                 node = np.where(inner, np.where(go, right[node], left[node]), node)
             total += length[node]
-        return total / max(1, len(trees))
+        return 2.0 ** (-total / max(1, len(self.trees)) / max(self.norm, 1e-9))
+
+
+def score(df: DataFrame, forest: DataFrame, attrs: list[str], key_filter: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """``score`` = 2 ^ (-mean path length / path_norm(rows of a tree's sample)), by following all trees in numpy.
+
+    A path ends in a leaf of n rows and counts its depth and path_norm(n).  With ``keys``, a row follows the trees
+    of its own key (nodes of ``fit_by_key``); without a forest its score is null.  The forest must have at most
+    MOST_NODES nodes, which is checked, and goes to the tasks whole.  ``key_filter`` chooses rows by SQL.
+    """
+    rows = forest.limit(MOST_NODES + 1).toPandas()
+    if len(rows) > MOST_NODES:
+        raise ValueError(f"the forest has more than {MOST_NODES} nodes")
+    name = lambda values: tuple(None if pd.isna(v) else v for v in values)
+    own = {name(k): Trees(part) for k, part in rows.groupby(keys, dropna=False)} if keys else {(): Trees(rows)}
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(score=2.0 ** (-paths(frame[attrs].to_numpy(float)) / max(norm, 1e-9)))
+            x, out = frame[attrs].to_numpy(float), np.full(len(frame), np.nan)
+            parts = frame.groupby(keys, dropna=False).indices.items() if keys else [((), np.arange(len(frame)))]
+            for k, at in parts:
+                trees = own.get(name(k if isinstance(k, tuple) else (k,)))
+                if trees is not None:
+                    out[at] = trees.score(x[at])
+            yield frame.assign(score=pd.Series(out, frame.index).astype("Float64").mask(np.isnan(out)))
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -153,9 +169,12 @@ def fit_by_key(df: DataFrame, keys: list[str], attrs: list[str], trees: int = 10
     depth = depth or int(np.ceil(np.log2(max(2, subsample))))
     counts = df.groupBy(*own).agg(F.count("*").alias("__n"))
     take = F.when(F.col("__n") > subsample, F.lit(subsample)).otherwise(F.greatest(F.floor(F.col("__n") * 0.75), F.lit(1))).cast("int")
-    wide = models.attach(df.select(*own, *[F.col(a).cast("double").alias(a) for a in attrs]), counts, own).withColumn("__take", take).withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))))
-    h = F.pmod(F.xxhash64(F.lit(seed), "tree", *attrs), F.lit(1 << 30))
-    thinned = wide.withColumn("__h", h).where(F.col("__h").cast("double") * F.col("__n") <= F.lit(float(1 << 30)) * F.greatest(F.col("__take") * 4, F.lit(64)))
+    wide = models.attach(df.select(*own, *[F.col(a).cast("double").alias(a) for a in attrs]), counts, own).withColumn("__take", take)
+    # Only the trees that a row is a candidate of become rows.
+    h = lambda tree: F.pmod(F.xxhash64(F.lit(seed), tree, *attrs), F.lit(1 << 30))
+    few = F.lit(float(1 << 30)) * F.greatest(F.col("__take") * 4, F.lit(64))
+    own_trees = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), lambda tree: h(tree).cast("double") * F.col("__n") <= few)
+    thinned = wide.withColumn("tree", F.explode(own_trees)).withColumn("__h", h(F.col("tree")))
     ranked = thinned.withColumn("__k", F.row_number().over(Window.partitionBy(*own, "tree").orderBy("__h", *attrs))).where("__k <= __take")
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in own)
     choose = random_choice(seed)

@@ -199,20 +199,58 @@ def mahalanobis(df: DataFrame, model: DataFrame, s: Settings) -> DataFrame:
 
 
 STRATEGIES = {"zscore": (models.moments, zscore), "robustZscore": (models.medians, robust_zscore), "extremeValue": (models.moments, extreme_value)}
+#: Strategies over a histogram of bins, with the function that scores by it.
+BINNED = ("attributeProbability", "jointProbability", "cumulativeProbability", "metaProbability", "marginalProbability", "entropyIncrease")
 
 
-def detect(df: DataFrame, strategy: str, s: Settings, reference: DataFrame | None = None) -> DataFrame:
-    """Fit on ``reference`` (or the rows themselves), score, and tag by ``s``."""
+def bins_of(s: Settings) -> dict[str, Column]:
+    """A bin for each attribute: of ``extra["widths"][attr]`` from ``extra["lows"][attr]`` (0), or the value itself."""
+    widths, lows = s.extra.get("widths", {}), s.extra.get("lows", {})
+    return {f"__b{i}": models.bin_of(F.col(a), widths[a], lows.get(a, 0.0)) if a in widths else F.col(a) for i, a in enumerate(s.attrs)}
+
+
+def fit(df: DataFrame, strategy: str, s: Settings) -> DataFrame:
+    """The model table of a strategy, from all rows of ``df``."""
     if strategy == "interPercentile":
-        model = models.percentiles(df if reference is None else reference, s.keys, s.attrs, {"q25": 0.25, "q75": 0.75})
-        out = inter_percentile(df, model, s)
-    elif strategy in STRATEGIES:
-        fit, score = STRATEGIES[strategy]
-        out = score(df, fit(df if reference is None else reference, s.keys, s.attrs), s)
-    elif strategy == "mahalanobis":
-        out = mahalanobis(df, inverse_covariance(models.covariance(df if reference is None else reference, s.keys, s.attrs)), s)
-    else:
+        return models.percentiles(df, s.keys, s.attrs, {"q25": 0.25, "q75": 0.75})
+    if strategy == "mahalanobis":
+        return inverse_covariance(models.covariance(df, s.keys, s.attrs))
+    if strategy in BINNED:
+        bins = bins_of(s)
+        return models.histogram(df, s.keys, list(bins.values()), list(bins))
+    if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}")
+    return STRATEGIES[strategy][0](df, s.keys, s.attrs)
+
+
+def apply(df: DataFrame, model: DataFrame, strategy: str, s: Settings) -> DataFrame:
+    """``score`` by a model of ``fit``; ``df`` may be a stream.  ``extra["probability"]``: inverse or log."""
+    bins, how = bins_of(s), s.extra.get("probability", "inverse")
+    if strategy in ("attributeProbability", "cumulativeProbability") and len(s.attrs) > 1:
+        raise ValueError(f"{strategy} takes one attribute")
+    if strategy in ("attributeProbability", "jointProbability"):
+        return bin_probability(df, model, s.keys, bins, how)
+    if strategy == "cumulativeProbability":
+        return cumulative_probability(df, model, s.keys, "__b0", bins["__b0"])
+    if strategy == "metaProbability":
+        return meta_probability(df, model, s.keys, bins, how)
+    if strategy == "marginalProbability":
+        weights = s.weights or [1 / len(s.attrs)] * len(s.attrs)
+        return marginal_probability(df, model, s.keys, bins, weights, s.extra.get("only_if_missing", False))
+    if strategy == "entropyIncrease":
+        return entropy_increase(df, model, s.keys, bins)
+    if strategy == "interPercentile":
+        return inter_percentile(df, model, s)
+    if strategy == "mahalanobis":
+        return mahalanobis(df, model, s)
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return STRATEGIES[strategy][1](df, model, s)
+
+
+def detect(df: DataFrame, strategy: str, s: Settings, reference: DataFrame | None = None) -> DataFrame:
+    """Fit on ``reference`` (or the rows themselves), score, and tag by ``s``."""
+    out = apply(df, fit(df if reference is None else reference, strategy, s), strategy, s)
     return out.withColumn("tag", tag(F.col("score"), s.threshold, s.polarity, s.low))
 
 

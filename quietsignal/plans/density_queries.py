@@ -41,7 +41,8 @@ SCALED = PAIRS + ", s AS (SELECT label, i, j, floor(d * 1000)::BIGINT AS d FROM
 
 
 def scaled(t):
-    return density.pair_distances(t("embeddings"), ["label"], "vec_id", "embedding", scale=1000)
+    """What rests on ten neighbours takes these, not all pairs."""
+    return density.nearest(t("embeddings"), ["label"], "vec_id", "embedding", 10, scale=1000)
 
 
 @query("average_distance", SCALED + " SELECT i AS source, a AS avg_dist, q AS density FROM q")
@@ -156,6 +157,14 @@ def iforest_random(t):
     return forest.score(orders(t), nodes, ["p", "d"]).select("o_orderkey", r4("score"))
 
 
+@query("iforest_keyed")
+def iforest_keyed(t):
+    """A random forest for each priority, that scores the orders of its own key."""
+    rows = t("orders").select("o_orderkey", "o_orderpriority", (F.col("o_totalprice") / 1000).alias("p"), F.dayofmonth("o_orderdate").cast("double").alias("d"))
+    nodes = forest.fit_by_key(rows, ["o_orderpriority"], ["p", "d"], trees=25, subsample=64)
+    return forest.score(rows, nodes, ["p", "d"], keys=["o_orderpriority"]).select("o_orderkey", r4("score"))
+
+
 @query("spectral_residue")
 def spectral_residue(t):
     rows = t("events").select("user_id", "event_id", "value")

@@ -243,3 +243,26 @@ def discretised(t):
 def exp_scaled(t):
     out = record.detect(t("events"), "zscore", Settings(["user_id"], ["value"]))
     return out.groupBy("user_id").agg(round_to(F.avg(exp_scale(0.5, F.col("score")))).alias("mean_scaled"))
+
+
+BY_TYPE = Settings(["event_type"], ["value"], threshold=0.9, extra={"widths": {"value": 25}})
+BY_ORDER = Settings([], ["o_orderstatus", "o_orderpriority", "o_totalprice"], threshold=0.9, extra={"widths": {"o_totalprice": 100_000}})
+TAG9 = "CASE WHEN score > 0.9 THEN 'O' ELSE 'N' END AS tag"
+
+
+def detected(name: str, strategy: str, sql: str, table: str, id_: str, s: Settings, scale: int = 1) -> None:
+    """A query of ``record.detect`` for a strategy over a whole table; ``sql`` gives id and score."""
+
+    def run(t):
+        return record.detect(t(table), strategy, s).select(id_, round_to(F.col("score") * scale).alias("score"), "tag")
+
+    query(name, f"SELECT {id_}, round({scale} * score, 4) AS score, {TAG9} FROM ({sql})")(run)
+
+
+detected("detect_attribute", "attributeProbability", BINS + " SELECT event_id, 1 - n / total::DOUBLE AS score FROM b JOIN k USING (event_type, b)", "events", "event_id", BY_TYPE)
+detected("detect_joint", "jointProbability", JOINT + " SELECT o_orderkey, 1 - n / total AS score FROM b JOIN h USING (o_orderstatus, o_orderpriority, p), t", "orders", "o_orderkey", BY_ORDER)
+detected("detect_meta", "metaProbability", BINS + ", c AS (SELECT x.event_type, x.b, coalesce(sum(y.n), 0) / any_value(x.total)::DOUBLE AS q FROM k x LEFT JOIN k y ON x.event_type = y.event_type AND y.n < x.n GROUP BY ALL) SELECT event_id, 1 - q AS score FROM b JOIN c USING (event_type, b)", "events", "event_id", BY_TYPE)
+detected("detect_cumulative", "cumulativeProbability", BINS + ", c AS (SELECT event_type, b, sum(n) OVER (PARTITION BY event_type ORDER BY b) / total::DOUBLE AS f FROM k) SELECT event_id, greatest(f, 1 - f) AS score FROM b JOIN c USING (event_type, b)", "events", "event_id", BY_TYPE)
+detected("detect_entropy", "entropyIncrease", JOINT + " SELECT o_orderkey, greatest((log2(total + 1) - (s + (n + 1) * log2(n + 1) - n * log2(n)) / (total + 1)) / (log2(total) - s / total) - 1, 0) AS score FROM b JOIN h USING (o_orderstatus, o_orderpriority, p), t", "orders", "o_orderkey", BY_ORDER, 1000)
+detected("detect_marginal", "marginalProbability", """WITH s AS (SELECT o_orderstatus, count(*) / (SELECT count(*) FROM orders)::DOUBLE AS p FROM orders GROUP BY 1), q AS (SELECT o_orderpriority, count(*) / (SELECT count(*) FROM orders)::DOUBLE AS p FROM orders GROUP BY 1)
+SELECT o_orderkey, 0.6 * (1 - s.p) + 0.4 * (1 - q.p) AS score FROM orders JOIN s USING (o_orderstatus) JOIN q USING (o_orderpriority)""", "orders", "o_orderkey", Settings([], ["o_orderstatus", "o_orderpriority"], weights=[0.6, 0.4], threshold=0.9))

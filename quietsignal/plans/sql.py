@@ -14,24 +14,23 @@ FUNCTIONS = {
 }
 
 
-@udtf(returnType="seq bigint, value double, score double")
+@udtf(returnType="seq bigint, value double, score double", useArrow=True)
 class NeighborhoodScore:
-    """TABLE(t) PARTITION BY key ORDER BY seq, with columns seq and value: mean distance to the two nearest of five."""
+    """TABLE(t) PARTITION BY key ORDER BY seq, with columns seq and value, then window (5) and k (2): mean distance of
+    a window's middle row to its k nearest in the window.  Rows go to Python in Arrow batches; a window is kept."""
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
 
-    def eval(self, row) -> None:
+    def eval(self, row, window: int = 5, k: int = 2) -> None:
         self.rows.append((row["seq"], row["value"]))
-        if len(self.rows) == 5:
-            yield self.score(2)
+        if len(self.rows) == window:
+            at = window // 2
+            seq, v = self.rows[at]
+            gaps = sorted(abs(v - x) for i, (_, x) in enumerate(self.rows) if i != at)
+            yield seq, v, sum(gaps[:k]) / k
             self.rows.pop(0)
 
-    def score(self, at: int) -> tuple:
-        seq, v = self.rows[at]
-        gaps = sorted(abs(v - x) for k, (_, x) in enumerate(self.rows) if k != at)
-        return seq, v, (gaps[0] + gaps[1]) / 2
-
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to a session: SELECT exp_scale(1, zscore(v, m, s)), neighborhood_score(TABLE(...))."""

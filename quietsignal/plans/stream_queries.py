@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quietsignal.functions.score import round_to
 from quietsignal.operators import explore, forecast, models, record, series
 from quietsignal.operators.record import Settings
-from quietsignal.plans.record_queries import TAGGED, r4
-from quietsignal.plans.registry import query
+from quietsignal.plans.record_queries import BY_ORDER, BY_TYPE, TAGGED, r4
+from quietsignal.plans.registry import ORACLES, query
 from quietsignal.plans.series_queries import LAST4, TRANSITIONS, global_model
 from quietsignal.sources import generators
 from quietsignal.streaming import scorers
@@ -31,7 +31,10 @@ def stream_of(t, table: str):
 
 def finished(spark: SparkSession, stream):
     """Run a stream to its end into the session's shared folder and read the result back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+    base = base or tempfile.gettempdir()
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     scorers.run_to_folder(stream, f"{folder}/out", f"{folder}/state")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
@@ -52,6 +55,36 @@ def stream_markov(t):
     return finished(spark, scorers.markov(stream, "user_id", "event_type", "event_id", p, 4, 1.65)).select("user_id", "event_id", r4("score"))
 
 
+def streamed_markov(name: str, strategy: str, raw: str) -> None:
+    def run(t):
+        spark, stream = stream_of(t, "events")
+        p = {(r["prev"], r["cur"]): r["prob"] for r in global_model(t).collect()}
+        return finished(spark, scorers.markov(stream, "user_id", "event_type", "event_id", p, 4, 1.65, strategy=strategy)).select("user_id", "event_id", r4("score"))
+
+    query(name, TRANSITIONS + f" SELECT user_id, event_id, round(CASE WHEN i >= 4 THEN {raw} ELSE 0 END, 4) AS score FROM t")(run)
+
+
+streamed_markov("stream_markov_missprob", "missProbability", f"avg(miss) {LAST4}")
+streamed_markov("stream_markov_missrate", "missRate", f"avg(not_best) {LAST4}")
+streamed_markov("stream_markov_entropy", "entropyReduction", f"sum(h_all - h) {LAST4} / sum(h_all) {LAST4}")
+
+
+def streamed(name: str, strategy: str, s: Settings, table: str, id_: str, sql: str, scale: int = 1) -> None:
+    """A stream scored by a model of the whole table, through the same dispatcher as batches."""
+
+    def run(t):
+        spark, stream = stream_of(t, table)
+        out = scorers.score(stream, record.fit(t(table), strategy, s), strategy, s).select(id_, "score", "tag")
+        return finished(spark, out).select(id_, round_to(F.col("score") * scale).alias("score"), "tag")
+
+    query(name, sql)(run)
+
+
+streamed("stream_attribute", "attributeProbability", BY_TYPE, "events", "event_id", ORACLES["detect_attribute"])
+streamed("stream_meta", "metaProbability", BY_TYPE, "events", "event_id", ORACLES["detect_meta"])
+streamed("stream_entropy", "entropyIncrease", BY_ORDER, "orders", "o_orderkey", ORACLES["detect_entropy"], 1000)
+
+
 @query("stream_alerts", TAGGED + " SELECT event_id, user_id FROM t WHERE score > 0.95")
 def stream_alerts(t):
     s = Settings(["user_id"], ["value"], exp_const=1.0, threshold=0.9)

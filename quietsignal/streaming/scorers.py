@@ -15,16 +15,6 @@ from quietsignal.functions.score import tag
 from quietsignal.operators import record
 from quietsignal.operators.record import Settings
 
-#: Detectors whose batch functions serve streams unchanged: a stream joined with a static model.
-STATELESS: dict[str, Callable[[DataFrame, DataFrame, Settings], DataFrame]] = {
-    "zscore": record.zscore,
-    "robustZscore": record.robust_zscore,
-    "extremeValue": record.extreme_value,
-    "interPercentile": record.inter_percentile,
-    "mahalanobis": record.mahalanobis,
-}
-
-
 def read_files(spark: SparkSession, folder: str, schema: StructType, glob: str = "*", kind: str = "parquet", files_per_batch: int = 1, **options: str) -> DataFrame:
     """Files of a folder in the order of their times, some per micro-batch."""
     reader = spark.readStream.schema(schema).format(kind).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).option("latestFirst", "false")
@@ -43,39 +33,73 @@ def read_queue(spark: SparkSession, servers: str, topic: str) -> DataFrame:
 
 
 def score(stream: DataFrame, model: DataFrame, strategy: str, s: Settings) -> DataFrame:
-    """``score`` and ``tag`` for each row of a stream, by a model that was fitted before."""
-    return STATELESS[strategy](stream, model, s).withColumn("tag", tag(F.col("score"), s.threshold, s.polarity, s.low))
+    """``score`` and ``tag`` for each row of a stream, by a model of ``record.fit``.
+
+    Every strategy of ``record.apply`` serves streams unchanged: a stream joined with a static model.
+    """
+    return record.apply(stream, model, strategy, s).withColumn("tag", tag(F.col("score"), s.threshold, s.polarity, s.low))
 
 
-def markov(stream: DataFrame, key: str, state: str, seq: str, transitions: dict[tuple[str, str], float], window: int, threshold: float, cumulative: bool = False) -> DataFrame:
-    """key, seq, score, tag: mean -ln p of the transitions in a key's last ``window`` states (or all, ``cumulative``).
+def metric(transitions: dict[tuple[str, str], float], strategy: str) -> Callable[[str, str], tuple[float, float]]:
+    """What a transition adds to the two sums whose ratio is the score, as the batch metrics have it.
 
-    A key's state is its last states and the running sum and count, so it is small and bounded.  Unknown
-    transitions count as probability 1e-6.  Rows of a micro-batch are taken in the order of ``seq``.
+    Unknown transitions count as probability 1e-6, and as a miss.
     """
-    kinds = dict(stream.dtypes)
-    out, kept = f"{key} {kinds[key]}, {seq} {kinds[seq]}, score double, tag string", "recent array<string>, total double, count long"
+    best: dict[str, tuple] = {}
+    entropy: dict[str, float] = {}
+    own = lambda p: -p * np.log(p) if p > 0 else 0.0
+    for (a, b), p in transitions.items():
+        best[a] = min(best.get(a, (1.0, "")), (-p, b))
+        entropy[a] = entropy.get(a, 0.0) + own(p)
+    p = lambda a, b: transitions.get((a, b), 1e-6)
+    kinds: dict[str, Callable[[str, str], tuple[float, float]]] = {
+        "conditionalProbability": lambda a, b: (-np.log(max(p(a, b), 1e-6)), 1.0),
+        "missProbability": lambda a, b: (1 - p(a, b), 1.0),
+        "missRate": lambda a, b: (float(best.get(a, (0, None))[1] != b), 1.0),
+        "entropyReduction": lambda a, b: (entropy.get(a, 0.0) - own(transitions.get((a, b), 0.0)), entropy.get(a, 0.0)),
+    }
+    if strategy not in kinds:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return kinds[strategy]
+
+
+def markov(stream: DataFrame, key: str, state: str, seq: str, transitions: dict[tuple[str, str], float], window: int, threshold: float, cumulative: bool = False, strategy: str = "conditionalProbability") -> DataFrame:
+    """key, seq, score, tag: a metric (see ``metric``) over the transitions in a key's last ``window`` states (or all, ``cumulative``).
+
+    A key's state is its last states and two running sums, so it is small and bounded.  Rows of a micro-batch are
+    taken in the order of ``seq``.
+    """
+    kinds, of = dict(stream.dtypes), metric(transitions, strategy)
+    out, kept = f"{key} {kinds[key]}, {seq} {kinds[seq]}, score double, tag string", "recent array<string>, above double, below double"
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        recent, total, count = (list(kept.get[0]), kept.get[1], kept.get[2]) if kept.exists else ([], 0.0, 0)
+        recent, above, below = (list(kept.get[0]), kept.get[1], kept.get[2]) if kept.exists else ([], 0.0, 0.0)
         rows = pd.concat(list(frames)).sort_values(seq)
         scores = []
         for x in rows[state]:
             if recent:
-                total, count = total - np.log(transitions.get((recent[-1], x), 1e-6)), count + 1
+                one = of(recent[-1], x)
+                above, below = above + one[0], below + one[1]
             recent = [*recent, x][-window:]
             if cumulative:
-                scores.append(total / count if count else 0.0)
+                scores.append(above / below if below else 0.0)
             elif len(recent) < window:
                 scores.append(0.0)
             else:
-                scores.append(float(np.mean([-np.log(transitions.get(p, 1e-6)) for p in zip(recent, recent[1:], strict=False)])))
-        kept.update((recent, float(total), int(count)))
+                each = [of(*p) for p in zip(recent, recent[1:], strict=False)]
+                total = sum(y for _, y in each)
+                scores.append(float(sum(x for x, _ in each) / total) if total else 0.0)
+        kept.update((recent, float(above), float(below)))
         yield pd.DataFrame({key: [name[0]] * len(rows), seq: rows[seq].to_numpy(), "score": scores, "tag": ["O" if x > threshold else "N" for x in scores]})
 
     return stream.select(key, seq, state).groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
+def write_queue(scored: DataFrame, servers: str, topic: str, checkpoint: str, value: str = "to_json(struct(*))"):
+    """A writer of rows as messages of a Kafka topic (the connector must be on the class path); ``start()`` runs it."""
+    return scored.selectExpr(f"{value} AS value").writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+
+
 def windowed_stats(stream: DataFrame, keys: list[str], ts: str, attr: str, length: str, slide: str | None, late: str) -> DataFrame:
     """Statistics of an attribute by time window, rows later than ``late`` left out; an extension over row windows."""
     span = F.window(ts, length, slide) if slide else F.window(ts, length)

@@ -377,3 +377,66 @@ def test_empty_input(spark):
     assert series.discord(none, ["k"], "v", "i", "i", 3).count() == 0
     assert alerts.count_tags(none.withColumn("tag", F.lit("O")), ["k"]).count() == 0
     assert drift.ddm(none.withColumn("e", F.lit(1)), ["k"], "e", "i", "i", 5, 3.0).count() == 0
+
+
+def test_every_strategy_detects_and_serves_streams(spark, tmp_path):
+    rows = [("ab"[i % 2], i, float(i * i % 37), float(i * 7 % 11)) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, i long, v double, w double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    for strategy in [*record.STRATEGIES, "interPercentile", "mahalanobis", *record.BINNED]:
+        one = strategy in ("attributeProbability", "cumulativeProbability")
+        s = record.Settings(["k"], ["v"] if one else ["v", "w"], threshold=0.5, extra={"widths": {"v": 10, "w": 4}})
+        batch = {r["i"]: (r["score"], r["tag"]) for r in record.detect(df, strategy, s).collect()}
+        assert len(batch) == 80 and all(t in "ONI" for _, t in batch.values())
+        stream = scorers.read_files(spark, f"{tmp_path}/in", df.schema, "*.parquet")
+        scorers.run_to_folder(scorers.score(stream, record.fit(df, strategy, s), strategy, s), f"{tmp_path}/{strategy}/out", f"{tmp_path}/{strategy}/state")
+        got = {r["i"]: (r["score"], r["tag"]) for r in spark.read.parquet(f"{tmp_path}/{strategy}/out").collect()}
+        assert {i: (pytest.approx(x), t) for i, (x, t) in batch.items()} == got
+    with pytest.raises(ValueError):
+        record.detect(df, "unheard", s)
+
+
+@pytest.mark.parametrize("strategy", ["missProbability", "missRate", "entropyReduction", "conditionalProbability"])
+def test_stream_metrics_equal_batch_metrics(spark, tmp_path, strategy):
+    df = spark.createDataFrame([("ab"[i % 2], i, "xyz"[(i * i + i // 3) % 3]) for i in range(60)], "k string, i long, s string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    model = series.transition_model(df, [], "s", "i", "i", ["x", "y", "z"])
+    p = {(r["prev"], r["cur"]): r["prob"] for r in model.collect()}
+    stream = scorers.read_files(spark, f"{tmp_path}/in", df.schema, "*.parquet")
+    scorers.run_to_folder(scorers.markov(stream, "k", "s", "i", p, 4, 1.0, strategy=strategy), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {(r["k"], r["i"]): r["score"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = series.markov(df, model, ["k"], "s", "i", "i", 4, strategy, 1.0, model_keys=[]).collect()
+    assert len(got) == 60 and all(got[r["k"], r["i"]] == pytest.approx(r["score"]) for r in want)
+
+
+def test_keyed_forests_score_their_own_keys(spark):
+    rows = [("ab"[i % 2], i, float(i * 31 % 97), float(i * i % 53) + 40 * (i % 2)) for i in range(400)] + [("c", 999, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, i long, v double, w double")
+    nodes = forest.fit_by_key(df.where("k <> 'c'"), ["k"], ["v", "w"], trees=20, subsample=32)
+    got = {r["i"]: r["score"] for r in forest.score(df, nodes, ["v", "w"], keys=["k"]).collect()}
+    assert got[999] is None and len(got) == 401
+    for k in "ab":
+        own = {r["i"]: r["score"] for r in forest.score(df.where(f"k = '{k}'"), nodes.where(f"k = '{k}'").drop("k"), ["v", "w"]).collect()}
+        assert all(got[i] == pytest.approx(x) for i, x in own.items())
+    plain = nodes.where("k = 'a'").toPandas()
+
+    def path(tree, x, node=1):
+        r = tree[node]
+        if r.leaf:
+            return node.bit_length() - 1 + float(forest.path_norm(r.n))
+        return path(tree, x, 2 * node + int(x[int(r.attr)] >= r.split))
+
+    trees = [{r.node: r for r in part.itertuples()} for _, part in plain.groupby("tree")]
+    norm = float(forest.path_norm(sum(t[1].n for t in trees) / len(trees)))
+    for k, i, v, w in rows[:60:2]:
+        assert got[i] == pytest.approx(2 ** (-sum(path(t, (v, w)) for t in trees) / len(trees) / norm))
+
+
+def test_scaled_neighbours_are_those_of_all_pairs(spark):
+    rows = [(i % 2, i, [float(i * 7 % 13), float(i * i % 11)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, id long, v array<double>")
+    near = {(r["source"], r["target"]): (r["dist"], r["rank"]) for r in density.nearest(df, ["k"], "id", "v", 4, block=7, scale=10).collect()}
+    pairs = density.pair_distances(df, ["k"], "id", "v", scale=10).collect()
+    for source in range(60):
+        best = sorted((r["dist"], r["target"]) for r in pairs if r["source"] == source)[:4]
+        assert {t: (d, i + 1) for i, (d, t) in enumerate(best)} == {t: x for (s, t), x in near.items() if s == source}
