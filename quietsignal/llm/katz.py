@@ -10,7 +10,8 @@ and P(w) = d1(c) c / N for a token seen c times; what is left of 1 is the one un
 Good-Turing discounts for counts up to K (absolute ones where Good-Turing gives none); counts above K keep all
 but EPSILON, so that every context leaves something to unseen tokens and alpha normalises exactly.
 
-The tables are partitioned by hashed token and then by hashed context, and rows are blobs of packed arrays: a
+Words and contexts are known by 64-bit hashes: of 10 ** 10 different words about three pairs are expected to merge
+their counts.  The tables are partitioned by hashed token and then by hashed context, and rows are blobs of packed arrays: a
 map task sends each partition the distinct pairs of its documents with the documents they are in.  The steps:
 
 1. unigram counts (packed by partition): N, V, counts of counts, and the words so frequent that they need salt;
@@ -42,7 +43,6 @@ SLICE_TOKENS = 1_000_000
 BUCKET_CHARS = 24_000_000
 FIXED = 1e9
 END, START = np.uint64(0xE17A1465E17A1465), np.uint64(0x57A2757A2757A275)
-LOW = np.uint64(16)  # contexts are known by the upper 48 bits of their hash
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -192,13 +192,13 @@ def sent(rows: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
             before = np.empty_like(flat)
             before[1:] = flat[:-1]
             before[np.cumsum(sizes) - sizes] = START
-            w, h = spread(flat), spread(before) >> LOW
+            w, h = spread(flat), spread(before)
             doc = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
             hot = known.of_hot(w) >= 0
             out = [(int((base + number) % buckets), "ids", pack(np.array([x or 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), train))]
             for own in (~hot, hot):
                 x, y, z = w[own], h[own], doc[own]
-                at = bucket_of(x, buckets) if own is not hot else bucket_of(y << LOW, buckets)
+                at = bucket_of(x, buckets) if own is not hot else bucket_of(y, buckets)
                 order = np.lexsort((y, x, at)) if own is hot else np.lexsort((y, x))  # stable: documents ascend
                 x, y, z, at = x[order], y[order], z[order], at[order]
                 entry = runs(at, x, y, z)
@@ -207,8 +207,9 @@ def sent(rows: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
                 for bucket, a, b in pieces(at):
                     p = runs(x[a:b], y[a:b])
                     q = runs(x[a:b][p])
+                    contexts, code = np.unique(y[a:b][p], return_inverse=True)
                     blob = pack(
-                        x[a:b][p][q], np.diff(np.append(q, len(p))).astype(np.uint32), (y[a:b][p] >> LOW).astype(np.uint32), y[a:b][p].astype(np.uint16),
+                        x[a:b][p][q], np.diff(np.append(q, len(p))).astype(np.uint32), contexts, code.astype(np.uint16 if len(contexts) < 1 << 16 else np.uint32),
                         np.diff(np.append(p, b - a)).astype(np.uint32), z[a:b], times[a:b], train,
                     )
                     out.append((bucket, "pairs", blob))
@@ -239,17 +240,17 @@ def by_token(known: Unigrams, buckets: int):
         w, h, entries, doc, times, train, first = [], [], [], [], [], [], [0]
         place: dict[int, int] = {}
         for s, blob in zip(slices.tolist(), pairs["blob"], strict=True):
-            words, many, high, low, each, z, n, use = unpack(blob)
+            words, many, contexts, code, each, z, n, use = unpack(blob)
             if s not in place:
                 place[s] = first[-1]
                 first.append(first[-1] + len(use))
                 train.append(use)
             w.append(np.repeat(words, many))
-            h.append((high.astype(np.uint64) << LOW) | low)
+            h.append(contexts[code])
             entries.append(each)
             doc.append(z.astype(np.int64) + place[s])
             times.append(n)
-        del frame, pairs, words, many, high, low, each, z, n, use
+        del frame, pairs, words, many, contexts, code, each, z, n, use
         w, h, entries, doc, times, train = joined(w), joined(h), joined(entries), joined(doc), joined(times), joined(train)
         times = times.astype(np.int64)
         entries = entries.astype(np.int64)
@@ -298,7 +299,7 @@ def by_token(known: Unigrams, buckets: int):
                 out.append(("frequent", int(hot[i]), None, [int(x[i]) for x in stats], float(mass[i])))
             cold = hot < 0
             y, mass, stats = y[cold], mass[cold], [x[cold] for x in stats]
-            for bucket, a, b in pieces(bucket_of(y << LOW, buckets)):
+            for bucket, a, b in pieces(bucket_of(y, buckets)):
                 out.append(("alpha", bucket, pack(y[a:b], mass[a:b], *[x[a:b].astype(np.uint32 if k < K else np.int64) for k, x in enumerate(stats)]), None, None))
         lost = np.flatnonzero(r[to_entry] == 0)
         y = pair_h[to_entry[lost]]
@@ -306,7 +307,7 @@ def by_token(known: Unigrams, buckets: int):
         names = np.array(sorted(place, key=place.get), np.int64)
         which = np.searchsorted(edges, doc[lost], side="right")
         hot = hot_context(known, y) >= 0
-        at = np.where(hot, names[which] % buckets, bucket_of(y << LOW, buckets).astype(np.int64))
+        at = np.where(hot, names[which] % buckets, bucket_of(y, buckets).astype(np.int64))
         order = np.lexsort((y, at))
         y, at, lost, which = y[order], at[order], lost[order], which[order]
         for bucket, a, b in pieces(at):
@@ -319,12 +320,8 @@ def by_token(known: Unigrams, buckets: int):
 
 
 def hot_context(known: Unigrams, h: np.ndarray) -> np.ndarray:
-    """Place of a context in the list of frequent words, by its 48 bits, or -1."""
-    if not len(known.hot):
-        return np.full(len(h), -1)
-    short = known.hot >> LOW
-    at = np.minimum(np.searchsorted(short, h), len(short) - 1)
-    return np.where(short[at] == h, at, -1)
+    """Place of a context in the list of frequent words, or -1."""
+    return known.of_hot(h)
 
 
 def backoff(d: np.ndarray, stats: list[np.ndarray], mass: np.ndarray) -> np.ndarray:
