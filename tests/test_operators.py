@@ -119,6 +119,20 @@ def test_discord_against_plain_version(spark):
     assert got["b", 0] == 0.0
 
 
+@pytest.mark.parametrize("size", [12, 50])
+def test_discord_by_blocks_equals_one_search(spark, monkeypatch, size):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=60), rng.normal(size=33)
+    rows = table(spark, [("a", i, float(v)) for i, v in enumerate(x)])
+    other = table(spark, [("a", i, float(v)) for i, v in enumerate(y)])
+    monkeypatch.setattr(series, "DISCORD_BLOCK", size)
+    w, z = ([v[i : i + 5] for i in range(len(v) - 4)] for v in (x, y))
+    for ref, others, gap in ((None, w, 5), (other, z, 0)):
+        d = [min(math.sqrt(((w[i] - v) ** 2).mean()) for j, v in enumerate(others) if abs(i - j) >= gap) for i in range(56)]
+        got = {r["i"]: r["score"] for r in series.discord(rows, ["k"], "v", "i", "i", 5, ref).collect()}
+        assert all(got[i] == pytest.approx(max(d[max(0, i - 4) : min(i, 55) + 1])) for i in range(60))
+
+
 def test_discord_against_a_reference_finds_the_fault(spark):
     rows = generators.vibration(spark, machines=2, steps=600)
     out = workflows.reference_discord(rows, ~F.col("planted") & (F.col("ts") < 3000), ["machine"], "value", "ts", "ts", 20, 9.0)
