@@ -1,98 +1,147 @@
 """Concept drift monitors over keyed streams of classifier errors (0 or 1), by running windows.
 
 Each takes rows, the keys of a stream, its order (``seq``, ``tie``) and appends ``drift`` (0 or 1) with what the
-decision rests on.  Rows of the warm-up are not judged.
+decision rests on.  Rows of the warm-up are not judged.  With ``keep`` a row also has ``state``, a struct; the last one of
+each key (see ``state``) is what a next run takes as ``saved`` to go on as if it had never stopped.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietsignal.functions.score import sequence
 from quietsignal.operators import models
 
 
-def ddm(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, warm_up: int, factor: float) -> DataFrame:
+def resumed(df: DataFrame, saved: DataFrame | None, keys: list[str]) -> tuple[DataFrame, Callable[[str, Column], Column]]:
+    """Rows with the saved state of their key, and what a field of it is; the given default without one."""
+    if saved is None:
+        return df, lambda _, default: default
+    out = models.attach(df, saved.select(*keys, F.col("state").alias("__s")), keys)
+    return out, lambda name, default: F.coalesce(F.col(f"__s.{name}"), default)
+
+
+def finished(out: DataFrame, keep: bool, columns: list[str], **fields: Column) -> DataFrame:
+    """Without working columns; with ``keep`` also ``state``, from which a next run goes on after this row."""
+    if keep:
+        out = out.withColumn("state", F.struct(*[c.alias(n) for n, c in fields.items()]))
+    return out.drop(*columns, "__s")
+
+
+def ddm(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, warm_up: int, factor: float, saved: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Drift if p + s exceeds p_min + factor * s_min, the minimum of p + s up to the row before.
 
     p is the running error rate, s = sqrt(p (1 - p) / n); the minimum starts at the end of the warm-up.
     """
     w = sequence(keys, [seq, tie])
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("n", F.row_number().over(w)).withColumn("p", F.avg(F.col(err).cast("double")).over(run))
+    run, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    out, old = resumed(df, saved, keys)
+    n0, p0 = old("n", F.lit(0)), old("p", F.lit(0.0))
+    out = out.withColumn("n", n0 + F.row_number().over(w)).withColumn("p", F.avg(F.col(err).cast("double")).over(run) if saved is None else (n0 * p0 + F.sum(F.col(err).cast("double")).over(run)) / F.col("n"))
     out = out.withColumn("s", F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")))
-    state = F.when(F.col("n") >= warm_up, F.struct((F.col("p") + F.col("s")).alias("ps"), F.col("p").alias("p"), F.col("s").alias("s")))
-    out = out.withColumn("low", F.min(state).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    state_ = F.when(F.col("n") >= warm_up, F.struct((F.col("p") + F.col("s")).alias("ps"), F.col("p").alias("p"), F.col("s").alias("s")))
+    first = old("least", F.lit(None).cast("struct<ps:double,p:double,s:double>"))
+    out = out.withColumn("low", F.least(first, F.min(state_).over(before))).withColumn("__least", F.least(first, F.min(state_).over(run)))
     hit = (F.col("n") > warm_up) & (F.col("p") + F.col("s") > F.col("low.p") + factor * F.col("low.s"))
-    return out.withColumn("drift", F.coalesce(hit, F.lit(False)).cast("int")).drop("low")
+    out = out.withColumn("drift", F.coalesce(hit, F.lit(False)).cast("int"))
+    return finished(out, keep, ["low", "__least"], n=F.col("n"), p=F.col("p"), least=F.col("__least"))
 
 
-def eddm(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, warm_up: int, share: float) -> DataFrame:
+def eddm(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, warm_up: int, share: float, saved: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Drift if m + 2 sd of the distances between errors falls below ``share`` of its largest value so far.
 
     Only error rows after the first decide; other rows carry the last decision.
     """
     w = sequence(keys, [seq, tie])
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("n", F.row_number().over(w)).withColumn("__at", F.when(F.col(err) == 1, F.col("n")))
-    out = out.withColumn("__last", F.last("__at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    none = F.lit(None).cast("double")
+    out, old = resumed(df, saved, keys)
+    out = out.withColumn("n", old("n", F.lit(0)) + F.row_number().over(w)).withColumn("__at", F.when(F.col(err) == 1, F.col("n")))
+    out = out.withColumn("__last", F.coalesce(F.last("__at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), old("last", F.lit(None).cast("int"))))
     out = out.withColumn("__d", F.when(F.col(err) == 1, (F.col("n") - F.col("__last")).cast("double")))
-    level = F.avg("__d").over(run) + 2 * F.stddev_pop("__d").over(run)
+    zero = F.lit(0.0)
+    sums = {"count": old("count", zero) + F.count("__d").over(run), "sum": old("sum", zero) + F.coalesce(F.sum("__d").over(run), zero), "squares": old("squares", zero) + F.coalesce(F.sum(F.col("__d") * F.col("__d")).over(run), zero)}
+    for name, c in sums.items():
+        out = out.withColumn(f"__{name}", c)
+    mean = F.try_divide(F.col("__sum"), F.col("__count"))
+    level = F.avg("__d").over(run) + 2 * F.stddev_pop("__d").over(run) if saved is None else mean + 2 * F.sqrt(F.greatest(F.col("__squares") / F.col("__count") - mean * mean, zero))
     out = out.withColumn("level", F.when(F.col("__d").isNotNull(), level))
     # The warm-up sets the first maximum with its last value; after it every error counts.
-    start = F.last(F.when(F.col("n") <= warm_up, F.col("level")), ignorenulls=True).over(run)
-    later = F.max(F.when(F.col("n") > warm_up, F.col("level"))).over(run)
-    out = out.withColumn("__max", F.greatest(start, later))
-    own = F.when((F.col("n") > warm_up) & F.col("level").isNotNull(), (F.try_divide(F.col("level"), F.col("__max")) < share).cast("int"))
-    return out.withColumn("__f", own).withColumn("drift", F.coalesce(F.last("__f", ignorenulls=True).over(run), F.lit(0))).drop("__at", "__last", "__d", "__max", "__f")
+    out = out.withColumn("__start", F.coalesce(F.last(F.when(F.col("n") <= warm_up, F.col("level")), ignorenulls=True).over(run), old("start", none)))
+    out = out.withColumn("__later", F.greatest(F.max(F.when(F.col("n") > warm_up, F.col("level"))).over(run), old("later", none)))
+    own = F.when((F.col("n") > warm_up) & F.col("level").isNotNull(), (F.try_divide(F.col("level"), F.greatest("__start", "__later")) < share).cast("int"))
+    out = out.withColumn("__f", own).withColumn("drift", F.coalesce(F.last("__f", ignorenulls=True).over(run), old("drift", F.lit(0))))
+    now = F.coalesce("__at", "__last")
+    return finished(out, keep, ["__at", "__last", "__d", "__f", "__start", "__later", "__count", "__sum", "__squares"], n=F.col("n"), last=now, count=F.col("__count"), sum=F.col("__sum"), squares=F.col("__squares"), start=F.col("__start"), later=F.col("__later"), drift=F.col("drift"))
 
 
-def fhddm(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, window: int, confidence: float) -> DataFrame:
+def fhddm(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, window: int, confidence: float, saved: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Drift if the accuracy of the last ``window`` rows is below the best so far by Hoeffding's bound sqrt(ln(2 / d) / (2 window))."""
     bound = math.sqrt(math.log(2 / confidence) / (2 * window))
     w = sequence(keys, [seq, tie])
-    acc = 1 - F.avg(F.col(err).cast("double")).over(w.rowsBetween(-(window - 1), 0))
-    out = df.withColumn("n", F.row_number().over(w)).withColumn("accuracy", F.when(F.col("n") >= window, acc))
-    best = F.max("accuracy").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("drift", F.coalesce(best - F.col("accuracy") > bound, F.lit(False)).cast("int"))
-
-
-def paired_learners(df: DataFrame, keys: list[str], stable: str, reactive: str, seq: str, tie: str, threshold: float, warm_up: int = 0) -> DataFrame:
+    out, old = resumed(df, saved, keys)
+    frame = w.rowsBetween(-(window - 1), 0)
+    rate = F.avg(F.col(err).cast("double")).over(frame)
+    out = out.withColumn("n", old("n", F.lit(0)) + F.row_number().over(w))
+    if saved is not None or keep:
+        none = F.expr("CAST(array() AS array<double>)")
+        whole = F.concat(old("recent", none), F.collect_list(F.col(err).cast("double")).over(frame))
+        out = out.withColumn("__recent", whole).withColumn("__recent", F.slice("__recent", F.greatest(F.size("__recent") - window + 1, F.lit(1)), window))
+        rate = F.aggregate("__recent", F.lit(0.0), lambda a, x: a + x) / F.size("__recent")
+    out = out.withColumn("accuracy", F.when(F.col("n") >= window, 1 - rate))
+    out = out.withColumn("__best", F.greatest(F.max("accuracy").over(w.rowsBetween(Window.unboundedPreceding, 0)), old("best", F.lit(None).cast("double"))))
+    out = out.withColumn("drift", F.coalesce(F.col("__best") - F.col("accuracy") > bound, F.lit(False)).cast("int"))
+    return finished(out, keep, ["__best", "__recent"], n=F.col("n"), best=F.col("__best"), **({"recent": F.col("__recent")} if keep else {}))
+
+
+def paired_learners(df: DataFrame, keys: list[str], stable: str, reactive: str, seq: str, tie: str, threshold: float, warm_up: int = 0, saved: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Drift if the stable learner errs alone more often than the reactive one: (their difference) / n over ``threshold``."""
     w = sequence(keys, [seq, tie]).rowsBetween(Window.unboundedPreceding, 0)
     step = F.when((F.col(stable) == 1) & (F.col(reactive) == 0), 1).when((F.col(stable) == 0) & (F.col(reactive) == 1), -1).otherwise(0)
-    out = df.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("difference", F.sum(step).over(w) / F.col("n").cast("double"))
-    return out.withColumn("drift", ((F.col("n") > warm_up) & (F.col("difference") > threshold)).cast("int"))
+    out, old = resumed(df, saved, keys)
+    zero = F.lit(0).cast("long")
+    out = out.withColumn("n", old("n", zero) + F.count(F.lit(1)).over(w)).withColumn("__steps", old("steps", zero) + F.sum(step).over(w))
+    out = out.withColumn("difference", F.col("__steps") / F.col("n").cast("double"))
+    out = out.withColumn("drift", ((F.col("n") > warm_up) & (F.col("difference") > threshold)).cast("int"))
+    return finished(out, keep, ["__steps"], n=F.col("n"), steps=F.col("__steps"))
 
 
-def ecdd(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, smoothing: float, limit: float, warm_up: int = 0) -> DataFrame:
+def ecdd(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, smoothing: float, limit: float, warm_up: int = 0, saved: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """Drift if the exponentially weighted error rate z exceeds p + limit * sd of z.
 
     z = (1 - e) z + e x from 0; p is the running rate; sd^2 = p (1 - p) e (1 - (1 - e)^(2 (t - 1))) / (2 - e).  z is
     a recursion, so a key's rows go through one loop in an Arrow batch, with memory in proportion to their number.
     """
     import pandas as pd
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+
+    wide, old = resumed(df, saved, keys)
+    zero = F.lit(0.0)
+    wide = wide.withColumn("__t0", old("n", F.lit(0).cast("long"))).withColumn("__z0", old("z", zero)).withColumn("__p0", old("p", zero)).drop("__s")
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([seq, tie])
-        z = p = 0.0
-        zs, hits = [], []
-        for t, x in enumerate(part[err].to_numpy(float), 1):
+        start, z, p = (int(part["__t0"].iloc[0]), float(part["__z0"].iloc[0]), float(part["__p0"].iloc[0]))
+        ts, ps, zs, hits = [], [], [], []
+        for t, x in enumerate(part[err].to_numpy(float), start + 1):
             p += (x - p) / t
             z = (1 - smoothing) * z + smoothing * x
             sd = math.sqrt(max(0.0, p * (1 - p) * smoothing * (1 - (1 - smoothing) ** (2 * (t - 1))) / (2 - smoothing)))
+            ts.append(t)
+            ps.append(p)
             zs.append(z)
             hits.append(int(t > warm_up and z > p + limit * sd))
-        return part.assign(z=zs, drift=pd.Series(hits, index=part.index, dtype="int32"))
+        return part.assign(__t=ts, __p=ps, z=zs, drift=pd.Series(hits, index=part.index, dtype="int32"))[names]
 
-    df, own = models.keyed(df, keys)
-    schema = StructType([*df.schema.fields, StructField("z", DoubleType()), StructField("drift", IntegerType())])
-    out = df.groupBy(*own).applyInPandas(work, schema)
-    return out if keys else out.drop(models.ALL)
+    wide, own = models.keyed(wide, keys)
+    fields = [f for f in wide.schema.fields if f.name not in ("__t0", "__z0", "__p0")] + [StructField("z", DoubleType()), StructField("drift", IntegerType()), StructField("__t", LongType()), StructField("__p", DoubleType())]
+    names = [f.name for f in fields]
+    out = wide.groupBy(*own).applyInPandas(work, StructType(fields))
+    return finished(out, keep, ["__t", "__p", *([] if keys else [models.ALL])], n=F.col("__t"), z=F.col("z"), p=F.col("__p"))
 
 
 def ensemble(df: DataFrame, flags: list[str], consensus: int) -> DataFrame:

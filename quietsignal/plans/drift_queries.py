@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quietsignal.functions.score import round_to
@@ -81,3 +82,13 @@ def drift_resumed(t):
     saved = drift.state(run.where("n <= 20"), ["user_id"], ["n", "p"], *AT)
     rest = run.where("n > 20").select("user_id", "event_id", "x")
     return drift.resume_rate(rest, saved, ["user_id"], "x", *AT).select("event_id", F.col("n").cast("long").alias("n"), round_to(F.col("p")).alias("p"))
+
+
+@query("ddm_resumed", DDM + " SELECT event_id, drift FROM ddm QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 20")
+def ddm_resumed(t):
+    """DDM cut after 20 rows and gone on with, minima and all."""
+    rows = errors(t)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = rows.withColumn("__k", place)
+    saved = drift.state(drift.ddm(rows.where("__k <= 20"), ["user_id"], "x", *AT, 10, 3.0, keep=True), ["user_id"], ["state"], *AT)
+    return drift.ddm(rows.where("__k > 20").drop("__k"), ["user_id"], "x", *AT, 10, 3.0, saved=saved).select("event_id", "drift")

@@ -454,3 +454,20 @@ def test_scaled_neighbours_are_those_of_all_pairs(spark):
     for source in range(60):
         best = sorted((r["dist"], r["target"]) for r in pairs if r["source"] == source)[:4]
         assert {t: (d, i + 1) for i, (d, t) in enumerate(best)} == {t: x for (s, t), x in near.items() if s == source}
+
+
+@pytest.mark.parametrize("cut", [3, 11, 47])
+def test_drift_monitors_go_on_as_if_never_cut(spark, cut):
+    rng = np.random.default_rng(cut)
+    rows = [(k, i, int(rng.random() < (0.2 if i < 40 else 0.6)), int(rng.random() < 0.3)) for k in ("a", "b") for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, i long, x int, y int")
+    monitors = {
+        "ddm": lambda d, **o: drift.ddm(d, ["k"], "x", "i", "i", 10, 2.0, **o), "eddm": lambda d, **o: drift.eddm(d, ["k"], "x", "i", "i", 15, 0.8, **o), "fhddm": lambda d, **o: drift.fhddm(d, ["k"], "x", "i", "i", 12, 0.2, **o),
+        "paired": lambda d, **o: drift.paired_learners(d, ["k"], "x", "y", "i", "i", 0.1, 10, **o), "ecdd": lambda d, **o: drift.ecdd(d, ["k"], "x", "i", "i", 0.2, 1.5, 10, **o),
+    }
+    for name, run in monitors.items():
+        whole = {(r["k"], r["i"]): r["drift"] for r in run(df).collect()}
+        saved = drift.state(run(df.where(f"i < {cut}"), keep=True), ["k"], ["state"], "i", "i")
+        rest = {(r["k"], r["i"]): r["drift"] for r in run(df.where(f"i >= {cut}"), saved=saved).collect()}
+        assert rest == {k: v for k, v in whole.items() if k[1] >= cut}, name
+        assert sum(whole.values()), name
