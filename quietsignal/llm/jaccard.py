@@ -51,8 +51,8 @@ OP9, STAGE = Rule(3, 9, 10), Rule(5, 4, 5)
 BLOCK = 400
 #: The published method's weight of a heap step against a look-up, and sets that share a call.
 MU, SETS = 0.0085, 2_000
-#: Rows of (id, group) up to which they are broadcast to find the sets to verify, about 64 MB; above, they are joined.
-BROADCAST_ROWS = 2_000_000
+#: Rows of ids and digests up to which they are broadcast, about 120 bytes each as the check tool measures; above, they are joined.
+BROADCAST_ROWS = 400_000
 #: Sets in the sample (about), in how many of them a hash is frequent, and how many of the most frequent reach the driver.
 SAMPLE, OFTEN, MOST_FREQUENT = 5_000, 4, 200_000
 

@@ -404,6 +404,17 @@ def test_groups_against_plain_join(spark, monkeypatch, block):
     assert got == plain_components(list(dict(texts).items()))
 
 
+def test_groups_without_broadcasts(spark, monkeypatch):
+    """Above the switch rows are joined; the groups and the documents kept are the same."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    docs = documents(spark, near_copies(3) + [(i + 1000, t) for i, t in near_copies(4)])
+    results = []
+    for most in (jaccard.BROADCAST_ROWS, -1):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+        results.append([sorted(jaccard.groups(docs).collect()), sorted(r["doc_id"] for r in jaccard.one_of_each(docs).select("doc_id").collect())])
+    assert results[0] == results[1]
+
+
 def test_groups_of_odd_rows(spark):
     rows = jaccard.groups(documents(spark)).collect()
     assert len(rows) == len(TEXTS)
