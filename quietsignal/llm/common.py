@@ -32,6 +32,20 @@ def shared_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def drop_dead_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files behind tables that are checkpointed by now.
+
+    Spark deletes them when the driver's garbage collector finds their plans gone, which by itself may be long after.
+    The bridge to the JVM lets go of what Python dropped once a second, so that is waited for.
+    """
+    import gc
+    import time
+
+    gc.collect()
+    time.sleep(1.5)
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, from which bucket counts follow the size of the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsignal.llm.common import WordHash, crc_of_id, mixed, partitions, release, shared_checkpoints, space_words, table
+from quietsignal.llm.common import WordHash, crc_of_id, drop_dead_shuffles, mixed, partitions, release, shared_checkpoints, space_words, table
 
 K, EPSILON = 5, 1e-4
 #: Tokens that a map task holds before it sends their pairs.
@@ -411,6 +411,7 @@ def score(docs: DataFrame, held_out: Column, buckets: int | None = None) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out).alias("train"), "text")
     known = unigrams(rows, buckets)
     parts = sent(rows, known, buckets).groupBy("bucket").applyInPandas(by_token(known, buckets), PARTS).checkpoint()
+    drop_dead_shuffles(spark)  # the pairs sent by token, the largest part of what is on disk
     n = parts.where("kind = 'totals'").agg(*[F.coalesce(F.sum(F.get("numbers", F.lit(k))), F.lit(0)) for k in range(K + 1)]).first()
     d = discounts(np.array(n, np.int64))
     hot = np.zeros(len(known.hot))
