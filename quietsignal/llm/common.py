@@ -46,6 +46,29 @@ def drop_dead_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bits for each id in a filter of ids, and the most bits of a filter (32 MB).
+FILTER_BITS, MOST_BITS = 16, 1 << 28
+#: Bits in a row of Spark's bitmaps.
+BUCKET = 32_768
+
+
+def apart(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two: those whose doc_id is surely not among ``ids`` (doc_id, one row each; checkpointed), and the others.
+
+    The others are all that are among them and one in FILTER_BITS of the rest or fewer, so joins that shuffle texts need
+    only deal out these; an exact join must follow.  Rows with a null doc_id are among the first.  Beyond MOST_BITS more
+    rows are taken for others; no row is lost.
+    """
+    bits = min(MOST_BITS, max(BUCKET, 1 << (FILTER_BITS * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    bucket, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit(BUCKET - 1))
+    marks = ids.select(bucket.alias("__marked"), bit.alias("__bit")).repartition("__marked").groupBy("__marked").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    byte = F.conv(F.hex(F.substr("__map", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    seen = F.coalesce(F.col("doc_id").isNotNull() & (F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1), F.lit(False))
+    marked = rows.withColumn("__bucket", bucket).join(F.broadcast(marks), F.col("__bucket") == F.col("__marked"), "left").withColumn("__seen", seen)
+    return tuple(marked.where(F.col("__seen") == F.lit(which)).select(*(F.col(f"`{c}`") for c in rows.columns)) for which in (False, True))
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, from which bucket counts follow the size of the data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -13,7 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quietsignal.llm import chat, components, decontaminate, jaccard, language, licenses, pii, quality, queries, winnow
+from quietsignal.llm import chat, common, components, decontaminate, jaccard, language, licenses, pii, quality, queries, winnow
 from quietsignal.llm.common import crc_of_id_py
 from tests.llm.odd import LONG, TEXTS, documents, empty
 from tests.llm.test_text_operators import near_copies, plain_groups, plain_hits, plain_spans, sentences
@@ -300,6 +300,44 @@ def test_heap_merge_counts_like_a_counter(seed):
         assert found == sorted(found)
 
 
+def shuffled_bytes(spark, act):
+    """What ``act`` wrote to shuffle files, by the session's own count."""
+    sc = spark.sparkContext._jsc.sc()
+    written = lambda: sum(sc.statusStore().executorList(False).apply(k).totalShuffleWrite() for k in range(sc.statusStore().executorList(False).size()))
+    sc.listenerBus().waitUntilEmpty()
+    before = written()
+    act()
+    sc.listenerBus().waitUntilEmpty()
+    return written() - before
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_texts_are_not_dealt_out_above_the_switch(spark, monkeypatch, again):
+    """Where ids are too many to broadcast, only the texts that a filter of them lets through are shuffled."""
+    r = random.Random(1)
+    texts = [(i, f"one two three {i} four five six {i * 7} seven eight") for i in range(400)] + [(i + 1000, f"one two three {i} four five six {i * 7} seven eight") for i in range(0, 400, 100)]
+    texts += [(7, "zero under an id that is taken")] * again
+    wide = spark.createDataFrame([(i, t, r.randbytes(5000).hex()) for i, t in texts], "doc_id long, text string, wide string").repartition(3).checkpoint()
+    want = sorted(map(str, jaccard.one_of_each(wide).collect()))
+    long = wide.select("doc_id", F.concat_ws(" ", "text", "wide").alias("text"))
+    chosen = spark.createDataFrame([(i, 1, 2) for i in range(0, 400, 100)], "node long, cluster long, size long")
+    sets = sorted(map(str, jaccard.sets_in(long, chosen, jaccard.STAGE).collect()))
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", -1)
+    assert shuffled_bytes(spark, lambda: want == sorted(map(str, jaccard.one_of_each(wide).collect())) or pytest.fail("other rows")) < 1_000_000  # of 2 MB
+    assert shuffled_bytes(spark, lambda: sets == sorted(map(str, jaccard.sets_in(long, chosen, jaccard.STAGE).collect())) or pytest.fail("other sets")) < 1_000_000
+
+
+def test_rows_apart_by_a_filter_of_ids(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 100 != 1, F.col("id") - 5000).alias("doc_id"), F.lit("x").alias("a.b"))
+    for step, most in ((9, common.MOST_BITS), (9, common.BUCKET), (30_000, common.MOST_BITS)):
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        ids = spark.range(-5000, 20_000, step).select(F.col("id").alias("doc_id")).where("doc_id <> -5000")
+        sure, others = common.apart(rows, ids)
+        assert sure.columns == others.columns == rows.columns and sure.count() + others.count() == rows.count()
+        assert sure.join(ids, "doc_id").isEmpty() and others.where("doc_id IS NULL").isEmpty()
+        assert others.count() <= ids.count() + rows.count() // (common.FILTER_BITS if most > common.BUCKET else 4)
+
+
 def test_components_of_long_chains_and_wide_stars(spark):
     links = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000, 2001), (2001, 2001), (None, 5)] + [(1299, 3000)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
