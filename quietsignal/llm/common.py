@@ -53,7 +53,7 @@ BUCKET = 32_768
 
 
 def apart(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two: those whose doc_id is surely not among ``ids`` (doc_id, one row each; checkpointed), and the others.
+    """``rows`` in two: those whose doc_id is surely not among ``ids`` (doc_id, one row each; read three times), and the others.
 
     The others are all that are among them and one in FILTER_BITS of the rest or fewer, so joins that shuffle texts need
     only deal out these; an exact join must follow.  Rows with a null doc_id are among the first.  Beyond MOST_BITS more

@@ -71,6 +71,26 @@ def test_quality_query_against_plain_scores(spark):
     assert all(loss(model.weights) < loss(model.weights + 0.3 * v / np.linalg.norm(v)) for v in rng.normal(size=(20, quality.WIDTH)))
 
 
+def test_quality_is_learned_from_all_pairs_of_all_rows(spark):
+    """The weights minimise the loss of all pairs, and the threshold has exactly as many rows below it as are bad."""
+    r = random.Random(4)
+    marks = "!.,;:?-#$&"
+    texts = [(i, " ".join(sentences(1, i, 12, 500) + r.choice(marks[: 10 if i % 5 else 5]) for _ in range(2))) for i in range(20_000)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 2)) for i, _ in texts], "doc_id long, quality int")
+    docs = documents(spark, [*texts, (None, "no id"), (-1, "no label")])
+    model = quality.fit(docs, labels, F.lit(True))
+    x = np.array([quality.features(t) for _, t in texts])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale[x.std(0) > 1e-9], x.std(0)[x.std(0) > 1e-9])
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    u = z @ model.weights
+    g, b = (np.array([i % 5 > 2 for i, _ in texts]) == k for k in (True, False))
+    lost = [1 / (1 + np.exp(u[g][k : k + 500, None] - u[b])) for k in range(0, g.sum(), 500)]
+    slope = (sum(x.sum(0) for x in lost) @ z[b] - np.concatenate([x.sum(1) for x in lost]) @ z[g]) / g.sum() / b.sum() + 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-5
+    order = np.sort(u)
+    assert abs(model.threshold - (order[b.sum() - 1] + order[b.sum()]) / 2) < 1e-9
+
+
 def test_quality_keeps_odd_rows_whole(spark):
     model = quality.Model(np.zeros(quality.WIDTH), np.ones(quality.WIDTH), np.zeros(quality.WIDTH), -1.0)
     docs = documents(spark)
