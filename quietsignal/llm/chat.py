@@ -1,13 +1,12 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all turns before it are its context and only its reply is
-trainable.  Each turn is rendered once as a segment ``<|role|>text<|end|>``.  An example's context is the example
-before it in the conversation and the segments since (its parent and its fresh part), so examples grow with
-the input and not with the square of a conversation's length; ``written_out`` joins them to full texts.  Turns
-after the last reply stand in a last row that trains nothing.
+trainable.  Each turn is rendered as a segment ``<|role|>text<|end|>``, and an example is the whole text of the
+segments up to its reply.  Turns after the last reply stand in a last row that trains nothing.
 
-Conversations are formatted and read back in streams over rows sorted by conversation and turn: no task holds
-a conversation, only a turn, the sums and the running digests.
+Conversations are expanded and read back in streams over rows sorted by conversation and turn.  Examples are
+quadratic in a conversation's turns by nature; a task holds the text of one conversation, which is its largest
+example, and a bounded number of characters of examples that are on their way out.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quietsignal.llm.common import table
+from quietsignal.llm.common import SLICE_CHARS, table
 
 OPEN, SHUT, END = "<|", "|>", "<|end|>"
 #: What stands for the characters of the template's marks inside texts and roles.  The ampersand comes first.
@@ -56,53 +55,77 @@ def format_turns(conversations: DataFrame, trainable: str = "assistant") -> Data
 
 
 def expand(turns: DataFrame) -> DataFrame:
-    """The examples, one part a row: conv_id, example (1, 2, ...), parent (0: none), position, segment, chars (of the
-    example from its first turn to the end of this part), trains, and loss_start and loss_end, characters of the
-    whole example, of the part that is its reply.
+    """The examples in full, one a row, by conversation and example within a partition: conv_id, example (1, 2, ...),
+    parent (the example that this one goes on from; 0: none), position (of its last turn), formatted (all segments up
+    to that turn), loss_start and loss_end (characters of formatted: the reply), and trains.
 
-    A part with ``trains`` ends its example; the parts of an example before it are its fresh context, and what comes
-    before these is its parent.  Parts after the last reply belong to an example that no row ends.
+    The turns after a conversation's last reply end a last row, which holds the whole conversation and trains nothing:
+    its loss span is null.  A conversation's text may have 2 GB, as any value of a column.
     """
-    upto = Window.partitionBy("conv_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    trains = F.col("loss_start").isNotNull()
-    example = F.coalesce(F.sum(trains.cast("long")).over(upto), F.lit(0)) + 1
-    return turns.select(
-        "conv_id", example.alias("example"), (example - 1).alias("parent"), "position", "segment", (F.col("context_chars") + F.length("segment")).cast("long").alias("chars"),
-        trains.alias("trains"), (F.col("context_chars") + F.col("loss_start")).alias("loss_start"), (F.col("context_chars") + F.col("loss_end")).alias("loss_end"),
-    )
+    last = F.lead("position").over(Window.partitionBy("conv_id").orderBy("position")).isNull()
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    names = ["conv_id", "example", "parent", "position", "formatted", "loss_start", "loss_end", "trains"]
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, example, held, done = "", 0, 0, []
 
-def written_out(parts: DataFrame) -> DataFrame:
-    """The examples in full: conv_id, position, formatted, loss_start, loss_end (characters of formatted).
+        def out(conv: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [()] * len(names)
+            done.clear()
+            types = [conv, pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    This is quadratic in a conversation's turns by nature, and meant for conversations that fit a context window.
-    """
-    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("position", "segment"))).alias("all"))
-    own = parts.where("trains").select("conv_id", "position", "loss_start", "loss_end")
-    before = F.slice("all", F.lit(1), F.col("position") + 1)
-    return own.join(whole, own["conv_id"].eqNullSafe(whole["conv_id"])).select(own["conv_id"], "position", F.array_join(F.transform(before, lambda t: t["segment"]), "").alias("formatted"), "loss_start", "loss_end")
+        for batch in batches:
+            conv_type = batch.column(0).type
+            for conv, position, segment, start, end, ends in zip(*(batch.column(k).to_pylist() if k != 2 else batch.column(k) for k in range(6)), strict=True):
+                before = len(whole)
+                whole += segment.as_py()
+                if start is not None or ends:
+                    example += 1
+                    span = (None, None) if start is None else (before + start, before + end)
+                    done.append((conv, example, example - 1, position, whole, *span, start is not None))
+                    held += len(whole)
+                if ends:
+                    whole, example = "", 0
+                if held > SLICE_CHARS:
+                    yield out(conv_type)
+                    held = 0
+            yield out(conv_type)
+            held = 0
+
+    rows = turns.select("conv_id", "position", "segment", "loss_start", "loss_end", last.alias("ends")).sortWithinPartitions("conv_id", "position")
+    return rows.mapInArrow(work, f"conv_id {kind}, example long, parent long, position int, formatted string, loss_start long, loss_end long, trains boolean")
+
+
+def written_out(examples: DataFrame) -> DataFrame:
+    """The examples that train: conv_id, position, formatted, loss_start, loss_end (characters of formatted)."""
+    return examples.where("trains").select("conv_id", "position", "formatted", "loss_start", "loss_end")
 
 
 class Reader:
-    """What is read back of one conversation, part by part."""
+    """What is read back of one conversation, example by example."""
 
     def __init__(self) -> None:
-        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n_turns = self.loss_chars = self.formatted_chars = self.n_examples = self.example_chars = 0
-
-    def add(self, segment: str, chars: int, begin: int | None, end: int | None) -> None:
-        role, _, rest = segment[len(OPEN) :].partition(SHUT)
-        for x in (role, "\n", rest[: len(rest) - len(END)], "\n"):
-            self.turns.update(plain(x).encode("utf-8", "surrogatepass"))
-        self.n_turns, self.formatted_chars = self.n_turns + 1, chars
+        self.loss, self.last = hashlib.sha256(), ""
+        self.loss_chars = self.n_examples = self.example_chars = 0
+
+    def add(self, formatted: str, begin: int | None, end: int | None) -> None:
+        self.last = formatted
         if begin is not None:
-            before = chars - len(segment)  # of the example, in its parent and its fresh context
-            said = plain(segment[begin - before : end - before])
+            said = plain(formatted[begin:end])
             self.loss.update(said.encode("utf-8", "surrogatepass"))
-            self.loss_chars, self.n_examples, self.example_chars = self.loss_chars + len(said), self.n_examples + 1, self.example_chars + chars
+            self.loss_chars, self.n_examples, self.example_chars = self.loss_chars + len(said), self.n_examples + 1, self.example_chars + len(formatted)
 
     def row(self) -> tuple:
-        return self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.formatted_chars, self.n_examples, self.example_chars
+        """The turns are those of the last example, which holds the conversation."""
+        turns, n_turns, at = hashlib.sha256(), 0, 0
+        while at < len(self.last):
+            shut = self.last.index(SHUT, at + len(OPEN))
+            end = self.last.index(END, shut + len(SHUT))
+            for x in (self.last[at + len(OPEN) : shut], "\n", self.last[shut + len(SHUT) : end], "\n"):
+                turns.update(plain(x).encode("utf-8", "surrogatepass"))
+            n_turns, at = n_turns + 1, end + len(END)
+        return n_turns, turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), len(self.last), self.n_examples, self.example_chars
 
 
 def plain(text: str) -> str:
@@ -114,14 +137,14 @@ def plain(text: str) -> str:
 DIGESTS = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long"
 
 
-def read_back(parts: DataFrame, dealt: bool = False) -> DataFrame:
-    """Digests of each conversation, from nothing but the examples' parts and their loss spans.
+def read_back(examples: DataFrame, dealt: bool = False) -> DataFrame:
+    """Digests of each conversation, from nothing but the examples' texts and loss spans.
 
-    ``dealt``: the parts come straight from ``expand``, whose windows have dealt them by conversation.  A null conv_id is a conversation of its own; no parts give no rows.  Texts under the loss mask follow each
-    other in order of the examples.
+    ``dealt``: the examples come straight from ``expand``, dealt by conversation and in order.  A null conv_id is a
+    conversation of its own; no examples give no rows.  Texts under the loss mask follow each other in order of the examples.
     """
     names = ["conv_id", *[x.split()[0] for x in DIGESTS.split(", ")]]
-    kind = parts.schema["conv_id"].dataType.simpleString()
+    kind = examples.schema["conv_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, reader, done = None, None, []
@@ -135,20 +158,20 @@ def read_back(parts: DataFrame, dealt: bool = False) -> DataFrame:
         batch_type = pa.int64()
         for batch in batches:
             batch_type = batch.column(0).type
-            rows = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            for conv, segment, chars, begin, end in rows:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            for conv, formatted, begin, end in rows:
                 if reader is None or conv != at:
                     if reader is not None:
                         done.append((at, *reader.row()))
                     at, reader = conv, Reader()
-                reader.add(segment.as_py(), chars, begin, end)
+                reader.add(formatted.as_py(), begin, end)
             yield out()
         if reader is not None:
             done.append((at, *reader.row()))
         yield out()
 
-    ordered = (parts if dealt else parts.repartition("conv_id")).sortWithinPartitions("conv_id", "position")
-    return ordered.select("conv_id", "segment", "chars", "loss_start", "loss_end").mapInArrow(work, f"conv_id {kind}, {DIGESTS}")
+    ordered = examples if dealt else examples.repartition("conv_id").sortWithinPartitions("conv_id", "example")
+    return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(work, f"conv_id {kind}, {DIGESTS}")
 
 
 def op8_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:

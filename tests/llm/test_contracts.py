@@ -305,6 +305,28 @@ def test_examples_hold_all_turns_before_them(spark):
     assert all(r["parent"] == r["example"] - 1 for r in chained)
 
 
+def test_digests_are_read_from_examples_in_full(spark, monkeypatch):
+    """Each reply has a row with its whole prefix; what the query returns follows from these rows and changes with them."""
+    monkeypatch.setattr(chat, "SLICE_CHARS", 300)
+    rows = [(c, t, r, f"{r} {c} {t} <|end|> &amp; \u00e9") for c in (1, 2, 3, None) for t, r in enumerate(["end", "user", "assistant", "user", "assistant", "assistant", "a|"][: 7 - (c or 0)])] + [(9, 0, "user", None)]
+    rendered = lambda c, t, r, x: f"<|{r}|>" + (x or "").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") + "<|end|>"
+    examples = chat.expand(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).persist()
+    found = {(r["conv_id"], r["position"]): r for r in examples.collect()}
+    ends = {c: max(t for k, t, _, _ in rows if k == c) for c, *_ in rows}
+    assert sorted(found, key=str) == sorted(((c, t) for c, t, r, _ in rows if r == "assistant" or ends[c] == t), key=str)
+    for (c, t), e in found.items():
+        assert e["formatted"] == "".join(rendered(*x) for x in rows if x[0] == c and x[1] <= t)
+        own = next(x for x in rows if x[:2] == (c, t))
+        assert e["trains"] == (own[2] == "assistant") and (not e["trains"] or chat.plain(e["formatted"][e["loss_start"] : e["loss_end"]]) == own[3])
+    for word in ("user", "used"):
+        for r in chat.read_back(examples.withColumn("formatted", F.replace("formatted", F.lit("user"), F.lit(word)))).collect():
+            own = [x for x in rows if x[0] == r["conv_id"]]
+            written = "".join(f"{x[2]}\n{x[3] or ''}\n" for x in own).replace("user", word)
+            assert r["turns_sha256"] == hashlib.sha256(written.encode()).hexdigest()
+            assert r["n_turns"] == len(own) and r["example_chars"] == sum(len(e["formatted"]) for (c, _), e in found.items() if c == r["conv_id"] and e["trains"])
+    examples.unpersist()
+
+
 # op9
 
 
