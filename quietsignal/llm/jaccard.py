@@ -311,6 +311,7 @@ def searched(dealt: DataFrame, rule: Rule) -> DataFrame:
             side = None if part["side"].isna().any() else part["side"].to_numpy()
             links = occurrence_search([np.frombuffer(x, np.uint64) for x in part["set"]], side, rule, part["label"].to_numpy())
             out += [(nodes[a], nodes[b]) for a, b in links]
+        release()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.select("key", "search", "node", "side", "label", "set").groupBy("key").applyInPandas(work, "a long, b long")

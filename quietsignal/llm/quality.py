@@ -208,6 +208,7 @@ def over(rows: DataFrame) -> Sums:
                 total = part if total is None else total + part
             if total is not None:
                 yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["total"])
+            release()
 
         total = work(np.zeros((0, WIDTH)), np.zeros(0, np.int32))
         for r in few.mapInArrow(task, "total binary").collect():
