@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,11 +150,22 @@ class WordHash:
 
 
 def release() -> None:
-    """Give freed memory back to the system where the C library can; idle workers then hold little."""
+    """Give freed memory back to the system where Arrow and the C library can; idle workers then hold little."""
     import ctypes
     import gc
 
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
+
+
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` on batches, at the end of which memory is given back; by then all that it held is freed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release()
+
+    return whole

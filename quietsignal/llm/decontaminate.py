@@ -19,48 +19,66 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quietsignal.llm.arrays import let, running, upto
-from quietsignal.llm.common import WORD_BYTES, alnum_words, release, slices, table
+from quietsignal.llm.common import WORD_BYTES, alnum_words, released, slices, table
 
 WIDTH = 10
 #: Characters of benchmark text that one pass searches for.
 BLOCK_CHARS = 16_000_000
 SAMPLE_EVERY = 16
-#: Words of a shard, and words besides the benchmark's whose numbers a task keeps.
-SHARD_WORDS, MOST_WORDS = 1 << 20, 400_000
+#: Words of a shard.
+SHARD_WORDS = 1 << 20
+
+
+#: Each bit of a word of 64, and all bits below it.
+_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
+_BELOW = _BIT - np.uint64(1)
 
 
 class WaveletMatrix:
-    """Symbols below ``2 ** levels`` with rank and access for arrays of positions."""
+    """Symbols below ``2 ** levels`` with rank and access for arrays of positions.
+
+    A level holds its bits in words of 64, and how many ones stand before each word.
+    """
 
     def __init__(self, symbols: np.ndarray, levels: int):
-        self.levels, self.ones, self.zeros = levels, [], []
+        self.levels, self.words, self.before, self.zeros = levels, [], [], []
         for level in range(levels - 1, -1, -1):
             bit = (symbols >> level) & 1 == 1
-            ones = np.zeros(len(bit) + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.ones.append(ones)
-            self.zeros.append(int(len(bit) - ones[-1]))
+            words = np.zeros(len(bit) // 64 + 1, "<u8")
+            packed = np.packbits(bit, bitorder="little")
+            words.view(np.uint8)[: len(packed)] = packed
+            before = np.zeros(len(words) + 1, np.int32)
+            np.cumsum(np.bitwise_count(words), out=before[1:])
+            self.words.append(words)
+            self.before.append(before)
+            self.zeros.append(int(len(bit) - before[-1]))
             symbols = np.concatenate([symbols[~bit], symbols[bit]])
 
+    def _ones(self, k: int, at: np.ndarray) -> np.ndarray:
+        """How many ones stand before each position of a level."""
+        word = at >> 6
+        return self.before[k][word] + np.bitwise_count(self.words[k][word] & _BELOW[at & 63])
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each position."""
         first = np.zeros_like(at)
-        for k, (ones, zeros) in enumerate(zip(self.ones, self.zeros, strict=True)):
+        for k, zeros in enumerate(self.zeros):
             bit = (symbol >> (self.levels - 1 - k)) & 1 == 1
-            at, first = (np.where(bit, zeros + ones[x], x - ones[x]) for x in (at, first))
+            at, first = (np.where(bit, zeros + ones, x - ones) for x, ones in ((x, self._ones(k, x)) for x in (at, first)))
         return at - first
 
     def access(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbol at each position, and how often it stands before it."""
         symbol, first = np.zeros_like(at), np.zeros_like(at)
-        for ones, zeros in zip(self.ones, self.zeros, strict=True):
-            bit = ones[at + 1] - ones[at] == 1
-            at, first = (np.where(bit, zeros + ones[x], x - ones[x]) for x in (at, first))
+        for k, zeros in enumerate(self.zeros):
+            bit = self.words[k][at >> 6] & _BIT[at & 63] != 0
+            at, first = (np.where(bit, zeros + ones, x - ones) for x, ones in ((x, self._ones(k, x)) for x in (at, first)))
             symbol = symbol * 2 + bit
         return symbol, at - first
 
@@ -79,7 +97,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     first = np.where(gaps, np.cumsum(gaps) - 1, np.count_nonzero(gaps) + text - 1).astype(np.uint64)
     after = np.append(first[1:], np.uint64(0))
     wide = np.uint64(max(1, int(first.max()).bit_length()) if n else 1)
-    keys = np.sort((((first << wide) | after) << bits) | np.arange(n, dtype=np.uint64))
+    keys = (((first << wide) | after) << bits) | np.arange(n, dtype=np.uint64)
+    del first, after, gaps
+    keys.sort()
     order = (keys & low).astype(np.int64)
     slots, step = np.arange(n), 2
     rank = np.zeros(n, np.uint64)
@@ -110,7 +130,7 @@ class FMIndex:
         suffixes = suffix_array(text)
         before = text[suffixes - 1]
         self.n = len(text)
-        self.tree = WaveletMatrix(before, max(1, int(text.max()).bit_length()) if self.n else 1)
+        self.tree = WaveletMatrix(before.astype(np.int32), max(1, int(text.max()).bit_length()) if self.n else 1)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1))])  # rows that start with a smaller symbol
         self.sampled = (suffixes % SAMPLE_EVERY == 0) | (before == 0)
         self.place = np.where(self.sampled, suffixes, -1).astype(np.int32)
@@ -148,7 +168,6 @@ class Phrases:
 
     numbers: dict[bytes, int] = field(default_factory=dict)
     windows: dict[int, tuple[np.ndarray, list[list]]] = field(default_factory=dict)
-    vocabulary: dict[bytes, int] = field(default_factory=dict)  # numbers of these and of the documents' other words
 
     @classmethod
     def of(cls, items: list[tuple], width: int = WIDTH) -> Phrases:
@@ -164,9 +183,9 @@ class Phrases:
             out.windows[m] = np.array(list(own), np.int64).reshape(-1, m), [sorted(x for x in v if x is not None) for v in own.values()]
         return out
 
-    def numbered(self, text: str | None) -> list[int]:
-        """Numbers of a text's words; words of no window get further ones."""
-        known = self.vocabulary
+    @staticmethod
+    def numbered(text: str | None, known: dict[bytes, int]) -> list[int]:
+        """Numbers of a text's words; those that are not known yet get further ones."""
         words = alnum_words(text)
         out = list(map(known.get, words))
         if None in out:
@@ -177,23 +196,24 @@ class Phrases:
 
     def search(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set]]:
         """For each text: its number of words, merged spans of hit words (end exclusive), items found."""
-        if not self.vocabulary or len(self.vocabulary) > len(self.numbers) + MOST_WORDS:
-            self.vocabulary = dict(self.numbers)
-        split = [np.array(self.numbered(t), np.int64) for t in texts]
+        vocabulary = dict(self.numbers)  # and the texts' other words; no call leaves any behind
+        split = [np.array(self.numbered(t, vocabulary), np.int32) for t in texts]
+        symbols = len(vocabulary) + 1
+        del vocabulary
         sizes = np.array([len(x) for x in split], np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-        flat = np.zeros(starts[-1], np.int64)
+        flat = np.zeros(starts[-1], np.int32)
         for x, at in zip(split, starts, strict=False):
             flat[at : at + len(x)] = x
         del split
         out = [(int(n), [], set()) for n in sizes]
-        cover = np.zeros(len(flat) + 1, np.int64)
+        cover = np.zeros(len(flat) + 1, np.int32)
         longest = max(self.windows, default=1)
         for begin in range(0, len(flat) if self.windows else 0, SHARD_WORDS):
             shard = flat[begin : begin + SHARD_WORDS + longest]  # so no window is lost where a shard ends
             if shard[-1]:
                 shard = np.append(shard, 0)
-            present = np.zeros(len(self.vocabulary) + 1, bool)
+            present = np.zeros(symbols, bool)
             present[shard] = True
             present[0] = False
             dense = np.where(present, np.cumsum(present), 0)
@@ -251,13 +271,13 @@ def found_in(docs: DataFrame, items: list[tuple], kind: str, width: int, names:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for a, b in slices(texts):
-                found = phrases.search(texts[a:b])
+            for a, b in slices(pc.utf8_length(batch.column(text)).to_pylist()):
                 columns = [c.slice(a, b - a) for c in batch.columns]
+                texts = columns[text].to_pylist()
+                found = phrases.search(texts)
                 stay = [bool(f[1]) for f in found] if sparse else [True] * len(found)
                 if cut:
-                    own = [without(t, f[1]) if f[1] else t for t, f in zip(texts[a:b], found, strict=True)]
+                    own = [without(t, f[1]) if f[1] else t for t, f in zip(texts, found, strict=True)]
                     stay = [not f[1] or sum(y - x for x, y in f[1]) < f[0] for f in found]
                     columns[text] = pa.array(own, columns[text].type)
                     if sizes is not None:
@@ -266,12 +286,11 @@ def found_in(docs: DataFrame, items: list[tuple], kind: str, width: int, names:
                     values = [f[0] for f in found], [[{"start": x, "end": y} for x, y in f[1]] for f in found], [sorted(f[2]) for f in found]
                     columns += [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
                 yield pa.record_batch(columns, schema if cut else [*schema, *names]).filter(pa.array(stay, pa.bool_()))
-        release()
 
     if cut:
-        return docs.mapInArrow(work, docs.schema)
+        return docs.mapInArrow(released(work), docs.schema)
     added = StructType.fromDDL(", ".join(f"{n} {k}" for n, k in zip(names, more, strict=True)))
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, *added.fields]))
+    return docs.mapInArrow(released(work), StructType([*docs.schema.fields, *added.fields]))
 
 
 def merged(spans: Column) -> Column:
@@ -338,7 +357,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
             stay = [not x or sum(b - a for a, b in x) < n for x, n in zip(spans, words.to_pylist(), strict=True)]
             yield pa.record_batch(columns, schema.names).filter(pa.array(stay, pa.bool_()))
 
-    return found.mapInArrow(work, schema)
+    return found.mapInArrow(released(work), schema)
 
 
 def op4_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

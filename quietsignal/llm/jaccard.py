@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quietsignal.llm.common import WordHash, apart, drop_dead_shuffles, mixed, partitions, release, shared_checkpoints, space_words, table
+from quietsignal.llm.common import WordHash, apart, drop_dead_shuffles, mixed, partitions, release, released, shared_checkpoints, space_words, table
 from quietsignal.llm.components import components
 
 
@@ -169,9 +169,8 @@ def sets_of(docs: DataFrame, what: str, rule: Rule = OP9, frequent: np.ndarray |
                     columns.append(pa.array([h.tobytes() for h in sets], pa.binary()))
                 columns += [batch.column(2 + k) for k in range(len(more))]
                 yield pa.record_batch(columns, ["doc_id", "n_shingles", *kinds])
-        release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(released(work), schema)
 
 
 class Forest:

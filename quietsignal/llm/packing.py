@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsignal.llm.common import release, slices
+from quietsignal.llm.common import released, slices
 
 #: Characters of text that are split and looked up together.
 SLICE_CHARS = 1_500_000
@@ -185,9 +185,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                 yield out()
         packer.finish()
         yield out()
-        release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(work), SCHEMA)
 
 
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

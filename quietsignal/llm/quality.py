@@ -24,7 +24,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsignal.llm.common import apart, crc_of_id, release, table
+from quietsignal.llm.common import apart, crc_of_id, released, table
 
 #: Step of the grid of worths (its points stand for the rows between them to a millionth of a probability), points of
 #: the coarse grid that the curvature is taken from, bins in the search for a quantile, and most tasks of a sum.
@@ -192,7 +192,6 @@ def bradley_terry(every: Sums, ridge: float = 1e-3) -> Model:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.record_batch([batch.column(0), pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["y", "x"])
-    release()
 
 
 def over(rows: DataFrame) -> Sums:
@@ -208,10 +207,9 @@ def over(rows: DataFrame) -> Sums:
                 total = part if total is None else total + part
             if total is not None:
                 yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["total"])
-            release()
 
         total = work(np.zeros((0, WIDTH)), np.zeros(0, np.int32))
-        for r in few.mapInArrow(task, "total binary").collect():
+        for r in few.mapInArrow(released(task), "total binary").collect():
             total = total + np.frombuffer(zlib.decompress(r["total"]))
         return total
 
@@ -227,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     # Of the texts only those that a filter of the labelled ids lets through are shuffled.
     some = apart(docs.select("doc_id", "text"), own.select("doc_id"))[1]
     rows = some.join(own, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
-    kept = rows.select("y", "text").mapInArrow(_features, "y int, x binary").persist(StorageLevel.DISK_ONLY)
+    kept = rows.select("y", "text").mapInArrow(released(_features), "y int, x binary").persist(StorageLevel.DISK_ONLY)
     try:
         return bradley_terry(over(kept))
     finally:
@@ -257,9 +255,8 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(schema.names.index("text"))]).reshape(-1, WIDTH)
             yield batch.filter(pa.array(model.score(x) >= 0.5))
-        release()
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(released(work), schema)
 
 
 def op1_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:

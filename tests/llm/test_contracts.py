@@ -5,7 +5,10 @@ import math
 import os
 import random
 import re
+import tracemalloc
+import weakref
 from collections import defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -228,6 +231,54 @@ def test_suffix_arrays_and_shards(monkeypatch):
     assert decontaminate.Phrases.of(items).search(texts) == whole and any(f[1] for f in whole)
 
 
+def test_an_index_takes_few_bytes_a_word_and_a_search_leaves_none():
+    rng = np.random.default_rng(5)
+    text = np.append(rng.integers(1, 1 << 16, 100_000), 0)
+    tracemalloc.start()
+    try:
+        index = decontaminate.FMIndex(text)
+        assert tracemalloc.get_traced_memory()[0] < 16 * len(text)
+        del index
+        phrases = decontaminate.Phrases.of([(1, sentences(0, 1, 40, 9))])
+        texts = [" ".join(f"w{k}" for k in range(i, i + 5_000)) for i in range(0, 50_000, 5_000)]
+        before = tracemalloc.get_traced_memory()[0]
+        phrases.search(texts)
+        assert tracemalloc.get_traced_memory()[0] < before + 500_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_wavelet_levels_against_counting():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 63, 64, 65, 128, 1000):
+        text = rng.integers(0, 8, n)
+        tree = decontaminate.WaveletMatrix(text, 3)
+        for c in range(8):
+            at = np.arange(n + 1)
+            assert tree.rank(np.full(n + 1, c), at).tolist() == [int((text[:i] == c).sum()) for i in at]
+        symbol, rank = tree.access(np.arange(n))
+        assert symbol.tolist() == text.tolist() and rank.tolist() == [int((text[:i] == text[i]).sum()) for i in range(n)]
+
+
+def test_memory_is_given_back_after_what_held_it_is_freed(monkeypatch):
+    import pyarrow as pa
+
+    held, freed = [], []
+
+    def work(batches):
+        for own in map(np.copy, batches):
+            held.append(weakref.ref(own))
+            yield own
+
+    monkeypatch.setattr(common, "release", lambda: freed.append([r() for r in held]))
+    assert sum(map(len, common.released(work)([np.zeros(9)] * 3))) == 27 and freed == [[None] * 3]
+    monkeypatch.undo()
+    given = []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: given.append(1)))
+    common.release()
+    assert given == [1]
+
+
 # op6
 
 
