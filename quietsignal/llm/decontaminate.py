@@ -31,6 +31,8 @@ WIDTH = 10
 #: Characters of benchmark text that one pass searches for.
 BLOCK_CHARS = 16_000_000
 SAMPLE_EVERY = 16
+#: Characters of documents' text that are numbered and searched together.
+SLICE_CHARS = 1_000_000
 #: Words of a shard.
 SHARD_WORDS = 1 << 20
 
@@ -271,7 +273,7 @@ def found_in(docs: DataFrame, items: list[tuple], kind: str, width: int, names:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(pc.utf8_length(batch.column(text)).to_pylist()):
+            for a, b in slices(pc.utf8_length(batch.column(text)).to_pylist(), SLICE_CHARS):
                 columns = [c.slice(a, b - a) for c in batch.columns]
                 texts = columns[text].to_pylist()
                 found = phrases.search(texts)
