@@ -26,19 +26,22 @@ their contexts instead, and as contexts by slices of documents; their counts com
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from quietsignal.llm.common import WordHash, crc_of_id, drop_dead_shuffles, mixed, partitions, release, shared_checkpoints, space_words, table
+from quietsignal.llm.common import WordHash, crc_of_id, drop_dead_shuffles, mixed, partitions, release, released, shared_checkpoints, space_words, table
 
 K, EPSILON = 5, 1e-4
 #: Tokens that a map task holds before it sends their pairs.
 SLICE_TOKENS = 1_000_000
+#: Entries (a pair in a document) and documents that a reduce task expands together; a slice with more is expanded as a whole.
+CHUNK_ENTRIES = 250_000
 #: Characters of text for each partition of the tables, about what one task holds as arrays.
 BUCKET_CHARS = 24_000_000
 FIXED = 1e9
@@ -51,7 +54,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 
     head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
     body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+    return bytes(memoryview(zstandard.ZstdCompressor(level=1).compress(head + body)))  # what compress() returns holds a buffer for the whole input
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -169,10 +172,11 @@ def unigrams(rows: DataFrame, buckets: int) -> Unigrams:
         texts = int(c[w == np.uint64(end)].sum())
         return pd.DataFrame({"n": [int(c.sum())], "v": [len(c)], "texts": [texts], "counts": [np.bincount(np.minimum(c, K + 2), minlength=K + 3)[1 : K + 2].astype(np.int64)], "words": [w[many].view(np.int64)], "many": [c[many]]})
 
-    found = rows.mapInArrow(count, "bucket long, blob binary").groupBy("bucket").applyInPandas(total, "n long, v long, texts long, counts array<bigint>, words array<bigint>, many array<bigint>").checkpoint()
+    found = rows.mapInArrow(released(count), "bucket long, blob binary").groupBy("bucket").applyInPandas(freed(total), "n long, v long, texts long, counts array<bigint>, words array<bigint>, many array<bigint>").persist(StorageLevel.DISK_ONLY)
     sums = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("texts"), F.lit(0)), *[F.coalesce(F.sum(F.get("counts", F.lit(k))), F.lit(0)) for k in range(K + 1)]).first()
     each = found.select(F.explode(F.filter(F.arrays_zip("words", "many"), lambda x: x["many"] * 4 * buckets > sums[0])).alias("x"))
     hot = [(r[0], r[1]) for r in each.select("x.words", "x.many").collect()]  # under 4 * buckets words have so large a share
+    found.unpersist()
     return Unigrams(sums[0], sums[1], np.array(sums[3:], np.int64), sums[2], hot)
 
 
@@ -215,9 +219,8 @@ def sent(rows: DataFrame, known: Unigrams, buckets: int) -> DataFrame:
                     out.append((bucket, "pairs", blob))
             kinds = [pa.array([o[0] for o in out], pa.int64()), pa.array([base + number] * len(out), pa.int64()), pa.array([o[1] for o in out]), pa.array([o[2] for o in out], pa.binary())]
             yield pa.record_batch(kinds, ["bucket", "slice", "kind", "blob"])
-        release()
 
-    return rows.mapInArrow(work, "bucket long, slice long, kind string, blob binary")
+    return rows.mapInArrow(released(work), "bucket long, slice long, kind string, blob binary")
 
 
 def joined(parts: list[np.ndarray]) -> np.ndarray:
@@ -227,44 +230,62 @@ def joined(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def by_token(known: Unigrams, buckets: int):
-    """Reduce side of step 2."""
+def together(sizes: list[tuple[int, int]], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of (slice, size), sorted by slice: whole slices of at most ``limit`` together; a larger slice is a range of its own."""
+    first = last = size = own = 0  # own: size of the slice that began at ``last``
+    for i, (name, n) in enumerate(sizes):
+        if i and name != sizes[i - 1][0]:
+            last, own = i, 0
+        size, own = size + n, own + n
+        if size > limit and last > first:
+            yield first, last
+            first, size = last, own
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def freed(work: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """``work`` on a group, after which memory is given back; by then all that it held is freed."""
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        out = work(frame)
+        release()
+        return out
+
+    return whole
+
+
+def by_token(known: Unigrams, buckets: int, limit: int = CHUNK_ENTRIES):
+    """Reduce side of step 2.  The pairs are counted as a whole, their entries expanded a few slices at a time."""
     end = int(spread(np.array([END]))[0])
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = [("ids", r.slice, r.blob, None, None) for r in frame[frame["kind"] == "ids"].itertuples()]
-        pairs = frame[frame["kind"] == "pairs"]
+        pairs = frame[frame["kind"] == "pairs"].sort_values("slice", kind="stable")  # what frequent and other words sent stands together
         if not len(pairs):
             return pd.DataFrame(out, columns=["kind", "key", "blob", "numbers", "mass"])
-        slices = pairs["slice"].to_numpy()
-        w, h, entries, doc, times, train, first = [], [], [], [], [], [], [0]
-        place: dict[int, int] = {}
-        for s, blob in zip(slices.tolist(), pairs["blob"], strict=True):
+        slices = pairs["slice"].tolist()
+        w, h, own, entries, docs, times, texts = [], [], [], [], [], [], {}
+        for s, blob in zip(slices, pairs["blob"], strict=True):
             words, many, contexts, code, each, z, n, use = unpack(blob)
-            if s not in place:
-                place[s] = first[-1]
-                first.append(first[-1] + len(use))
-                train.append(use)
             w.append(np.repeat(words, many))
             h.append(contexts[code])
+            own.append(np.add.reduceat(n * use[z], np.cumsum(each, dtype=np.int64) - each).astype(np.uint32))
             entries.append(each)
-            doc.append(z.astype(np.int64) + place[s])
+            docs.append(z)
             times.append(n)
+            texts[s] = len(use)
         del frame, pairs, words, many, contexts, code, each, z, n, use
-        w, h, entries, doc, times, train = joined(w), joined(h), joined(entries), joined(doc), joined(times), joined(train)
-        times = times.astype(np.int64)
-        entries = entries.astype(np.int64)
-        start = np.cumsum(entries) - entries
-        own = np.add.reduceat(times * train[doc], start)
+        w, h, own = joined(w), joined(h), joined(own)
         order = np.lexsort((h, w))
-        at = runs(w[order], h[order])
-        group = np.empty(len(w), np.int64)
-        fresh = np.zeros(len(w), np.int64)
-        fresh[at] = 1
-        group[order] = np.cumsum(fresh) - 1
-        r = np.add.reduceat(own[order], at)
-        pair_w, pair_h = w[order[at]], h[order[at]]
-        del w, h, own, order, fresh
+        w, h = w[order], h[order]
+        at = runs(w, h)
+        r = np.add.reduceat(own[order].astype(np.int64), at)
+        pair_w, pair_h = w[at], h[at]
+        del w, h, own
+        group = np.empty(len(order), np.int64 if len(at) >> 31 else np.int32)
+        group[order] = np.repeat(np.arange(len(at), dtype=group.dtype), np.diff(np.append(at, len(order))))
+        del order, at
         per_word = runs(pair_w)
         cw = np.add.reduceat(r, per_word)
         hot = known.of_hot(pair_w[per_word])
@@ -273,20 +294,15 @@ def by_token(known: Unigrams, buckets: int):
         cw = np.repeat(cw, np.diff(np.append(per_word, len(r))))
         p1 = known.p(cw)
 
-        # Sums for each document.
-        with np.errstate(divide="ignore"):
-            log_r, log_w = np.log10(np.maximum(r, 1)), np.log10(np.maximum(cw, 1))
-        part = np.where(r > K, log_r + np.log10(1 - EPSILON), np.where(r == 0, np.log10(p1), 0.0)) - np.where(pair_w == np.uint64(end), 0.0, log_w)
-        to_entry = np.repeat(group, entries)
-        total = first[-1]
-        count = lambda x: np.bincount(doc, x * times, total)
-        sums = [count(np.log10(cw + 0.5)[to_entry]), count(part[to_entry])]
-        numbers = [count(np.ones(len(doc))), count((cw > 0)[to_entry])] + [count((r == k)[to_entry]) for k in range(1, K + 1)]
-        for s, a in place.items():
-            b = first[first.index(a) + 1]
-            out.append(("docs", s, pack(*[np.rint(x[a:b] * FIXED).astype(np.int64) for x in sums], *[x[a:b].astype(np.uint32) for x in numbers]), None, None))
-
-        # By context: what alpha needs, and the entries of pairs that were not seen.
+        # What a pair adds to a document's sums.
+        part = -np.log10(np.maximum(cw, 1))
+        part[pair_w == np.uint64(end)] = 0.0
+        part[r > K] += np.log10(r[r > K]) + np.log10(1 - EPSILON)
+        part[r == 0] += np.log10(p1[r == 0])
+        base, met = np.log10(cw + 0.5), cw > 0
+        del pair_w, per_word, cw, hot
+
+        # By context: what alpha needs.
         seen = r > 0
         order = np.argsort(pair_h[seen], kind="stable")
         y, n, q = pair_h[seen][order], r[seen][order], p1[seen][order]
@@ -301,19 +317,39 @@ def by_token(known: Unigrams, buckets: int):
             y, mass, stats = y[cold], mass[cold], [x[cold] for x in stats]
             for bucket, a, b in pieces(bucket_of(y, buckets)):
                 out.append(("alpha", bucket, pack(y[a:b], mass[a:b], *[x[a:b].astype(np.uint32 if k < K else np.int64) for k, x in enumerate(stats)]), None, None))
-        lost = np.flatnonzero(r[to_entry] == 0)
-        y = pair_h[to_entry[lost]]
-        edges = np.array(first[1:])
-        names = np.array(sorted(place, key=place.get), np.int64)
-        which = np.searchsorted(edges, doc[lost], side="right")
-        hot = hot_context(known, y) >= 0
-        at = np.where(hot, names[which] % buckets, bucket_of(y, buckets).astype(np.int64))
+            del at, stats, mass, hot, cold
+        del seen, order, y, n, q, p1
+        out.append(("totals", 0, None, np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].tolist(), None))
+
+        # Sums for each document, and the entries of pairs that were not seen.
+        lost_h, lost_slice, lost_doc, lost_times = [], [], [], []
+        edges = np.cumsum([0, *map(len, entries)])
+        for i, j in together([(s, len(z) + texts[s]) for s, z in zip(slices, docs, strict=True)], limit):
+            names = np.unique(slices[i:j])
+            first = np.cumsum([0, *(texts[s] for s in names.tolist())])
+            doc = np.concatenate([z + a for z, a in zip(docs[i:j], first[np.searchsorted(names, slices[i:j])], strict=True)])
+            to = np.repeat(group[edges[i] : edges[j]], np.concatenate(entries[i:j]))
+            many = np.concatenate(times[i:j]).astype(np.int64)
+            docs[i:j] = entries[i:j] = times[i:j] = [None] * (j - i)
+            seen = r[to]
+            count = lambda x: np.bincount(doc, x * many, first[-1])  # noqa: B023, E731
+            sums = [count(base[to]), count(part[to])]
+            numbers = [count(1), count(met[to])] + [count(seen == k) for k in range(1, K + 1)]
+            for s, a, b in zip(names.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                out.append(("docs", s, pack(*[np.rint(x[a:b] * FIXED).astype(np.int64) for x in sums], *[x[a:b].astype(np.uint32) for x in numbers]), None, None))
+            lost = np.flatnonzero(seen == 0)
+            which = np.searchsorted(first[1:], doc[lost], side="right")
+            lost_h.append(pair_h[to[lost]])
+            lost_slice.append(names[which])
+            lost_doc.append((doc[lost] - first[which]).astype(np.uint32))
+            lost_times.append(many[lost].astype(np.uint32))
+        del group, r, part, base, met, pair_h, doc, to, many, seen, sums, numbers, lost, which, count
+        y, names, doc, times = joined(lost_h), joined(lost_slice), joined(lost_doc), joined(lost_times)
+        at = np.where(hot_context(known, y) >= 0, names % buckets, bucket_of(y, buckets).astype(np.int64))
         order = np.lexsort((y, at))
-        y, at, lost, which = y[order], at[order], lost[order], which[order]
+        y, names, doc, times, at = y[order], names[order], doc[order], times[order], at[order]
         for bucket, a, b in pieces(at):
-            out.append(("unseen", bucket, pack(y[a:b], names[which[a:b]], (doc[lost[a:b]] - np.array(first)[which[a:b]]).astype(np.uint32), times[lost[a:b]].astype(np.uint32)), None, None))
-        out.append(("totals", 0, None, np.bincount(np.minimum(r, K + 2), minlength=K + 3)[1 : K + 2].tolist(), None))
-        release()
+            out.append(("unseen", bucket, pack(y[a:b], names[a:b], doc[a:b], times[a:b]), None, None))
         return pd.DataFrame(out, columns=["kind", "key", "blob", "numbers", "mass"])
 
     return work
@@ -401,7 +437,7 @@ def score(docs: DataFrame, held_out: Column, buckets: int | None = None) -> Data
     The model is learned from the rows that are not ``held_out``.  Null and empty texts have the end token only.
     Repeated rows count, and are scored, once each; a null doc_id stays null.  Without training rows every token
     is unknown and has probability 1.  Other columns are not read; an empty table gives no rows.  No step holds
-    more than a slice of documents or one partition of the tables.
+    more than a slice of documents or one partition of the tables, expanded a few slices of documents at a time.
     """
     spark = docs.sparkSession
     shared_checkpoints(spark)
@@ -410,7 +446,7 @@ def score(docs: DataFrame, held_out: Column, buckets: int | None = None) -> Data
         buckets = max(5 * partitions(spark) // 4, chars // BUCKET_CHARS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~held_out).alias("train"), "text")
     known = unigrams(rows, buckets)
-    parts = sent(rows, known, buckets).groupBy("bucket").applyInPandas(by_token(known, buckets), PARTS).checkpoint()
+    parts = sent(rows, known, buckets).groupBy("bucket").applyInPandas(freed(by_token(known, buckets)), PARTS).checkpoint()
     drop_dead_shuffles(spark)  # the pairs sent by token, the largest part of what is on disk
     n = parts.where("kind = 'totals'").agg(*[F.coalesce(F.sum(F.get("numbers", F.lit(k))), F.lit(0)) for k in range(K + 1)]).first()
     d = discounts(np.array(n, np.int64))
@@ -418,7 +454,7 @@ def score(docs: DataFrame, held_out: Column, buckets: int | None = None) -> Data
     frequent = parts.where("kind = 'frequent'").groupBy("key").agg(F.sum("mass"), *[F.sum(F.get("numbers", F.lit(k))) for k in range(K + 1)])
     for r in frequent.collect():  # at most the list of frequent words
         hot[r[0]] = backoff(d, [np.array([x]) for x in r[2:]], np.array([r[1]]))[0]
-    more = parts.where("kind IN ('alpha', 'unseen')").select("kind", "key", "blob").groupBy("key").applyInPandas(by_context(d, known, hot), "kind string, key long, blob binary")
+    more = parts.where("kind IN ('alpha', 'unseen')").select("kind", "key", "blob").groupBy("key").applyInPandas(freed(by_context(d, known, hot)), "kind string, key long, blob binary")
     every = parts.where("kind IN ('ids', 'docs')").select("kind", "key", "blob").unionByName(more)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return every.groupBy("key").applyInPandas(finished(d, known), schema)

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -264,6 +266,55 @@ def test_katz_without_rows(spark):
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows) == [(1, 0, 0), (3, 0, 0)]
 
 
+def pairs_sent(spark, docs, slices, buckets):
+    rows = documents(spark, docs).repartition(slices, "doc_id").select("doc_id", (crc_of_id("doc_id") % 5 != 1).alias("train"), "text")
+    known = katz.unigrams(rows, buckets)
+    return known, katz.sent(rows, known, buckets).toPandas().sort_values(["bucket", "kind", "slice"], kind="stable")
+
+
+def test_katz_expands_a_partition_in_parts(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    known, frame = pairs_sent(spark, [(i, " ".join(vocabulary[rng.zipf(1.3, 2500) % 3000])) for i in range(320)], 16, 1)
+    entries = sum(len(katz.unpack(b)[5]) for b in frame.loc[frame["kind"] == "pairs", "blob"])
+    work = katz.by_token(known, 1)
+    tracemalloc.start()
+    work(frame)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert entries > 400_000 and peak < 60 * entries
+
+
+def test_katz_memory_does_not_grow_with_documents():
+    w, h = katz.spread(np.array([katz.END])), katz.spread(np.array([katz.START]))
+    own, texts, peaks = np.arange(0, 2000, 40, dtype=np.uint32), 2000, []  # a partition meets few of the texts of each slice
+    blob = katz.pack(w, np.array([1], np.uint32), h, np.array([0], np.uint16), np.array([len(own)], np.uint32), own, np.ones(len(own), np.uint32), np.ones(texts, np.uint8))
+    for slices in (100, 500, 1000):  # first to import what is needed
+        frame = pd.DataFrame({"bucket": 0, "slice": range(slices), "kind": "pairs", "blob": [blob] * slices})
+        work = katz.by_token(katz.Unigrams(texts * slices, 1, np.zeros(6, np.int64), texts * slices, []), 1)
+        tracemalloc.start()
+        out = work(frame)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert all(katz.unpack(b)[2].sum() == len(own) for b in out.loc[out["kind"] == "docs", "blob"]) and (out["kind"] == "docs").sum() == slices
+    assert peaks[2] - peaks[1] < 16 * 500 * texts  # bytes for each further text, most of which have no entry here
+
+
+def test_katz_parts_do_not_change_results(spark):
+    known, frame = pairs_sent(spark, [(i, sentences(i, i, 60, 25)) for i in range(150)] + [(200 + i, " ".join(["the"] * 30 + [f"u{i}"])) for i in range(20)], 6, 3)
+    assert len(known.hot) and frame["slice"].nunique() > 3
+    for _, own in frame.groupby("bucket"):
+        whole, parts = katz.by_token(known, 3, 10**9)(own), katz.by_token(known, 3, 40)(own)
+        key = ["kind", "key", "blob"]
+        assert whole.fillna("")[key].sort_values(key[:2], kind="stable").values.tolist() == parts.fillna("")[key].sort_values(key[:2], kind="stable").values.tolist()
+
+
+def test_slices_stand_together():
+    sizes = [(1, 5), (1, 5), (2, 30), (2, 30), (3, 1), (4, 1), (5, 9), (6, 90)]
+    assert list(katz.together(sizes, 10)) == [(0, 2), (2, 4), (4, 6), (6, 7), (7, 8)]
+    assert list(katz.together(sizes, 10**9)) == [(0, 8)] and list(katz.together([], 10)) == []
+
+
 def test_packed_arrays_round_trip():
     arrays = [np.array([], np.uint64), np.arange(5, dtype=np.uint32), np.array([1.5, -2.0]), np.array([3], np.uint8)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, katz.unpack(katz.pack(*arrays)), strict=True))
