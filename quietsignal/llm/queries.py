@@ -8,6 +8,7 @@ from quietsignal.llm.jaccard import OP9_SQL, op9_divide_skip
 from quietsignal.llm.katz import op5_katz_backoff
 from quietsignal.llm.language import op7_compression_language
 from quietsignal.llm.licenses import op10_license_scan
+from quietsignal.llm.negatives import OP13_SQL, op13_vantage_negatives
 from quietsignal.llm.packing import op2_harmonic_packing
 from quietsignal.llm.pii import op3_bootstrapped_pii
 from quietsignal.llm.quality import op1_bradley_terry
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_prefix_target": op8_prefix_target,
     "op9_divide_skip": op9_divide_skip,
     "op10_license_scan": op10_license_scan,
+    "op13_vantage_negatives": op13_vantage_negatives,
 }
-ORACLES = {"op4_fm_index": OP4_SQL, "op8_prefix_target": OP8_SQL, "op9_divide_skip": OP9_SQL}
+ORACLES = {"op4_fm_index": OP4_SQL, "op8_prefix_target": OP8_SQL, "op9_divide_skip": OP9_SQL, "op13_vantage_negatives": OP13_SQL}
