@@ -12,6 +12,7 @@ from quietsignal.llm.negatives import OP13_SQL, op13_vantage_negatives
 from quietsignal.llm.packing import op2_harmonic_packing
 from quietsignal.llm.pii import op3_bootstrapped_pii
 from quietsignal.llm.quality import op1_bradley_terry
+from quietsignal.llm.secretscan import op12_crf_secrets
 from quietsignal.llm.spelling import OP11_SQL, op11_wildcard_groups
 from quietsignal.llm.winnow import op6_winnowing
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_divide_skip": op9_divide_skip,
     "op10_license_scan": op10_license_scan,
     "op11_wildcard_groups": op11_wildcard_groups,
+    "op12_crf_secrets": op12_crf_secrets,
     "op13_vantage_negatives": op13_vantage_negatives,
 }
 ORACLES = {"op4_fm_index": OP4_SQL, "op8_prefix_target": OP8_SQL, "op9_divide_skip": OP9_SQL, "op11_wildcard_groups": OP11_SQL, "op13_vantage_negatives": OP13_SQL}

@@ -54,7 +54,7 @@ def found(docs, one_in=97):
     return sorted((r["word"], r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in spelling.variants(docs, one_in).collect())
 
 
-@pytest.mark.parametrize("seed,one_in", [(1, 97), (2, 3)])
+@pytest.mark.parametrize("seed,one_in", [(2, 3), (4, 97)])
 def test_variants_against_all_pairs(spark, seed, one_in):
     """Words over three letters, so that groups are full, counts tie and roots are several steps away."""
     r = random.Random(seed)
