@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 OUTLIER, NORMAL, UNKNOWN, AMBIGUOUS = "O", "N", "I", "A"
 
 
+def number(c: Column | str) -> Column:
+    """A column as a double; NaN and infinities are nulls, so that one leaves its own row without a score and no other."""
+    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def exp_scale(constant: float, score: Column) -> Column:
     """1 - exp(-constant * score): 0 stays 0 and large scores come near 1."""
     return F.lit(1.0) - F.exp(F.lit(-float(constant)) * score)
@@ -43,7 +49,7 @@ def combine(scores: list[Column], how: str = "average", weights: list[float] | N
 
 
 def tag(score: Column, threshold: Column | float | None, polarity: str = "high", low: Column | float | None = None) -> Column:
-    """O or N by ``threshold``; I without a score; A without a threshold.
+    """O or N by ``threshold``; I without a score (or with NaN); A without a threshold.
 
     ``polarity``: high (score above threshold), low (below), or both / all (above threshold or below ``low``).
     """
@@ -58,7 +64,7 @@ def tag(score: Column, threshold: Column | float | None, polarity: str = "high",
         out = (score > limit) | (score < floor)
     else:
         raise ValueError(f"unknown polarity {polarity!r}")
-    return F.when(score.isNull(), UNKNOWN).when(limit.isNull(), AMBIGUOUS).when(out, OUTLIER).otherwise(NORMAL)
+    return F.when(score.isNull() | F.isnan(score), UNKNOWN).when(limit.isNull(), AMBIGUOUS).when(out, OUTLIER).otherwise(NORMAL)
 
 
 def sequence(keys: list[str], order: list[str]) -> WindowSpec:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietsignal.operators import models
+from quietsignal.operators.knn import nearest
 
-BLOCK = 1024
+#: The least mean reachability that ``lof`` counts with.
+LEAST_REACH = 1e-10
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
@@ -32,59 +34,29 @@ def pair_distances(df: DataFrame, keys: list[str], id_: str, vector: str, scale:
     return out.withColumn("dist", F.floor(F.col("dist") * scale).cast("long")) if scale else out
 
 
-def nearest(df: DataFrame, keys: list[str], id_: str, vector: str, k: int, block: int = BLOCK, scale: int | None = None) -> DataFrame:
-    """keys, source, target, dist, rank of the ``k`` nearest rows of the same key; ties by target.
-
-    With ``scale``, distances are scaled to integers, and tie as such.
-
-    A key's rows are dealt to blocks of about ``block``; every pair of blocks is one numpy product that keeps k for
-    each row, so a task holds two blocks, and n * blocks * k rows are ranked at the end, never all pairs.
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
-    df, own = models.keyed(df, keys)
-    sized = models.attach(df.select(*own, F.col(id_).alias("source"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v")), df.groupBy(*own).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), own)
-    dealt = sized.withColumn("b", F.pmod(F.xxhash64("source"), "blocks").cast("int"))
-    asks = dealt.withColumn("i", F.col("b")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", F.lit(True))
-    gives = dealt.withColumn("j", F.col("b")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", F.lit(False))
-    fields = [f for f in df.schema.fields if f.name in own] + [StructField("source", df.schema[id_].dataType), StructField("target", df.schema[id_].dataType), StructField("dist", LongType() if scale else DoubleType())]
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        q, c = part[part["ask"]], part[~part["ask"]].sort_values("source")
-        if not len(q) or not len(c):
-            return pd.DataFrame({f.name: [] for f in fields})
-        x, y = np.stack(q["v"].to_numpy()), np.stack(c["v"].to_numpy())
-        names = c["source"].to_numpy()
-        out = []
-        for row, a in zip(q.itertuples(), x, strict=True):
-            d = np.sqrt(((y - a) ** 2).sum(1))
-            d = np.floor(d * scale) if scale else d
-            d[names == row.source] = np.inf
-            best = np.argsort(d, kind="stable")[:k]
-            out += [(*[getattr(row, f) if f.isidentifier() and not f.startswith("_") else "all" for f in own], row.source, names[t], int(d[t]) if scale else d[t]) for t in best if np.isfinite(d[t])]
-        return pd.DataFrame(out, columns=[f.name for f in fields])
-
-    found = asks.unionByName(gives).groupBy(*own, "i", "j").applyInPandas(work, StructType(fields))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*own, "source").orderBy("dist", "target")))
-    out = ranked.where(F.col("rank") <= k)
-    return out if keys else out.drop(models.ALL)
+def key_columns(neighbours: DataFrame) -> list[str]:
+    """The keys of a table of neighbours: what stands before its sources."""
+    return neighbours.columns[: neighbours.columns.index("source")]
 
 
 def lof(neighbours: DataFrame) -> DataFrame:
-    """source, lof: the mean local reachability density of a row's neighbours over its own."""
-    kdist = neighbours.groupBy("source").agg(F.max("dist").alias("kd"))
-    reach = neighbours.join(kdist.withColumnRenamed("source", "target"), "target").withColumn("reach", F.greatest("dist", "kd"))
-    lrd = reach.groupBy("source").agg(F.try_divide(F.lit(1.0), F.avg("reach")).alias("lrd"))
-    theirs = neighbours.join(lrd.select(F.col("source").alias("target"), F.col("lrd").alias("other")), "target").groupBy("source").agg(F.avg("other").alias("other"))
-    return theirs.join(lrd, "source").select("source", F.try_divide("other", "lrd").alias("lof"))
+    """keys, source, lof: the mean local reachability density of a row's neighbours over its own.
+
+    Ids may repeat over keys.  A mean reachability below ``LEAST_REACH`` counts as that, so rows among more than k copies
+    of themselves get 1 and not null.
+    """
+    own = key_columns(neighbours)
+    kdist = neighbours.groupBy(*own, F.col("source").alias("target")).agg(F.max("dist").alias("kd"))
+    reach = models.attach(neighbours, kdist, [*own, "target"]).where(F.col("kd").isNotNull()).withColumn("reach", F.greatest("dist", "kd"))
+    lrd = reach.groupBy(*own, "source").agg((1 / F.greatest(F.avg("reach"), F.lit(LEAST_REACH))).alias("lrd"))
+    theirs = models.attach(neighbours, lrd.select(*own, F.col("source").alias("target"), F.col("lrd").alias("other")), [*own, "target"]).groupBy(*own, "source").agg(F.avg("other").alias("other"))
+    return models.attach(theirs, lrd, [*own, "source"]).where(F.col("lrd").isNotNull()).select(*own, "source", F.try_divide("other", "lrd").alias("lof"))
 
 
 def average_distance(pairs: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
     """keys, source, avg_dist: integer mean of the ``k`` smallest distances."""
     w = Window.partitionBy(*keys, "source").orderBy("dist", "target")
-    top = pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
+    top = pairs.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k)
     return top.groupBy(*keys, "source").agg(F.floor(F.sum("dist") / F.count("*")).cast("long").alias("avg_dist"))
 
 
@@ -96,31 +68,41 @@ def density(average: DataFrame, scale: int = 1_000_000) -> DataFrame:
 def neighbour_groups(pairs: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
     """keys, leader, member, place: each row leads a group of itself (0) and its ``k`` nearest."""
     w = Window.partitionBy(*keys, "source").orderBy("dist", "target")
-    top = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(*keys, F.col("source").alias("leader"), F.col("target").alias("member"), "place")
+    top = pairs.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= k).select(*keys, F.col("source").alias("leader"), F.col("target").alias("member"), F.col("__k").alias("place"))
     return top.unionByName(top.select(*keys, "leader").distinct().withColumn("member", F.col("leader")).withColumn("place", F.lit(0)))
 
 
 def relative_density(groups: DataFrame, densities: DataFrame, scale: int = 1000) -> DataFrame:
-    """leader, relative: the leader's density times ``scale`` over the sum of its group's (its own included)."""
-    joined = groups.join(densities.select(F.col("source").alias("member"), "density"), "member")
-    own = F.sum(F.when(F.col("place") == 0, F.col("density")))
-    return joined.groupBy("leader").agg(F.floor(own * scale / F.sum("density")).cast("long").alias("relative"))
+    """keys, leader, relative: the leader's density times ``scale`` over the sum of its group's (its own included)."""
+    own = groups.columns[: groups.columns.index("leader")]
+    joined = models.attach(groups, densities.select(*own, F.col("source").alias("member"), "density"), [*own, "member"])
+    leader = F.sum(F.when(F.col("place") == 0, F.col("density")))
+    return joined.groupBy(*own, "leader").agg(F.floor(leader * scale / F.sum("density")).cast("long").alias("relative"))
 
 
 def neighbour_drift(neighbours: DataFrame, later: DataFrame, top: int | None = None) -> DataFrame:
-    """source, drift: neighbours from the other half over those of its own, less 1; the ``top`` largest by size.
+    """keys, source, drift: neighbours from the other half over those of its own, less 1; the ``top`` largest by size.
 
-    ``later`` (id, late) tells each row's half; no neighbour of its own half counts as one.
+    ``later`` (keys, id, late) tells each row's half, or (id, late) where ids are unique over keys; no neighbour of its own half counts as one.
     """
-    a = neighbours.join(later.select(F.col("id").alias("source"), F.col("late").alias("la")), "source").join(later.select(F.col("id").alias("target"), F.col("late").alias("lb")), "target")
+    own = key_columns(neighbours)
+    by = [k for k in own if k in later.columns]
+    half = lambda of, name: later.select(*by, F.col("id").alias(of), F.col("late").alias(name))
+    a = models.attach(models.attach(neighbours, half("source", "la"), [*by, "source"]), half("target", "lb"), [*by, "target"]).where("la IS NOT NULL AND lb IS NOT NULL")
     other = F.count_if(F.col("la") != F.col("lb"))
-    out = a.groupBy("source").agg((other / F.greatest(F.count("*") - other, F.lit(1)) - 1).alias("drift"))
-    return out if top is None else out.orderBy(F.abs("drift").desc(), "source").limit(top)
+    out = a.groupBy(*own, "source").agg((other / F.greatest(F.count("*") - other, F.lit(1)) - 1).alias("drift"))
+    return out if top is None else out.orderBy(F.abs("drift").desc(), "source", *own).limit(top)
 
 
 def classifier_drift(neighbours: DataFrame, later: DataFrame) -> DataFrame:
-    """certainty: mean over rows of the larger share of a half among its neighbours; 0.5 if old and new mix, 1 if they part."""
-    votes = neighbours.join(later.select(F.col("id").alias("target"), "late"), "target").groupBy("source").agg(F.avg(F.col("late").cast("int").cast("double")).alias("p"))
+    """certainty: mean over rows of the larger share of a half among its neighbours; 0.5 if old and new mix, 1 if they part.
+
+    ``later`` as in ``neighbour_drift``.
+    """
+    own = key_columns(neighbours)
+    by = [k for k in own if k in later.columns]
+    known = models.attach(neighbours, later.select(*by, F.col("id").alias("target"), "late"), [*by, "target"]).where("late IS NOT NULL")
+    votes = known.groupBy(*own, "source").agg(F.avg(F.col("late").cast("int").cast("double")).alias("p"))
     return votes.agg(F.avg(F.greatest("p", 1 - F.col("p"))).alias("certainty"))
 
 
@@ -148,3 +130,6 @@ def cluster_distance(df: DataFrame, attrs: list[str], clusters: list[dict], exp_
     large = F.array_min(F.filter(F.array(*each), lambda c: c["large"]))
     score = F.when(nearest_["large"], nearest_["d"]).otherwise(large["d"])
     return df.withColumn("cluster", nearest_["id"]).withColumn("score", exp_scale(exp_const, score) if exp_const > 0 else score)
+
+
+__all__ = ["average_distance", "classifier_drift", "cluster_distance", "density", "distance", "large_clusters", "lof", "nearest", "neighbour_drift", "neighbour_groups", "pair_distances", "relative_density"]

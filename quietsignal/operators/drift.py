@@ -1,7 +1,7 @@
 """Concept drift monitors over keyed streams of classifier errors (0 or 1), by running windows.
 
 Each takes rows, the keys of a stream, its order (``seq``, ``tie``) and appends ``drift`` (0 or 1) with what the
-decision rests on.  Rows of the warm-up are not judged.  With ``keep`` a row also has ``state``, a struct; the last one of
+decision rests on.  Rows of the warm-up are not judged; a null error is not counted and leaves everything as it was.  With ``keep`` a row also has ``state``, a struct; the last one of
 each key (see ``state``) is what a next run takes as ``saved`` to go on as if it had never stopped.
 """
 
@@ -41,8 +41,9 @@ def ddm(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, warm_up: i
     run, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     out, old = resumed(df, saved, keys)
     n0, p0 = old("n", F.lit(0)), old("p", F.lit(0.0))
-    out = out.withColumn("n", n0 + F.row_number().over(w)).withColumn("p", F.avg(F.col(err).cast("double")).over(run) if saved is None else (n0 * p0 + F.sum(F.col(err).cast("double")).over(run)) / F.col("n"))
-    out = out.withColumn("s", F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n")))
+    x = F.col(err).cast("double")
+    out = out.withColumn("n", (n0 + F.count(x).over(run)).cast("int")).withColumn("p", F.avg(x).over(run) if saved is None else F.try_divide(n0 * p0 + F.coalesce(F.sum(x).over(run), F.lit(0.0)), F.col("n")))
+    out = out.withColumn("s", F.sqrt(F.try_divide(F.col("p") * (1 - F.col("p")), F.col("n"))))
     state_ = F.when(F.col("n") >= warm_up, F.struct((F.col("p") + F.col("s")).alias("ps"), F.col("p").alias("p"), F.col("s").alias("s")))
     first = old("least", F.lit(None).cast("struct<ps:double,p:double,s:double>"))
     out = out.withColumn("low", F.least(first, F.min(state_).over(before))).withColumn("__least", F.least(first, F.min(state_).over(run)))
@@ -60,7 +61,7 @@ def eddm(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, warm_up:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     none = F.lit(None).cast("double")
     out, old = resumed(df, saved, keys)
-    out = out.withColumn("n", old("n", F.lit(0)) + F.row_number().over(w)).withColumn("__at", F.when(F.col(err) == 1, F.col("n")))
+    out = out.withColumn("n", (old("n", F.lit(0)) + F.count(err).over(run)).cast("int")).withColumn("__at", F.when(F.col(err) == 1, F.col("n")))
     out = out.withColumn("__last", F.coalesce(F.last("__at", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), old("last", F.lit(None).cast("int"))))
     out = out.withColumn("__d", F.when(F.col(err) == 1, (F.col("n") - F.col("__last")).cast("double")))
     zero = F.lit(0.0)
@@ -86,7 +87,7 @@ def fhddm(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, window:
     out, old = resumed(df, saved, keys)
     frame = w.rowsBetween(-(window - 1), 0)
     rate = F.avg(F.col(err).cast("double")).over(frame)
-    out = out.withColumn("n", old("n", F.lit(0)) + F.row_number().over(w))
+    out = out.withColumn("n", (old("n", F.lit(0)) + F.count(err).over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("int"))
     if saved is not None or keep:
         none = F.expr("CAST(array() AS array<double>)")
         whole = F.concat(old("recent", none), F.collect_list(F.col(err).cast("double")).over(frame))

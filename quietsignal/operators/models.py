@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietsignal.functions.score import number
+
 ALL = "__all"
 
 
@@ -24,11 +26,11 @@ def same(left: str, right: str, keys: list[str]) -> Column:
 def attach(df: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of a model; rows without a model get nulls.  Spark broadcasts the model if it is small."""
     fields = [c for c in model.columns if c not in keys]
-    renamed = model.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *fields)
+    renamed = model.select(*[F.col(f"`{k}`").alias(f"__k_{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in fields])
     on = F.lit(True)
-    for k in keys:
-        on = on & df[k].eqNullSafe(renamed[f"__k_{k}"])
-    return df.join(renamed, on, "left").drop(*[f"__k_{k}" for k in keys])
+    for i, k in enumerate(keys):
+        on = on & df[f"`{k}`"].eqNullSafe(renamed[f"__k_{i}"])
+    return df.join(renamed, on, "left").drop(*[f"__k_{i}" for i in range(len(keys))])
 
 
 def moments(df: DataFrame, keys: list[str], attrs: list[str], least: int = 1) -> DataFrame:
@@ -36,16 +38,16 @@ def moments(df: DataFrame, keys: list[str], attrs: list[str], least: int = 1) ->
     df, keys = keyed(df, keys)
     out = []
     for a in attrs:
-        x = F.col(a).cast("double")
-        out += [F.count(a).alias(f"{a}_n"), F.sum(x).alias(f"{a}_sum"), F.sum(x * x).alias(f"{a}_sumsq"), F.avg(x).alias(f"{a}_mean"), F.stddev_pop(x).alias(f"{a}_sd")]
+        x = number(a)
+        out += [F.count(x).alias(f"{a}_n"), F.sum(x).alias(f"{a}_sum"), F.sum(x * x).alias(f"{a}_sumsq"), F.avg(x).alias(f"{a}_mean"), F.stddev_pop(x).alias(f"{a}_sd")]
     return df.groupBy(*keys).agg(*out, F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
 
 
 def medians(df: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
     """keys, and for each attribute the median and the median absolute deviation (not scaled)."""
     df, keys = keyed(df, keys)
-    first = df.groupBy(*keys).agg(*[F.median(F.col(a).cast("double")).alias(f"{a}_med") for a in attrs])
-    second = attach(df.select(*keys, *attrs), first, keys).groupBy(*keys, *[f"{a}_med" for a in attrs]).agg(*[F.median(F.abs(F.col(a).cast("double") - F.col(f"{a}_med"))).alias(f"{a}_mad") for a in attrs])
+    first = df.groupBy(*keys).agg(*[F.median(number(a)).alias(f"{a}_med") for a in attrs])
+    second = attach(df.select(*keys, *attrs), first, keys).groupBy(*keys, *[f"{a}_med" for a in attrs]).agg(*[F.median(F.abs(number(a) - F.col(f"{a}_med"))).alias(f"{a}_mad") for a in attrs])
     return second
 
 
@@ -53,12 +55,12 @@ def percentiles(df: DataFrame, keys: list[str], attrs: list[str], shares: dict[s
     """keys, and ``{attr}_{name}`` for each share; approximate ones need bounded memory whatever the key's size."""
     df, keys = keyed(df, keys)
     compute = F.percentile if exact else (lambda x, p: F.percentile_approx(x, p, 10_000))
-    return df.groupBy(*keys).agg(*[compute(F.col(a).cast("double"), F.lit(p)).alias(f"{a}_{name}") for a in attrs for name, p in shares.items()])
+    return df.groupBy(*keys).agg(*[compute(number(a), F.lit(p)).alias(f"{a}_{name}") for a in attrs for name, p in shares.items()])
 
 
 def bin_of(value: Column, width: float, low: float = 0.0) -> Column:
     """Fixed-width bin number."""
-    return F.floor((value.cast("double") - F.lit(float(low))) / F.lit(float(width))).cast("long")
+    return F.floor((number(value) - F.lit(float(low))) / F.lit(float(width))).cast("long")
 
 
 def histogram(df: DataFrame, keys: list[str], bins: list[Column], names: list[str]) -> DataFrame:
@@ -71,6 +73,6 @@ def histogram(df: DataFrame, keys: list[str], bins: list[Column], names: list[st
 def covariance(df: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
     """keys, means (array) and the flattened population covariance matrix (array), by one aggregation."""
     df, keys = keyed(df, keys)
-    means = F.array(*[F.avg(F.col(a).cast("double")) for a in attrs]).alias("means")
-    cells = F.array(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) for a in attrs for b in attrs]).alias("cov")
+    means = F.array(*[F.avg(number(a)) for a in attrs]).alias("means")
+    cells = F.array(*[F.covar_pop(number(a), number(b)) for a in attrs for b in attrs]).alias("cov")
     return df.groupBy(*keys).agg(means, cells, F.count("*").alias("n"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietsignal.functions.score import combine, exp_scale, logistic_scale, tag
+from quietsignal.functions.score import combine, exp_scale, logistic_scale, number, tag
 from quietsignal.operators import models
 
 
@@ -52,7 +52,7 @@ def _scored(df: DataFrame, model: DataFrame, s: Settings, one) -> DataFrame:
 
 
 def _num(a: str) -> Column:
-    return F.col(a).cast("double")
+    return number(a)
 
 
 def zscore(df: DataFrame, model: DataFrame, s: Settings) -> DataFrame:

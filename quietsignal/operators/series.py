@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +28,13 @@ def transition_model(df: DataFrame, keys: list[str], state: str, seq: str, tie:
     return full.withColumn("prob", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*own, "prev")))).drop("n")
 
 
+#: What conditional probability counts for an impossible transition, and for one of a state that the model lacks.
+LEAST_PROBABILITY = 1e-6
+
+
 def transition_metrics(model: DataFrame, keys: list[str]) -> DataFrame:
-    """For each transition what every strategy needs: p, miss, is_best, h_other, h_all, neg_log (0 log 0 is 0)."""
+    """For each transition what every strategy needs: p, miss, not_best, h_other, h_all (0 log 0 is 0), and neg_log with
+    the probability at least ``LEAST_PROBABILITY``."""
     own = keys or [models.ALL]
     row = Window.partitionBy(*own, "prev")
     h = F.when(F.col("prob") > 0, -F.col("prob") * F.ln(F.col("prob"))).otherwise(0.0)
@@ -37,7 +44,7 @@ def transition_metrics(model: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("h", h)
         .withColumn("h_all", F.sum(h).over(row))
         .withColumn("h_other", F.col("h_all") - F.col("h"))
-        .withColumn("neg_log", F.when(F.col("prob") > 0, -F.ln(F.col("prob"))))
+        .withColumn("neg_log", -F.ln(F.greatest("prob", F.lit(LEAST_PROBABILITY))))
     )
 
 
@@ -47,6 +54,10 @@ def markov(df: DataFrame, model: DataFrame, keys: list[str], state: str, seq: st
     ``strategy``: missProbability, missRate, entropyReduction or conditionalProbability.  Before the window is full
     the score is 0 and the tag N.  A key without a model scores -1 and is tagged I.  An outlier also marks the
     ``window`` - 1 rows before it.
+
+    A transition that the model lacks has probability 0: it is a full miss, not the best, leaves out none of its state's
+    entropy, and counts LEAST_PROBABILITY where a logarithm is taken.  A null state makes no transition, and leaves
+    the windows that hold it without a score (tag I); ``cumulative`` sums pass over it.
     """
     own = keys if model_keys is None else model_keys
     w = sequence(keys, [seq, tie])
@@ -54,18 +65,25 @@ def markov(df: DataFrame, model: DataFrame, keys: list[str], state: str, seq: st
     base = df.withColumn("prev", F.lag(state).over(w)).withColumn("cur", F.col(state)).withColumn("__i", F.row_number().over(w))
     if not own:
         base = base.withColumn(models.ALL, F.lit("all"))
-    out = models.attach(base, facts.drop("prob", "h"), [*(own or [models.ALL]), "prev", "cur"])
+    group = own or [models.ALL]
+    out = models.attach(base, facts.drop("prob", "h", "h_all"), [*group, "prev", "cur"])
+    out = models.attach(out, facts.groupBy(*group, "prev").agg(F.first("h_all").alias("h_all")), [*group, "prev"])
+    step = F.col("prev").isNotNull() & F.col("cur").isNotNull()
+    unknown = {"miss": F.lit(1.0), "not_best": F.lit(1.0), "neg_log": F.lit(-math.log(LEAST_PROBABILITY)), "h_other": F.coalesce("h_all", F.lit(0.0)), "h_all": F.lit(0.0)}
+    for c, instead in unknown.items():
+        out = out.withColumn(c, F.when(step, F.coalesce(c, instead)))
     has = model.select(*(own or [models.ALL])).distinct().withColumn("__has", F.lit(True))
-    out = models.attach(out, has, own or [models.ALL])
+    out = models.attach(out, has, group)
     frame = w.rowsBetween(Window.unboundedPreceding, 0) if cumulative else w.rowsBetween(-(window - 2), 0)
     pick = {"missProbability": "miss", "missRate": "not_best", "conditionalProbability": "neg_log"}
     raw = F.try_divide(F.sum("h_other").over(frame), F.sum("h_all").over(frame)) if strategy == "entropyReduction" else F.avg(pick[strategy]).over(frame)
     raw = exp_scale(exp_const, raw) if exp_const > 0 else raw
     full = F.col("__i") >= (2 if cumulative else window)
-    score = F.when(F.col("__has").isNull(), -1.0).when(full, F.coalesce(raw, F.lit(0.0))).otherwise(0.0)
+    gaps = F.lit(0) if cumulative else F.count_if(F.col("cur").isNull()).over(w.rowsBetween(-(window - 1), 0))
+    score = F.when(F.col("__has").isNull(), -1.0).when(full & (gaps > 0), None).when(full, F.coalesce(raw, F.lit(0.0))).otherwise(0.0)
     out = out.withColumn("score", score)
     flag = spread_back(full & (F.col("score") > threshold), w, window)
-    out = out.withColumn("tag", F.when(F.col("__has").isNull(), "I").when(flag, "O").otherwise("N"))
+    out = out.withColumn("tag", F.when(F.col("__has").isNull() | F.col("score").isNull(), "I").when(flag, "O").otherwise("N"))
     return out.drop("prev", "cur", "__i", "miss", "not_best", "h_all", "h_other", "neg_log", "__has", *([] if own else [models.ALL]))
 
 

@@ -29,11 +29,22 @@ def lof(t):
     return density.lof(neighbours(t)).withColumn("tag", tag(F.col("lof"), 1.05)).select("source", r4("lof"), "tag")
 
 
+@query("lof_keyed", """WITH v AS (SELECT label % 3 AS k, vec_id % 50 AS id, min(vec_id) AS vec_id FROM embeddings GROUP BY ALL), e AS (SELECT k, id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM v JOIN embeddings USING (vec_id)),
+p AS (SELECT a.k, a.id AS i, b.id AS j, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM e a JOIN e b ON a.k = b.k AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, i ORDER BY d, j) AS n FROM p), n AS (SELECT * FROM r WHERE n <= 5),
+kd AS (SELECT k, i, max(d) AS kd FROM n GROUP BY ALL), lrd AS (SELECT n.k, n.i, 1 / avg(greatest(d, kd)) AS lrd FROM n JOIN kd ON kd.i = n.j AND kd.k = n.k GROUP BY ALL)
+SELECT n.k, n.i AS source, round(avg(b.lrd) / any_value(a.lrd), 4) AS lof FROM n JOIN lrd a ON a.i = n.i AND a.k = n.k JOIN lrd b ON b.i = n.j AND b.k = n.k GROUP BY ALL""")
+def lof_keyed(t):
+    """Ids that repeat over keys: a row for each key and id."""
+    first = t("embeddings").groupBy((F.col("label") % 3).alias("k"), (F.col("vec_id") % 50).alias("id")).agg(F.min(F.struct("vec_id", "embedding")).alias("s"))
+    return density.lof(density.nearest(first.select("k", "id", F.col("s.embedding").alias("v")), ["k"], "id", "v", 5)).select("k", "source", r4("lof"))
+
+
 @query("lof_records", KNN + """, kd AS (SELECT i, max(d) AS kd FROM n GROUP BY 1), lrd AS (SELECT n.i, 1 / avg(greatest(d, kd)) AS lrd FROM n JOIN kd ON kd.i = n.j GROUP BY 1),
 l AS (SELECT n.i, avg(b.lrd) / any_value(a.lrd) AS lof FROM n JOIN lrd a ON a.i = n.i JOIN lrd b ON b.i = n.j GROUP BY 1)
 SELECT vec_id, label, len(embedding)::INTEGER AS width, round(lof, 4) AS score FROM embeddings JOIN l ON l.i = vec_id""")
 def lof_records(t):
-    found = density.lof(neighbours(t)).withColumnRenamed("source", "vec_id")
+    found = density.lof(neighbours(t)).select(F.col("source").alias("vec_id"), "lof")
     return t("embeddings").join(found, "vec_id").select("vec_id", "label", F.size("embedding").alias("width"), round_to(F.col("lof")).alias("score"))
 
 
@@ -59,7 +70,7 @@ def neighbour_groups(t):
 SELECT leader, (max(q) FILTER (leader = member) * 1000 // sum(q))::BIGINT AS relative FROM g JOIN q ON q.i = member GROUP BY 1""")
 def relative_density(t):
     pairs = scaled(t)
-    return density.relative_density(density.neighbour_groups(pairs, ["label"]), density.density(density.average_distance(pairs, ["label"])))
+    return density.relative_density(density.neighbour_groups(pairs, ["label"]), density.density(density.average_distance(pairs, ["label"]))).select("leader", "relative")
 
 
 @query("pairwise_distance", PAIRS + " SELECT label, count(*)::BIGINT AS pairs, round(avg(d), 4) AS mean_dist, round(min(d), 4) AS least FROM p GROUP BY 1")

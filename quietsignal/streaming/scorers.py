@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from quietsignal.functions.score import tag
 from quietsignal.operators import record
 from quietsignal.operators.record import Settings
+from quietsignal.operators.series import LEAST_PROBABILITY
 
 def read_files(spark: SparkSession, folder: str, schema: StructType, glob: str = "*", kind: str = "parquet", files_per_batch: int = 1, **options: str) -> DataFrame:
     """Files of a folder in the order of their times, some per micro-batch."""
@@ -43,7 +44,7 @@ def score(stream: DataFrame, model: DataFrame, strategy: str, s: Settings) -> Da
 def metric(transitions: dict[tuple[str, str], float], strategy: str) -> Callable[[str, str], tuple[float, float]]:
     """What a transition adds to the two sums whose ratio is the score, as the batch metrics have it.
 
-    Unknown transitions count as probability 1e-6, and as a miss.
+    A transition that is not among them has probability 0, as in batches.
     """
     best: dict[str, tuple] = {}
     entropy: dict[str, float] = {}
@@ -51,9 +52,9 @@ def metric(transitions: dict[tuple[str, str], float], strategy: str) -> Callable
     for (a, b), p in transitions.items():
         best[a] = min(best.get(a, (1.0, "")), (-p, b))
         entropy[a] = entropy.get(a, 0.0) + own(p)
-    p = lambda a, b: transitions.get((a, b), 1e-6)
+    p = lambda a, b: transitions.get((a, b), 0.0)
     kinds: dict[str, Callable[[str, str], tuple[float, float]]] = {
-        "conditionalProbability": lambda a, b: (-np.log(max(p(a, b), 1e-6)), 1.0),
+        "conditionalProbability": lambda a, b: (-np.log(max(p(a, b), LEAST_PROBABILITY)), 1.0),
         "missProbability": lambda a, b: (1 - p(a, b), 1.0),
         "missRate": lambda a, b: (float(best.get(a, (0, None))[1] != b), 1.0),
         "entropyReduction": lambda a, b: (entropy.get(a, 0.0) - own(transitions.get((a, b), 0.0)), entropy.get(a, 0.0)),
