@@ -96,7 +96,7 @@ def small_keys(rows: DataFrame, own: list[str], kinds: list[StructField], id_typ
             out += [(*name, i, n, d, rank) for rank, (d, n) in enumerate([p for p in near if p[1] != i][: metric.k], 1)]
         return pairs(out, fields)
 
-    return rows.groupBy(*own).applyInPandas(search, StructType(fields))
+    return models.spread(rows, own).groupBy(*own).applyInPandas(search, StructType(fields))
 
 
 class Join:
@@ -167,7 +167,7 @@ class Join:
             reach = [metric.reach(n[-1][0]) if len(n) == count else np.inf for n in near]
             return part.assign(near=[[{"dist": d, "id": i} for d, i in n] for n in near], reach=reach)[names]
 
-        return self.placed.groupBy(*self.own, "pivot", "part").applyInPandas(search, StructType(fields))
+        return models.spread(self.placed, [*self.own, "pivot", "part"]).groupBy(*self.own, "pivot", "part").applyInPandas(search, StructType(fields))
 
     def sent(self, fields: list[StructField]) -> DataFrame:
         """Rows with each other block that can hold something as near as they still look for."""
@@ -211,7 +211,7 @@ class Join:
     def streamed(both: DataFrame, group: list[str], answer, fields: list[StructField]) -> DataFrame:
         """Rows of kind 1 through ``answer``, batch by batch, with all rows of kind 0 of their group, which come first."""
         fresh = Window.partitionBy(*group).orderBy("kind")
-        placed = both.withColumn("__place", F.row_number().over(fresh))
+        placed = models.spread(both, group).withColumn("__place", F.row_number().over(fresh))
 
         def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: list[pd.DataFrame] = []

@@ -15,6 +15,12 @@ def keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn(ALL, F.lit("all")), [ALL])
 
 
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` dealt to all of the session's shuffle partitions, for groups of few bytes and much work, which adaptive
+    execution would put into one task."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *[F.col(f"`{c}`") for c in by])
+
+
 def same(left: str, right: str, keys: list[str]) -> Column:
     """Join condition on keys, null keys meeting null keys."""
     out = F.lit(True)

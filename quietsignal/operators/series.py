@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietsignal.functions.score import exp_scale, sequence, spread_back
+from quietsignal.functions.score import exp_scale, number, sequence, spread_back
 from quietsignal.operators import models
 
 
@@ -178,69 +178,24 @@ def residual_stats(df: DataFrame, keys: list[str], attr: str) -> DataFrame:
     return df.groupBy(*own).agg(F.count(r).alias("n"), F.sum(r).alias("sum"), F.sum(r * r).alias("sumsq"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("sd"))
 
 
-#: Window starts in a block of a series; a search compares two blocks.
-DISCORD_BLOCK = 2048
-
-
 def discord(df: DataFrame, keys: list[str], attr: str, seq: str, tie: str, window: int, reference: DataFrame | None = None) -> DataFrame:
     """Distance of each sub-sequence to the nearest one that does not overlap it, or to the nearest of ``reference``.
 
-    sqrt(min of sum of squares / window) for each window start; a row has the largest of the windows that cover
-    it, or 0 without any.  A series is cut into blocks of window starts, and every pair of blocks is one search, so no task
-    holds a series, whatever its length; only keys, places and values are sent.  Pairs are found by one matrix
-    product, and the distance of the nearest is then worked out from its values.
+    sqrt(min of sum of squares / window) for each window start; a row has the largest of the windows that cover it, or 0
+    without any.  A null or NaN leaves its own row without a score and the windows that hold it out, and no others.
+    A series of any length is cut into blocks of ``profile.BLOCK`` window starts that meet in pairs: see ``profile``.
     """
-    import numpy as np
-    import pandas as pd
-
-    size = max(DISCORD_BLOCK, 2 * window)
-
-    def numbered(rows: DataFrame, own: list[str]) -> DataFrame:
-        return rows.withColumn("__at", F.row_number().over(Window.partitionBy(*own).orderBy(seq, tie)) - 1)
-
-    def blocks(rows: DataFrame, own: list[str]) -> DataFrame:
-        """Rows by block; the first of a block also end the windows of the block before."""
-        block = F.floor(F.col("__at") / size).cast("int")
-        both = F.when((block > 0) & (F.col("__at") % size < window - 1), F.array(block - 1, block)).otherwise(F.array(block))
-        return rows.select(*own, "__at", F.col(attr).cast("double").alias("__v"), F.explode(both).alias("__b"))
-
-    def counted(rows: DataFrame, own: list[str], name: str) -> DataFrame:
-        starts = F.greatest(F.count("*") - window + 1, F.lit(0))
-        return rows.groupBy(*own).agg(F.ceil(starts / size).cast("int").alias(name))
-
-    def windows(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        part = part.sort_values("__at")
-        x, at = part["__v"].to_numpy(float), part["__at"].to_numpy()
-        return (np.lib.stride_tricks.sliding_window_view(x, window), at[: len(x) - window + 1]) if len(x) >= window else (np.zeros((0, window)), at[:0])
+    from quietsignal.operators import profile
 
     df, own = models.keyed(df, keys)
-    rows = numbered(df, own)
-    given = rows if reference is None else numbered(models.keyed(reference, keys)[0], own)
-    apart = reference is None
-    number = models.attach(counted(rows, own, "__n"), counted(given, own, "__m"), own)
-    # A block of asking windows meets every block of the others.
-    asks = models.attach(blocks(rows, own), number, own).where("__b < __n AND __m > 0").withColumn("__i", F.col("__b")).withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__m") - 1))).withColumn("__ask", F.lit(True))
-    gives = models.attach(blocks(given, own), number, own).where("__b < __m AND __n > 0").withColumn("__j", F.col("__b")).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).withColumn("__ask", F.lit(False))
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in own)
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        (a, p), (b, q) = windows(part[part["__ask"]]), windows(part[~part["__ask"]])
-        if not len(a) or not len(b):
-            return part.iloc[:0].assign(__d=0.0)[[*own, "__at", "__d"]]
-        d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
-        if apart:
-            d[np.abs(p[:, None] - q[None, :]) < window] = np.inf
-        best = d.argmin(1)
-        near = np.sqrt(((a - b[best]) ** 2).sum(1) / window)
-        near[np.isinf(d[np.arange(len(a)), best])] = np.inf
-        return pd.DataFrame({**{k: [part[k].iloc[0]] * len(a) for k in own}, "__at": p, "__d": near})
-
-    sent = [*own, "__i", "__j", "__ask", "__at", "__v"]
-    found = asks.select(*sent).unionByName(gives.select(*sent)).groupBy(*own, "__i", "__j").applyInPandas(search, f"{fields}, __at int, __d double")
-    least = found.groupBy(*own, "__at").agg(F.min("__d").alias("__d"))
+    rows = df.withColumn("__at", F.row_number().over(Window.partitionBy(*own).orderBy(seq, tie)) - 1)
+    given = None
+    if reference is not None:
+        given = models.keyed(reference, keys)[0].withColumn("__at", F.row_number().over(Window.partitionBy(*own).orderBy(seq, tie)) - 1)
+    least = profile.nearest_windows(rows, own, attr, window, given)
     cover = Window.partitionBy(*own).orderBy("__at").rowsBetween(-(window - 1), 0)
-    finite = F.when(F.col("__d") < float("inf"), F.col("__d"))
-    out = models.attach(rows, least, [*own, "__at"]).withColumn("score", F.coalesce(F.max(finite).over(cover), F.lit(0.0))).drop("__at", "__d")
+    known = number(attr).isNotNull()
+    out = models.attach(rows, least, [*own, "__at"]).withColumn("score", F.when(known, F.coalesce(F.max("__d").over(cover), F.lit(0.0)))).drop("__at", "__d")
     return out if keys else out.drop(models.ALL)
 
 

@@ -78,7 +78,8 @@ def markov(stream: DataFrame, key: str, state: str, seq: str, transitions: dict[
         rows = pd.concat(list(frames)).sort_values(seq)
         scores = []
         for x in rows[state]:
-            if recent:
+            x = None if pd.isna(x) else x  # a null state makes no transition, and leaves its windows without a score
+            if recent and None not in (recent[-1], x):
                 one = of(recent[-1], x)
                 above, below = above + one[0], below + one[1]
             recent = [*recent, x][-window:]
@@ -86,12 +87,14 @@ def markov(stream: DataFrame, key: str, state: str, seq: str, transitions: dict[
                 scores.append(above / below if below else 0.0)
             elif len(recent) < window:
                 scores.append(0.0)
+            elif None in recent:
+                scores.append(None)
             else:
                 each = [of(*p) for p in zip(recent, recent[1:], strict=False)]
                 total = sum(y for _, y in each)
                 scores.append(float(sum(x for x, _ in each) / total) if total else 0.0)
         kept.update((recent, float(above), float(below)))
-        yield pd.DataFrame({key: [name[0]] * len(rows), seq: rows[seq].to_numpy(), "score": scores, "tag": ["O" if x > threshold else "N" for x in scores]})
+        yield pd.DataFrame({key: [name[0]] * len(rows), seq: rows[seq].to_numpy(), "score": pd.Series(scores, dtype="Float64"), "tag": ["I" if x is None else "O" if x > threshold else "N" for x in scores]})
 
     return stream.select(key, seq, state).groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 

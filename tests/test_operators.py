@@ -5,6 +5,7 @@ import math
 import statistics
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quietsignal import cli
 from quietsignal.functions.score import combine, exp_scale, logistic_scale, tag
-from quietsignal.operators import alerts, density, drift, explore, forecast, forest, models, projection, record, series
+from quietsignal.operators import alerts, density, drift, explore, forecast, forest, models, profile, projection, record, series
 from quietsignal.operators.record import Settings
 from quietsignal.plans import sql, workflows
 from quietsignal.sources import files, generators
@@ -125,7 +126,8 @@ def test_discord_by_blocks_equals_one_search(spark, monkeypatch, size):
     x, y = rng.normal(size=60), rng.normal(size=33)
     rows = table(spark, [("a", i, float(v)) for i, v in enumerate(x)])
     other = table(spark, [("a", i, float(v)) for i, v in enumerate(y)])
-    monkeypatch.setattr(series, "DISCORD_BLOCK", size)
+    monkeypatch.setattr(profile, "BLOCK", size)
+    monkeypatch.setattr(profile, "PIECE", size // 2 - 1)
     w, z = ([v[i : i + 5] for i in range(len(v) - 4)] for v in (x, y))
     for ref, others, gap in ((None, w, 5), (other, z, 0)):
         d = [min(math.sqrt(((w[i] - v) ** 2).mean()) for j, v in enumerate(others) if abs(i - j) >= gap) for i in range(56)]
@@ -133,6 +135,36 @@ def test_discord_by_blocks_equals_one_search(spark, monkeypatch, size):
         assert all(got[i] == pytest.approx(max(d[max(0, i - 4) : min(i, 55) + 1])) for i in range(60))
 
 
+@pytest.mark.parametrize("size", [12, 200])
+def test_discord_with_nulls(spark, monkeypatch, size):
+    """Windows that hold a null are left out, in blocks and at their edges; only null rows have no score."""
+    monkeypatch.setattr(profile, "BLOCK", size)
+    monkeypatch.setattr(profile, "PIECE", 5)
+    rng = np.random.default_rng(2)
+    x = [None if i in (0, 11, 12, 30) else float("nan") if i == 59 else float(v) for i, v in enumerate(rng.normal(size=70))]
+    rows = table(spark, [("a", i, v) for i, v in enumerate(x)] + [("b", i, None) for i in range(9)])
+    whole = [i for i in range(66) if all(v is not None and v == v for v in x[i : i + 5])]
+    d = {i: min(math.sqrt(sum((a - b) ** 2 for a, b in zip(x[i : i + 5], x[j : j + 5], strict=True)) / 5) for j in whole if abs(i - j) >= 5) for i in whole}
+    got = {(r["k"], r["i"]): r["score"] for r in series.discord(rows, ["k"], "v", "i", "i", 5).collect()}
+    for i, v in enumerate(x):
+        want = None if v is None or v != v else max((d[j] for j in range(i - 4, i + 1) if j in d), default=0.0)
+        assert got["a", i] == (want if want is None else pytest.approx(want))
+    assert all(got["b", i] is None for i in range(9))
+
+
+def test_pieces_that_hold_nothing_nearer_are_left_out(monkeypatch):
+    """On a series of distinct levels that come back, most cells are never worked out, and the distances stay right."""
+    monkeypatch.setattr(profile, "PIECE", 64)
+    rng = np.random.default_rng(3)
+    x = np.repeat(np.arange(8) * 10.0, 128) + rng.normal(size=1024) * 0.1
+    part = profile.Part.of(pd.DataFrame({"__at": range(1024), "__v": x}), 10)
+    near, other, cells = profile.search(part, part, 10, True, True, True)
+    w = np.lib.stride_tricks.sliding_window_view(x, 10)
+    d = ((w[:, None] - w[None]) ** 2).sum(2)
+    d[np.abs(np.subtract.outer(np.arange(1015), np.arange(1015))) < 10] = np.inf
+    assert np.allclose(part.best, d.min(1)) and cells < 1015**2 / 3
+
+
 def test_discord_against_a_reference_finds_the_fault(spark):
     rows = generators.vibration(spark, machines=2, steps=600)
     out = workflows.reference_discord(rows, ~F.col("planted") & (F.col("ts") < 3000), ["machine"], "value", "ts", "ts", 20, 9.0)
@@ -195,6 +227,28 @@ def test_markov_marks_unknown_keys_and_short_series(spark):
     assert out["b", 0] == (-1.0, "I") and out["a", 0] == (0.0, "N") and out["a", 5][0] > 0
 
 
+GAPPY = {("a", "a"): 0.6, ("a", "b"): 0.4, ("b", "a"): 1.0, ("b", "b"): 0.0}
+
+
+@pytest.mark.parametrize("strategy", ["conditionalProbability", "missProbability", "missRate", "entropyReduction"])
+@pytest.mark.parametrize("cumulative", [False, True])
+def test_impossible_and_unknown_transitions_in_batch_and_stream(spark, tmp_path, strategy, cumulative):
+    """Probability 0, states the model lacks and null states: batches and streams agree, and with a plain version."""
+    rows = spark.createDataFrame([(k, i, x) for k in ("k", "l") for i, x in enumerate(["a", "b", "b", "b", "z", "a", "z", "z", None, "a", "a", "b", "a"])], "k string, i long, s string")
+    model = spark.createDataFrame([("all", a, b, p) for (a, b), p in GAPPY.items()], "__all string, prev string, cur string, prob double")
+    batch = {(r["k"], r["i"]): (r["score"], r["tag"]) for r in series.markov(rows, model, ["k"], "s", "i", "i", 3, strategy, 1.0, cumulative=cumulative, model_keys=[]).collect()}
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = scorers.markov(scorers.read_files(spark, str(tmp_path / "in"), rows.schema), "k", "s", "i", GAPPY, 3, 1.0, cumulative=cumulative, strategy=strategy)
+    scorers.run_to_folder(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        want = batch[r["k"], r["i"]][0]
+        assert r["score"] == (want if want is None else pytest.approx(want)), (r["i"], strategy)
+    high = {"conditionalProbability": (math.log(1e6) - math.log(0.4)) / 2, "missProbability": 0.8, "missRate": 1.0, "entropyReduction": None}[strategy]
+    if high and not cumulative:
+        assert batch["k", 2][0] == pytest.approx(high) and batch["k", 7][0] == pytest.approx(math.log(1e6) if strategy == "conditionalProbability" else 1.0)
+        assert [batch["k", i][1] for i in (8, 9, 10)] == ["I", "I", "I"] and batch["k", 8][0] is None and batch["k", 11][0] is not None
+
+
 def test_forecast_replaces_outliers(spark):
     values = [10.0 + i % 2 for i in range(30)]
     values[20] = 500.0
