@@ -5,10 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField
 
 from quietsignal.functions.score import sequence, spread_back
 from quietsignal.operators import models
+from quietsignal.operators.fold import ordered_fold
 
 
 def count_tags(df: DataFrame, keys: list[str], stamp: bool = False) -> DataFrame:
@@ -118,7 +119,7 @@ def cluster_alerts(df: DataFrame, keys: list[str], seq: str, tie: str, max_gap:
     """One O for each cluster of outliers close in ``seq`` (a number); the others of it become N; I stays.
 
     A gap above ``max_gap`` begins a new cluster; with ``average_gap`` so does one with which the mean gap of the
-    cluster so far would exceed it (a recursion, so a key's outliers then go through one loop in an Arrow batch).  The prototype is the lower median in time, or ``max`` by score.  Clusters
+    cluster so far would exceed it (a recursion, see ``fold``).  The prototype is the lower median in time, or ``max`` by score.  Clusters
     under ``least`` rows keep their outliers, or with ``ignore_small`` lose them.
     """
     if max_gap is None and average_gap is None:
@@ -141,19 +142,20 @@ def cluster_alerts(df: DataFrame, keys: list[str], seq: str, tie: str, max_gap:
 
 
 def _by_average_gap(df: DataFrame, keys: list[str], seq: str, tie: str, average: float, most: float) -> DataFrame:
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([seq, tie])
-        c, start, inside, last, out = 0, 0.0, 0, None, []
-        for x in part[seq].astype(float):
-            if last is None or x - last > most or (x - start) / inside > average:
+    """``__c``: the number of the row's cluster; a key's outliers pass in order, and four numbers stay.  A null place is a cluster of its own."""
+
+    def step(state: tuple[int, float, int, float | None], part: pd.DataFrame) -> tuple[tuple, list[list]]:
+        c, start, inside, last = state
+        out = []
+        for x in part["__x"].to_numpy(float):
+            if last is None or x != x or x - last > most or (x - start) / inside > average:
                 c, start, inside = c + 1, x, 0
-            inside, last = inside + 1, x
+            inside, last = inside + 1, None if x != x else x
             out.append(c)
-        return part.assign(__c=out)
+        return (c, start, inside, last), [out]
 
-    df, own = models.keyed(df, keys)
-    out = df.groupBy(*own).applyInPandas(work, StructType([*df.schema.fields, StructField("__c", LongType())]))
-    return out if keys else out.drop(models.ALL)
+    placed = df.withColumn("__x", F.col(seq).cast("double"))
+    return ordered_fold(placed, keys, [seq, tie], ["__x"], lambda _: (0, 0.0, 0, None), step, [StructField("__c", LongType())]).drop("__x")
 
 
 def score_level_shift(df: DataFrame, keys: list[str], seq: str, tie: str, long: int, short: int, least_z: float) -> DataFrame:

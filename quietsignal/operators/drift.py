@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quietsignal.functions.score import sequence
+from quietsignal.functions.score import number, sequence
 from quietsignal.operators import models
+from quietsignal.operators.fold import ordered_fold
 
 
 def resumed(df: DataFrame, saved: DataFrame | None, keys: list[str]) -> tuple[DataFrame, Callable[[str, Column], Column]]:
@@ -115,34 +117,32 @@ def ecdd(df: DataFrame, keys: list[str], err: str, seq: str, tie: str, smoothing
     """Drift if the exponentially weighted error rate z exceeds p + limit * sd of z.
 
     z = (1 - e) z + e x from 0; p is the running rate; sd^2 = p (1 - p) e (1 - (1 - e)^(2 (t - 1))) / (2 - e).  z is
-    a recursion, so a key's rows go through one loop in an Arrow batch, with memory in proportion to their number.
+    a recursion: a key's rows pass in order, and three numbers stay.  A null error keeps the z of the row before.
     """
-    import pandas as pd
-    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+    from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField
 
     wide, old = resumed(df, saved, keys)
     zero = F.lit(0.0)
-    wide = wide.withColumn("__t0", old("n", F.lit(0).cast("long"))).withColumn("__z0", old("z", zero)).withColumn("__p0", old("p", zero)).drop("__s")
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([seq, tie])
-        start, z, p = (int(part["__t0"].iloc[0]), float(part["__z0"].iloc[0]), float(part["__p0"].iloc[0]))
-        ts, ps, zs, hits = [], [], [], []
-        for t, x in enumerate(part[err].to_numpy(float), start + 1):
+    wide = wide.withColumn("__t0", old("n", F.lit(0).cast("long"))).withColumn("__z0", old("z", zero)).withColumn("__p0", old("p", zero)).withColumn("__x", number(err)).drop("__s")
+
+    def step(state: tuple[int, float, float], part: pd.DataFrame) -> tuple[tuple, list[list]]:
+        t, z, p = state
+        out: list[tuple] = []
+        for x in part["__x"].to_numpy(float):
+            if x != x:
+                out.append((z, 0, t, p))
+                continue
+            t += 1
             p += (x - p) / t
             z = (1 - smoothing) * z + smoothing * x
             sd = math.sqrt(max(0.0, p * (1 - p) * smoothing * (1 - (1 - smoothing) ** (2 * (t - 1))) / (2 - smoothing)))
-            ts.append(t)
-            ps.append(p)
-            zs.append(z)
-            hits.append(int(t > warm_up and z > p + limit * sd))
-        return part.assign(__t=ts, __p=ps, z=zs, drift=pd.Series(hits, index=part.index, dtype="int32"))[names]
-
-    wide, own = models.keyed(wide, keys)
-    fields = [f for f in wide.schema.fields if f.name not in ("__t0", "__z0", "__p0")] + [StructField("z", DoubleType()), StructField("drift", IntegerType()), StructField("__t", LongType()), StructField("__p", DoubleType())]
-    names = [f.name for f in fields]
-    out = wide.groupBy(*own).applyInPandas(work, StructType(fields))
-    return finished(out, keep, ["__t", "__p", *([] if keys else [models.ALL])], n=F.col("__t"), z=F.col("z"), p=F.col("__p"))
+            out.append((z, int(t > warm_up and z > p + limit * sd), t, p))
+        return (t, z, p), [list(c) for c in zip(*out, strict=True)]
+
+    begin = lambda row: (int(row["__t0"]), float(row["__z0"]), float(row["__p0"]))
+    added = [StructField("z", DoubleType()), StructField("drift", IntegerType()), StructField("__t", LongType()), StructField("__p", DoubleType())]
+    out = ordered_fold(wide, keys, [seq, tie], ["__x", "__t0", "__z0", "__p0"], begin, step, added).drop("__t0", "__z0", "__p0", "__x")
+    return finished(out, keep, ["__t", "__p"], n=F.col("__t"), z=F.col("z"), p=F.col("__p"))
 
 
 def ensemble(df: DataFrame, flags: list[str], consensus: int) -> DataFrame:

@@ -1,8 +1,8 @@
 """Isolation forest: growth of trees on samples, growth that goes on, and scoring.
 
 A tree is a table of nodes (keys, tree, node, attr, split, n, leaf); node 1 is the root and the children of node
-i are 2 i (below the split) and 2 i + 1.  Samples are small by design, so one grouped call grows a whole tree;
-the rows to score never leave their partitions.
+i are 2 i (below the split) and 2 i + 1.  Samples have a fixed size, so one grouped call grows a whole tree; rows to
+score meet the nodes of their key in tasks that hold one key's forest.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quietsignal.functions.score import number
 from quietsignal.operators import models
 
 MIN_RANGE = 0.001
-MOST_NODES = 2_000_000
 NODES = "tree long, node long, attr int, split double, n long, leaf boolean"
 
 
@@ -71,11 +72,24 @@ def grow(x: np.ndarray, tree: int, depth: int, choose: Callable[[int, int], tupl
     return out
 
 
-def samples(df: DataFrame, id_: str, attrs: list[str], trees: int, one_in: int) -> DataFrame:
-    """tree, id, attrs: for each tree the rows whose hashed id falls into one of ``one_in`` cells."""
-    cell = lambda tree: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("r"), tree, F.col("id"))), 1, 8), 16, 10).cast("long")
-    own = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), lambda tree: cell(tree) % one_in == 0)
-    return df.select(F.col(id_).alias("id"), *[F.col(a).cast("double").alias(a) for a in attrs]).withColumn("tree", F.explode(own))
+def samples(df: DataFrame, id_: str, attrs: list[str], trees: int, size: int) -> DataFrame:
+    """tree, rank_hash, id, attrs: for each tree the ``size`` rows with the smallest hashes of tree and id; ties by id.
+
+    A sample does not grow with the table, and those of two tables merge: see ``merge``.  Only rows whose hash is
+    among the smallest 4 ``size`` + 64 by expectation are ranked; that fewer than ``size`` of them come up has a chance
+    below e^-``size``.
+    """
+    n = df.count()
+    share = min(1.0, (4 * size + 64) / max(1, n))
+    ranked = lambda tree: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("r"), tree, F.col("id"))), 1, 8), 16, 10).cast("long")
+    own = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), lambda tree: ranked(tree) <= F.lit(int(share * (1 << 32))))
+    rows = df.select(F.col(id_).alias("id"), *[number(a).alias(a) for a in attrs]).dropna().withColumn("tree", F.explode(own)).withColumn("rank_hash", ranked(F.col("tree")))
+    return lowest(rows, size)
+
+
+def lowest(rows: DataFrame, size: int) -> DataFrame:
+    order = Window.partitionBy("tree").orderBy("rank_hash", "id")
+    return rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= size).drop("__k")
 
 
 def fit(sampled: DataFrame, attrs: list[str], depth: int, choose: Callable[[int, int], tuple[int, float]] = hash_choice, old: DataFrame | None = None) -> DataFrame:
@@ -98,9 +112,9 @@ def fit(sampled: DataFrame, attrs: list[str], depth: int, choose: Callable[[int,
     return both.groupBy("tree").applyInPandas(one, NODES)
 
 
-def merge(old_sample: DataFrame, new_sample: DataFrame) -> DataFrame:
-    """Rows of a forest's samples with new ones, as ``fit`` takes them with ``old`` nodes."""
-    return old_sample.unionByName(new_sample)
+def merge(old_sample: DataFrame, new_sample: DataFrame, size: int) -> DataFrame:
+    """The sample of both tables together, from a sample of each; as ``fit`` takes it, with ``old`` nodes or without."""
+    return lowest(old_sample.unionByName(new_sample), size)
 
 
 class Trees:
@@ -109,9 +123,13 @@ class Trees:
     def __init__(self, rows: pd.DataFrame):
         self.trees = []
         for _, part in rows.sort_values(["tree", "node"]).groupby("tree"):
-            at = {n: i for i, n in enumerate(part["node"])}
-            child = lambda side: np.array([at.get(2 * n + side, -1) for n in part["node"]])  # noqa: B023, E731
-            length = np.array([int(n).bit_length() - 1 for n in part["node"]]) + path_norm(part["n"].to_numpy())
+            nodes = part["node"].to_numpy(np.int64)
+
+            def child(side: int, nodes: np.ndarray = nodes) -> np.ndarray:
+                at = np.minimum(np.searchsorted(nodes, 2 * nodes + side), len(nodes) - 1)
+                return np.where(nodes[at] == 2 * nodes + side, at, -1)
+
+            length = np.floor(np.log2(nodes.astype(float))) + path_norm(part["n"].to_numpy())
             self.trees.append((part["attr"].fillna(0).to_numpy(int), part["split"].fillna(0).to_numpy(float), child(0), child(1), length, int(part["n"].iloc[0])))
         self.norm = float(path_norm(np.mean([t[5] for t in self.trees]))) if self.trees else 1.0
 
@@ -129,58 +147,90 @@ class Trees:
         return 2.0 ** (-total / max(1, len(self.trees)) / max(self.norm, 1e-9))
 
 
-def score(df: DataFrame, forest: DataFrame, attrs: list[str], key_filter: str | None = None, keys: list[str] | None = None) -> DataFrame:
+#: Rows of a key that one task scores (about); the key's nodes are sent once for each such share.
+SHARE_ROWS = 500_000
+
+
+def score(df: DataFrame, forest: DataFrame, attrs: list[str], key_filter: str | None = None, keys: list[str] | None = None, model_filter: str | None = None) -> DataFrame:
     """``score`` = 2 ^ (-mean path length / path_norm(rows of a tree's sample)), by following all trees in numpy.
 
     A path ends in a leaf of n rows and counts its depth and path_norm(n).  With ``keys``, a row follows the trees
-    of its own key (nodes of ``fit_by_key``); without a forest its score is null.  The forest must have at most
-    MOST_NODES nodes, which is checked, and goes to the tasks whole.  ``key_filter`` chooses rows by SQL.
+    of its own key (nodes of ``fit_by_key``); without a forest its score is null, and so it is with a null or NaN
+    attribute.  Nodes and rows of a key meet in the same tasks, nodes first; a task holds one key's forest, whatever
+    the number of keys, and nothing passes the driver.  A key with many rows has several tasks, by the partition that
+    a row comes from.  ``key_filter`` chooses rows, and ``model_filter`` nodes, by SQL.
     """
-    rows = forest.limit(MOST_NODES + 1).toPandas()
-    if len(rows) > MOST_NODES:
-        raise ValueError(f"the forest has more than {MOST_NODES} nodes")
-    name = lambda values: tuple(None if pd.isna(v) else v for v in values)
-    own = {name(k): Trees(part) for k, part in rows.groupby(keys, dropna=False)} if keys else {(): Trees(rows)}
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            x, out = frame[attrs].to_numpy(float), np.full(len(frame), np.nan)
-            parts = frame.groupby(keys, dropna=False).indices.items() if keys else [((), np.arange(len(frame)))]
-            for k, at in parts:
-                trees = own.get(name(k if isinstance(k, tuple) else (k,)))
-                if trees is not None:
-                    out[at] = trees.score(x[at])
-            yield frame.assign(score=pd.Series(out, frame.index).astype("Float64").mask(np.isnan(out)))
-
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     chosen = df if key_filter is None else df.where(key_filter)
-    return chosen.mapInPandas(work, StructType([*chosen.schema.fields, StructField("score", DoubleType())]))
+    nodes = forest if model_filter is None else forest.where(model_filter)
+    named = [x for k in keys or [] for x in (F.col(f"`{k}`").isNull(), F.col(f"`{k}`"))]
+    group = [F.xxhash64(*named).alias("g1"), F.xxhash64(F.lit(7), *named).alias("g2")] if keys else [F.lit(0).cast("long").alias("g1"), F.lit(0).cast("long").alias("g2")]
+    sizes = chosen.select(*group).groupBy("g1", "g2").agg(F.ceil(F.count("*") / SHARE_ROWS).cast("int").alias("shares"))
+    least = F.lit(1) if keys else F.lit(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sizes = sizes.withColumn("shares", F.greatest("shares", least))
+    fields = [c.split()[0] for c in NODES.split(", ")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in chosen.columns])
+    values = F.array(*[number(f"`{a}`") for a in attrs])
+    rows = chosen.select(*group, F.spark_partition_id().alias("from"), F.lit(1).alias("kind"), values.alias("x"), whole.alias("row"))
+    rows = models.attach(rows, sizes, ["g1", "g2"]).withColumn("share", F.pmod("from", "shares"))
+    tree = F.struct(*[F.col(c) for c in fields])
+    leading = nodes.select(*group, F.lit(0).alias("kind"), tree.alias("node")).join(sizes, ["g1", "g2"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    sent = ["g1", "g2", "share", "kind"]
+    both = leading.select(*sent, "node", F.lit(None).cast("array<double>").alias("x"), F.lit(None).cast(rows.schema["row"].dataType).alias("row")).unionByName(rows.select(*sent, F.lit(None).cast(leading.schema["node"].dataType).alias("node"), "x", "row"))
+    placed = models.spread(both, ["g1", "g2", "share"]).withColumn("__place", F.row_number().over(Window.partitionBy("g1", "g2", "share").orderBy("kind")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []
+        trees: Trees | None = None
+        for batch in batches:
+            kind, fresh = batch.column("kind").to_numpy(), batch.column("__place").to_numpy() == 1
+            cuts = sorted({0, *np.flatnonzero(fresh).tolist(), *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)})
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if fresh[a]:
+                    held, trees = [], None
+                part = batch.slice(a, b - a)
+                if kind[a] == 0:
+                    held.append(pd.DataFrame({f: part.column("node").field(f).to_pandas() for f in fields}))
+                    continue
+                if held:
+                    held, trees = [], Trees(pd.concat(held))
+                x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b - a, len(attrs))
+                out, good = np.full(b - a, np.nan), ~np.isnan(x).any(1)
+                if trees is not None and good.any():
+                    out[good] = trees.score(x[good])
+                yield pa.record_batch([part.column("row"), pa.array(out, mask=np.isnan(out))], ["row", "score"])
+
+    scored = placed.mapInArrow(work, StructType([StructField("row", rows.schema["row"].dataType), StructField("score", DoubleType())]))
+    return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in chosen.columns], "score")
 
 
 def fit_by_key(df: DataFrame, keys: list[str], attrs: list[str], trees: int = 100, subsample: int = 100, depth: int | None = None, seed: int = 1) -> DataFrame:
     """keys and nodes of a random forest for each key, on samples of ``subsample`` rows (three quarters of a smaller key).
 
-    Rows are ranked by a hash for each tree only among a key's candidates, which a first bound has thinned out.
+    Rows are ranked by a hash for each tree only among a key's candidates, which a first bound has thinned out; rows with
+    a null or NaN attribute are none.  A key's samples, ``trees`` times ``subsample`` rows at most, make its forest in one call.
     """
-    from pyspark.sql import Window
-
     df, own = models.keyed(df, keys)
     depth = depth or int(np.ceil(np.log2(max(2, subsample))))
-    counts = df.groupBy(*own).agg(F.count("*").alias("__n"))
+    counts = df.dropna(subset=attrs).groupBy(*own).agg(F.count("*").alias("__n"))
     take = F.when(F.col("__n") > subsample, F.lit(subsample)).otherwise(F.greatest(F.floor(F.col("__n") * 0.75), F.lit(1))).cast("int")
-    wide = models.attach(df.select(*own, *[F.col(a).cast("double").alias(a) for a in attrs]), counts, own).withColumn("__take", take)
+    wide = models.attach(df.select(*own, *[number(a).alias(a) for a in attrs]).dropna(subset=attrs), counts, own).withColumn("__take", take)
     # Only the trees that a row is a candidate of become rows.
     h = lambda tree: F.pmod(F.xxhash64(F.lit(seed), tree, *attrs), F.lit(1 << 30))
     few = F.lit(float(1 << 30)) * F.greatest(F.col("__take") * 4, F.lit(64))
     own_trees = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), lambda tree: h(tree).cast("double") * F.col("__n") <= few)
     thinned = wide.withColumn("tree", F.explode(own_trees)).withColumn("__h", h(F.col("tree")))
     ranked = thinned.withColumn("__k", F.row_number().over(Window.partitionBy(*own, "tree").orderBy("__h", *attrs))).where("__k <= __take")
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in own)
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in own)
     choose = random_choice(seed)
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        rows = pd.DataFrame(grow(part.sort_values("__k")[attrs].to_numpy(float), int(part["tree"].iloc[0]), depth, choose), columns=[c.split()[0] for c in NODES.split(", ")]).astype({"attr": "Int32"})
-        return rows.assign(**{k: part[k].iloc[0] for k in own})[[*own, *rows.columns]]
+    def all_of(part: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        for tree, rows in part.sort_values("__k").groupby("tree"):
+            found += grow(rows[attrs].to_numpy(float), int(tree), depth, choose)
+        nodes = pd.DataFrame(found, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"attr": "Int32"})
+        return nodes.assign(**{k: [part[k].iloc[0]] * len(nodes) for k in own})[[*own, *nodes.columns]]
 
-    return ranked.groupBy(*own, "tree").applyInPandas(one, f"{fields}, {NODES}")
+    group = own if keys else [*own, "tree"]  # a single forest is grown tree by tree
+    return models.spread(ranked, group).groupBy(*group).applyInPandas(all_of, f"{fields}, {NODES}")

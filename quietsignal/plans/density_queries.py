@@ -119,7 +119,7 @@ def pca_reconstruction(t):
     return projection.reconstruction_error(rows, model, ["event_type"], ["value", "h"], 1).select("event_id", r4("score"))
 
 
-TREES, DEPTH, ONE_IN = 16, 6, 60
+TREES, DEPTH, SAMPLE = 16, 6, 250
 
 
 def orders(t):
@@ -132,7 +132,7 @@ def forest_sql() -> str:
     parts = [
         "WITH o AS (SELECT o_orderkey AS id, o_totalprice / 1000 AS p, day(o_orderdate)::DOUBLE AS d FROM orders)",
         f"w AS (SELECT *, unnest(range({TREES})) AS tree FROM o)",
-        f"s0 AS (SELECT tree, 1::BIGINT AS node, p, d, {pick.format('r', 'tree', 'id')} % {ONE_IN} = 0 AS s, id, 0::DOUBLE AS length, false AS done FROM w)",
+        f"s0 AS (SELECT tree, 1::BIGINT AS node, p, d, row_number() OVER (PARTITION BY tree ORDER BY {pick.format('r', 'tree', 'id')}, id) <= {SAMPLE} AS s, id, 0::DOUBLE AS length, false AS done FROM w)",
     ]
     for k in range(DEPTH + 1):
         last = "true" if k == DEPTH else "false"
@@ -147,7 +147,7 @@ CASE WHEN x.done THEN length WHEN leaf THEN {k} + CASE WHEN n > 2 THEN 2 * (ln(n
 
 @query("iforest_hash", forest_sql())
 def iforest_hash(t):
-    sampled = forest.samples(orders(t), "o_orderkey", ["p", "d"], TREES, ONE_IN)
+    sampled = forest.samples(orders(t), "o_orderkey", ["p", "d"], TREES, SAMPLE)
     return forest.score(orders(t), forest.fit(sampled, ["p", "d"], DEPTH), ["p", "d"]).select("o_orderkey", r4("score"))
 
 
@@ -155,9 +155,9 @@ def iforest_hash(t):
 def iforest_incremental(t):
     """A forest grown on the first half of the orders that goes on growing with the second half's samples."""
     attrs = ["p", "d"]
-    first, second = (forest.samples(orders(t).where(c), "o_orderkey", attrs, TREES, ONE_IN) for c in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1"))
+    first, second = (forest.samples(orders(t).where(c), "o_orderkey", attrs, TREES, SAMPLE) for c in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1"))
     old = forest.fit(first, attrs, 4)
-    grown = forest.fit(forest.merge(first, second), attrs, DEPTH, old=old)
+    grown = forest.fit(forest.merge(first, second, SAMPLE), attrs, DEPTH, old=old)
     return forest.score(orders(t), grown, attrs).select("o_orderkey", r4("score"))
 
 

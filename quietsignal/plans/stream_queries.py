@@ -93,7 +93,17 @@ def stream_alerts(t):
     return finished(spark, found.select("event_id", "user_id"))
 
 
-@query("one_step_replacing")
+_T95 = "[" + ", ".join(map(str, series.T95)) + "]"
+
+
+@query("one_step_replacing", f"""WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s(user_id, i, event_id, l, n, t, q, p, score) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, []::DOUBLE[], 0::BIGINT, 0::DOUBLE, 0::DOUBLE, NULL::DOUBLE, 0::DOUBLE FROM events UNION ALL
+  SELECT user_id, i, event_id, list_append(CASE WHEN len(l) = 5 THEN l[2:5] ELSE l END, CASE WHEN score > 0.95 THEN p ELSE value END),
+    n + CASE WHEN p IS NOT NULL AND score <= 0.95 THEN 1 ELSE 0 END, t + CASE WHEN p IS NOT NULL AND score <= 0.95 THEN p - value ELSE 0 END, q + CASE WHEN p IS NOT NULL AND score <= 0.95 THEN (p - value) * (p - value) ELSE 0 END, p, score
+  FROM (SELECT *, CASE WHEN n >= 5 AND w > 0 THEN 1 - exp(-abs(p - value) / w) ELSE 0 END AS score
+    FROM (SELECT s.user_id, e.i, e.event_id, e.value, l, n, t, q, CASE WHEN len(l) = 5 THEN list_avg(l) END AS p,
+      coalesce({_T95}[n - 1], 1.96) * sqrt(greatest(q / greatest(n, 1) - (t / greatest(n, 1)) * (t / greatest(n, 1)), 0)) * sqrt(1 + 1 / greatest(n, 1)::DOUBLE) AS w FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)))
+SELECT event_id, round(p, 4) AS prediction, round(score, 4) AS score FROM s WHERE i > 0""")
 def one_step_replacing(t):
     """Predictions take outliers' places in the window, so each row depends on the decisions before it."""
     out = forecast.replacing(t("events").select("user_id", "event_id", "value"), ["user_id"], "value", *AT, 5, 0.95)
