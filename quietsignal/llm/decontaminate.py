@@ -6,7 +6,7 @@ a separator: suffix array by prefix doubling, Burrows-Wheeler transform in a wav
 sampled.  All windows of one length are searched backward at once; occurrences are located by walking to the next
 sampled position, and the words they cover are merged into spans to remove.
 
-The benchmark is sent to the tasks in blocks of a bounded number of characters; each block is one pass.  What
+The benchmark is broadcast in blocks of a bounded number of characters, one at a time; each block is one pass.  What
 several blocks find in a text is brought together by a 128-bit hash of the text, on which alone it depends.
 """
 
@@ -20,6 +20,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,7 +30,7 @@ from quietsignal.llm.common import WORD_BYTES, alnum_words, released, slices, ta
 
 WIDTH = 10
 #: Characters of benchmark text that one pass searches for.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 SAMPLE_EVERY = 16
 #: Characters of documents' text that are numbered and searched together.
 SLICE_CHARS = 1_000_000
@@ -166,25 +167,38 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """One block of benchmark windows: word numbers, and by length the distinct windows with their items."""
+    """One block of benchmark windows: word numbers, and by length the distinct windows and the items of each.
+
+    A window's items stand in one array, from its place in another on; about 60 bytes a word of the block.
+    """
 
     numbers: dict[bytes, int] = field(default_factory=dict)
-    windows: dict[int, tuple[np.ndarray, list[list]]] = field(default_factory=dict)
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    items: list = field(default_factory=list)
 
     @classmethod
     def of(cls, items: list[tuple], width: int = WIDTH) -> Phrases:
-        numbers: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            ids = [numbers.setdefault(w, len(numbers) + 1) for w in alnum_words(text)]
+        out, parts = cls(items=[item for item, _ in items]), {}
+        for k, (_, text) in enumerate(items):
+            ids = np.array([out.numbers.setdefault(w, len(out.numbers) + 1) for w in alnum_words(text)], np.int32)
             m = min(width, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                found.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set()).add(item)
-        out = cls(numbers)
-        for m, own in found.items():
-            out.windows[m] = np.array(list(own), np.int64).reshape(-1, m), [sorted(x for x in v if x is not None) for v in own.values()]
+            if m:
+                own = np.lib.stride_tricks.sliding_window_view(ids, m)
+                parts.setdefault(m, []).append((own, np.full(len(own), k, np.int32)))
+        for m in list(parts):
+            wide, owner = (np.concatenate([x[c] for x in parts[m]]) for c in (0, 1))
+            del parts[m]
+            _, first, which = np.unique(np.ascontiguousarray(wide).view(np.dtype((np.void, 4 * m))).ravel(), return_index=True, return_inverse=True)
+            order = np.lexsort((owner, which))
+            fresh = np.append(True, (np.diff(which[order]) != 0) | (np.diff(owner[order]) != 0))
+            order = order[fresh]
+            out.windows[m] = wide[first], np.append(0, np.cumsum(np.bincount(which[order], minlength=len(first)))), owner[order]
         return out
 
+    def items_of(self, m: int, window: int) -> list:
+        _, starts, owners = self.windows[m]
+        return [x for x in (self.items[k] for k in owners[starts[window] : starts[window + 1]].tolist()) if x is not None]
+
     @staticmethod
     def numbered(text: str | None, known: dict[bytes, int]) -> list[int]:
         """Numbers of a text's words; those that are not known yet get further ones."""
@@ -220,14 +234,14 @@ class Phrases:
             present[0] = False
             dense = np.where(present, np.cumsum(present), 0)
             index = FMIndex(dense[shard])
-            for m, (windows, items) in self.windows.items():
+            for m, (windows, _, _) in self.windows.items():
                 which, at = index.search(dense[windows])
                 at = at + begin
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + m, -1)
                 docs = np.searchsorted(starts, at, side="right") - 1
                 for doc, w in np.unique(np.stack([docs, which], 1), axis=0).tolist():
-                    out[doc][2].update(items[w])
+                    out[doc][2].update(self.items_of(m, w))
         edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).view(np.int8)]))
         for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
             doc = int(np.searchsorted(starts, a, side="right") - 1)
@@ -235,6 +249,15 @@ class Phrases:
         return out
 
 
+def sent(benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark's blocks as broadcast variables; the driver's Python holds one block at a time, and no windows."""
+    context, out = benchmark.sparkSession.sparkContext, []
+    for items in blocks(benchmark):
+        out.append(context.broadcast(items))
+        del items
+    return out
+
+
 def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
     """Benchmark rows in blocks of about ``limit`` characters, chosen by hashed text."""
     own = benchmark.select("item_id", "text").where(F.length("text") > 0)
@@ -258,13 +281,12 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def found_in(docs: DataFrame, items: list[tuple], kind: str, width: int, names: tuple[str, str, str], cut: bool = False, sparse: bool = False) -> DataFrame:
+def found_in(docs: DataFrame, block: Broadcast, kind: str, width: int, names: tuple[str, str, str], cut: bool = False, sparse: bool = False) -> DataFrame:
     """``docs`` with the number of words, the merged spans of hit words, and the items of one block.
 
     With ``cut``, the spans are cut out of the text (and texts of which nothing is left go); with ``sparse``,
-    rows without a hit are left out.
+    rows without a hit are left out.  A task makes the windows of the block for itself, and frees them at its end.
     """
-    phrases = Phrases.of(items, width)
     more = ["bigint", "array<struct<start:bigint,end:bigint>>", f"array<{kind}>"]
     schema = docs.schema.names
     text, sizes = schema.index("text"), schema.index("n_chars") if "n_chars" in schema else None
@@ -272,7 +294,9 @@ def found_in(docs: DataFrame, items: list[tuple], kind: str, width: int, names:
     kinds = pa.int64(), span, pa.list_(pa.string() if kind == "string" else pa.int64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = None
         for batch in batches:
+            phrases = phrases or Phrases.of(block.value, width)
             for a, b in slices(pc.utf8_length(batch.column(text)).to_pylist(), SLICE_CHARS):
                 columns = [c.slice(a, b - a) for c in batch.columns]
                 texts = columns[text].to_pylist()
@@ -306,16 +330,14 @@ def merged(spans: Column) -> Column:
     return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), of)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, width: int, names: tuple[str, str, str]) -> DataFrame:
+def with_hits(docs: DataFrame, parts: list[Broadcast], kind: str, width: int, names: tuple[str, str, str]) -> DataFrame:
     """``docs`` with three more columns: number of words, merged spans of hit words in the text as it is, sorted items."""
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    parts = list(blocks(benchmark))
     if len(parts) == 1:
         return found_in(docs, parts[0], kind, width, names)
     k1, k2 = (F.xxhash64(*seed, F.coalesce("text", F.lit(""))) for seed in ((), (F.lit(7),)))
     texts = docs.select("text", k1.alias("__k1"), k2.alias("__k2"))
     key = ["__k1", "__k2"]
-    each = [found_in(texts, items, kind, width, ("__n", "__spans", "__items"), sparse=True).select(*key, "__spans", "__items") for items in parts[1:]]
+    each = [found_in(texts, block, kind, width, ("__n", "__spans", "__items"), sparse=True).select(*key, "__spans", "__items") for block in parts[1:]]
     rest = reduce(DataFrame.unionByName, each).groupBy(key).agg(F.array_sort(F.flatten(F.collect_set("__spans"))).alias("__spans"), F.flatten(F.collect_set("__items")).alias("__items"))
     every = found_in(docs.withColumn("__k1", k1).withColumn("__k2", k2), parts[0], kind, width, names).join(rest, key, "left").drop(*key)
     both = F.when(F.col("__spans").isNull(), F.col(names[1])).otherwise(let(F.array_sort(F.concat(names[1], "__spans")), merged))
@@ -330,7 +352,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     hits words but is not listed.  Items of equal id count once.  Rows stay as they are, repeated ones too.
     With an empty benchmark nothing is hit.  Other columns are not read.
     """
-    return with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, width, ("n_words", "spans", "items")).drop("text")
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    return with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sent(benchmark), kind, width, ("n_words", "spans", "items")).drop("text")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -340,11 +363,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFram
     of which no word is left goes; one without any hit, or with a null or empty text, stays as it is.  Repeated
     rows stay; all columns stay.
     """
-    parts = blocks(benchmark)
-    first = next(parts)
-    if next(parts, None) is None:
-        return found_in(docs, first, benchmark.schema["item_id"].dataType.simpleString(), width, ("", "", ""), cut=True)
-    found = with_hits(docs, benchmark, width, ("__n", "__hit", "__found")).drop("__found")
+    parts, kind = sent(benchmark), benchmark.schema["item_id"].dataType.simpleString()
+    if len(parts) == 1:
+        return found_in(docs, parts[0], kind, width, ("", "", ""), cut=True)
+    found = with_hits(docs, parts, kind, width, ("__n", "__hit", "__found")).drop("__found")
     schema = docs.schema
     text, sizes = schema.names.index("text"), schema.names.index("n_chars") if "n_chars" in schema.names else None
 
