@@ -93,10 +93,10 @@ def precision_recall(detected: DataFrame, truth: DataFrame, keys: list[str]) ->
     return hit.withColumn("precision", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")))
 
 
-def score_tail(df: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
-    """By key, ``p{share}`` percentiles of the score."""
-    df, keys = models.keyed(df, keys)
-    return df.groupBy(*keys).agg(*[F.percentile("score", F.lit(p)).alias(f"p{round(100 * p)}") for p in shares])
+def score_tail(df: DataFrame, keys: list[str], shares: list[float], how: str = "narrowed") -> DataFrame:
+    """By key, ``p{share}`` percentiles of the score; ``how`` as in ``models.quantiles``."""
+    found = models.quantiles(df, keys, {"score": F.col("score")}, {f"p{round(100 * p)}": p for p in shares}, how)
+    return found.select(*(keys or [models.ALL]), *[F.col(f"score_p{round(100 * p)}").alias(f"p{round(100 * p)}") for p in shares])
 
 
 def tail_fit(df: DataFrame, keys: list[str], share: float, target: float) -> DataFrame:
@@ -105,7 +105,7 @@ def tail_fit(df: DataFrame, keys: list[str], share: float, target: float) -> Dat
     shape = (1 - m^2 / v) / 2, scale = m (1 + m^2 / v) / 2 for excesses of mean m and variance v.
     """
     df, keys = models.keyed(df, keys)
-    limits = df.groupBy(*keys).agg(F.percentile("score", F.lit(share)).alias("u"), F.count("*").alias("n"))
+    limits = models.attach(df.groupBy(*keys).agg(F.count("*").alias("n")), models.quantiles(df, keys, {"score": F.col("score")}, {"u": share}).withColumnRenamed("score_u", "u"), keys)
     over = models.attach(df.select(*keys, "score"), limits, keys).where("score > u").withColumn("e", F.col("score") - F.col("u"))
     fit = over.groupBy(*keys, "u", "n").agg(F.count("*").alias("excesses"), F.avg("e").alias("m"), F.var_pop("e").alias("v"))
     ratio = F.try_divide(F.col("m") * F.col("m"), F.col("v"))

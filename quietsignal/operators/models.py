@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietsignal.functions.score import number
@@ -49,19 +49,66 @@ def moments(df: DataFrame, keys: list[str], attrs: list[str], least: int = 1) ->
     return df.groupBy(*keys).agg(*out, F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
 
 
-def medians(df: DataFrame, keys: list[str], attrs: list[str]) -> DataFrame:
-    """keys, and for each attribute the median and the median absolute deviation (not scaled)."""
-    df, keys = keyed(df, keys)
-    first = df.groupBy(*keys).agg(*[F.median(number(a)).alias(f"{a}_med") for a in attrs])
-    second = attach(df.select(*keys, *attrs), first, keys).groupBy(*keys, *[f"{a}_med" for a in attrs]).agg(*[F.median(F.abs(number(a) - F.col(f"{a}_med"))).alias(f"{a}_mad") for a in attrs])
-    return second
+#: Rank error of a sketch, as a share of a key's values: one in so many.
+SKETCH = 10_000
+
 
+def quantiles(df: DataFrame, keys: list[str], columns: dict[str, Column], shares: dict[str, float], how: str = "narrowed") -> DataFrame:
+    """keys, and ``{column}_{name}`` for each column and share; nulls, NaN and infinities are left out.
 
-def percentiles(df: DataFrame, keys: list[str], attrs: list[str], shares: dict[str, float], exact: bool = True) -> DataFrame:
-    """keys, and ``{attr}_{name}`` for each share; approximate ones need bounded memory whatever the key's size."""
+    ``how``: ``sketch`` (mergeable, bounded memory, a value whose rank is off by one in SKETCH of the key's values at
+    most), ``narrowed`` (exact: sketches bracket the rank, and only values in the bracket are counted and ranked, so
+    no task holds a key's values and copies of a value are one count), or ``whole`` (exact, by a map of all of a key's
+    values in one task: for keys of a known size).  Between two values the exact ones interpolate.
+    """
+    df, keys = keyed(df, keys)
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], *[number(c).alias(f"__{n}") for n, c in columns.items()])
+    each = [(f"{n}_{name}", f"__{n}", float(p)) for n in columns for name, p in shares.items()]
+    if how == "whole":
+        return rows.groupBy(*keys).agg(*[F.percentile(x, F.lit(p)).alias(out) for out, x, p in each])
+    if how == "sketch":
+        return rows.groupBy(*keys).agg(*[F.percentile_approx(x, F.lit(p), SKETCH).alias(out) for out, x, p in each])
+    if how != "narrowed":
+        raise ValueError(f"unknown way {how!r}")
+    # Two sketches a share: their ranks are off by one in SKETCH, so four of these on either side are enough.
+    room = 4 / SKETCH
+    edge = lambda x, p: F.percentile_approx(x, F.lit(min(1.0, max(0.0, p))), SKETCH)
+    sums = []
+    for i, (_, x, p) in enumerate(each):
+        # Brackets at the ends are open, and so are those of a key with at most SKETCH values: no rank falls outside.
+        few = F.count(x) <= SKETCH
+        low = F.min(x) if p <= room else F.when(few, F.min(x)).otherwise(edge(x, p - room))
+        high = F.max(x) if p >= 1 - room else F.when(few, F.max(x)).otherwise(edge(x, p + room))
+        sums += [F.count(x).alias(f"n{i}"), low.alias(f"a{i}"), high.alias(f"b{i}")]
+    brackets = rows.groupBy(*keys).agg(*sums)
+    wide = attach(rows, brackets, keys)
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"n{i}").alias("n"), F.when(F.col(x) < F.col(f"a{i}"), None).otherwise(F.col(x)).alias("x"), F.lit(p).alias("p")) for i, (_, x, p) in enumerate(each)]))
+    inside = F.array(*[F.col(x).isNotNull() & (F.col(x) <= F.col(f"b{i}")) for i, (_, x, _) in enumerate(each)])
+    counted = wide.select(*keys, values.alias("s"), inside.alias("inside")).where(F.get("inside", F.col("s.i"))).select(*keys, "s.*").groupBy(*keys, "i", "n", "p", "x").agg(F.count("*").alias("m"))
+    # Values below the bracket are one count at null, which comes first.
+    upto = F.sum("m").over(Window.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first()))
+    place = F.col("p") * (F.col("n") - 1)
+    ranked = counted.withColumn("upto", upto).withColumn("low", F.floor(place)).withColumn("high", F.ceil(place))
+    at = lambda rank: F.min(F.when(F.col("upto") > F.col(rank), F.col("x")))
+    found = ranked.groupBy(*keys, "i", "n", "p").agg(at("low").alias("x0"), at("high").alias("x1"))
+    share = F.col("p") * (F.col("n") - 1) - F.floor(F.col("p") * (F.col("n") - 1))
+    value = F.when(share == 0, F.col("x0")).otherwise((1 - share) * F.col("x0") + share * F.col("x1"))
+    out = found.withColumn("value", value).groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(name) for i, (name, _, _) in enumerate(each)])
+    return attach(brackets.select(*keys), out, keys)
+
+
+def medians(df: DataFrame, keys: list[str], attrs: list[str], how: str = "narrowed") -> DataFrame:
+    """keys, and for each attribute the median and the median absolute deviation (not scaled); ``how`` as in ``quantiles``."""
     df, keys = keyed(df, keys)
-    compute = F.percentile if exact else (lambda x, p: F.percentile_approx(x, p, 10_000))
-    return df.groupBy(*keys).agg(*[compute(number(a), F.lit(p)).alias(f"{a}_{name}") for a in attrs for name, p in shares.items()])
+    first = quantiles(df, keys, {a: F.col(f"`{a}`") for a in attrs}, {"med": 0.5}, how)
+    gaps = {a: F.abs(number(f"`{a}`") - F.col(f"{a}_med")) for a in attrs}
+    second = quantiles(attach(df.select(*keys, *[F.col(f"`{a}`") for a in attrs]), first, keys), keys, gaps, {"mad": 0.5}, how)
+    return attach(first, second, keys)
+
+
+def percentiles(df: DataFrame, keys: list[str], attrs: list[str], shares: dict[str, float], how: str = "narrowed") -> DataFrame:
+    """keys, and ``{attr}_{name}`` for each share; ``how`` as in ``quantiles``."""
+    return quantiles(df, keys, {a: F.col(f"`{a}`") for a in attrs}, shares, how)
 
 
 def bin_of(value: Column, width: float, low: float = 0.0) -> Column:
