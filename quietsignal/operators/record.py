@@ -7,6 +7,7 @@ model, a null value or a deviation of 0 leaves the score null.  ``detect`` adds
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -264,19 +265,67 @@ def out_of_range(df: DataFrame, ranges: DataFrame, s: Settings, steepness: float
     return _scored(df, ranges, s, one)
 
 
-def in_range(df: DataFrame, ranges: list[dict[str, tuple[float, float]]], s: Settings, steepness: float) -> DataFrame:
-    """High inside a range; of several global ranges the best counts.  ``ranges`` is a short literal list."""
+def in_range(df: DataFrame, ranges: list[dict[str, tuple[float, float]]] | DataFrame, s: Settings, steepness: float) -> DataFrame:
+    """High inside a range; of several ranges the best counts.
+
+    ``ranges``: a short literal list of global ranges, or a table of any size (``s.keys``, ``{attr}_lo``, ``{attr}_hi``), global
+    without keys, for which see ``in_range_table``.
+    """
+    if isinstance(ranges, DataFrame):
+        return in_range_table(df, ranges, s, steepness)
+
     def inside(box: dict[str, tuple[float, float]]) -> Column:
-        each = []
-        for a in s.attrs:
-            v, (lo, hi) = _num(a), box[a]
-            each.append(1 - logistic_scale(steepness, F.when(v > (lo + hi) / 2, v - hi).otherwise(lo - v)))
-        return s.total(each)
+        return s.total([_inside(_num(a), *(F.lit(float(x)) for x in box[a]), steepness) for a in s.attrs])
 
     scores = [inside(b) for b in ranges]
     return df.withColumn("score", F.greatest(*scores) if len(scores) > 1 else scores[0])
 
 
+def _inside(v: Column, lo: Column, hi: Column, steepness: float) -> Column:
+    return 1 - logistic_scale(steepness, F.when(v > (lo + hi) / 2, v - hi).otherwise(lo - v))
+
+
+#: Bucket widths are 4 to the power of one of these.
+LEVELS = range(-20, 511)
+
+
+def in_range_table(df: DataFrame, ranges: DataFrame, s: Settings, steepness: float, reach: float = 40.0) -> DataFrame:
+    """``in_range`` by an interval join: rows meet only ranges whose buckets of some attribute hold them.
+
+    A range, made wider by ``reach`` / steepness on either side (beyond it an attribute counts for less than e^-reach), falls into at most five
+    buckets of the least width that is a power of four and not below a quarter of its own; a row asks one bucket of each width in use.
+    So the join is by equality of key, width and bucket, and only then checked.  A row that meets no range, or has a null
+    attribute, scores 0 and null.  Ranges with a null or not finite edge, or with lo above hi, are none.
+    """
+    margin = reach / steepness
+    edges = [number(f"{a}_{side}") for a in s.attrs for side in ("lo", "hi")]
+    good = edges[0] <= edges[1]
+    for lo, hi in zip(edges[2::2], edges[3::2], strict=True):
+        good = good & (lo <= hi)
+    own = [f"__k{i}" for i in range(len(s.keys))]
+    boxes = ranges.where(F.coalesce(good, F.lit(False))).select(*[F.col(f"`{k}`").alias(o) for k, o in zip(s.keys, own, strict=True)], *[e.alias(f"__e{i}") for i, e in enumerate(edges)])
+    boxes = boxes.distinct()
+    # A score depends on the key and the values alone, by which rows are matched again; copies are searched once.
+    columns = [*own, *[f"__v{i}" for i in range(len(s.attrs))]]
+    wide = df.withColumns({**{o: F.col(f"`{k}`") for k, o in zip(s.keys, own, strict=True)}, **{f"__v{i}": _num(a) for i, a in enumerate(s.attrs)}})
+    values = wide.select(*columns).dropna(subset=columns[len(own) :]).distinct()
+    bucket = lambda x, at: F.floor(x / F.pow(F.lit(4.0), at))
+    one = s.total([_inside(F.col(f"__v{i}"), F.col(f"__e{2 * i}"), F.col(f"__e{2 * i + 1}"), steepness) for i in range(len(s.attrs))])
+    found = []
+    for i in range(len(s.attrs)):
+        low, high = F.col(f"__e{2 * i}") - margin, F.col(f"__e{2 * i + 1}") + margin
+        level = F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[-1]), F.ceil(F.log(4.0, (high - low) / 4)))).cast("int")
+        placed = boxes.withColumn("__level", level).withColumn("__bucket", F.explode(F.sequence(bucket(low, F.col("__level")), bucket(high, F.col("__level")))))
+        used = [r[0] for r in placed.select("__level").distinct().collect()]  # one of the LEVELS each
+        asks = values.withColumn("__level", F.explode(F.array(*[F.lit(x) for x in used]) if used else F.expr("CAST(array() AS array<int>)"))).withColumn("__bucket", bucket(F.col(f"__v{i}"), F.col("__level")))
+        found.append(models.attach(asks, placed, [*own, "__level", "__bucket"]).where(F.col("__e0").isNotNull()).groupBy(*columns).agg(F.max(one).alias("__one")))
+    best = reduce(DataFrame.unionByName, found).groupBy(*columns).agg(F.max("__one").alias("__best"))
+    whole = F.lit(True)
+    for i in range(len(s.attrs)):
+        whole = whole & F.col(f"__v{i}").isNotNull()
+    return models.attach(wide, best, columns).withColumn("score", F.when(whole, F.coalesce("__best", F.lit(0.0)))).drop(*columns, "__best")
+
+
 def outliers(df: DataFrame) -> DataFrame:
     """Only rows tagged O."""
     return df.where(F.col("tag") == "O")

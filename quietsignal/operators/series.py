@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,13 +123,26 @@ def ngram_distance(df: DataFrame, reference: DataFrame, keys: list[str], symbol:
     with_g = models.attach(with_g, norm, own)
     seen = F.collect_list(F.struct(F.coalesce("gram", F.lit("")).alias("gram"), F.coalesce("freq", F.lit(0.0)).alias("g"))).over(w.rowsBetween(-(window - n), 0))
     out = with_g.withColumn("seen", F.when(F.col("__i") >= window, seen))
-    grams = F.array_distinct(F.col("seen"))
-    each = F.transform(grams, lambda x: F.struct(x["g"].alias("g"), F.size(F.filter("seen", lambda y: y["gram"] == x["gram"])).cast("double").alias("c")))
-    out = out.withColumn("each", each).withColumn("most", F.array_max(F.transform("each", lambda e: e["c"])))
-    part = F.aggregate("each", F.lit(0.0), lambda a, e: a + (e["c"] / F.col("most")) * (e["c"] / F.col("most")) - 2 * (e["c"] / F.col("most")) * e["g"])
+    # Sorted, equal grams stand together: one pass adds up c^2 and c g over their counts c, and keeps the largest c.
+    begin = F.struct(F.lit(None).cast("string").alias("gram"), *[F.lit(0.0).alias(c) for c in ("g", "c", "cc", "cg", "most")])
+
+    def closed(a: Column) -> tuple[Column, Column, Column]:
+        return a["cc"] + a["c"] * a["c"], a["cg"] + a["c"] * a["g"], F.greatest(a["most"], a["c"])
+
+    def step(a: Column, x: Column) -> Column:
+        again = a["gram"].eqNullSafe(x["gram"])
+        cc, cg, most = closed(a)
+        pick = lambda same, other: F.when(again, same).otherwise(other)
+        return F.struct(x["gram"].alias("gram"), x["g"].alias("g"), pick(a["c"] + 1, F.lit(1.0)).alias("c"), pick(a["cc"], cc).alias("cc"), pick(a["cg"], cg).alias("cg"), pick(a["most"], most).alias("most"))
+
+    def total(a: Column) -> Column:
+        cc, cg, most = closed(a)
+        return F.try_divide(cc, most * most) - F.try_divide(2 * cg, most)
+
+    part = F.when(F.col("seen").isNotNull(), F.aggregate(F.array_sort("seen"), begin, step, total))
     out = out.withColumn("distance", F.coalesce(F.col("g2") + part, F.lit(0.0)))
     out = out.withColumn("score", F.max("distance").over(w.rowsBetween(0, window - 1)))
-    return out.drop("gram", "freq", "g2", "seen", "each", "most", "__i", "distance", *([] if keys else [models.ALL]))
+    return out.drop("gram", "freq", "g2", "seen", "__i", "distance", *([] if keys else [models.ALL]))
 
 
 T95 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.16, 2.145, 2.131, 2.12, 2.11, 2.101, 2.093, 2.086, 2.08, 2.074, 2.069, 2.064, 2.06, 2.056, 2.052, 2.048, 2.045, 2.042]
@@ -220,28 +235,44 @@ def change_points(df: DataFrame, keys: list[str], attr: str, seq: str, tie: str,
     """keys, seq (first row of the window's right half), stat where two halves of a window differ by ``critical`` or more.
 
     ``statistic``: KS (largest gap of the distribution functions), CVM (Cramer-von Mises) or AD (Anderson-Darling).
-    ``since`` (keys, checkpoint) leaves out earlier rows.
+    ``since`` (keys, checkpoint) leaves out earlier rows.  Windows that hold a null or NaN are left out.
     """
     if since is not None:
         df = models.attach(df, since.select(*keys, "checkpoint"), keys).where(F.col("checkpoint").isNull() | (F.col(seq) >= F.col("checkpoint"))).drop("checkpoint")
     w = sequence(keys, [seq, tie])
     h = window // 2
-    x = F.col(attr).cast("double")
+    x = number(attr)
     out = df.withColumn("a", F.collect_list(x).over(w.rowsBetween(-h, -1))).withColumn("b", F.collect_list(x).over(w.rowsBetween(0, h - 1)))
-    out = out.where((F.size("a") == h) & (F.size("b") == h)).withColumn("z", F.array_sort(F.concat("a", "b")))
-    below = lambda side, v: F.size(F.filter(side, lambda y: y <= v)) / F.lit(float(h))
-    gap = lambda v: below("a", v) - below("b", v)
-    n = 2 * h
-    if statistic == "KS":
-        stat = F.array_max(F.transform("z", lambda v: F.abs(gap(v))))
-    elif statistic == "CVM":
-        stat = F.lit(h * h / (n * n)) * F.aggregate(F.transform("z", lambda v: gap(v) * gap(v)), F.lit(0.0), lambda s, y: s + y)
-    elif statistic == "AD":
-        part = F.transform(F.slice("z", 1, n - 1), lambda v, i: F.pow(F.size(F.filter("a", lambda y: y <= v)) * F.lit(float(n)) - (i + 1) * F.lit(float(h)), 2) / ((i + 1) * (n - i - 1)))
-        stat = F.aggregate(part, F.lit(0.0), lambda s, y: s + y) / F.lit(float(h * h))
-    else:
+    out = out.where((F.size("a") == h) & (F.size("b") == h)).withColumn("stat", _two_sample(statistic, h)("a", "b"))
+    return out.where(F.col("stat") >= critical).select(*keys, seq, "stat")
+
+
+def _two_sample(statistic: str, h: int):
+    """A statistic of two halves of ``h`` values: many windows are sorted side by side, w log w each."""
+    if statistic not in ("KS", "CVM", "AD"):
         raise ValueError(f"unknown statistic {statistic!r}")
-    return out.withColumn("stat", stat).where(F.col("stat") >= critical).select(*keys, seq, "stat")
+    n = 2 * h
+
+    @F.pandas_udf("double")
+    def compute(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=float)
+        both = np.concatenate([np.stack(a.to_numpy()), np.stack(b.to_numpy())], axis=1)
+        order = both.argsort(axis=1, kind="stable")
+        z = np.take_along_axis(both, order, 1)
+        # Equal values count together: what holds at the last of them holds for all.
+        last = np.where(np.append(z[:, 1:] != z[:, :-1], np.ones((len(z), 1), bool), axis=1), np.arange(n), n)
+        last = np.minimum.accumulate(last[:, ::-1], axis=1)[:, ::-1]
+        left = np.take_along_axis((order < h).cumsum(axis=1), last, 1)
+        gap = (2 * left - (last + 1)) / h
+        if statistic == "KS":
+            return pd.Series(np.abs(gap).max(1))
+        if statistic == "CVM":
+            return pd.Series(h * h / (n * n) * (gap * gap).sum(1))
+        i = np.arange(1, n)
+        return pd.Series((((left[:, :-1] * n - i * h) ** 2) / (i * (n - i))).sum(1) / (h * h))
+
+    return compute
 
 
 def checkpoints(df: DataFrame, keys: list[str], seq: str, tie: str, window: int) -> DataFrame:
@@ -252,8 +283,6 @@ def checkpoints(df: DataFrame, keys: list[str], seq: str, tie: str, window: int)
 
 def critical_value(statistic: str, half: int, share: float = 0.95, draws: int = 2000, seed: int = 3) -> float:
     """Monte-Carlo critical value of a two-sample statistic under no change; on the driver, in numpy."""
-    import numpy as np
-
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(draws):

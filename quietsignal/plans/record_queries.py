@@ -172,6 +172,15 @@ def out_of_range(t):
     return record.out_of_range(t("events"), ranges, Settings(["user_id"], ["value"]), 0.05).select("event_id", r4("score"))
 
 
+@query("in_range_table", """WITH r AS (SELECT e.event_id, max(CASE WHEN e.value > (lo + hi) / 2 THEN 1 - 1 / (1 + exp(-4 * (e.value - hi))) ELSE 1 - 1 / (1 + exp(-4 * (lo - e.value))) END) AS s
+  FROM events e JOIN (SELECT user_id, value - 1 AS lo, value + 1 AS hi FROM events WHERE event_id % 10 = 0) USING (user_id) GROUP BY 1)
+SELECT event_id, round(coalesce(s, 0), 4) AS score FROM events LEFT JOIN r USING (event_id)""")
+def in_range_table(t):
+    """A table of ranges by user: one around each tenth of the user's values."""
+    ranges = t("events").where("event_id % 10 = 0").select("user_id", (F.col("value") - 1).alias("value_lo"), (F.col("value") + 1).alias("value_hi"))
+    return record.in_range(t("events"), ranges, Settings(["user_id"], ["value"]), 4.0).select("event_id", r4("score"))
+
+
 @query("in_range", """SELECT event_id, round(greatest(1 - 1 / (1 + exp(-0.5 * CASE WHEN value > 15 THEN value - 20 ELSE 10 - value END)), 1 - 1 / (1 + exp(-0.5 * CASE WHEN value > 110 THEN value - 120 ELSE 100 - value END))), 4) AS score,
 CASE WHEN greatest(1 - 1 / (1 + exp(-0.5 * CASE WHEN value > 15 THEN value - 20 ELSE 10 - value END)), 1 - 1 / (1 + exp(-0.5 * CASE WHEN value > 110 THEN value - 120 ELSE 100 - value END))) > 0.5 THEN 'O' ELSE 'N' END AS tag FROM events""")
 def in_range(t):
