@@ -74,15 +74,15 @@ def pseudo_relevance(df: DataFrame, keys: list[str], tie: str, top: float, as_pe
     """
     df, keys = models.keyed(df, keys)
     size = Window.partitionBy(*keys)
-    ranked = df.withColumn("k", F.row_number().over(size.orderBy(F.col("score").desc(), tie))).withColumn("n", F.count("*").over(size))
-    at = F.floor(F.col("n") * (top / 100.0)) if as_percentage else F.lit(int(top))
-    at = F.least(F.greatest(at, F.lit(1)), F.col("n"))
-    found = ranked.withColumn("at", at).groupBy(*keys).agg(F.max("n").alias("n"), F.avg(F.when(F.abs(F.col("k") - F.col("at")) <= 1, F.col("score"))).alias("mean3"))
+    ranked = df.withColumn("__k", F.row_number().over(size.orderBy(F.col("score").desc(), tie))).withColumn("__n", F.count("*").over(size))
+    at = F.floor(F.col("__n") * (top / 100.0)) if as_percentage else F.lit(int(top))
+    at = F.least(F.greatest(at, F.lit(1)), F.col("__n"))
+    found = ranked.withColumn("__at", at).groupBy(*keys).agg(F.max("__n").alias("__n"), F.avg(F.when(F.abs(F.col("__k") - F.col("__at")) <= 1, F.col("score"))).alias("mean3"))
     if old is not None:
         found = models.attach(found, old.select(*keys, F.col("threshold").alias("kept")), keys)
     else:
         found = found.withColumn("kept", F.lit(None).cast("double"))
-    return found.select(*keys, F.when(F.col("n") > least, F.col("mean3")).otherwise(F.coalesce("kept", F.lit(float(default)))).alias("threshold"))
+    return found.select(*keys, F.when(F.col("__n") > least, F.col("mean3")).otherwise(F.coalesce("kept", F.lit(float(default)))).alias("threshold"))
 
 
 def precision_recall(detected: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

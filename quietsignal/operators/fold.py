@@ -17,7 +17,7 @@ PLACE = "__place"
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], needs: list[str], begin: Callable[[dict[str, Any]], Any], step: Callable[[Any, pd.DataFrame], tuple[Any, list[list]]], added: list[StructField]) -> DataFrame:
-    """``df`` with columns that depend on all earlier rows of the key in ``order``.
+    """``df`` with columns that depend on all earlier rows of the key in ``order``; they replace those of their names.
 
     ``begin`` makes a key's state from its first row, and ``step`` takes the state and the next rows of the key (their
     ``needs``), some at a time, and gives the new state and the values of ``added`` for them.  A window numbers the
@@ -26,7 +26,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], needs: list[s
     """
     by = [F.col(f"`{k}`") for k in keys] or [F.lit("all")]
     placed = df.withColumn(PLACE, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    kinds = [to_arrow_type(f.dataType) for f in added]
+    kinds, names = [to_arrow_type(f.dataType) for f in added], {f.name for f in added}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
@@ -41,7 +41,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], needs: list[s
                 state, values = step(state, part)
                 for c, v in zip(columns, values, strict=True):
                     c += v
-            kept = [c for c in batch.schema.names if c != PLACE]
+            kept = [c for c in batch.schema.names if c != PLACE and c not in names]
             yield pa.record_batch([*(batch.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*kept, *(f.name for f in added)])
 
-    return placed.mapInArrow(work, StructType([*df.schema.fields, *added]))
+    return placed.mapInArrow(work, StructType([*(f for f in df.schema.fields if f.name not in names), *added]))
