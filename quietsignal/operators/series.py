@@ -186,6 +186,29 @@ def one_step_ahead(df: DataFrame, keys: list[str], attr: str, seq: str, tie: str
     return out.withColumn("score", score).drop("__r", "__n", "__sd")
 
 
+def smoothing_weights(window: int, smoothing: float) -> list[float]:
+    """Weights, newest first, by which exponential smoothing over a window of fixed size is a weighted average."""
+    return [smoothing * (1 - smoothing) ** i for i in range(window - 1)] + [(1 - smoothing) ** (window - 1)]
+
+
+def one_step_ahead_all(df: DataFrame, keys: list[str], attrs: dict[str, float], seq: str, tie: str, window: int, least: int = 5, exp_const: float = 1.0, weights: list[float] | None = None, initial: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``one_step_ahead`` of several attributes: ``prediction_{attr}`` and ``score_{attr}`` of each, and ``score``, their
+    average by the weights in ``attrs``.
+
+    A null or NaN leaves only its own attribute without a score, and the average is of the others; without any it is null.
+    All attributes share one sort.  ``initial`` holds the residuals of an earlier run by attribute (``residual_stats`` of
+    the table with ``prediction_{attr}`` as ``prediction``).
+    """
+    out = df
+    for a in attrs:
+        own = one_step_ahead(out.withColumn("__a", number(F.col(f"`{a}`"))), keys, "__a", seq, tie, window, least, exp_const, weights, (initial or {}).get(a))
+        out = own.withColumnsRenamed({"prediction": f"prediction_{a}", "score": f"score_{a}"}).withColumn(f"score_{a}", F.when(F.col("__a").isNotNull(), F.col(f"`score_{a}`"))).drop("__a")
+    scores = {a: F.col(f"`score_{a}`") for a in attrs}
+    total = sum((F.coalesce(s * float(attrs[a]), F.lit(0.0)) for a, s in scores.items()), F.lit(0.0))
+    known = sum((F.when(s.isNotNull(), float(attrs[a])).otherwise(0.0) for a, s in scores.items()), F.lit(0.0))
+    return out.withColumn("score", F.try_divide(total, known))
+
+
 def residual_stats(df: DataFrame, keys: list[str], attr: str) -> DataFrame:
     """keys, n, sum, sumsq, mean, sd of value less ``prediction``: state for the next run."""
     df, own = models.keyed(df, keys)

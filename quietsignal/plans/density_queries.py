@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quietsignal.functions.score import round_to, tag
-from quietsignal.operators import density, forest, models, projection
+from quietsignal.operators import density, forest, models, projection, similarity
 from quietsignal.plans.record_queries import r4
 from quietsignal.plans.registry import query
 
@@ -79,6 +79,23 @@ def pairwise_distance(t):
     return out.groupBy("label").agg(F.count("*").alias("pairs"), round_to(F.avg("dist")).alias("mean_dist"), round_to(F.min("dist")).alias("least"))
 
 
+MIXED = """WITH s AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) - min(c_acctbal) AS span FROM customer),
+d AS (SELECT a.c_custkey AS source, b.c_custkey AS target, floor((abs(a.c_acctbal - b.c_acctbal) / span * 2 + CASE WHEN a.c_mktsegment = b.c_mktsegment THEN 0.0::DOUBLE ELSE 1 END + CASE WHEN a.c_nationkey = b.c_nationkey THEN 0.0::DOUBLE ELSE 1 END) / 4 * 1000)::BIGINT AS dist FROM customer a JOIN customer b ON a.c_custkey < b.c_custkey, s)"""
+
+
+@query("mixed_similarity", MIXED + " SELECT source, target, dist FROM d WHERE dist <= 20")
+def mixed_similarity(t):
+    """Customers alike in balance, segment and nation together."""
+    return similarity.mixed_pairs(t("customer"), "c_custkey", {"c_acctbal": 2.0}, {"c_mktsegment": 1.0, "c_nationkey": 1.0}, 20)
+
+
+@query("mixed_similarity_degrees", MIXED + ", n AS (SELECT source AS c_custkey FROM d WHERE dist <= 260 UNION ALL SELECT target FROM d WHERE dist <= 260) SELECT c_custkey, count(*)::BIGINT AS n FROM n GROUP BY 1")
+def mixed_similarity_degrees(t):
+    """How many others each customer is like, where one of segment and nation may differ."""
+    pairs = similarity.mixed_pairs(t("customer"), "c_custkey", {"c_acctbal": 2.0}, {"c_mktsegment": 1.0, "c_nationkey": 1.0}, 260)
+    return pairs.select(F.explode(F.array("source", "target")).alias("c_custkey")).groupBy("c_custkey").agg(F.count("*").alias("n"))
+
+
 NN9 = PAIRS + ", r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM p), n AS (SELECT * FROM r WHERE k <= 9), h AS (SELECT vec_id, vec_id >= (SELECT count(*) FROM embeddings) // 2 AS late FROM embeddings)"
 
 

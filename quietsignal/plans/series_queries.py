@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quietsignal.functions.score import round_to
+from quietsignal.functions.score import round_to, sequence
 from quietsignal.operators import series
 from quietsignal.plans.record_queries import r4
 from quietsignal.plans.registry import query
@@ -107,6 +107,25 @@ def one_step_ahead(t):
     return series.one_step_ahead(t("events"), ["user_id"], "value", *AT, 5).select("event_id", r4("prediction"), r4("score"))
 
 
+_SMOOTH = series.smoothing_weights(5, 0.3)
+
+
+def _one_step_sql(a):
+    return f"""p{a} AS (SELECT event_id, user_id, {a} AS x, CASE WHEN row_number() OVER w > 5 THEN {" + ".join(f"lag({a}, {i + 1}) OVER w * {v!r}::DOUBLE" for i, v in enumerate(_SMOOTH))} END AS p FROM g WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r{a} AS (SELECT *, p - x AS r, count(p - x) OVER w AS n, stddev_pop(p - x) OVER w AS s FROM p{a} WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s{a} AS (SELECT event_id, p, CASE WHEN x IS NOT NULL THEN CASE WHEN n >= 5 THEN coalesce(1 - exp(-abs(r) / nullif(coalesce({_T}[n - 1], 1.96) * s * sqrt(1 + 1.0::DOUBLE / n), 0)), 0) ELSE 0 END END AS score FROM r{a})"""
+
+
+@query("one_step_ahead_all", f"""WITH g AS (SELECT event_id, user_id, value, (event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id))::DOUBLE AS gap FROM events), {_one_step_sql("value")}, {_one_step_sql("gap")}
+SELECT event_id, round(v.p, 6) AS prediction_value, round(b.p, 6) AS prediction_gap, round((v.score * 2 + coalesce(b.score, 0)) / CASE WHEN b.score IS NULL THEN 2.0::DOUBLE ELSE 3 END, 4) AS score FROM svalue v JOIN sgap b USING (event_id)""")
+def one_step_ahead_all(t):
+    """Values and the gaps between a user's events, smoothed, values counting twice."""
+    gap = F.col("event_id") - F.lag("event_id").over(sequence(["user_id"], ["event_id"]))
+    rows = t("events").select("event_id", "user_id", "value", gap.cast("double").alias("gap"))
+    out = series.one_step_ahead_all(rows, ["user_id"], {"value": 2.0, "gap": 1.0}, *AT, 5, weights=_SMOOTH)
+    return out.select("event_id", *[round_to(F.col(c), 6).alias(c) for c in ("prediction_value", "prediction_gap")], r4("score"))
+
+
 @query("residual_stats", """WITH p AS (SELECT *, CASE WHEN row_number() OVER w > 5 THEN avg(value) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) END AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, count(p)::BIGINT AS n, round(avg(value - p), 4) AS mean, round(stddev_pop(value - p), 4) AS sd FROM p GROUP BY 1""")
 def residual_stats(t):

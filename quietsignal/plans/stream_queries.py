@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quietsignal.functions.score import round_to
+from quietsignal.functions import normal
 from quietsignal.operators import explore, forecast, models, record, series
 from quietsignal.operators.record import Settings
 from quietsignal.plans.record_queries import BY_ORDER, BY_TYPE, TAGGED, r4
@@ -110,6 +111,33 @@ def one_step_replacing(t):
     return out.select("event_id", r4("prediction"), r4("score"))
 
 
+def _horner(coefficients, x):
+    out = repr(coefficients[-1]) + "::DOUBLE"
+    for c in reversed(coefficients[:-1]):
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _ratio_sql(pair, x):
+    return f"{_horner(pair[0], x)} / {_horner(pair[1], x)}"
+
+
+@query("shapiro_wilk", f"""WITH r AS (SELECT user_id, value AS x, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS i FROM events),
+u AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p, p - 0.5::DOUBLE AS q, 0.180625::DOUBLE - q * q AS k, sqrt(-ln(least(p, 1 - p))) - 1.6::DOUBLE AS t FROM r),
+m AS (SELECT *, CASE WHEN abs(q) <= 0.425::DOUBLE THEN q * {_ratio_sql(normal.CENTRE, "k")} ELSE sign(q) * {_ratio_sql(normal.TAIL, "t")} END AS m FROM u),
+s AS (SELECT user_id, any_value(n)::BIGINT AS n, sum(m * m) AS mm, max(m) AS m1, max(m) FILTER (i = n - 1) AS m2, 1 / sqrt(any_value(n)::DOUBLE) AS h, var_pop(x) * count(*) AS ss FROM m GROUP BY 1 HAVING count(*) > 5),
+a AS (SELECT *, m1 / sqrt(mm) + {_horner([0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056], "h")} AS a1, m2 / sqrt(mm) + {_horner([0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633], "h")} AS a2,
+sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS f FROM s),
+w AS (SELECT a.user_id, any_value(a.n) AS n, pow(sum(m.x * CASE WHEN i = a.n THEN a1 WHEN i = 1 THEN -a1 WHEN i = a.n - 1 THEN a2 WHEN i = 2 THEN -a2 ELSE m / f END), 2) / any_value(ss) AS w FROM a JOIN m ON m.user_id = a.user_id GROUP BY 1),
+l AS (SELECT *, ln(n::DOUBLE) AS g, (ln(1 - w) - {_horner([-1.5861, -0.31082, -0.083751, 0.0038915], "g")}) / exp({_horner([-0.4803, -0.082676, 0.0030302], "g")}) AS z FROM w WHERE n > 11),
+e AS (SELECT *, 1 / (1 + abs(z) / sqrt(2.0::DOUBLE) / 2) AS t, t * exp(-z * z / 2 + {_horner(normal.ERFC, "t")}) / 2 AS half FROM l)
+SELECT user_id, n, round(w, 6) AS w, round(CASE WHEN z >= 0 THEN half ELSE 1 - half END, 4) AS p FROM e""")
+def shapiro_wilk(t):
+    """Users with more than 11 events."""
+    out = explore.shapiro_wilk(t("events"), ["user_id"], "value").where("n > 11")
+    return out.select("user_id", "n", round_to(F.col("w"), 6).alias("w"), r4("p"))
+
+
 @query("normality", """WITH m AS (SELECT event_type, count(*)::BIGINT AS n, avg(value) AS m FROM events GROUP BY 1),
 s AS (SELECT event_type, any_value(n) AS n, avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5) AS s, avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) - 3 AS k FROM events JOIN m USING (event_type) GROUP BY 1)
 SELECT event_type, n, round(s, 4) AS skewness, round(k, 4) AS kurtosis, round(n / 6.0::DOUBLE * (s * s + k * k / 4), 2) AS jarque_bera FROM s""")

@@ -49,6 +49,7 @@ PER_ROW = {
     "neighborhood": lambda d: series.local_neighborhood(d, KEY, "v", *AT, 5, nearest=2),
     "forest": lambda d: forest.score(d, forest.fit_by_key(d, KEY, ["v", "w"], trees=5, subsample=16), ["v", "w"], keys=KEY),
     "components": lambda d: projection.reconstruction_error(d, projection.fit_components(d, KEY, ["v", "w"], 1), KEY, ["v", "w"], 1),
+    "one_step_all": lambda d: series.one_step_ahead_all(d, KEY, {"v": 2.0, "w": 1.0}, *AT, 4),
     "residue": lambda d: projection.spectral_residue(d, KEY, "v", *AT, 8),
     "ddm": lambda d: drift.ddm(d, KEY, "e", *AT, 5, 2.0), "eddm": lambda d: drift.eddm(d, KEY, "e", *AT, 5, 0.9), "fhddm": lambda d: drift.fhddm(d, KEY, "e", *AT, 6, 0.1),
     "paired": lambda d: drift.paired_learners(d, KEY, "e", "e2", *AT, 0.1), "ecdd": lambda d: drift.ecdd(d, KEY, "e", *AT, 0.2, 2.0),
@@ -61,7 +62,7 @@ PER_KEY = {
     "ngrams": lambda d: series.ngram_frequencies(d, KEY, "s", *AT, 2), "changes": lambda d: series.change_points(d, KEY, "v", *AT, 8, "KS", 0.5), "autocorrelation": lambda d: series.autocorrelation(d, KEY, "v", *AT, [1, 3]),
     "neighbours": lambda d: density.nearest(vectors(d), KEY, "i", "x", 3), "many_blocks": lambda d: density.nearest(vectors(d), KEY, "i", "x", 3, block=8), "lof": lambda d: density.lof(density.nearest(vectors(d), KEY, "i", "x", 3)),
     "thresholds": lambda d: alerts.best_split(alerts.learn_threshold(d, KEY, F.col("e") == 1, [0.3, 0.6]), KEY), "relevance": lambda d: alerts.pseudo_relevance(d, KEY, "i", 10, True, 3, 0.5), "tail": lambda d: alerts.score_tail(d, KEY, [0.9]),
-    "pareto": lambda d: alerts.tail_fit(d, KEY, 0.7, 0.99), "counter": lambda d: alerts.count_tags(d, KEY), "normality": lambda d: explore.normality(d, KEY, "v"), "temporal": lambda d: series.temporal_aggregate(d.withColumn("ts", F.timestamp_seconds("i")), KEY, "ts", "v", "hour"),
+    "pareto": lambda d: alerts.tail_fit(d, KEY, 0.7, 0.99), "counter": lambda d: alerts.count_tags(d, KEY), "normality": lambda d: explore.normality(d, KEY, "v"), "shapiro": lambda d: explore.shapiro_wilk(d, KEY, "v"), "temporal": lambda d: series.temporal_aggregate(d.withColumn("ts", F.timestamp_seconds("i")), KEY, "ts", "v", "hour"),
 }
 
 
