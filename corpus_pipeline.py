@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quietsignal.llm import decontaminate, jaccard, packing, pii, quality
 from quietsignal.llm.common import crc_of_id, table
 
+#: Words that a packing worker remembers here, where the executor still holds what earlier stages left in memory.
+PACK_WORDS = 150_000
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labels of two thirds of the ids."""
@@ -32,7 +35,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of the tokenized documents and their places in training sequences."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=PACK_WORDS)
 
 
 STAGES = [

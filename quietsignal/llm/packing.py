@@ -111,13 +111,15 @@ class Encoder:
         known = self.known
         bases = [w.rstrip(SYMBOLS) for w in chunks]
         words = [w for w in set(bases).difference(known) if w.isalpha()]
-        for i, e in enumerate(self.tokenizer.encode_batch_fast([" ".join(words[i : i + 250]) for i in range(0, len(words), 250)], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            ends = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
-            own = words[250 * i : 250 * i + 250]
-            if len(ends) == len(own) + 1:
-                raw = ids.tobytes()
-                known.update(zip(own, [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], strict=True))
+        groups = [words[i : i + 250] for i in range(0, len(words), 250)]
+        for i in range(0, len(groups), 20):
+            some = groups[i : i + 20]
+            for own, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+                if len(ends) == len(own) + 1:
+                    raw = ids.tobytes()
+                    known.update(zip(own, [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)], strict=True))
         tails = {w[len(base) :] for w, base in zip(chunks, bases, strict=True)}
         self._any(list(tails.difference(known)))
         rest = []
@@ -137,9 +139,7 @@ class Encoder:
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str | None], end: int) -> Iterator[np.ndarray]:
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        known, last = self.known, np.array([end], "<u4").tobytes()
+        last = np.array([end], "<u4").tobytes()
         split: list[list[str]] = []
         new: tuple[set, set] = (set(), set())
         for text in texts:
@@ -150,25 +150,30 @@ class Encoder:
                 plain = False
             split.append((text.lower() if plain else text).replace("\n", " ").split(" "))
             new[plain].update(split[-1])
+        if len(self.known) > self.limit:
+            # What the texts at hand hold stays: frequent words are among it.
+            self.known = {"": b""} | {w: self.known[w] for w in new[True].union(new[False]).intersection(self.known)}
+        known = self.known
         self._plain(list(new[True].difference(known)))
         self._any(list(new[False].difference(known)))
         for words in split:
             yield np.frombuffer(b"".join(map(known.__getitem__, words)) + last, "<u4")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, tail: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, tail: int = 64, words: int = 500_000) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): where it is from and which place of which sequence it has.
 
     A null text counts as empty: its document is the end id alone.  Repeated rows are packed each for itself;
     a null doc_id stays null.  An empty table gives no rows.  Other columns are not read.  Very long texts are
     cut into whole sequences.  Memory: open bins hold under ``capacity`` tokens for each of at most
-    capacity / tail + tail classes, whatever the input.
+    capacity / tail + tail classes, whatever the input, and a worker remembers about ``words`` words and their ids
+    (200 bytes each); fewer take more time.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, words)
         packer = Packer(TaskContext.get().partitionId() << 40, capacity, tail)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
