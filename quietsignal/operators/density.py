@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,87 @@ def pair_distances(df: DataFrame, keys: list[str], id_: str, vector: str, scale:
     return out.withColumn("dist", F.floor(F.col("dist") * scale).cast("long")) if scale else out
 
 
+def distance_sums(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> tuple[float, float, float]:
+    """How many pairs of a row of ``a`` and one of ``b`` with different ids there are, by weights, the sum of their distances, and the least one.
+
+    Distances come from a product of matrices; those too small for its rounding, and the least one, from differences.
+    """
+    n, total, least = 0.0, 0.0, float("nan")
+    finite = np.isfinite(b).all(1)
+    clean = np.where(finite[:, None], b, 0)
+    squares, shared = (clean * clean).sum(1), len(np.intersect1d(ia, ib)) > 0
+
+    def exact(i: np.ndarray, j: np.ndarray, part: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore"):  # infinity less infinity
+            return np.sqrt(((part[i] - b[j]) ** 2).sum(1))
+
+    for at in range(0, len(a), 256):
+        part, w = a[at : at + 256], wa[at : at + 256]
+        whole = np.isfinite(part).all(1)
+        safe = np.where(whole[:, None], part, 0)
+        both = (safe * safe).sum(1)[:, None] + squares[None, :]
+        d = np.maximum(both - 2 * (safe @ clean.T), 0)
+        small = (d <= 1e-6 * both) | ~whole[:, None] | ~finite[None, :]
+        d = np.sqrt(d)
+        other = ia[at : at + 256, None] != ib[None, :] if shared else np.ones(d.shape, bool)
+        i, j = np.nonzero(small & other)
+        for k in range(0, len(i), 100_000):
+            d[i[k : k + 100_000], j[k : k + 100_000]] = exact(i[k : k + 100_000], j[k : k + 100_000], part)
+        if shared:
+            d[~other] = 0
+        n += float(w @ other @ wb)
+        total += float(w @ d @ wb)
+        d[~other] = np.inf
+        if other.any():
+            # NaN is greater than all others, as Spark orders it.
+            first = np.fmin.reduce(d, axis=None)
+            i, j = np.nonzero(other & (d <= first * (1 + 1e-6)))
+            if np.isfinite(first) and first > 0:
+                first = min(exact(i[k : k + 100_000], j[k : k + 100_000], part).min() for k in range(0, len(i), 100_000))
+            elif np.isinf(first) and not (other & (d == np.inf)).any():
+                first = np.nan
+            least = np.fmin(least, first)
+    return n, total, float(least)
+
+
+def pair_summary(df: DataFrame, keys: list[str], id_: str, vector: str, block: int = 4096) -> DataFrame:
+    """keys, pairs (how many ordered pairs of different ids ``pair_distances`` has), mean_dist and least, by pairs of blocks.
+
+    All distances are worked out, as many as pairs, but none is a row: a key's rows are dealt to blocks of about ``block``
+    rows, and each pair of blocks is a group of its own that gives its count, sum and least.  Pairs whose distance
+    is null (null vectors or components, other lengths) count as pairs only.
+    """
+    own = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)], F.col(f"`{id_}`").alias("id"), F.transform(F.col(f"`{vector}`"), lambda x: x.cast("double")).alias("v"))
+    rows = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in [*own, "id"]))
+    ids = rows.groupBy(*own, "id").agg(F.count("*").alias("n"))
+    counts = ids.groupBy(*own).agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).cast("long").alias("pairs")).where("pairs > 0")
+    # Rows alike in id and vector are one, with a weight; they would all fall into one block.
+    whole = rows.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())).groupBy(*own, "id", "v").agg(F.count("*").cast("double").alias("w")).withColumn("size", F.size("v"))
+    by = [*own, "size"]
+    blocks = whole.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = models.attach(whole, blocks, by).withColumn("b", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("b", "o"), "q": F.greatest("b", "o")})
+    names = [*own, "n", "total", "least", "total_nan", "least_nan"]
+    fields = [met.schema[o] for o in own]
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        x, w, code = np.stack(part["v"].to_numpy()), part["w"].to_numpy(), pd.factorize(part["id"])[0]
+        first = (part["b"] == part["p"]).to_numpy()
+        second, times = (first, 1) if part["p"].iloc[0] == part["q"].iloc[0] else (~first, 2)
+        n, total, least = distance_sums(x[first], x[second], w[first], w[second], code[first], code[second])
+        # From pandas NaN would come as null, so it is told apart.
+        return pd.DataFrame([[*(part[o].iloc[0] for o in own), times * n, times * total, least, bool(np.isnan(total)), bool(np.isnan(least))]], columns=names)
+
+    group = [*by, "p", "q"]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], "n double, total double, least double, total_nan boolean, least_nan boolean"])
+    found = models.spread(met.select(*group, "b", "id", "v", "w"), group).groupBy(*group).applyInPandas(work, schema).where("n > 0")
+    found = found.withColumns({c: F.when(F.col(f"{c}_nan"), F.lit(float("nan"))).otherwise(F.col(c)) for c in ("total", "least")})
+    sums = found.groupBy(*own).agg((F.sum("total") / F.sum("n")).alias("mean_dist"), F.min("least").alias("least"))
+    out = counts.join(sums, own, "left")
+    return out.select(*[F.col(o).alias(k) for o, k in zip(own, keys, strict=True)], "pairs", "mean_dist", "least")
+
+
 def key_columns(neighbours: DataFrame) -> list[str]:
     """The keys of a table of neighbours: what stands before its sources."""
     return neighbours.columns[: neighbours.columns.index("source")]
@@ -132,4 +215,4 @@ def cluster_distance(df: DataFrame, attrs: list[str], clusters: list[dict], exp_
     return df.withColumn("cluster", nearest_["id"]).withColumn("score", exp_scale(exp_const, score) if exp_const > 0 else score)
 
 
-__all__ = ["average_distance", "classifier_drift", "cluster_distance", "density", "distance", "large_clusters", "lof", "nearest", "neighbour_drift", "neighbour_groups", "pair_distances", "relative_density"]
+__all__ = ["average_distance", "classifier_drift", "cluster_distance", "density", "distance", "large_clusters", "lof", "nearest", "neighbour_drift", "neighbour_groups", "pair_distances", "pair_summary", "relative_density"]

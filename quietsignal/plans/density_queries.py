@@ -75,8 +75,8 @@ def relative_density(t):
 
 @query("pairwise_distance", PAIRS + " SELECT label, count(*)::BIGINT AS pairs, round(avg(d), 4) AS mean_dist, round(min(d), 4) AS least FROM p GROUP BY 1")
 def pairwise_distance(t):
-    out = density.pair_distances(t("embeddings"), ["label"], "vec_id", "embedding")
-    return out.groupBy("label").agg(F.count("*").alias("pairs"), round_to(F.avg("dist")).alias("mean_dist"), round_to(F.min("dist")).alias("least"))
+    out = density.pair_summary(t("embeddings"), ["label"], "vec_id", "embedding")
+    return out.select("label", "pairs", round_to(F.col("mean_dist")).alias("mean_dist"), round_to(F.col("least")).alias("least"))
 
 
 MIXED = """WITH s AS (SELECT min(c_acctbal) AS lo, max(c_acctbal) - min(c_acctbal) AS span FROM customer),

@@ -98,3 +98,26 @@ def test_copies_of_a_row_are_no_outliers(spark):
     rows = spark.createDataFrame([("a", i, [1.0]) for i in range(6)] + [("a", 10 + i, [5.0 + i]) for i in range(4)], "k string, i long, v array<double>")
     got = {r["source"]: r["lof"] for r in density.lof(density.nearest(rows, ["k"], "i", "v", 3)).collect()}
     assert all(got[i] == pytest.approx(1) for i in range(6)) and len(got) == 10
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_pair_sums_are_those_of_all_pairs(spark, block):
+    """Keys, copies, repeated ids, nulls, NaN, infinities, other lengths."""
+    r = np.random.default_rng(3)
+    rows = [(key, i, (1e4 * (key == "b") + r.normal(size=3)).tolist()) for key in ("a", "b", None) for i in range(40)]
+    rows += [("a", 100 + i, [1.0, 2.0, 3.0]) for i in range(3)] + [("a", 5, [9.0, 9.0, 9.0])] * 2 + [("b", None, [1.0, 1.0, 1.0]), ("b", 60, None), ("b", 61, [1.0, None, 1.0]), ("b", 62, [1.0])]
+    rows += [("c", i, v) for i, v in enumerate([[1.0, 2.0], [float("nan"), 1.0], [float("inf"), 1.0], [float("inf"), 2.0]])] + [("d", 1, [1.0])] + [("e", 1, [1.0]), ("e", 2, [float("nan")]), ("f", 1, None), ("f", 2, [1.0])]
+    df = spark.createDataFrame(rows, "k string, i long, v array<double>").repartition(3)
+    want = density.pair_distances(df, ["k"], "i", "v").groupBy("k").agg(F.count("*").alias("pairs"), F.avg("dist").alias("mean_dist"), F.min("dist").alias("least"))
+    got = density.pair_summary(df, ["k"], "i", "v", block)
+    a, b = ({x["k"]: x for x in t.collect()} for t in (got, want))
+    assert set(a) == set(b) and got.columns == want.columns
+    for k in a:
+        assert a[k]["pairs"] == b[k]["pairs"]
+        for c in ("mean_dist", "least"):
+            assert (a[k][c] is None) == (b[k][c] is None) and (a[k][c] is None or np.isclose(a[k][c], b[k][c], rtol=1e-9, equal_nan=True))
+
+
+def test_pair_sums_take_keys_of_more_rows_than_pairs_are_made_for(spark):
+    df = spark.range(20_500).select(F.lit("a").alias("k"), F.col("id").alias("i"), F.array((F.col("id") % 2).cast("double")).alias("v"))
+    assert tuple(density.pair_summary(df, ["k"], "i", "v").first()) == ("a", 20_500 * 20_499, pytest.approx(0.5, abs=1e-4), 0.0)
