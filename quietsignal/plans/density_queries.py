@@ -92,8 +92,7 @@ def mixed_similarity(t):
 @query("mixed_similarity_degrees", MIXED + ", n AS (SELECT source AS c_custkey FROM d WHERE dist <= 260 UNION ALL SELECT target FROM d WHERE dist <= 260) SELECT c_custkey, count(*)::BIGINT AS n FROM n GROUP BY 1")
 def mixed_similarity_degrees(t):
     """How many others each customer is like, where one of segment and nation may differ."""
-    pairs = similarity.mixed_pairs(t("customer"), "c_custkey", {"c_acctbal": 2.0}, {"c_mktsegment": 1.0, "c_nationkey": 1.0}, 260)
-    return pairs.select(F.explode(F.array("source", "target")).alias("c_custkey")).groupBy("c_custkey").agg(F.count("*").alias("n"))
+    return similarity.mixed_degrees(t("customer"), "c_custkey", {"c_acctbal": 2.0}, {"c_mktsegment": 1.0, "c_nationkey": 1.0}, 260)
 
 
 NN9 = PAIRS + ", r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM p), n AS (SELECT * FROM r WHERE k <= 9), h AS (SELECT vec_id, vec_id >= (SELECT count(*) FROM embeddings) // 2 AS late FROM embeddings)"

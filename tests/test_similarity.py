@@ -141,3 +141,31 @@ def test_smoothing_weights_are_the_recursion():
     for v in window[1:]:
         level = 0.3 * v + 0.7 * level
     assert sum(w * v for w, v in zip(series.smoothing_weights(5, 0.3), reversed(window), strict=True)) == pytest.approx(level)
+
+
+@pytest.mark.parametrize(("weights", "most", "cell"), [((2.0, 1.0, 1.0), 260, 5), ((1.0, 1.0, 1.0), 1000, 50_000), ((0.0, 1.0, 1.0), 0, 5), ((1.0, 0.0, 2.0), 300, 5)])
+def test_mixed_degrees_count_mixed_pairs(spark, weights, most, cell):
+    a, c, d = weights
+    df = spark.createDataFrame(mixed_rows(), SCHEMA).repartition(3)
+    args = ("id", {"a": a}, {"c": c, "d": d}, most)
+    want = similarity.mixed_pairs(df, *args).select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").count()
+    got = similarity.mixed_degrees(df, *args, cell=cell)
+    assert got.columns == ["id", "n"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_mixed_degrees_hold_where_distances_round(spark):
+    """Differences that are just at the limit, values without a range, and an empty table."""
+    args = ("id", {"a": 2.0}, {"c": 1.0}, 100)
+    for rows in ([(i, i * 0.1, "xy"[i % 2]) for i in range(301)], [(i, 7.0, "xy"[i % 2]) for i in range(20)], [(i, [0.0, -0.0, 1e-300, 1e300, None][i % 5], "x") for i in range(20)], []):
+        df = spark.createDataFrame(rows, "id long, a double, c string")
+        want = similarity.mixed_pairs(df, *args).select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").count()
+        assert sorted(map(tuple, similarity.mixed_degrees(df, *args).collect())) == sorted(map(tuple, want.collect()))
+    assert similarity.mixed_degrees(df, "id", {"a": 2.0}, {"c": 1.0}, -1).collect() == []
+    with pytest.raises(ValueError):
+        similarity.mixed_degrees(df, "id", {}, {"c": 1.0}, 0)
+
+
+def test_mixed_degrees_of_many_copies_make_no_pairs(spark):
+    df = spark.range(200_000).select("id", F.lit(1.0).alias("a"), F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("c"))
+    got = similarity.mixed_degrees(df, "id", {"a": 1.0}, {"c": 1.0}, 100)
+    assert got.groupBy("n").count().orderBy("n").collect() == [(49_999, 50_000), (149_999, 150_000)]
