@@ -24,7 +24,9 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, Long
 from quietsignal.operators import models
 
 #: Rows of a block (about), and pivots of a key at most; a key with more rows than both allow has several blocks a pivot.
-BLOCK, MOST_PIVOTS = 1024, 1024
+BLOCK, MOST_PIVOTS = 4096, 1024
+#: Rows that a step works on, and gives, at once; a row may go to many blocks, and copies of its vector with it.
+STEP = 2048
 #: Rounding may make a bound wrong by this share; bounds are wider by it.
 SLACK = 1e-9
 
@@ -126,7 +128,7 @@ class Join:
         self.pivots = pivots
         self.cells = self.assigned(sized, [*kinds, *one, StructField("v", vector), StructField("ids", ArrayType(id_type)), StructField("share", IntegerType()), StructField("pivot", IntegerType()), StructField("d", DoubleType())])
         counts = self.cells.groupBy(*own, "pivot").agg(F.count("*").alias("rows"), F.min("d").alias("low"), F.max("d").alias("high"))
-        self.blocks = counts.withColumn("parts", F.ceil(F.col("rows") / (4 * block)).cast("int"))
+        self.blocks = counts.withColumn("parts", F.ceil(F.col("rows") / (2 * block)).cast("int"))
         self.placed = models.attach(self.cells, self.blocks.select(*own, "pivot", "parts"), [*own, "pivot"]).withColumn("part", F.pmod("h2", F.col("parts")).cast("int"))
         self.home = self.searched_at_home([*kinds, *one, StructField("v", vector), StructField("share", IntegerType()), StructField("pivot", IntegerType()), StructField("part", IntegerType()), StructField("reach", DoubleType()), near])
         self.visits = self.sent([*kinds, *one, StructField("v", vector), StructField("pivot", IntegerType()), StructField("part", IntegerType())])
@@ -147,12 +149,12 @@ class Join:
         both = leading.select(*self.own, "share", "kind", "pivot", "v", *[F.lit(x).cast(sized.schema[c].dataType).alias(c) for c, x in wide.items()]).unionByName(following)
         names = [f.name for f in fields]
 
-        def answer(held: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        def answer(held: pd.DataFrame, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             held = held.sort_values("pivot")
             p, x = np.stack(held["v"].to_numpy()), np.stack(frame["v"].to_numpy())
             d = np.stack([np.sqrt(((x - a) ** 2).sum(1)) for a in p], 1)
             best = d.argmin(1)
-            return frame.assign(pivot=held["pivot"].to_numpy(int)[best], d=d[np.arange(len(x)), best])[names]
+            yield frame.assign(pivot=held["pivot"].to_numpy(int)[best], d=d[np.arange(len(x)), best])[names]
 
         return self.streamed(both, [*self.own, "share"], answer, fields)
 
@@ -177,7 +179,7 @@ class Join:
         both = leading.withColumns({"h1": zero, "h2": zero, "part": F.lit(0)}).unionByName(following, allowMissingColumns=True)
         names = [f.name for f in fields]
 
-        def answer(held: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        def answer(held: pd.DataFrame, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             held = held[held["rows"].notna()]
             p, x = np.stack(held["v"].to_numpy()), np.stack(frame["v"].to_numpy())
             low, high, number, parts = (held[c].to_numpy(float) for c in ("low", "high", "pivot", "parts"))
@@ -189,8 +191,10 @@ class Join:
             row, at = np.repeat(row, times), np.repeat(at, times)
             part = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, int)
             other = (number[at].astype(int) != own[row]) | (part != mine[row])
-            out = frame.iloc[row[other]].assign(pivot=number[at[other]].astype(int), part=part[other])
-            return out[names]
+            row, pivot, part = row[other], number[at[other]].astype(int), part[other]
+            for a in range(0, len(row), STEP):
+                some = slice(a, a + STEP)
+                yield frame.iloc[row[some]].assign(pivot=pivot[some], part=part[some])[names]
 
         return self.streamed(both, [*self.own, "share"], answer, fields)
 
@@ -200,16 +204,16 @@ class Join:
         both = leading.unionByName(self.visits.withColumn("kind", F.lit(1)), allowMissingColumns=True)
         names, count, metric = [f.name for f in fields], self.metric.k + 1, self.metric
 
-        def answer(held: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
+        def answer(held: pd.DataFrame, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             x, asks = np.stack(held["v"].to_numpy()), np.stack(frame["v"].to_numpy())
             near = metric.nearest(asks, x, list(held["ids"]), count)
-            return frame.assign(near=[[{"dist": d, "id": i} for d, i in n] for n in near])[names]
+            yield frame.assign(near=[[{"dist": d, "id": i} for d, i in n] for n in near])[names]
 
         return self.streamed(both, [*self.own, "pivot", "part"], answer, fields)
 
     @staticmethod
     def streamed(both: DataFrame, group: list[str], answer, fields: list[StructField]) -> DataFrame:
-        """Rows of kind 1 through ``answer``, batch by batch, with all rows of kind 0 of their group, which come first."""
+        """Rows of kind 1 through ``answer``, STEP by STEP, with all rows of kind 0 of their group, which come first."""
         fresh = Window.partitionBy(*group).orderBy("kind")
         placed = models.spread(both, group).withColumn("__place", F.row_number().over(fresh))
 
@@ -226,7 +230,9 @@ class Join:
                         held.append(part[leads])
                     if not leads.all():
                         held = [pd.concat(held)]
-                        yield answer(held[0], part[~leads])
+                        rest = part[~leads]
+                        for c in range(0, len(rest), STEP):
+                            yield from answer(held[0], rest.iloc[c : c + STEP])
 
         return placed.mapInPandas(work, StructType(fields))
 

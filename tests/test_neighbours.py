@@ -1,6 +1,7 @@
 """The metric neighbour join against all pairs: keys, copies, ties, odd rows, and what it leaves out."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,16 @@ def test_pair_sums_are_those_of_all_pairs(spark, block):
 def test_pair_sums_take_keys_of_more_rows_than_pairs_are_made_for(spark):
     df = spark.range(20_500).select(F.lit("a").alias("k"), F.col("id").alias("i"), F.array((F.col("id") % 2).cast("double")).alias("v"))
     assert tuple(density.pair_summary(df, ["k"], "i", "v").first()) == ("a", 20_500 * 20_499, pytest.approx(0.5, abs=1e-4), 0.0)
+
+
+def test_rows_that_go_to_all_blocks_are_given_in_small_pieces(spark, monkeypatch):
+    """Where no block can be left out, what a task holds does not grow with their number."""
+    answers, streamed = [], knn.Join.streamed
+    monkeypatch.setattr(knn.Join, "streamed", staticmethod(lambda both, group, answer, fields: (answers.append(answer), streamed(both, group, answer, fields))[1]))
+    rows = spark.createDataFrame([("a", i, [float(i)]) for i in range(40)], "k string, i long, v array<double>")
+    own, _, id_type, dist = knn.fields_of(rows, ["k"], "i", None)
+    knn.Join(knn.usable(rows, ["k"], "i", "v"), own, id_type, dist, knn.Metric(2, None), 8)
+    held = pd.DataFrame({"rows": 1, "v": [np.array([float(i)]) for i in range(1000)], "low": 0.0, "high": 1.0, "pivot": range(1, 1001), "parts": 1})
+    frame = pd.DataFrame({"g1": 1, "g2": 1, "h1": range(100), "h2": 0, "v": [np.array([0.5])] * 100, "share": 0, "pivot": 1, "part": 0, "reach": np.inf})
+    pieces = [len(x) for x in answers[1](held, frame)]
+    assert sum(pieces) == 100 * 999 and max(pieces) <= knn.STEP
