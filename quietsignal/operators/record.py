@@ -30,6 +30,8 @@ class Settings:
     threshold: float | None = None
     polarity: str = "high"
     low: float | None = None
+    #: The keys have few values: rows stay where they are and the model goes to them, as few tasks would get all rows.
+    few: bool = False
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -41,15 +43,15 @@ class Settings:
         return exp_scale(self.exp_const, one) if self.exp_const > 0 else one
 
 
-def _joined(df: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+def _joined(df: DataFrame, model: DataFrame, keys: list[str], few: bool = False) -> DataFrame:
     if keys:
-        return models.attach(df, model, keys)
+        return models.attach(df, F.broadcast(model) if few else model, keys)
     return models.attach(df.withColumn(models.ALL, F.lit("all")), model, [models.ALL]).drop(models.ALL)
 
 
 def _scored(df: DataFrame, model: DataFrame, s: Settings, one) -> DataFrame:
     added = [c for c in model.columns if c not in s.keys and c != models.ALL]
-    return _joined(df, model, s.keys).withColumn("score", s.total([one(a) for a in s.attrs])).drop(*added)
+    return _joined(df, model, s.keys, s.few).withColumn("score", s.total([one(a) for a in s.attrs])).drop(*added)
 
 
 def _num(a: str) -> Column:
@@ -183,7 +185,7 @@ def inverse_covariance(model: DataFrame) -> DataFrame:
 
 def mahalanobis(df: DataFrame, model: DataFrame, s: Settings) -> DataFrame:
     """Squared Mahalanobis distance; ``model`` from ``inverse_covariance``.  Two attributes need no Python at all."""
-    out = _joined(df, model, s.keys)
+    out = _joined(df, model, s.keys, s.few)
     k = len(s.attrs)
     d = [_num(a) - F.get("means", F.lit(i)) for i, a in enumerate(s.attrs)]
     cells = model.columns

@@ -54,7 +54,7 @@ WITH m AS (SELECT l_returnflag, avg(l_quantity) qm, stddev_pop(l_quantity) qs, a
 z AS (SELECT l_suppkey, 0.5 * abs(l_quantity - qm) / qs + 0.3 * abs(l_extendedprice - pm) / ps + 0.2 * abs(l_discount - dm) / ds AS s FROM lineitem JOIN m USING (l_returnflag))
 SELECT l_suppkey, count(*)::BIGINT AS n, round(avg(s), 4) AS mean_score, round(max(s), 4) AS max_score FROM z GROUP BY 1""")
 def zscore_multi_weighted(t):
-    s = Settings(["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount"], "weightedAverage", [0.5, 0.3, 0.2])
+    s = Settings(["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount"], "weightedAverage", [0.5, 0.3, 0.2], few=True)
     rows = t("lineitem").select("l_suppkey", *s.keys, *s.attrs)
     out = record.zscore(rows, models.moments(rows, s.keys, s.attrs), s)
     return out.groupBy("l_suppkey").agg(F.count("*").alias("n"), round_to(F.avg("score")).alias("mean_score"), round_to(F.max("score")).alias("max_score"))
@@ -74,7 +74,7 @@ def score_combine_all(t):
 WITH m AS (SELECT o_orderpriority, median(o_totalprice) AS med FROM orders GROUP BY 1), d AS (SELECT o_orderpriority, any_value(med) AS med, median(abs(o_totalprice - med)) AS mad FROM orders JOIN m USING (o_orderpriority) GROUP BY 1)
 SELECT o_orderkey, o_orderpriority, round(abs(o_totalprice - med) / nullif(mad, 0), 4) AS score, CASE WHEN abs(o_totalprice - med) / mad > 1.9 THEN 'O' ELSE 'N' END AS tag FROM orders JOIN d USING (o_orderpriority)""")
 def robust_zscore(t):
-    out = record.detect(t("orders"), "robustZscore", Settings(["o_orderpriority"], ["o_totalprice"], threshold=1.9))
+    out = record.detect(t("orders"), "robustZscore", Settings(["o_orderpriority"], ["o_totalprice"], threshold=1.9, few=True))
     return out.select("o_orderkey", "o_orderpriority", r4("score"), "tag")
 
 
@@ -159,7 +159,7 @@ WITH o AS (SELECT *, day(o_orderdate)::DOUBLE AS d FROM orders), m AS (SELECT o_
 SELECT o_orderkey, round((c * (o_totalprice - mx) * (o_totalprice - mx) - 2 * b * (o_totalprice - mx) * (d - my) + a * (d - my) * (d - my)) / (a * c - b * b), 4) AS score FROM o JOIN m USING (o_orderpriority)""")
 def mahalanobis_2d(t):
     rows = t("orders").withColumn("d", F.dayofmonth("o_orderdate").cast("double"))
-    s = Settings(["o_orderpriority"], ["o_totalprice", "d"])
+    s = Settings(["o_orderpriority"], ["o_totalprice", "d"], few=True)
     return record.mahalanobis(rows, models.covariance(rows, s.keys, s.attrs), s).select("o_orderkey", r4("score"))
 
 

@@ -112,3 +112,17 @@ def test_a_null_error_keeps_a_monitor_going(spark):
     z = [r["z"] for r in drift.ecdd(df, KEY, "e", *AT, 0.2, 2.0).orderBy("i").collect()]
     without = [r["z"] for r in drift.ecdd(df.where("e IS NOT NULL"), KEY, "e", *AT, 0.2, 2.0).orderBy("i").collect()]
     assert z[:3] + z[4:] == pytest.approx(without) and z[3] == z[2]
+
+
+@pytest.mark.parametrize("name", ["zscore_multi_weighted", "mahalanobis_2d"])
+def test_rows_of_few_keys_are_not_dealt_by_key(spark, name):
+    """A model of few keys goes to the rows, however large Spark takes it to be."""
+    from quietsignal.plans.catalogue import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
