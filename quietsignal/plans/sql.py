@@ -14,10 +14,11 @@ FUNCTIONS = {
 }
 
 
-@udtf(returnType="seq bigint, value double, score double", useArrow=True)
+@udtf(returnType="seq bigint, value double, score double", useArrow=False)
 class NeighborhoodScore:
     """TABLE(t) PARTITION BY key ORDER BY seq, with columns seq and value, then window (5) and k (2): mean distance of
-    a window's middle row to its k nearest in the window.  Rows go to Python in Arrow batches; a window is kept."""
+    a window's middle row to its k nearest in the window.  Rows go to Python in pickled batches (with Arrow each window
+    would be a batch of its own on its way back); a window is kept."""
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []

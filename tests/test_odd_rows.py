@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from quietsignal.functions.score import tag
 from quietsignal.operators import alerts, density, drift, explore, forecast, forest, models, projection, record, series
@@ -126,3 +127,11 @@ def test_rows_of_few_keys_are_not_dealt_by_key(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_windows_of_the_table_function_come_row_by_row(spark):
+    """A frame and a batch for each window took three times as long."""
+    from quietsignal.plans import sql
+
+    sql.register(spark)
+    assert sql.NeighborhoodScore.evalType == PythonEvalType.SQL_TABLE_UDF
