@@ -539,6 +539,28 @@ def test_no_pair_linked_by_the_stage_goes_without_a_shared_signature():
     assert linked > 1000
 
 
+def test_sets_that_share_a_signature_by_chance_do_not_chain(spark):
+    """Of sets that share one signature only those stay together that their sketches leave open."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: np.unique(jaccard.mixed(rng.integers(0, 1 << 60, n).astype(np.uint64)))
+    sets = [fresh(100) for _ in range(140)]
+    sets[21] = np.unique(np.concatenate([sets[20][:95], fresh(5)]))
+    one = spark.createDataFrame([(i, len(h), bytearray(jaccard.sketch(h))) for i, h in enumerate(sets)], "node long, n_shingles long, sketch binary")
+    # A chain of 40, then groups of 16 and 17 and 60: more than FEW are hung together unseen.
+    sent = [(i, [i, i + 1]) for i in range(40)] + [(i, [1000 if i < 56 else 1001 if i < 73 else 1002]) for i in range(40, 133)]
+    got = sorted(map(tuple, jaccard.gathered(spark.createDataFrame(sent, "node long, sigs array<long>"), one, jaccard.STAGE).collect()))
+    assert jaccard.FEW == 16 and got == [(20, 20, 2), (21, 20, 2)] + [(i, 56, 17) for i in range(56, 73)] + [(i, 73, 60) for i in range(73, 133)]
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 3, 64, 65, 500, 2000):
+        a = np.unique(jaccard.mixed(rng.integers(0, 1 << 60, n).astype(np.uint64)))
+        for cut in range(0, n, max(1, n // 10)):
+            b = np.unique(np.concatenate([a[cut:], jaccard.mixed(rng.integers(0, 1 << 60, int(rng.integers(0, n + 1))).astype(np.uint64))]))
+            assert jaccard.least_difference(jaccard.sketch(a), jaccard.sketch(b)) <= len(np.setxor1d(a, b))
+
+
 # 10 licenses
 
 
