@@ -9,6 +9,7 @@
 5. The best of all answers stay, and rows that share a vector take them over.
 
 Vectors never leave a key's tasks whole: a task holds one block, or the pivots of a key, and rows pass it in batches.
+They are sent as packed bytes, floats as floats, and what is found at home (3) and at last (5) is checkpointed, as later steps read it repeatedly.
 """
 
 from __future__ import annotations
@@ -19,54 +20,107 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DoubleType, FloatType, IntegerType, LongType, StructField, StructType
 
 from quietsignal.operators import models
 
 #: Rows of a block (about), and pivots of a key at most; a key with more rows than both allow has several blocks a pivot.
-BLOCK, MOST_PIVOTS = 4096, 1024
+BLOCK, MOST_PIVOTS = 16_384, 1024
 #: Rows that a step works on, and gives, at once; a row may go to many blocks, and copies of its vector with it.
 STEP = 2048
+#: Numbers in an array of a search at most (about), and rows of a block that bound what its others can be among.
+ROOM, SAMPLE = 1 << 21, 1024
 #: Rounding may make a bound wrong by this share; bounds are wider by it.
 SLACK = 1e-9
 
 
+def matrix(v: pd.Series, kind: str) -> np.ndarray:
+    """Vectors, packed as ``kind`` or as arrays, as rows of doubles."""
+    if not isinstance(v.iloc[0], bytes):
+        return np.stack(v.to_numpy()).astype(float)
+    width = len(v.iloc[0]) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(v), kind).reshape(len(v), width).astype(float) if width else np.zeros((len(v), 0))
+
+
+def places(row: np.ndarray) -> np.ndarray:
+    """The place of each element among the equal ones of a sorted array, from 0."""
+    return np.arange(len(row)) - np.searchsorted(row, row)
+
+
+class Held:
+    """Vectors to search among, ``sizes`` ids for each, and these in ``ids`` one after another."""
+
+    def __init__(self, x: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
+        self.x, self.sizes, self.starts, self.ids = x, sizes, np.cumsum(sizes) - sizes, ids
+        squares = (x * x).sum(1)
+        self.most, self.wide = squares.max(initial=0), np.column_stack([-2 * x, squares, np.ones(len(x))]).T.copy()
+        self.rank = np.empty(len(ids), int)
+        self.rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+
+    @classmethod
+    def of(cls, part: pd.DataFrame, kind: str) -> Held:
+        return cls(matrix(part["v"], kind), part["ids"].map(len).to_numpy(int), np.concatenate(list(part["ids"])))
+
+
 class Metric:
     """Euclidean distances, or their whole multiples of 1 / ``scale``, and the nearest of a block."""
 
     def __init__(self, k: int, scale: int | None):
         self.k, self.scale = k, scale
 
-    def of(self, x: np.ndarray, a: np.ndarray) -> np.ndarray:
-        d = np.sqrt(((x - a) ** 2).sum(1))
-        return np.floor(d * self.scale) if self.scale else d
-
-    def reach(self, last: float) -> float:
+    def reach(self, last: np.ndarray) -> np.ndarray:
         """The distance from which on nothing can come before a neighbour at ``last``."""
         return (last + 1) / self.scale if self.scale else last
 
-    def nearest(self, asks: np.ndarray, x: np.ndarray, names: list[np.ndarray], count: int) -> Iterator[list[tuple[float, object]]]:
-        """For each row of ``asks`` its first ``count`` (distance, id), by distance and id.
+    def nearest(self, asks: np.ndarray, held: Held, count: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of ``asks``, distance and id of its first ``count`` ids, by distance and id, that are no farther than its ``reach``.
 
-        One product of matrices picks the rows that may be among them, with room for its rounding; their distances are
-        then worked out from differences.
+        One product of matrices picks the vectors that may be among them, with room for its rounding: those within ``reach``
+        and the ``count``-th distance to every so many-th of them.  Distances are then worked out from differences.
         """
-        squares = (x * x).sum(1)
-        for at in range(0, len(asks), 256):
-            part = asks[at : at + 256]
+        found = []
+        step, every = max(16, ROOM // len(held.x)), max(1, len(held.x) // max(SAMPLE, 16 * count))
+        for at in range(0, len(asks), step):
+            part = asks[at : at + step]
+            bound = np.full(len(part), np.inf) if reach is None else reach[at : at + step] * (1 + SLACK)
             own = (part * part).sum(1)
-            d = np.maximum(own[:, None] + squares[None, :] - 2 * (part @ x.T), 0)
-            room = 1e-9 * (own + squares.max(initial=0))
-            last = np.sqrt((np.partition(d, count - 1, axis=1)[:, count - 1] if count < len(x) else np.full(len(part), np.inf)) + room)
-            limit = (np.floor(last * self.scale) + 1) / self.scale if self.scale else last
-            for row, a, most, r in zip(d, part, limit, room, strict=True):
-                near = np.flatnonzero(row <= most * most + r)
-                exact = self.of(x[near], a)
-                if count < len(near):
-                    keep = exact <= np.partition(exact, count - 1)[count - 1]
-                    near, exact = near[keep], exact[keep]
-                found = [(s, n) for j, s in zip(near, exact.tolist(), strict=True) for n in names[j]]
-                yield sorted(found)[:count]
+            d = np.column_stack([part, np.ones(len(part)), own]) @ held.wide
+            room, limit, some = 1e-9 * (own + held.most), bound, d[:, ::every]
+            if count <= some.shape[1]:
+                last = np.sqrt(np.maximum(np.partition(some, count - 1, axis=1)[:, count - 1], 0) + room)
+                limit = np.minimum(bound, (np.floor(last * self.scale) + 1) / self.scale if self.scale else last)
+            near = d <= (limit * limit + room)[:, None]
+            upto = np.cumsum(near.sum(1)) // max(1, ROOM // max(1, part.shape[1]))
+            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                row, x = np.nonzero(near[a:b])
+                found.append(self.first(part[a:b], row, x, held, count, bound[a:b]))
+                found[-1][0][:] += at + a
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    def first(self, asks: np.ndarray, row: np.ndarray, at: np.ndarray, held: Held, count: int, bound: np.ndarray) -> list[np.ndarray]:
+        """The first ``count`` ids of each row among candidates, by rows."""
+        dist = np.sqrt(((held.x[at] - asks[row]) ** 2).sum(1))
+        keep = dist <= bound[row]
+        row, at, dist = row[keep], at[keep], np.floor(dist[keep] * self.scale).astype(int) if self.scale else dist[keep]
+        order = np.lexsort((dist, row))
+        row, at, dist = row[order], at[order], dist[order]
+        last, nth = np.full(len(asks), np.inf), places(row) == count - 1
+        last[row[nth]] = dist[nth]
+        keep = dist <= last[row]
+        row, at, dist = row[keep], at[keep], dist[keep]
+        times = held.sizes[at]
+        row, dist, name = np.repeat(row, times), np.repeat(dist, times), np.repeat(held.starts[at] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        order = np.lexsort((held.rank[name], dist, row))
+        order = order[places(row) < count]
+        return [row[order], dist[order], held.ids[name[order]]]
+
+
+def by_row(found: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """How many each of ``n`` rows found, and their distances and ids."""
+    ends = np.searchsorted(found[0], np.arange(n + 1))
+    cuts = list(zip(ends.tolist(), ends[1:].tolist(), strict=False))
+    return np.diff(ends), [found[1][a:b] for a, b in cuts], [found[2][a:b] for a, b in cuts]
 
 
 def fields_of(df: DataFrame, keys: list[str], id_: str, scale: int | None) -> tuple[list[str], list[StructField], DataType, DataType]:
@@ -76,27 +130,28 @@ def fields_of(df: DataFrame, keys: list[str], id_: str, scale: int | None) -> tu
 
 
 def usable(df: DataFrame, keys: list[str], id_: str, vector: str) -> DataFrame:
-    """Keys as k0, k1, ..., the vector's size, id and the vector in doubles, of rows with whole vectors."""
-    x = F.transform(F.col(f"`{vector}`"), lambda v: v.cast("double"))
+    """Keys as k0, k1, ..., the vector's size, id and the vector (floats, or else doubles), of rows with whole vectors."""
+    kind = "float" if df.schema[vector].dataType.elementType == FloatType() else "double"
+    x = F.transform(F.col(f"`{vector}`"), lambda v: v.cast(kind))
     rows = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.size(x).cast("int").alias("size"), F.col(f"`{id_}`").alias("id"), x.alias("v"))
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda y: y.isNotNull() & (F.abs(y) < float("inf"))))
 
 
-def pairs(found: pd.DataFrame | list[tuple], fields: list[StructField]) -> pd.DataFrame:
-    return pd.DataFrame(found, columns=[f.name for f in fields])
-
-
 def small_keys(rows: DataFrame, own: list[str], kinds: list[StructField], id_type: DataType, dist: DataType, metric: Metric) -> DataFrame:
     """Keys of one block each: a search within the key."""
     fields = [*kinds, StructField("source", id_type), StructField("target", id_type), StructField("dist", dist), StructField("rank", IntegerType())]
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        x, ids = np.stack(part["v"].to_numpy()), part["id"].to_numpy()
-        name, out = tuple(part[o].iloc[0] for o in own), []
-        for i, near in zip(ids, metric.nearest(x, x, [[n] for n in ids], metric.k + 1 + len(ids) - len(set(ids))), strict=True):
-            out += [(*name, i, n, d, rank) for rank, (d, n) in enumerate([p for p in near if p[1] != i][: metric.k], 1)]
-        return pairs(out, fields)
+        x, ids = matrix(part["v"], ""), part["id"].to_numpy()
+        row, d, target = metric.nearest(x, Held(x, np.ones(len(ids), int), ids), metric.k + 1 + len(ids) - len(set(ids)))
+        other = target != ids[row]
+        row, d, target = row[other], d[other], target[other]
+        rank = places(row) + 1
+        keep = rank <= metric.k
+        found = {"source": ids[row[keep]], "target": target[keep], "dist": d[keep], "rank": rank[keep]}
+        found |= {o: np.full(len(found["rank"]), part[o].iloc[0], object) for o in own}
+        return pd.DataFrame({c: pd.Series(x, dtype=x.dtype) for c, x in found.items()})
 
     return models.spread(rows, own).groupBy(*own).applyInPandas(search, StructType(fields))
 
@@ -110,9 +165,9 @@ class Join:
         rows = rows.withColumn("g1", F.xxhash64(*named)).withColumn("g2", F.xxhash64(F.lit(7), *named))
         own, kinds = ["g1", "g2"], [StructField("g1", LongType()), StructField("g2", LongType())]
         self.own, self.metric, self.block = own, metric, block
-        vector = ArrayType(DoubleType())
-        one = [StructField("h1", LongType()), StructField("h2", LongType())]
-        near = StructField("near", ArrayType(StructType([StructField("dist", dist), StructField("id", id_type)])))
+        self.kind = "f4" if rows.schema["v"].dataType.elementType == FloatType() else "f8"
+        one, vector = [StructField("h1", LongType()), StructField("h2", LongType())], StructField("v", BinaryType())
+        ids, near = StructField("ids", ArrayType(id_type)), [StructField("dist", ArrayType(dist)), StructField("id", ArrayType(id_type))]
         hashed = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(7), "v"))
         self.vector = [*own, "h1", "h2"]
         count = metric.k + 1
@@ -120,26 +175,27 @@ class Join:
         distinct = first.groupBy(*self.vector).agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids"))
         sizes = rows.groupBy(*own).agg(F.count("*").alias("n"))
         # Tasks with the pivots of a large key take a share of its rows each.
-        shares = F.ceil(F.col("n") / (64 * block)).cast("int")
+        shares = F.ceil(F.col("n") / (4 * block)).cast("int")
         sized = models.attach(distinct, sizes.select(*own, "n", shares.alias("shares")), own).withColumn("share", F.pmod("h1", F.col("shares")).cast("int"))
         wanted = F.least(F.ceil(F.col("n") / block), F.lit(MOST_PIVOTS))
         by_hash = Window.partitionBy(*own).orderBy("h2", "h1")
         pivots = sized.withColumn("pivot", F.row_number().over(by_hash)).where(F.col("pivot") <= MOST_PIVOTS).where(F.col("pivot") <= wanted).select(*own, "pivot", "v", "shares")
         self.pivots = pivots
-        self.cells = self.assigned(sized, [*kinds, *one, StructField("v", vector), StructField("ids", ArrayType(id_type)), StructField("share", IntegerType()), StructField("pivot", IntegerType()), StructField("d", DoubleType())])
+        self.cells = self.assigned(sized, [*kinds, *one, vector, ids, StructField("share", IntegerType()), StructField("pivot", IntegerType()), StructField("d", DoubleType())])
         counts = self.cells.groupBy(*own, "pivot").agg(F.count("*").alias("rows"), F.min("d").alias("low"), F.max("d").alias("high"))
         self.blocks = counts.withColumn("parts", F.ceil(F.col("rows") / (2 * block)).cast("int"))
         self.placed = models.attach(self.cells, self.blocks.select(*own, "pivot", "parts"), [*own, "pivot"]).withColumn("part", F.pmod("h2", F.col("parts")).cast("int"))
-        self.home = self.searched_at_home([*kinds, *one, StructField("v", vector), StructField("share", IntegerType()), StructField("pivot", IntegerType()), StructField("part", IntegerType()), StructField("reach", DoubleType()), near])
-        self.visits = self.sent([*kinds, *one, StructField("v", vector), StructField("pivot", IntegerType()), StructField("part", IntegerType())])
-        self.answers = self.answered([*kinds, *one, near])
-        every = self.home.select(*self.vector, F.explode("near").alias("p")).unionByName(self.answers.select(*self.vector, F.explode("near").alias("p"))).select(*self.vector, "p.dist", F.col("p.id").alias("target"))
-        best = every.withColumn("place", F.row_number().over(Window.partitionBy(*self.vector).orderBy("dist", "target"))).where(F.col("place") <= count)
-        merged = best.groupBy(*self.vector).agg(F.sort_array(F.collect_list(F.struct("dist", "target"))).alias("near"))
+        at = [StructField("pivot", IntegerType()), StructField("part", IntegerType()), StructField("reach", DoubleType())]
+        self.home = models.checkpointed(self.searched_at_home([*kinds, *one, vector, ids, StructField("share", IntegerType()), *at, *near]))
+        self.visits = self.sent([*kinds, *one, vector, *at])
+        self.answers = self.answered([*kinds, *one, *near])
+        every = self.home.select(*self.vector, F.arrays_zip("dist", "id").alias("near")).unionByName(self.answers.select(*self.vector, F.arrays_zip("dist", "id").alias("near")))
+        best = F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, count)
+        merged = models.checkpointed(every.groupBy(*self.vector).agg(best.alias("near")))
         members = models.attach(hashed.select(*keys, *self.vector, "id"), merged, self.vector)
-        others = F.slice(F.filter("near", lambda p: p["target"] != F.col("id")), 1, metric.k)
+        others = F.slice(F.filter("near", lambda p: p["id"] != F.col("id")), 1, metric.k)
         each = members.select(*keys, F.col("id").alias("source"), F.posexplode(others).alias("rank", "p"))
-        self.found = each.select(*keys, "source", F.col("p.target").alias("target"), F.col("p.dist").alias("dist"), (F.col("rank") + 1).cast("int").alias("rank"))
+        self.found = each.select(*keys, "source", F.col("p.id").alias("target"), F.col("p.dist").alias("dist"), (F.col("rank") + 1).cast("int").alias("rank"))
 
     def assigned(self, sized: DataFrame, fields: list[StructField]) -> DataFrame:
         """Rows with their nearest pivot and the distance to it."""
@@ -147,33 +203,39 @@ class Join:
         leading = self.pivots.select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"))
         following = sized.select(*self.own, "share", "v", "h1", "h2", "ids", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("pivot"))
         both = leading.select(*self.own, "share", "kind", "pivot", "v", *[F.lit(x).cast(sized.schema[c].dataType).alias(c) for c, x in wide.items()]).unionByName(following)
-        names = [f.name for f in fields]
+        names, kind = [f.name for f in fields], self.kind
 
         def answer(held: pd.DataFrame, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             held = held.sort_values("pivot")
-            p, x = np.stack(held["v"].to_numpy()), np.stack(frame["v"].to_numpy())
+            p, x = matrix(held["v"], kind), matrix(frame["v"], kind)
             d = np.stack([np.sqrt(((x - a) ** 2).sum(1)) for a in p], 1)
             best = d.argmin(1)
-            yield frame.assign(pivot=held["pivot"].to_numpy(int)[best], d=d[np.arange(len(x)), best])[names]
+            packed = [v.tobytes() for v in x.astype(kind)]
+            yield frame.assign(v=packed, pivot=held["pivot"].to_numpy(int)[best], d=d[np.arange(len(x)), best])[names]
 
         return self.streamed(both, [*self.own, "share"], answer, fields)
 
     def searched_at_home(self, fields: list[StructField]) -> DataFrame:
         """The nearest of a row's own block, and how far it still looks."""
-        names, count, metric = [f.name for f in fields], self.metric.k + 1, self.metric
+        names, count, metric, kind = [f.name for f in fields], self.metric.k + 1, self.metric, self.kind
 
         def search(part: pd.DataFrame) -> pd.DataFrame:
-            part = part.reset_index(drop=True)
-            x, ids = np.stack(part["v"].to_numpy()), list(part["ids"])
-            near = list(metric.nearest(x, x, ids, count))
-            reach = [metric.reach(n[-1][0]) if len(n) == count else np.inf for n in near]
-            return part.assign(near=[[{"dist": d, "id": i} for d, i in n] for n in near], reach=reach)[names]
+            held = Held.of(part, kind)
+            n, dist, ids = by_row(metric.nearest(held.x, held, count), len(part))
+            reach = np.array([metric.reach(d[-1]) if m == count else np.inf for m, d in zip(n, dist, strict=True)])
+            return part.assign(dist=dist, id=ids, reach=reach)[names]
 
         return models.spread(self.placed, [*self.own, "pivot", "part"]).groupBy(*self.own, "pivot", "part").applyInPandas(search, StructType(fields))
 
     def sent(self, fields: list[StructField]) -> DataFrame:
         """Rows with each other block that can hold something as near as they still look for."""
-        leading = models.attach(self.pivots, self.blocks, [*self.own, "pivot"]).select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind")).drop("shares")
+        kind = self.kind
+
+        @F.pandas_udf("binary")
+        def pack(v: pd.Series) -> pd.Series:
+            return v.map(lambda x: np.asarray(x, kind).tobytes())
+
+        leading = models.attach(self.pivots.withColumn("v", pack("v")), self.blocks, [*self.own, "pivot"]).select("*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind")).drop("shares")
         following = self.home.select(*self.own, "share", "v", "h1", "h2", "pivot", "part", "reach", F.lit(1).alias("kind"))
         zero = F.lit(0).cast("long")
         both = leading.withColumns({"h1": zero, "h2": zero, "part": F.lit(0)}).unionByName(following, allowMissingColumns=True)
@@ -181,7 +243,7 @@ class Join:
 
         def answer(held: pd.DataFrame, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             held = held[held["rows"].notna()]
-            p, x = np.stack(held["v"].to_numpy()), np.stack(frame["v"].to_numpy())
+            p, x = matrix(held["v"], kind), matrix(frame["v"], kind)
             low, high, number, parts = (held[c].to_numpy(float) for c in ("low", "high", "pivot", "parts"))
             d = np.stack([np.sqrt(((x - a) ** 2).sum(1)) for a in p], 1)
             least = np.maximum(np.maximum(d - high, low - d), 0) - SLACK * (d + high)
@@ -200,14 +262,16 @@ class Join:
 
     def answered(self, fields: list[StructField]) -> DataFrame:
         """What each visited block has for its visitors."""
-        leading = self.placed.select(*self.own, "pivot", "part", "v", "ids", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"))
+        leading = self.home.select(*self.own, "pivot", "part", "v", "ids", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"))
         both = leading.unionByName(self.visits.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-        names, count, metric = [f.name for f in fields], self.metric.k + 1, self.metric
+        names, count, metric, kind = [f.name for f in fields], self.metric.k + 1, self.metric, self.kind
+        last: list = [None, None]
 
         def answer(held: pd.DataFrame, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            x, asks = np.stack(held["v"].to_numpy()), np.stack(frame["v"].to_numpy())
-            near = metric.nearest(asks, x, list(held["ids"]), count)
-            yield frame.assign(near=[[{"dist": d, "id": i} for d, i in n] for n in near])[names]
+            if last[0] is not held:
+                last[:] = [held, Held.of(held, kind)]
+            n, dist, ids = by_row(metric.nearest(matrix(frame["v"], kind), last[1], count, frame["reach"].to_numpy()), len(frame))
+            yield frame.assign(dist=dist, id=ids)[names][n > 0]
 
         return self.streamed(both, [*self.own, "pivot", "part"], answer, fields)
 
@@ -229,7 +293,7 @@ class Join:
                     if leads.any():
                         held.append(part[leads])
                     if not leads.all():
-                        held = [pd.concat(held)]
+                        held = held if len(held) == 1 else [pd.concat(held)]
                         rest = part[~leads]
                         for c in range(0, len(rest), STEP):
                             yield from answer(held[0], rest.iloc[c : c + STEP])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,17 @@ def spread(df: DataFrame, by: list[str]) -> DataFrame:
     return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *[F.col(f"`{c}`") for c in by])
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` worked out once, in the session's ``spark.checkpoint.dir``; a local session that names none gets a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def same(left: str, right: str, keys: list[str]) -> Column:
     """Join condition on keys, null keys meeting null keys."""
     out = F.lit(True)

@@ -1,5 +1,7 @@
 """The metric neighbour join against all pairs: keys, copies, ties, odd rows, and what it leaves out."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -135,3 +137,26 @@ def test_rows_that_go_to_all_blocks_are_given_in_small_pieces(spark, monkeypatch
     frame = pd.DataFrame({"g1": 1, "g2": 1, "h1": range(100), "h2": 0, "v": [np.array([0.5])] * 100, "share": 0, "pivot": 1, "part": 0, "reach": np.inf})
     pieces = [len(x) for x in answers[1](held, frame)]
     assert sum(pieces) == 100 * 999 and max(pieces) <= knn.STEP
+
+
+def test_vectors_are_sent_packed_and_answers_are_within_reach(spark):
+    """Floats stay four bytes, and a block answers only what a row still looks for, not its first k + 1 whatever they are."""
+    r = np.random.default_rng(8)
+    rows = spark.createDataFrame([("a", i, r.normal(size=6).tolist()) for i in range(120)], "k string, i long, v array<float>")
+    own, _, id_type, dist = knn.fields_of(rows, ["k"], "i", None)
+    join = knn.Join(knn.usable(rows, ["k"], "i", "v"), own, id_type, dist, knn.Metric(3, None), 20)
+    assert {len(x["v"]) for x in join.visits.select("v").collect()} == {24}
+    reach = join.home.select("h1", "reach")
+    far = join.answers.join(reach, "h1").where(F.array_max("dist") > F.col("reach") * (1 + 1e-8)).count()
+    assert far == 0 and join.answers.where(F.size("dist") == 0).count() == 0
+
+
+def test_search_of_many_ties_is_bounded_in_memory():
+    """Where all distances tie, candidates are worked out in pieces."""
+    x = np.eye(3000, 64) + np.eye(3000, 64, -64)
+    held = knn.Held(x, np.full(3000, 4), np.arange(12_000)[::-1])
+    tracemalloc.start()
+    row, dist, ids = knn.Metric(3, 1).nearest(np.full((2000, 64), 0.5), held, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row.tolist() == np.repeat(np.arange(2000), 4).tolist() and ids.tolist() == [0, 1, 2, 3] * 2000 and set(dist.tolist()) == {4} and peak < 250e6
