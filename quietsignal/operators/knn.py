@@ -30,6 +30,8 @@ BLOCK, MOST_PIVOTS = 16_384, 1024
 STEP = 2048
 #: Numbers in an array of a search at most (about), and rows of a block that bound what its others can be among.
 ROOM, SAMPLE = 1 << 21, 1024
+#: Visits of rows to blocks that are worked out at once, at most (unless one row has more).
+VISITS = 1 << 18
 #: Rounding may make a bound wrong by this share; bounds are wider by it.
 SLACK = 1e-9
 
@@ -243,17 +245,23 @@ class Join:
 
         def answer(held: pd.DataFrame, frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             held = held[held["rows"].notna()]
-            p, x = matrix(held["v"], kind), matrix(frame["v"], kind)
+            p = matrix(held["v"], kind)
             low, high, number, parts = (held[c].to_numpy(float) for c in ("low", "high", "pivot", "parts"))
+            # The more blocks a key has, the fewer rows at once: each may have to go to all of them.
+            step = max(1, VISITS // max(1, int(parts.sum())))
+            for at in range(0, len(frame), step):
+                yield from visits(frame.iloc[at : at + step], p, low, high, number.astype(int), parts.astype(int))
+
+        def visits(frame: pd.DataFrame, p: np.ndarray, low: np.ndarray, high: np.ndarray, number: np.ndarray, parts: np.ndarray) -> Iterator[pd.DataFrame]:
+            x = matrix(frame["v"], kind)
             d = np.stack([np.sqrt(((x - a) ** 2).sum(1)) for a in p], 1)
             least = np.maximum(np.maximum(d - high, low - d), 0) - SLACK * (d + high)
             row, at = np.nonzero(least <= frame["reach"].to_numpy()[:, None])
-            own, mine = frame["pivot"].to_numpy(int), frame["part"].to_numpy(int)
-            times = parts[at].astype(int)
+            own, mine, times = frame["pivot"].to_numpy(int), frame["part"].to_numpy(int), parts[at]
+            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             row, at = np.repeat(row, times), np.repeat(at, times)
-            part = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, int)
-            other = (number[at].astype(int) != own[row]) | (part != mine[row])
-            row, pivot, part = row[other], number[at[other]].astype(int), part[other]
+            other = (number[at] != own[row]) | (part != mine[row])
+            row, pivot, part = row[other], number[at[other]], part[other]
             for a in range(0, len(row), STEP):
                 some = slice(a, a + STEP)
                 yield frame.iloc[row[some]].assign(pivot=pivot[some], part=part[some])[names]

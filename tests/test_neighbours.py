@@ -1,5 +1,6 @@
 """The metric neighbour join against all pairs: keys, copies, ties, odd rows, and what it leaves out."""
 
+import itertools
 import tracemalloc
 
 import numpy as np
@@ -139,6 +140,26 @@ def test_rows_that_go_to_all_blocks_are_given_in_small_pieces(spark, monkeypatch
     assert sum(pieces) == 100 * 999 and max(pieces) <= knn.STEP
 
 
+def test_what_a_task_holds_does_not_grow_with_the_blocks_of_a_key(spark, monkeypatch):
+    """Eight times the pivots, each of several blocks: rows are sent on in turns, so about the same is held, and each row still goes everywhere."""
+    answers, streamed = [], knn.Join.streamed
+    monkeypatch.setattr(knn.Join, "streamed", staticmethod(lambda both, group, answer, fields: (answers.append(answer), streamed(both, group, answer, fields))[1]))
+    rows = spark.createDataFrame([("a", i, [float(i)]) for i in range(40)], "k string, i long, v array<double>")
+    own, _, id_type, dist = knn.fields_of(rows, ["k"], "i", None)
+    knn.Join(knn.usable(rows, ["k"], "i", "v"), own, id_type, dist, knn.Metric(2, None), 8)
+    frame = pd.DataFrame({"g1": 1, "g2": 1, "h1": range(knn.STEP), "h2": 0, "v": [np.array([0.5])] * knn.STEP, "share": 0, "pivot": 1, "part": 2, "reach": np.inf})
+    of = lambda pivots: pd.DataFrame({"rows": 1, "v": [np.array([float(i)]) for i in range(pivots)], "low": 0.0, "high": 1.0, "pivot": range(1, pivots + 1), "parts": 3})
+    whole = pd.concat(answers[1](of(64), frame))
+    assert len(whole) == len(whole[["h1", "pivot", "part"]].drop_duplicates()) == knn.STEP * 191 and not ((whole["pivot"] == 1) & (whole["part"] == 2)).any()
+    peaks = []
+    for held in (of(128), of(1024)):
+        tracemalloc.start()
+        assert all(len(x) <= knn.STEP for x in itertools.islice(answers[1](held, frame), 5))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0] + 10, peaks
+
+
 def test_vectors_are_sent_packed_and_answers_are_within_reach(spark):
     """Floats stay four bytes, and a block answers only what a row still looks for, not its first k + 1 whatever they are."""
     r = np.random.default_rng(8)
